@@ -235,19 +235,18 @@ FROM (SELECT a.instrument_id, a.contract, a.segment_id, a.zone_id AS zone_a, a.s
 WHERE ended_at IS NULL OR created_at < ended_at"""
 
 
-def _needed(text: str, seen: list[str]) -> None:
-    for name, body in CTES.items():
-        if name not in seen and re.search(rf"\b{name}\b", text):
-            _needed(body, seen)
-            if name not in seen:
-                seen.append(name)
+def _needed(text: str, limit: int, seen: set[str]) -> None:
+    """Collect the tables ``text`` names; a table may only use tables registered before it."""
+    for index, (name, body) in enumerate(CTES.items()):
+        if index < limit and name not in seen and re.search(rf"\b{name}\b", text):
+            seen.add(name)
+            _needed(body, index, seen)
 
 
 def compose(sql: str) -> str:
-    names: list[str] = []
-    _needed(sql, names)
+    names: set[str] = set()
+    _needed(sql, len(CTES), names)
     order = [n for n in CTES if n in names]
-    # dependencies first: a table may only use tables registered before it
     if not order:
         return sql
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)

@@ -177,12 +177,16 @@ def exit_barrier(candidates: DataFrame, bars: DataFrame, *, skip_entry_bar: bool
         "mfe_ticks": F.when(known, best), "mae_ticks": F.when(known, worst)}).drop("_h", "_l", "exit_slot")
 
 
-def session_trade_limit(candidates: DataFrame, trades: DataFrame) -> DataFrame:
-    """One executed trade per (session, type, cell): the first valid and unambiguous candidate; others get a reason."""
-    taken = trades.select(*CANDIDATE, "exit_reason", "is_ambiguous", "result_r")
-    rows = candidates.select(*CANDIDATE, "signal_time", "entry_time", "is_valid", "invalid_reason").join(taken, CANDIDATE, "left")
+def session_trade_limit(candidates: DataFrame, trades: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """One executed trade per (session, type, cell): the first valid and unambiguous candidate; others get a reason.
+
+    ``extra`` names further key columns both inputs carry, such as a scenario.
+    """
+    keys = [*CANDIDATE, *extra]
+    taken = trades.select(*keys, "exit_reason", "is_ambiguous", "result_r")
+    rows = candidates.select(*keys, "signal_time", "entry_time", "is_valid", "invalid_reason").join(taken, keys, "left")
     fits = F.col("is_valid") & F.col("exit_reason").isNotNull() & ~F.coalesce("is_ambiguous", F.lit(False))
-    order = Window.partitionBy(*GROUP, "config_id").orderBy(F.coalesce("entry_time", "signal_time"), "signal_time", "direction")
+    order = Window.partitionBy(*GROUP, "config_id", *extra).orderBy(F.coalesce("entry_time", "signal_time"), "signal_time", "direction")
     before = F.sum(fits.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     reason = (F.when(~F.col("is_valid"), F.col("invalid_reason")).when(F.col("exit_reason").isNull(), "MISSING_COMPLETED_TRADE")
               .when(F.col("is_ambiguous"), F.col("exit_reason")).when(F.coalesce(before, F.lit(0)) > 0, "SESSION_TRADE_LIMIT").otherwise(""))
