@@ -25,11 +25,11 @@ from sessionloom.session import shared_folder
 from sessionloom.sources import calendar as cal
 from sessionloom.sources import files as FS
 
-AT = "TIMESTAMP '2024-01-19 12:00:00'"
+AT = "TIMESTAMP '2024-01-17 08:00:00'"
 
 
 def at():
-    return F.lit("2024-01-19 12:00:00").cast("timestamp")
+    return F.lit("2024-01-17 08:00:00").cast("timestamp")
 
 
 def scratch(m, name):
@@ -498,7 +498,7 @@ def _(m):
 
 # --- G: ranking -------------------------------------------------------------------
 CTES["mitigated"] = """
-SELECT zone_id, stage, min(bar_end) AS pen, min(CASE WHEN is_midpoint THEN bar_end END) AS mid, min(CASE WHEN is_full THEN bar_end END) AS ful, max(depth_ticks) AS dep FROM touches WHERE bar_end <= TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1, 2"""
+SELECT zone_id, stage, min(bar_end) AS pen, min(CASE WHEN is_midpoint THEN bar_end END) AS mid, min(CASE WHEN is_full THEN bar_end END) AS ful, max(depth_ticks) AS dep FROM touches WHERE bar_end <= TIMESTAMP '2024-01-17 08:00:00' GROUP BY 1, 2"""
 CTES["active_zones"] = f"""
 SELECT s.zone_id, s.instrument_id, s.contract, s.stage, s.current_direction, s.stage_start, z.lower_ticks, z.upper_ticks, z.width_ticks, z.strength, z.normalization_status, z.available_at, t.pen AS first_mitigation_at, t.mid AS midpoint_reached_at, t.ful AS full_reached_at,
        g.gt AS gap_through_at, t.dep AS max_depth_ticks, coalesce(o.n, 0) AS overlap_contribution

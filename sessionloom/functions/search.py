@@ -40,18 +40,18 @@ def first_beyond(
     upper bound: the first hit counts only when it is not after it.
     """
     keys = list(keys)
-    base = rows.select(*keys, F.col(ordinal).alias("_o"), F.col(above).alias("_hi"),
-                       (-F.col(below)).alias("_lo"))
+    base = rows.select(*keys, F.col(ordinal).alias("_fb_o"), F.col(above).alias("_fb_hi"),
+                       (-F.col(below)).alias("_fb_lo"))
     run = (
-        base.groupBy(*keys, F.floor(F.col("_o") / FAN).alias("_r"))
-        .agg(F.sort_array(F.collect_list(F.struct("_o", "_hi", "_lo"))).alias("_a"),
-             F.max("_hi").alias("_mh"), F.max("_lo").alias("_ml"))
+        base.groupBy(*keys, F.floor(F.col("_fb_o") / FAN).alias("_fb_r"))
+        .agg(F.sort_array(F.collect_list(F.struct("_fb_o", "_fb_hi", "_fb_lo"))).alias("_fb_a"),
+             F.max("_fb_hi").alias("_fb_mh"), F.max("_fb_lo").alias("_fb_ml"))
     )
     top = (
         run.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("_r").alias("_o"), F.col("_mh").alias("_hi"),
-                                                  F.col("_ml").alias("_lo")))).alias("_c"))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_fb_r").alias("_fb_o"), F.col("_fb_mh").alias("_fb_hi"),
+                                                  F.col("_fb_ml").alias("_fb_lo")))).alias("_fb_c"))
+        .withColumn("_fb_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     )
 
     is_up = F.col(side) == F.lit(upper)
@@ -59,8 +59,8 @@ def first_beyond(
 
     def first(array: str, least: Column) -> Column:
         def ok(x):
-            return (x["_o"] >= least) & (F.when(is_up, x["_hi"]).otherwise(x["_lo"]) > limit)
-        return F.get(F.filter(F.col(array), ok), F.lit(0))["_o"]
+            return (x["_fb_o"] >= least) & (F.when(is_up, x["_fb_hi"]).otherwise(x["_fb_lo"]) > limit)
+        return F.get(F.filter(F.col(array), ok), F.lit(0))["_fb_o"]
 
     # Keys of finished rows point at runs that do not exist, spread so that no task gets them all.
     idle = -1 - F.pmod(F.xxhash64(F.col(start), F.col(threshold)), F.lit(4096))
@@ -69,20 +69,20 @@ def first_beyond(
     def lookup(df: DataFrame, table: DataFrame, name: str, key: Column, array: str) -> DataFrame:
         return df.withColumn(name, F.coalesce(key, idle)).join(table.select(*keys, name, array), [*keys, name], "left")
 
-    found = levels.withColumn("_own", F.floor(F.col(start) / FAN))
-    found = lookup(found, run, "_r", F.col("_own"), "_a")
-    found = found.withColumn("_h", first("_a", F.col(start))).drop("_a", "_r")
+    found = levels.withColumn("_fb_own", F.floor(F.col(start) / FAN))
+    found = lookup(found, run, "_fb_r", F.col("_fb_own"), "_fb_a")
+    found = found.withColumn("_fb_h", first("_fb_a", F.col(start))).drop("_fb_a", "_fb_r")
 
     # the one row of a series is repeated per salt, so a series with very many levels spreads out
-    is_open = F.col("_h").isNull() & F.col("_own").isNotNull()
-    found = found.withColumn("_salt", F.when(is_open, F.pmod(F.xxhash64(F.col(start), F.col(threshold)), F.lit(SALTS)))
+    is_open = F.col("_fb_h").isNull() & F.col("_fb_own").isNotNull()
+    found = found.withColumn("_fb_salt", F.when(is_open, F.pmod(F.xxhash64(F.col(start), F.col(threshold)), F.lit(SALTS)))
                              .otherwise(idle).cast("int"))
-    found = found.join(top, [*keys, "_salt"], "left")
-    found = found.withColumn("_hr", F.when(is_open, first("_c", F.col("_own") + 1))).drop("_c", "_salt")
+    found = found.join(top, [*keys, "_fb_salt"], "left")
+    found = found.withColumn("_fb_hr", F.when(is_open, first("_fb_c", F.col("_fb_own") + 1))).drop("_fb_c", "_fb_salt")
 
-    found = lookup(found, run, "_r", F.col("_hr"), "_a")
-    found = found.withColumn("_h", F.coalesce(F.col("_h"), F.when(F.col("_hr").isNotNull(), first("_a", F.lit(-2**62)))))
-    hit = F.col("_h")
+    found = lookup(found, run, "_fb_r", F.col("_fb_hr"), "_fb_a")
+    found = found.withColumn("_fb_h", F.coalesce(F.col("_fb_h"), F.when(F.col("_fb_hr").isNotNull(), first("_fb_a", F.lit(-2**62)))))
+    hit = F.col("_fb_h")
     if last is not None:
         hit = F.when(F.col(last).isNull() | (hit <= F.col(last)), hit)
     return found.select(*plain, hit.alias(out))
