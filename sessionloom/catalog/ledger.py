@@ -1,6 +1,8 @@
 """Statistics over the trade ledger (one trade per line item)."""
 from pyspark.sql import functions as F
 
+from sessionloom.functions.scalars import r6
+
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.sql import CTES
 from sessionloom.functions.ordered import position, running
@@ -50,7 +52,7 @@ def _(m):
 @query("F07_equity", f"SELECT variant, {ORDER}, round(sum(result_r) OVER ({W} ROWS UNBOUNDED PRECEDING), 6) AS equity FROM ledger")
 def _(m):
     return running(book(m), KEYS, LEDGER_LEVELS, LEDGER_ORDER, {"equity": ("sum", F.col("result_r"))}).select(
-        "variant", *LEDGER_ORDER, F.round("equity", 6).alias("equity"))
+        "variant", *LEDGER_ORDER, r6("equity").alias("equity"))
 
 
 @query("F08_max_losing_streak", "SELECT * FROM streaks")

@@ -244,12 +244,14 @@ def _needed(text: str, limit: int, seen: set[str]) -> None:
 
 
 def compose(sql: str) -> str:
+    # the same rounding offset as functions.scalars.r6
+    sql = sql.replace(", 6)", " + 1e-10, 6)")
     names: set[str] = set()
     _needed(sql, len(CTES), names)
     order = [n for n in CTES if n in names]
     if not order:
         return sql
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n].replace(', 6)', ' + 1e-10, 6)')})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return head + ",\n" + body[5:]

@@ -1,6 +1,8 @@
 """Parameter sweeps, width bins, two-period comparison and market states of breakouts."""
 from pyspark.sql import functions as F
 
+from sessionloom.functions.scalars import r6
+
 from sessionloom.catalog.context import context_levels, history, or_context
 from sessionloom.catalog.ledger import CORE
 from sessionloom.catalog.registry import query
@@ -106,7 +108,7 @@ def scenario_bounds(m):
     names = [s.lower() for s in SCENARIOS]
     values = [F.col(n) for n in names]
     known = F.array_compact(F.array(*values))
-    return wide.withColumns({"average_range": F.round(F.array_max(known) - F.array_min(known), 6),
+    return wide.withColumns({"average_range": r6(F.array_max(known) - F.array_min(known)),
                              "all_positive": (F.size(known) == 3) & (F.array_min(known) > 0)})
 
 
@@ -151,9 +153,9 @@ SELECT duration, count(*) AS n, round(avg(or_width), 6) AS mean_width, round(std
        round(quantile_cont(or_width, 0.9), 6) AS p90_width FROM width_obs GROUP BY 1""")
 def _(m):
     rows = width_obs(m).dropDuplicates(["duration", "instrument_id", "trading_date"])
-    base = rows.groupBy("duration").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("or_width"), 6).alias("mean_width"), F.round(F.stddev_samp("or_width"), 6).alias("std_width"))
+    base = rows.groupBy("duration").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("or_width")).alias("mean_width"), r6(F.stddev_samp("or_width")).alias("std_width"))
     points = S.exact_percentiles(rows, ["duration"], "or_width", {"median_width": 0.5, "p90_width": 0.9}, 1000.0)
-    return base.join(points.select("duration", F.round("median_width", 6).alias("median_width"), F.round("p90_width", 6).alias("p90_width")), "duration")
+    return base.join(points.select("duration", r6("median_width").alias("median_width"), r6("p90_width").alias("p90_width")), "duration")
 
 
 @query("D02_add_width_bin", "SELECT e.*, b.bin FROM executed e LEFT JOIN width_bins b ON b.duration = 3 AND b.instrument_id = e.instrument_id AND b.trading_date = e.trading_date")
@@ -169,7 +171,7 @@ def with_bin(m):
 @query("E18_bin_boundaries", "SELECT duration, bin, count(*) AS n, min(or_width) AS lower, max(or_width) AS upper, round(quantile_cont(or_width, 0.5), 6) AS median FROM width_bins GROUP BY 1, 2")
 def _(m):
     return width_bins(m).groupBy("duration", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"),
-                                                        F.round(F.percentile("or_width", F.lit(0.5)), 6).alias("median"))
+                                                        r6(F.percentile("or_width", F.lit(0.5))).alias("median"))
 
 
 CTES["binned"] = "SELECT e.*, b.bin FROM executed e LEFT JOIN width_bins b ON b.duration = 3 AND b.instrument_id = e.instrument_id AND b.trading_date = e.trading_date"
@@ -209,13 +211,13 @@ def _(m):
     rows = point_exits(m).join(bins, ["instrument_id", "trading_date"])
     return rows.groupBy("config_id", "bin").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("exit_reason") == "AMBIGUOUS_ENTRY_STOP").alias("entry_stop"),
-        F.count_if(F.col("exit_reason") == "AMBIGUOUS_STOP_TARGET").alias("stop_target"), F.round(S.share(F.col("is_ambiguous")), 6).alias("ambiguity_rate"))
+        F.count_if(F.col("exit_reason") == "AMBIGUOUS_STOP_TARGET").alias("stop_target"), r6(S.share(F.col("is_ambiguous"))).alias("ambiguity_rate"))
 
 
 @query("E22_expectancy_bins", """
 SELECT c.*, b.median_width FROM conditional c LEFT JOIN (SELECT bin, round(quantile_cont(or_width, 0.5), 6) AS median_width FROM width_bins WHERE duration = 3 GROUP BY 1) b USING (bin)""")
 def _(m):
-    medians = width_bins(m).filter("duration = 3").groupBy("bin").agg(F.round(F.percentile("or_width", F.lit(0.5)), 6).alias("median_width"))
+    medians = width_bins(m).filter("duration = 3").groupBy("bin").agg(r6(F.percentile("or_width", F.lit(0.5))).alias("median_width"))
     return conditional(m).join(F.broadcast(medians), "bin", "left")
 
 
@@ -234,8 +236,8 @@ def _(m):
     sessions = rows.groupBy(*keys).agg(F.percentile("_q", F.lit(0.5)).alias("stop_ratio"), F.min("result_r").alias("result_r"))
     sessions = sessions.withColumn("_range", F.floor(F.col("stop_ratio") * 10))
     bins = S.ordinal_bins(sessions, CELL, ["stop_ratio", "trading_date", "instrument_id"], [["_range"]], 5)
-    return bins.groupBy(*CELL, "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("stop_ratio"), 6).alias("lower"), F.round(F.max("stop_ratio"), 6).alias("upper"),
-                                          F.round(F.avg("result_r"), 6).alias("average_r"))
+    return bins.groupBy(*CELL, "bin").agg(F.count(F.lit(1)).alias("n"), r6(F.min("stop_ratio")).alias("lower"), r6(F.max("stop_ratio")).alias("upper"),
+                                          r6(F.avg("result_r")).alias("average_r"))
 
 
 CTES["scenario_bins"] = """
@@ -256,9 +258,9 @@ def scenario_audit(m):
 def width_sensitivity(m):
     bins = width_bins(m).filter("duration = 3").select("instrument_id", "trading_date", "bin")
     rows = scenario_audit(m).filter("status = 'EXECUTED'").join(bins, ["instrument_id", "trading_date"])
-    wide = rows.groupBy(*CELL, "bin").pivot("scenario", list(SCENARIOS)).agg(F.round(F.avg("result_r"), 6)).withColumnsRenamed({s: s.lower() for s in SCENARIOS})
+    wide = rows.groupBy(*CELL, "bin").pivot("scenario", list(SCENARIOS)).agg(r6(F.avg("result_r"))).withColumnsRenamed({s: s.lower() for s in SCENARIOS})
     known = F.array_compact(F.array(*[F.col(s.lower()) for s in SCENARIOS]))
-    return wide.withColumn("scenario_range", F.round(F.array_max(known) - F.array_min(known), 6))
+    return wide.withColumn("scenario_range", r6(F.array_max(known) - F.array_min(known)))
 
 
 SENSITIVITY_SQL = """
@@ -274,7 +276,7 @@ def _(m):
 @query("O05_chronology_robustness", f"SELECT config_id, breakout_type, count(*) AS bins, round(avg(scenario_range), 6) AS mean_range, max(scenario_range) AS max_range FROM ({SENSITIVITY_SQL}) GROUP BY 1, 2")
 def _(m):
     return width_sensitivity(m).groupBy("config_id", "breakout_type").agg(
-        F.count(F.lit(1)).alias("bins"), F.round(F.avg("scenario_range"), 6).alias("mean_range"), F.max("scenario_range").alias("max_range"))
+        F.count(F.lit(1)).alias("bins"), r6(F.avg("scenario_range")).alias("mean_range"), F.max("scenario_range").alias("max_range"))
 
 
 @query("E25_width_descriptors", """
@@ -330,7 +332,7 @@ def _(m):
     key = ["breakout_type"]
     rho = S.correlations(surface(m), key, "dev_average_r", "val_average_r", (1.0, 1.0)).select(*key, F.col("spearman").alias("spearman_average_r"))
     agg = surface(m).groupBy(*key).agg(
-        F.round(F.percentile("average_r_delta", F.lit(0.5)), 6).alias("median_average_r_delta"), F.count_if(F.col("dev_average_r") > 0).alias("dev_positive_cells"),
+        r6(F.percentile("average_r_delta", F.lit(0.5))).alias("median_average_r_delta"), F.count_if(F.col("dev_average_r") > 0).alias("dev_positive_cells"),
         F.count_if(F.col("sign_persistence") == "POSITIVE_DEV_NEGATIVE_VAL").alias("flips"), F.count(F.lit(1)).alias("cells"))
     return agg.join(rho, key)
 
@@ -386,8 +388,8 @@ WINDOW w AS (PARTITION BY breakout_type, stop_points ORDER BY trading_date ROWS
 def _(m):
     daily = executed(m).groupBy("breakout_type", "stop_points", "trading_date").agg(F.count(F.lit(1)).alias("n"), F.avg("result_r").alias("raw"))
     w = S.Window.partitionBy("breakout_type", "stop_points").orderBy("trading_date").rowsBetween(-4, 0)
-    return daily.select("breakout_type", "stop_points", "trading_date", "n", F.round("raw", 6).alias("result_r"),
-                        F.when(F.count(F.lit(1)).over(w) == 5, F.round(F.avg("raw").over(w), 6)).alias("rolling_5"))
+    return daily.select("breakout_type", "stop_points", "trading_date", "n", r6("raw").alias("result_r"),
+                        F.when(F.count(F.lit(1)).over(w) == 5, r6(F.avg("raw").over(w))).alias("rolling_5"))
 
 
 @query("E39_observability_comparison", f"""
@@ -396,15 +398,15 @@ FROM (SELECT x.*, c.stop_points, {PERIOD_SQL.replace('trading_date', 'x.trading_
 def _(m):
     rows = point_exits(m).join(point_candidates(m).select(*T.CANDIDATE, "stop_points"), T.CANDIDATE).withColumn("period", period())
     return rows.groupBy("stop_points", "period").agg(
-        F.count(F.lit(1)).alias("eligible"), F.round(F.count_if(F.col("exit_reason") == "AMBIGUOUS_ENTRY_STOP") / F.count(F.lit(1)), 6).alias("entry_stop_rate"),
-        F.round(F.count_if("is_ambiguous") / F.count(F.lit(1)), 6).alias("exclusion_rate"))
+        F.count(F.lit(1)).alias("eligible"), r6(F.count_if(F.col("exit_reason") == "AMBIGUOUS_ENTRY_STOP") / F.count(F.lit(1))).alias("entry_stop_rate"),
+        r6(F.count_if("is_ambiguous") / F.count(F.lit(1))).alias("exclusion_rate"))
 
 
 @query("E38_width_two_period", f"""
 SELECT period, bucket, count(*) AS n, round(avg(result_r), 6) AS average_r FROM (SELECT *, CASE WHEN or_width < 20000 THEN 'NARROW' WHEN or_width < 40000 THEN 'MIDDLE' ELSE 'WIDE' END AS bucket FROM executed) GROUP BY 1, 2""")
 def _(m):
     bucket = F.when(F.col("or_width") < 20000, "NARROW").when(F.col("or_width") < 40000, "MIDDLE").otherwise("WIDE")
-    return executed(m).groupBy("period", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("result_r"), 6).alias("average_r"))
+    return executed(m).groupBy("period", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("result_r")).alias("average_r"))
 
 
 CTES["decisions"] = """
@@ -430,8 +432,8 @@ FROM (SELECT e.*, (l.or_high + l.or_low) / 2.0::DOUBLE AS mid FROM executed e JO
 def _(m):
     mid = or_levels(m).select("instrument_id", "trading_date", (F.col("or_mid2") / 2.0).alias("mid"))
     rows = executed(m).join(mid, ["instrument_id", "trading_date"])
-    return rows.groupBy("instrument_id", "period").agg(F.round(F.percentile(F.col("stop_points") * 100 / F.col("mid"), F.lit(0.5)), 6).alias("median_stop_pct"),
-                                                       F.round(F.percentile(F.col("or_width") / F.col("mid"), F.lit(0.5)), 6).alias("median_width_pct"))
+    return rows.groupBy("instrument_id", "period").agg(r6(F.percentile(F.col("stop_points") * 100 / F.col("mid"), F.lit(0.5))).alias("median_stop_pct"),
+                                                       r6(F.percentile(F.col("or_width") / F.col("mid"), F.lit(0.5))).alias("median_width_pct"))
 
 
 @query("D04_evidence_table", """

@@ -1,6 +1,8 @@
 """Breakout events with market states, grouping-set summaries, patterns."""
 from pyspark.sql import functions as F
 
+from sessionloom.functions.scalars import r6
+
 from sessionloom.catalog.context import context_levels, history, or_context
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.sql import CTES
@@ -204,7 +206,7 @@ def _(m):
     rows = room(m).filter("next_level_type is not null").join(excursions(m), keys)
     scopes = F.when(F.col("is_tie"), F.array(F.lit("ALL"))).otherwise(F.array(F.lit("ALL"), F.lit("WITHOUT_TIES")))
     return rows.withColumn("scope", F.explode(scopes)).groupBy("scope", "next_level_type", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile(F.when(F.col("is_complete"), F.col("mfe_ticks")), F.lit(0.5)), 6).alias("median_mfe"))
+        F.count(F.lit(1)).alias("n"), r6(F.percentile(F.when(F.col("is_complete"), F.col("mfe_ticks")), F.lit(0.5))).alias("median_mfe"))
 
 
 def patterns(m):
@@ -234,7 +236,7 @@ def _(m):
     both = side("COMPARISON", "comparison").join(side("NARROW_EFFICIENT", "efficient"), keys, "left")
     better = (F.col("efficient_mfe") > F.col("comparison_mfe")) & (F.col("efficient_mae") <= F.col("comparison_mae"))
     label = F.when(F.col("efficient_n").isNull() | (F.col("efficient_n") < 5), "INSUFFICIENT").when(better, "PROMOTE").otherwise("NOT_PROMOTED")
-    return both.select(*keys, "comparison_mfe", "efficient_mfe", F.round(F.col("efficient_mfe") - F.col("comparison_mfe"), 6).alias("contrast"), label.alias("assessment"))
+    return both.select(*keys, "comparison_mfe", "efficient_mfe", r6(F.col("efficient_mfe") - F.col("comparison_mfe")).alias("contrast"), label.alias("assessment"))
 
 
 CTES["level_events"] = """
@@ -274,7 +276,7 @@ SELECT level_type, confirmation, count(*) AS events, count(DISTINCT trading_date
 def _(m):
     return confirmed(m).groupBy("level_type", "confirmation").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("trading_date").alias("days"),
-        F.round(F.avg(F.unix_timestamp("confirmed_at") - F.unix_timestamp("event_at")), 6).alias("mean_wait_seconds"))
+        r6(F.avg(F.unix_timestamp("confirmed_at") - F.unix_timestamp("event_at"))).alias("mean_wait_seconds"))
 
 
 FEATURES = ("or_width_ticks", "or_net_ticks", "or_efficiency", "or_close_location", "hist_5_percentile")
@@ -327,4 +329,4 @@ def merged_edges(m, minimum: int = 200):
 
 @query("E37_merge_sparse_bins")
 def _(m):
-    return executed(m).groupBy(merged_edges(m).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"), S.r6(F.avg("result_r")).alias("average_r"))
+    return executed(m).groupBy(merged_edges(m).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"), r6(F.avg("result_r")).alias("average_r"))

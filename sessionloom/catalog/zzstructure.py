@@ -2,6 +2,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.scalars import r6
+
 from sessionloom.catalog import patterns as PC
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.sql import CTES
@@ -286,7 +288,7 @@ def _(m):
     n = lambda k: F.count_if(F.col("exit_reason") == k)
     return exits(m).groupBy("breakout_type", "instrument_id").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if("is_ambiguous").alias("ambiguous"), F.count("result_r").alias("trades"), F.count_if(F.col("result_r") > 0).alias("wins"),
-        S.r6(F.avg("result_r")).alias("average_r"), S.r6(F.sum("result_r")).alias("total_r"), n("TARGET").alias("target_exits"), n("STOP").alias("stop_exits"), n("SESSION_END").alias("session_end_exits"))
+        r6(F.avg("result_r")).alias("average_r"), r6(F.sum("result_r")).alias("total_r"), n("TARGET").alias("target_exits"), n("STOP").alias("stop_exits"), n("SESSION_END").alias("session_end_exits"))
 
 
 @query("O02_multiple_sweep", """
@@ -295,13 +297,13 @@ def _(m):
     from sessionloom.catalog.trades import grid_audit
     done = F.col("status") == "EXECUTED"
     return grid_audit(m).groupBy("breakout_type", "config_id").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if(done).alias("trades"), S.r6(F.avg(F.when(done, F.col("result_r")))).alias("average_r"), F.count_if(F.col("rejection_reason") == "SESSION_TRADE_LIMIT").alias("limited"))
+        F.count(F.lit(1)).alias("candidates"), F.count_if(done).alias("trades"), r6(F.avg(F.when(done, F.col("result_r")))).alias("average_r"), F.count_if(F.col("rejection_reason") == "SESSION_TRADE_LIMIT").alias("limited"))
 
 
 @query("O03_fixed_point_sweep", "SELECT breakout_type, stop_points, target_points, count(*) AS trades, round(avg(result_r), 6) AS average_r, round(avg(stop_points * 100 / or_width), 6) AS stop_to_width FROM executed GROUP BY 1, 2, 3")
 def _(m):
     from sessionloom.catalog.sweeps import executed
-    return executed(m).groupBy("breakout_type", "stop_points", "target_points").agg(F.count(F.lit(1)).alias("trades"), S.r6(F.avg("result_r")).alias("average_r"), S.r6(F.avg(F.col("stop_points") * 100 / F.col("or_width"))).alias("stop_to_width"))
+    return executed(m).groupBy("breakout_type", "stop_points", "target_points").agg(F.count(F.lit(1)).alias("trades"), r6(F.avg("result_r")).alias("average_r"), r6(F.avg(F.col("stop_points") * 100 / F.col("or_width"))).alias("stop_to_width"))
 
 
 @query("O06_two_period_validation", "SELECT edge, degradation, overall, count(*) AS cells FROM decisions GROUP BY 1, 2, 3")

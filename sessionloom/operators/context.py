@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.scalars import r6
+
 from sessionloom.functions.scalars import direction, interaction_state, ratio, safe_divide
 
 DAY_KEY = ["instrument_id", "trading_date"]
@@ -188,8 +190,8 @@ def causal_history(daily: DataFrame, keys: Sequence[str], order: str, value: str
         out = out.withColumns({
             f"hist_{k}_sample_count": F.size(prior),
             f"hist_{k}_available": enough,
-            f"hist_{k}_percentile": F.round(F.when(enough, (less + 0.5 * equal) / F.size(prior)), 6),
-            f"hist_{k}_zscore": F.round(F.when(enough & (F.col(f"_sd{k}") > 0), (current - F.col(f"_mean{k}")) / F.col(f"_sd{k}")), 6),
+            f"hist_{k}_percentile": r6(F.when(enough, (less + 0.5 * equal) / F.size(prior))),
+            f"hist_{k}_zscore": r6(F.when(enough & (F.col(f"_sd{k}") > 0), (current - F.col(f"_mean{k}")) / F.col(f"_sd{k}"))),
         }).drop(f"_p{k}", f"_sd{k}", f"_mean{k}")
     return out
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.scalars import r6
+
 from sessionloom.functions.scalars import percentile_band, ratio
 
 DAY = ["instrument_id", "trading_date"]
@@ -96,7 +98,7 @@ def relationship_patterns(summary: DataFrame, keys: Sequence[str], order: str, c
     inner = (peak > 1) & (peak < count) & (F.array_max(mfe) > F.element_at(mfe, 1)) & (F.array_max(mfe) > F.element_at(mfe, count))
     pattern = (F.when(~complete, "NO_CLEAR_PATTERN").when(worse, "EXTREME_DETERIORATION").when(rho >= 0.7, "MONOTONIC_MORE")
                .when(rho <= -0.7, "MONOTONIC_LESS").when(inner, "MIDDLE_RANGE_PREFERENCE").otherwise("NO_CLEAR_PATTERN"))
-    return packed.select(*keys, pattern.alias("pattern"), F.round(rho, 6).alias("rho"))
+    return packed.select(*keys, pattern.alias("pattern"), r6(rho).alias("rho"))
 
 
 def dominant_pattern(patterns: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,17 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.ordered import halo_window, home_rows, position, running, with_halo
+from sessionloom.functions.scalars import r6
 
-R = F.col("result_r")
+from sessionloom.functions.ordered import halo_window, home_rows, position, running, with_halo
 
 
-def r6(value: Column) -> Column:
-    return F.round(value, 6)
+def result() -> Column:
+    return F.col("result_r")
 
 
-def profit_factor(value: Column = R) -> Column:
+def profit_factor(value: Column | None = None) -> Column:
     """Gross profit over gross loss; null without a loss."""
+    value = result() if value is None else value
     loss = F.abs(F.sum(F.when(value < 0, value).otherwise(0)))
     return F.when(loss > 0, F.sum(F.when(value > 0, value).otherwise(0)) / loss)
 
@@ -26,7 +27,8 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def core_metrics(value: Column = R) -> list[Column]:
+def core_metrics(value: Column | None = None) -> list[Column]:
+    value = result() if value is None else value
     return [
         F.count(value).alias("trades"), F.count_if(value > 0).alias("wins"), F.count_if(value < 0).alias("losses"),
         F.count_if(value == 0).alias("flats"), r6(share(value > 0)).alias("win_rate"), r6(F.avg(value)).alias("average_r"),
@@ -104,8 +106,8 @@ def trade_summary(trades: DataFrame, keys: Sequence[str], levels, order) -> Data
     base = trades.groupBy(*keys).agg(
         *core_metrics(), F.count_if(F.col("exit_reason") == "SESSION_END").alias("session_end_exits"),
         r6(F.avg("holding_minutes")).alias("average_holding_minutes"),
-        F.count_if(long).alias("long_trades"), r6(F.avg(F.when(long, R))).alias("long_average_r"),
-        F.count_if(short).alias("short_trades"), r6(F.avg(F.when(short, R))).alias("short_average_r"))
+        F.count_if(long).alias("long_trades"), r6(F.avg(F.when(long, result()))).alias("long_average_r"),
+        F.count_if(short).alias("short_trades"), r6(F.avg(F.when(short, result()))).alias("short_average_r"))
     median = exact_percentiles(trades, keys, "result_r", {"median_r": 0.5}, 1.0).withColumn("median_r", r6(F.col("median_r")))
     return (base.join(median, list(keys), "left").join(max_drawdown(trades, keys, levels, order), list(keys), "left")
             .join(max_losing_streak(trades, keys, levels, order), list(keys), "left")
@@ -118,7 +120,7 @@ def month_of(day: str = "session_date") -> Column:
 
 def monthly_summary(trades: DataFrame, keys: Sequence[str], day: str = "session_date") -> DataFrame:
     return trades.groupBy(*keys, month_of(day).alias("month")).agg(
-        F.count(R).alias("trades"), r6(F.sum(R)).alias("total_r"), r6(F.avg(R)).alias("average_r"), r6(share(R > 0)).alias("win_rate"))
+        F.count(result()).alias("trades"), r6(F.sum(result())).alias("total_r"), r6(F.avg(result())).alias("average_r"), r6(share(result() > 0)).alias("win_rate"))
 
 
 def monthly_dense(trades: DataFrame, keys: Sequence[str], day: str = "session_date") -> DataFrame:
@@ -140,10 +142,10 @@ def month_statistics(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def r_distribution(trades: DataFrame, keys: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    near = lambda k: F.count_if(F.abs(R - k) <= tolerance)
+    near = lambda k: F.count_if(F.abs(result() - k) <= tolerance)
     base = trades.groupBy(*keys).agg(
-        F.count(R).alias("n"), r6(F.avg(R)).alias("mean_r"), r6(F.stddev_samp(R)).alias("std_r"), F.min(R).alias("min_r"),
-        F.max(R).alias("max_r"), near(-1).alias("near_minus_one"), near(2).alias("near_plus_two"), near(0).alias("near_zero"))
+        F.count(result()).alias("n"), r6(F.avg(result())).alias("mean_r"), r6(F.stddev_samp(result())).alias("std_r"), F.min(result()).alias("min_r"),
+        F.max(result()).alias("max_r"), near(-1).alias("near_minus_one"), near(2).alias("near_plus_two"), near(0).alias("near_zero"))
     points = exact_percentiles(trades, keys, "result_r", {"p10": .1, "p25": .25, "p50": .5, "p75": .75, "p90": .9}, 1.0)
     return base.join(points.select(*keys, *[r6(F.col(p)).alias(p) for p in ("p10", "p25", "p50", "p75", "p90")]), list(keys))
 
