@@ -314,12 +314,12 @@ def _(m):
 
 
 @query("D24_grid_neighbours", """
-WITH c AS (SELECT breakout_type, stop_points, target_points, round(avg(result_r), 5) AS average_r, dense_rank() OVER (PARTITION BY breakout_type ORDER BY stop_points) AS s, dense_rank() OVER (PARTITION BY breakout_type ORDER BY target_points) AS t FROM executed GROUP BY 1, 2, 3)
-SELECT a.breakout_type, a.stop_points, a.target_points, a.average_r, count(b.average_r) AS neighbour_count, round(avg(b.average_r), 4) AS neighbour_mean,
-       round(avg(CASE WHEN b.average_r > 0 THEN 1.0 WHEN b.average_r IS NOT NULL THEN 0.0 END::DOUBLE), 6) AS neighbour_positive_share, round(a.average_r - round(avg(b.average_r), 4), 4) AS minus_neighbour_mean
+WITH c AS (SELECT breakout_type, stop_points, target_points, round(avg(result_r) + 1e-10, 5) AS average_r, dense_rank() OVER (PARTITION BY breakout_type ORDER BY stop_points) AS s, dense_rank() OVER (PARTITION BY breakout_type ORDER BY target_points) AS t FROM executed GROUP BY 1, 2, 3)
+SELECT a.breakout_type, a.stop_points, a.target_points, a.average_r, count(b.average_r) AS neighbour_count, round(avg(b.average_r) + 1e-10, 4) AS neighbour_mean,
+       round(avg(CASE WHEN b.average_r > 0 THEN 1.0 WHEN b.average_r IS NOT NULL THEN 0.0 END::DOUBLE), 6) AS neighbour_positive_share, round(a.average_r - round(avg(b.average_r) + 1e-10, 4), 4) AS minus_neighbour_mean
 FROM c a LEFT JOIN c b ON a.breakout_type = b.breakout_type AND abs(a.s - b.s) + abs(a.t - b.t) = 1 GROUP BY 1, 2, 3, 4""")
 def _(m):
-    cells = executed(m).groupBy("breakout_type", "stop_points", "target_points").agg(F.round(F.avg("result_r"), 5).alias("average_r"))
+    cells = executed(m).groupBy("breakout_type", "stop_points", "target_points").agg(F.round(F.avg("result_r") + 1e-10, 5).alias("average_r"))
     return S.grid_neighbours(cells, ["breakout_type"], ["stop_points", "target_points"], "average_r")
 
 
@@ -358,7 +358,7 @@ def _(m):
 
 
 CTES["neighbourhood"] = """
-SELECT a.breakout_type, a.config_id, round(avg(CASE WHEN b.val_average_r > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS positive_share, round(avg(b.val_average_r), 4) AS neighbour_val_mean, round(avg(b.dev_average_r), 4) AS neighbour_dev_mean,
+SELECT a.breakout_type, a.config_id, round(avg(CASE WHEN b.val_average_r > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS positive_share, round(avg(b.val_average_r) + 1e-10, 4) AS neighbour_val_mean, round(avg(b.dev_average_r) + 1e-10, 4) AS neighbour_dev_mean,
        any_value(a.dev_average_r) AS dev_average_r, any_value(a.val_average_r) AS val_average_r
 FROM (SELECT *, dense_rank() OVER (PARTITION BY breakout_type ORDER BY stop_points) AS s, dense_rank() OVER (PARTITION BY breakout_type ORDER BY target_points) AS t FROM surface) a
 JOIN (SELECT *, dense_rank() OVER (PARTITION BY breakout_type ORDER BY stop_points) AS s, dense_rank() OVER (PARTITION BY breakout_type ORDER BY target_points) AS t FROM surface) b

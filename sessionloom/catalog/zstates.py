@@ -289,7 +289,7 @@ def _(m):
     return S.feature_distributions(joined(m), ["breakout_type"], FEATURES)
 
 
-@query("E27_feature_correlations", " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n, round(corr({a}, {b}), 6) AS correlation FROM joined WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+@query("E27_feature_correlations", " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n, round(corr({a}, {b}), 6) AS correlation FROM joined WHERE {a} IS NOT NULL AND {b} IS NOT NULL HAVING count(*) > 0"
                                                       for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]))
 def _(m):
     return S.feature_correlations(joined(m), FEATURES)

@@ -71,7 +71,7 @@ def _(m):
 
 
 def day_bars(m):
-    return m.bars().select("instrument_id", "trading_date", "slot", "bar_end", "high", "low", "close")
+    return m.bars().select("instrument_id", "trading_date", "slot", "bar_start", "bar_end", "high", "low", "close")
 
 
 @query("N05_stream_level_touch", """
@@ -81,9 +81,9 @@ def _(m):
 
 
 @query("N06_stream_first_close_beyond", """
-SELECT level_id, slot AS hit_slot, bar_end AS hit_at FROM (SELECT l.level_id, b.slot, b.bar_end FROM bars b JOIN levels l ON l.instrument_id = b.instrument_id AND l.target_date = b.trading_date
+SELECT level_id, slot AS hit_slot, bar_end AS hit_at FROM (SELECT l.level_id, b.slot, b.bar_start, b.bar_end FROM bars b JOIN levels l ON l.instrument_id = b.instrument_id AND l.target_date = b.trading_date
  AND l.orientation <> 'NEUTRAL' AND CASE l.orientation WHEN 'UPPER' THEN b.close > l.level_ticks ELSE b.close < l.level_ticks END QUALIFY row_number() OVER (PARTITION BY l.level_id ORDER BY b.slot) = 1)
-WHERE CAST(bar_end - INTERVAL 19 HOUR AS DATE) + INTERVAL 43 HOUR <= (SELECT max(bar_end) - INTERVAL 1 HOUR FROM bars)""")
+WHERE CAST(bar_start - INTERVAL 18 HOUR AS DATE) + INTERVAL 42 HOUR <= (SELECT max(bar_start) - INTERVAL 1 HOUR FROM bars)""")
 def _(m):
     levels = m.levels().filter("orientation <> 'NEUTRAL'")
     return N.drain(N.stream_first_close_beyond(bars_stream(m, day_bars(m), "bars"), levels, LATE), place(m))

@@ -204,7 +204,7 @@ def grid_neighbours(cells: DataFrame, group: Sequence[str], axes: Sequence[str],
     other = ranked.select(*group, *[f"_{a}" for a in axes], F.col(value).alias("_other"))
     met = probes.join(other, [*group, *[f"_{a}" for a in axes]], "left")
     return met.groupBy(*group, *axes, value).agg(
-        F.count("_other").alias("neighbour_count"), F.round(F.avg("_other"), 4).alias("neighbour_mean"),
+        F.count("_other").alias("neighbour_count"), F.round(F.avg("_other") + 1e-10, 4).alias("neighbour_mean"),
         r6(F.avg(F.when(F.col("_other") > 0, 1.0).when(F.col("_other").isNotNull(), 0.0))).alias("neighbour_positive_share")
     ).withColumn("minus_neighbour_mean", F.round(F.col(value) - F.col("neighbour_mean"), 4))
 

@@ -101,9 +101,9 @@ FIRST_OUT = "level_id string, hit_slot bigint, hit_at timestamp"
 def stream_first_close_beyond(bars: DataFrame, levels: DataFrame, lateness: str) -> DataFrame:
     """First close beyond each open level of a day, by minimum over the matching bars until the watermark."""
     right = levels.select("instrument_id", F.col("target_date").alias("trading_date"), "level_id", "level_ticks", "orientation")
-    joined = bars.withWatermark("bar_end", lateness).join(right, ["instrument_id", "trading_date"])
+    joined = bars.withWatermark("bar_start", lateness).join(right, ["instrument_id", "trading_date"])
     hit = F.when(F.col("orientation") == "UPPER", F.col("close") > F.col("level_ticks")).otherwise(F.col("close") < F.col("level_ticks"))
-    return joined.filter(hit).groupBy("level_id", F.window("bar_end", "1 day", "1 day", "19 hours").alias("w")).agg(
+    return joined.filter(hit).groupBy("level_id", F.window("bar_start", "1 day", "1 day", "18 hours").alias("w")).agg(
         F.min(F.struct("slot", "bar_end")).alias("_f")).select("level_id", F.col("_f.slot").alias("hit_slot"), F.col("_f.bar_end").alias("hit_at"))
 
 
