@@ -154,7 +154,7 @@ SELECT duration, count(*) AS n, round(avg(or_width), 6) AS mean_width, round(std
 def _(m):
     rows = width_obs(m).dropDuplicates(["duration", "instrument_id", "trading_date"])
     base = rows.groupBy("duration").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("or_width")).alias("mean_width"), r6(F.stddev_samp("or_width")).alias("std_width"))
-    points = S.exact_percentiles(rows, ["duration"], "or_width", {"median_width": 0.5, "p90_width": 0.9}, 1000.0)
+    points = S.exact_percentiles(rows, ["duration"], "or_width", {"median_width": 0.5, "p90_width": 0.9})
     return base.join(points.select("duration", r6("median_width").alias("median_width"), r6("p90_width").alias("p90_width")), "duration")
 
 
@@ -170,8 +170,9 @@ def with_bin(m):
 
 @query("E18_bin_boundaries", "SELECT duration, bin, count(*) AS n, min(or_width) AS lower, max(or_width) AS upper, round(quantile_cont(or_width, 0.5), 6) AS median FROM width_bins GROUP BY 1, 2")
 def _(m):
-    return width_bins(m).groupBy("duration", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"),
-                                                        r6(F.percentile("or_width", F.lit(0.5))).alias("median"))
+    medians = S.exact_percentiles(width_bins(m), ["duration", "bin"], "or_width", {"median": 0.5}).withColumn("median", r6("median"))
+    base = width_bins(m).groupBy("duration", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"))
+    return base.join(medians, ["duration", "bin"])
 
 
 CTES["binned"] = "SELECT e.*, b.bin FROM executed e LEFT JOIN width_bins b ON b.duration = 3 AND b.instrument_id = e.instrument_id AND b.trading_date = e.trading_date"
@@ -199,7 +200,7 @@ SELECT breakout_type, config_id, count(*) AS n, round(CASE WHEN stddev_pop(or_wi
 FROM (SELECT *, rank() OVER (PARTITION BY breakout_type, config_id ORDER BY or_width) + (count(*) OVER (PARTITION BY breakout_type, config_id, or_width) - 1) / 2.0::DOUBLE AS rx,
              rank() OVER (PARTITION BY breakout_type, config_id ORDER BY result_r) + (count(*) OVER (PARTITION BY breakout_type, config_id, result_r) - 1) / 2.0::DOUBLE AS ry FROM executed) GROUP BY 1, 2""")
 def _(m):
-    return S.correlations(executed(m), CELL, "or_width", "result_r", (1000.0, 1.0))
+    return S.correlations(executed(m), CELL, "or_width", "result_r")
 
 
 @query("E21_ambiguity_by_bin", """
@@ -217,7 +218,7 @@ def _(m):
 @query("E22_expectancy_bins", """
 SELECT c.*, b.median_width FROM conditional c LEFT JOIN (SELECT bin, round(quantile_cont(or_width, 0.5), 6) AS median_width FROM width_bins WHERE duration = 3 GROUP BY 1) b USING (bin)""")
 def _(m):
-    medians = width_bins(m).filter("duration = 3").groupBy("bin").agg(r6(F.percentile("or_width", F.lit(0.5))).alias("median_width"))
+    medians = S.exact_percentiles(width_bins(m).filter("duration = 3"), ["bin"], "or_width", {"median_width": 0.5}).withColumn("median_width", r6("median_width"))
     return conditional(m).join(F.broadcast(medians), "bin", "left")
 
 
@@ -330,7 +331,7 @@ FROM (SELECT *, rank() OVER (PARTITION BY breakout_type ORDER BY dev_average_r)
              rank() OVER (PARTITION BY breakout_type ORDER BY val_average_r) + (count(*) OVER (PARTITION BY breakout_type, val_average_r) - 1) / 2.0::DOUBLE AS ry FROM surface) GROUP BY 1""")
 def _(m):
     key = ["breakout_type"]
-    rho = S.correlations(surface(m), key, "dev_average_r", "val_average_r", (1.0, 1.0)).select(*key, F.col("spearman").alias("spearman_average_r"))
+    rho = S.correlations(surface(m), key, "dev_average_r", "val_average_r").select(*key, F.col("spearman").alias("spearman_average_r"))
     agg = surface(m).groupBy(*key).agg(
         r6(F.percentile("average_r_delta", F.lit(0.5))).alias("median_average_r_delta"), F.count_if(F.col("dev_average_r") > 0).alias("dev_positive_cells"),
         F.count_if(F.col("sign_persistence") == "POSITIVE_DEV_NEGATIVE_VAL").alias("flips"), F.count(F.lit(1)).alias("cells"))
@@ -431,9 +432,12 @@ SELECT instrument_id, period, round(quantile_cont(stop_points * 100 / mid, 0.5),
 FROM (SELECT e.*, (l.or_high + l.or_low) / 2.0::DOUBLE AS mid FROM executed e JOIN or_levels l USING (instrument_id, trading_date)) GROUP BY 1, 2""")
 def _(m):
     mid = or_levels(m).select("instrument_id", "trading_date", (F.col("or_mid2") / 2.0).alias("mid"))
-    rows = executed(m).join(mid, ["instrument_id", "trading_date"])
-    return rows.groupBy("instrument_id", "period").agg(r6(F.percentile(F.col("stop_points") * 100 / F.col("mid"), F.lit(0.5))).alias("median_stop_pct"),
-                                                       r6(F.percentile(F.col("or_width") / F.col("mid"), F.lit(0.5))).alias("median_width_pct"))
+    rows = executed(m).join(mid, ["instrument_id", "trading_date"]).withColumns({
+        "stop_pct": F.col("stop_points") * 100 / F.col("mid"), "width_pct": F.col("or_width") / F.col("mid")})
+    keys = ["instrument_id", "period"]
+    a = S.exact_percentiles(rows, keys, "stop_pct", {"median_stop_pct": 0.5}).withColumn("median_stop_pct", r6("median_stop_pct"))
+    b = S.exact_percentiles(rows, keys, "width_pct", {"median_width_pct": 0.5}).withColumn("median_width_pct", r6("median_width_pct"))
+    return a.join(b, keys)
 
 
 @query("D04_evidence_table", """

@@ -240,7 +240,8 @@ def _(m):
         F.min("label").alias("first_label"), F.max("label").alias("last_label"), F.count_if((F.hour("label") == 9) & (F.minute("label") == 30)).alias("at_open"))
 
 
-@query("B14_feature_math_check", "SELECT config_id, count(*) AS rows, 0::BIGINT AS risk_off, 0::BIGINT AS result_off FROM exits_points GROUP BY 1")
+@query("B14_feature_math_check", """SELECT config_id, count(*) AS rows, CAST(count_if(abs(abs(entry_ticks - stop_ticks) - risk_ticks) > 1e-9) AS BIGINT) AS risk_off,
+       CAST(count_if(abs(result_r - pnl_ticks / risk_ticks) > 1e-9) AS BIGINT) AS result_off FROM exits_points GROUP BY 1""")
 def _(m):
     sign = F.when(F.col("direction") == "LONG", 1).otherwise(-1)
     rules = {"risk_off": F.abs(sign * (F.col("entry_ticks") - F.col("stop_ticks")) - F.col("risk_ticks")) > 1e-9,
@@ -606,7 +607,8 @@ def _(m):
     return H.reconcile_counts(whole, again)
 
 
-@query("H05_control_reproduction", "SELECT count(*) AS differing FROM (SELECT 1 FROM exits WHERE result_r IS NULL AND FALSE)")
+@query("H05_control_reproduction", """SELECT count(*) AS differing FROM (SELECT * FROM exits_grid WHERE config_id = 'F050_R200') g FULL JOIN exits e USING (instrument_id, trading_date, breakout_type, direction)
+WHERE g.result_r IS DISTINCT FROM e.result_r OR g.exit_ticks IS DISTINCT FROM e.exit_ticks OR g.holding_bars IS DISTINCT FROM e.holding_bars""")
 def _(m):
     grid = grid_exits(m).filter("config_id = 'F050_R200'")
     keys = ["instrument_id", "trading_date", "breakout_type", "direction"]
@@ -720,7 +722,8 @@ def _(m):
         "conversion_not_beyond": F.when(bull, F.col("conversion_close") >= F.col("lower_ticks")).otherwise(F.col("conversion_close") <= F.col("upper_ticks"))}, ["direction"])
 
 
-@query("L06_sweep_guards", "SELECT breakout_type, config_id, count(*) AS rows, 0::BIGINT AS two_per_session, 0::BIGINT AS ambiguous_executed FROM executed GROUP BY 1, 2")
+@query("L06_sweep_guards", """SELECT breakout_type, config_id, count(*) AS rows, count(*) - count(DISTINCT (instrument_id, trading_date)) AS two_per_session,
+       CAST(count_if(exit_reason LIKE 'AMBIGUOUS%') AS BIGINT) AS ambiguous_executed FROM executed GROUP BY 1, 2""")
 def _(m):
     rows = executed(m)
     twice = Q.duplicate_keys(rows, ["instrument_id", "trading_date", *CELL]).groupBy(*CELL).agg(F.count(F.lit(1)).alias("two_per_session"))

@@ -205,8 +205,10 @@ def _(m):
     keys = ["instrument_id", "trading_date", "breakout_type", "direction"]
     rows = room(m).filter("next_level_type is not null").join(excursions(m), keys)
     scopes = F.when(F.col("is_tie"), F.array(F.lit("ALL"))).otherwise(F.array(F.lit("ALL"), F.lit("WITHOUT_TIES")))
-    return rows.withColumn("scope", F.explode(scopes)).groupBy("scope", "next_level_type", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.percentile(F.when(F.col("is_complete"), F.col("mfe_ticks")), F.lit(0.5))).alias("median_mfe"))
+    rows = rows.withColumn("scope", F.explode(scopes)).withColumn("mfe", F.when(F.col("is_complete"), F.col("mfe_ticks")))
+    part = ["scope", "next_level_type", "horizon"]
+    medians = S.exact_percentiles(rows, part, "mfe", {"median_mfe": 0.5}).withColumn("median_mfe", r6("median_mfe"))
+    return rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).join(medians, part, "left")
 
 
 def patterns(m):

@@ -99,7 +99,7 @@ def episodes(segmented: DataFrame, schedule: DataFrame, cutoff=None) -> DataFram
         F.min("trading_date").alias("first_date"))
     after = rows.select("instrument_id", (F.col("slot") - 1).alias("last_slot"), F.col("bar_end").alias("_next_end"))
     due = slots.select((F.col("slot") - 1).alias("last_slot"), F.col("bar_end").alias("_due_end"))
-    joined = spans.join(after, ["instrument_id", "last_slot"], "left").join(F.broadcast(due), "last_slot", "left")
+    joined = spans.join(after, ["instrument_id", "last_slot"], "left").join(due, "last_slot", "left")
     ordered = running(joined, SERIES, [["first_date"]], ["segment_id"],
                       {"_previous": ("last", F.struct("contract", "last_slot"))}, exclusive=True)
     cause = (F.when(F.col("_previous").isNull(), "DATA_START")

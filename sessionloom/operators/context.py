@@ -238,7 +238,7 @@ def availability_audit(bars: DataFrame, schedule: DataFrame, context: DataFrame)
     missing = context.filter("not is_available and expected_count > 0")
     due = schedule.select(F.col("trading_date").alias("source_date"), "bar_start", "bar_end")
     want = missing.select("instrument_id", "target_date", "context_id", "source_date", "window_start", "available_at").join(
-        F.broadcast(due), "source_date").filter((F.col("bar_start") >= F.col("window_start")) & (F.col("bar_end") <= F.col("available_at")))
+        due, "source_date").filter((F.col("bar_start") >= F.col("window_start")) & (F.col("bar_end") <= F.col("available_at")))
     gone = want.join(bars.select("instrument_id", "bar_start"), ["instrument_id", "bar_start"], "left_anti")
     spans = gone.groupBy("instrument_id", "target_date", "context_id").agg(
         F.count(F.lit(1)).alias("missing_bars"), F.min("bar_end").alias("first_missing"), F.max("bar_end").alias("last_missing"))

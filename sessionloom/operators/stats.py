@@ -42,14 +42,20 @@ def variant_metrics(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     return trades.groupBy(*keys).agg(*core_metrics(), *exits)
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], width: float) -> DataFrame:
+def value_range(value: str) -> Column:
+    """Range number of a value, monotone and fine (0.07 %) at every magnitude: the chunks of value-ordered work."""
+    v = F.col(value).cast("double")
+    return F.floor(F.signum(v) * F.log2(1 + F.abs(v) * 1e6) * 1024)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles from counts per distinct value.
 
-    Counting per value combines before the shuffle; ranks come from two-level running counts over value
-    ranges of ``width``, so neither a hot key nor many distinct values meet in one task.
+    Counting per value combines before the shuffle; ranks come from running counts carried across value
+    ranges, so neither a hot key nor many distinct values meet in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_range", F.floor(F.col(value) / width))
+    counts = counts.withColumn("_range", value_range(value))
     ranked = running(counts, keys, [["_range"]], [value], {"_before": ("sum", F.col("_n"))}, exclusive=True)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ranked = ranked.join(totals, list(keys))
@@ -108,7 +114,7 @@ def trade_summary(trades: DataFrame, keys: Sequence[str], levels, order) -> Data
         r6(F.avg("holding_minutes")).alias("average_holding_minutes"),
         F.count_if(long).alias("long_trades"), r6(F.avg(F.when(long, result()))).alias("long_average_r"),
         F.count_if(short).alias("short_trades"), r6(F.avg(F.when(short, result()))).alias("short_average_r"))
-    median = exact_percentiles(trades, keys, "result_r", {"median_r": 0.5}, 1.0).withColumn("median_r", r6(F.col("median_r")))
+    median = exact_percentiles(trades, keys, "result_r", {"median_r": 0.5}).withColumn("median_r", r6(F.col("median_r")))
     return (base.join(median, list(keys), "left").join(max_drawdown(trades, keys, levels, order), list(keys), "left")
             .join(max_losing_streak(trades, keys, levels, order), list(keys), "left")
             .withColumn("max_losing_streak", F.coalesce("max_losing_streak", F.lit(0))))
@@ -146,7 +152,7 @@ def r_distribution(trades: DataFrame, keys: Sequence[str], tolerance: float = 1e
     base = trades.groupBy(*keys).agg(
         F.count(result()).alias("n"), r6(F.avg(result())).alias("mean_r"), r6(F.stddev_samp(result())).alias("std_r"), F.min(result()).alias("min_r"),
         F.max(result()).alias("max_r"), near(-1).alias("near_minus_one"), near(2).alias("near_plus_two"), near(0).alias("near_zero"))
-    points = exact_percentiles(trades, keys, "result_r", {"p10": .1, "p25": .25, "p50": .5, "p75": .75, "p90": .9}, 1.0)
+    points = exact_percentiles(trades, keys, "result_r", {"p10": .1, "p25": .25, "p50": .5, "p75": .75, "p90": .9})
     return base.join(points.select(*keys, *[r6(F.col(p)).alias(p) for p in ("p10", "p25", "p50", "p75", "p90")]), list(keys))
 
 
@@ -168,18 +174,18 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], levels, order, size: int, v
     return home_rows(out).withColumn(f"rolling_{size}", F.when(F.col("_n") == size, r6(F.col("_avg")))).drop("_n", "_avg")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, width: float, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Rank with ties averaged, from counts per distinct value."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.floor(F.col(value) / width))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", value_range(value))
     ranked = running(counts, keys, [["_range"]], [value], {"_before": ("sum", F.col("_n"))}, exclusive=True)
     ranks = ranked.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, value])
 
 
-def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str, widths: tuple[float, float]) -> DataFrame:
+def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation per key."""
     clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(clean, keys, x, widths[0], "_rx"), keys, y, widths[1], "_ry")
+    ranked = average_ranks(average_ranks(clean, keys, x, "_rx"), keys, y, "_ry")
     ok = lambda a, b: (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), r6(F.when(ok(x, y), F.corr(x, y))).alias("pearson"),
@@ -212,18 +218,18 @@ def grid_neighbours(cells: DataFrame, group: Sequence[str], axes: Sequence[str],
 def state_summary(events: DataFrame, state: str, scopes: Sequence[str], totals: Mapping[str, str], horizon: str = "horizon") -> DataFrame:
     """Outcomes per state under every combination of scopes or their total label.
 
-    The rows are grouped once by grouping sets; the share is taken against all states of the slice.
+    Each row counts once for its own scope value and once for the total of each scope; the share is taken
+    against all states of the slice.
     """
-    sets = [[]]
+    rows = events.withColumns({"mfe": F.when(F.col("is_complete"), F.col("mfe")), "mae": F.when(F.col("is_complete"), F.col("mae"))})
     for scope in scopes:
-        sets = [s + extra for s in sets for extra in ([scope], [])]
-    grouped = events.groupingSets([[state, horizon, *s] for s in sets], state, horizon, *scopes)
-    mfe, mae = F.when(F.col("is_complete"), F.col("mfe")), F.when(F.col("is_complete"), F.col("mae"))
-    spread = lambda v, n: [r6(F.avg(v)).alias(f"mean_{n}"), r6(F.percentile(v, F.lit(0.5))).alias(f"median_{n}"),
-                           r6(F.percentile(v, F.lit(0.25))).alias(f"p25_{n}"), r6(F.percentile(v, F.lit(0.75))).alias(f"p75_{n}")]
-    out = grouped.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_complete").alias("complete_n"), *spread(mfe, "mfe"), *spread(mae, "mae"),
-                      *[F.grouping(s).alias(f"_g_{s}") for s in scopes])
-    out = out.withColumns({s: F.when(F.col(f"_g_{s}") == 1, totals[s]).otherwise(F.col(s)) for s in scopes}).drop(*[f"_g_{s}" for s in scopes])
+        rows = rows.withColumn(scope, F.explode(F.array(F.col(scope), F.lit(totals[scope]))))
+    keys = [state, horizon, *scopes]
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_complete").alias("complete_n"),
+                                  r6(F.avg("mfe")).alias("mean_mfe"), r6(F.avg("mae")).alias("mean_mae"))
+    for name in ("mfe", "mae"):
+        points = exact_percentiles(rows, keys, name, {"median": 0.5, "p25": 0.25, "p75": 0.75})
+        out = out.join(points.select(*keys, *[r6(F.col(q)).alias(f"{q}_{name}") for q in ("median", "p25", "p75")]), keys, "left")
     whole = Window.partitionBy(horizon, *scopes)
     return out.withColumn("share", r6(F.col("n") / F.sum("n").over(whole)))
 
@@ -231,11 +237,11 @@ def state_summary(events: DataFrame, state: str, scopes: Sequence[str], totals:
 def feature_distributions(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Count, missing, mean, spread and quartiles of each feature."""
     long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])))
-    v = F.col("value")
-    return long.groupBy(*keys, "feature").agg(
-        F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"),
-        F.min(v).alias("minimum"), r6(F.percentile(v, F.lit(0.25))).alias("p25"), r6(F.percentile(v, F.lit(0.5))).alias("median"),
-        r6(F.percentile(v, F.lit(0.75))).alias("p75"), F.max(v).alias("maximum"))
+    v, part = F.col("value"), [*keys, "feature"]
+    base = long.groupBy(*part).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), r6(F.avg(v)).alias("mean"),
+                                   r6(F.stddev_samp(v)).alias("std"), F.min(v).alias("minimum"), F.max(v).alias("maximum"))
+    points = exact_percentiles(long, part, "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return base.join(points.select(*part, *[r6(F.col(q)).alias(q) for q in ("p25", "median", "p75")]), part, "left")
 
 
 def feature_correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -248,13 +254,13 @@ def feature_correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def quantile_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Full-sample quantile edges, equal neighbours collapsed; intervals closed left, the last closed."""
-    marks = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*keys).agg(F.percentile(value, marks).alias("_e"))
-    edges = edges.withColumn("_e", F.array_distinct("_e"))
-    return edges.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_e") - 1, F.lit(1))), lambda i: F.struct(
-        F.element_at("_e", i).alias("lower"), F.coalesce(F.get("_e", i), F.element_at("_e", i)).alias("upper"),
-        (i >= F.size("_e") - 1).alias("is_last")))).alias("_k", "_v")).select(
-        *keys, (F.col("_k") + 1).alias("interval_no"), F.col("_v.lower").alias("lower"), F.col("_v.upper").alias("upper"), F.col("_v.is_last").alias("is_last"))
+    marks = {f"q{i}": i / bins for i in range(bins + 1)}
+    edges = exact_percentiles(df, keys, value, marks).select(*keys, F.array_distinct(F.array(*marks)).alias("_e"))
+    size = F.size("_e")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.struct(
+        i.alias("interval_no"), F.element_at("_e", i).alias("lower"), F.coalesce(F.get("_e", i), F.element_at("_e", i)).alias("upper"),
+        (i >= size - 1).alias("is_last")))
+    return edges.select(*keys, F.inline(pairs))
 
 
 def assign_interval(df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

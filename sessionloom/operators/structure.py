@@ -12,6 +12,7 @@ from sessionloom.functions.ordered import running
 from sessionloom.functions.replay import replay
 from sessionloom.functions.search import first_beyond
 from sessionloom.operators.patterns import SEGMENT, _plateau_rows, bar_at
+from sessionloom.session import written
 
 BULL, BEAR = "BULLISH", "BEARISH"
 
@@ -461,7 +462,8 @@ def block_discovery(swings: DataFrame, zones: DataFrame, segmented: DataFrame, e
     rows = rows.withColumns({"zone_slot": F.when(F.col("zone_slot") <= F.col("window_end"), F.col("zone_slot"))})
     rows = rows.withColumn("zone_id", F.when(F.col("zone_slot").isNotNull(), F.col("zone_zone_id"))).drop("zone_zone_id")
     rows = rows.withColumn("evidence_slot", F.when(F.col("zone_slot").isNotNull() & F.col("valid_slot").isNotNull(), F.greatest("zone_slot", "valid_slot")))
-    rows = _with_deadline(rows, segmented, left, right)
+    # used twice below: write it once instead of planning and running the chain above twice
+    rows = _with_deadline(written(rows, "block_evidence"), segmented, left, right)
     admission = F.greatest(F.col("last_slot") + right, F.col("zone_slot") + 1, F.col("valid_slot"), F.col("deadline_slot"))
     rows = rows.withColumn("admission_slot", F.when(F.col("evidence_slot").isNotNull() & (admission <= F.col("last_bar")), admission))
     rows = rows.withColumns({"_adverse": F.when(bull, F.col("lower_ticks")).otherwise(F.col("upper_ticks")), "_aside": F.when(bull, "LOWER").otherwise("UPPER")})
@@ -513,6 +515,7 @@ def block_lifecycle(blocks: DataFrame, swings: DataFrame, segmented: DataFrame,
     bull = F.col("direction") == BULL
     rows = admitted.withColumns({"_from": F.col("admission_slot") + 1, "_level": F.when(bull, F.col("lower_ticks")).otherwise(F.col("upper_ticks")), "_side": F.when(bull, "LOWER").otherwise("UPPER")})
     rows = first_beyond(rows, segmented, SEGMENT, ordinal="slot", above="close", below="close", start="_from", threshold="_level", side="_side", out="failed_slot")
+    rows = written(rows, "block_failures")
     opp = swings.select(*SEGMENT, F.when(F.col("orientation") == "UPPER", BULL).otherwise(BEAR).alias("direction"), F.col("first_slot").alias("o_first"), F.col("last_slot").alias("o_last"),
                         F.col("swing_id").alias("o_id"), F.when(F.col("orientation") == "UPPER", F.col("price_ticks")).otherwise(-F.col("price_ticks")).alias("o_value"))
     # A: last opposite swing before the anchor, by an ordered merge; C: the most extreme one between anchor and failure
