@@ -213,15 +213,27 @@ def _(m):
 
 def patterns(m):
     rows = band_summary(m).filter("state <> 'UNAVAILABLE'")
-    return ST.relationship_patterns(rows, ["half", "direction", "horizon"], "state", 5)
+    found = ST.relationship_patterns(rows, ["half", "direction", "horizon"], "state", 5)
+    return found
 
 
-@query("E30_relationship_patterns")
+CTES["pattern_rows"] = """
+SELECT half, direction, horizon, CASE WHEN NOT ok THEN 'NO_CLEAR_PATTERN' WHEN f[5] < (sf[2] + sf[3]) / 2 AND e[5] > (se[2] + se[3]) / 2 THEN 'EXTREME_DETERIORATION' WHEN rho >= 0.7 THEN 'MONOTONIC_MORE' WHEN rho <= -0.7 THEN 'MONOTONIC_LESS'
+       WHEN list_position(f, list_max(f)) BETWEEN 2 AND 4 AND list_max(f) > f[1] AND list_max(f) > f[5] THEN 'MIDDLE_RANGE_PREFERENCE' ELSE 'NO_CLEAR_PATTERN' END AS pattern, round(rho, 6) AS rho
+FROM (SELECT *, CASE WHEN ok AND list_sum(list_transform(r, lambda x: (x - 3) * (x - 3))) > 0 THEN ((r[1] - 3) * -2 + (r[2] - 3) * -1 + (r[4] - 3) + (r[5] - 3) * 2) / sqrt(list_sum(list_transform(r, lambda x: (x - 3) * (x - 3))) * 10) END AS rho
+      FROM (SELECT *, list_transform(f, lambda x: len(list_filter(f, lambda y: y < x)) + (len(list_filter(f, lambda y: y = x)) + 1) / 2.0::DOUBLE) AS r, list_sort(f[1:4]) AS sf, list_sort(e[1:4]) AS se
+            FROM (SELECT half, direction, horizon, list(median_mfe ORDER BY state) AS f, list(median_mae ORDER BY state) AS e, count(*) = 5 AND count(median_mfe) = 5 AND count(median_mae) = 5 AS ok FROM band_summary WHERE state <> 'UNAVAILABLE' GROUP BY 1, 2, 3)))"""
+
+
+@query("E30_relationship_patterns", "SELECT * FROM pattern_rows")
 def _(m):
     return patterns(m)
 
 
-@query("E30_dominant_pattern")
+@query("E30_dominant_pattern", """
+SELECT half, direction, CASE WHEN coalesce(n, 0) >= 2 THEN pattern ELSE 'NO_CLEAR_PATTERN' END AS dominant_pattern, coalesce(n, 0) AS support
+FROM (SELECT DISTINCT half, direction FROM pattern_rows) k LEFT JOIN (SELECT half, direction, pattern, count(*) AS n FROM pattern_rows WHERE pattern <> 'NO_CLEAR_PATTERN' GROUP BY 1, 2, 3
+ QUALIFY row_number() OVER (PARTITION BY half, direction ORDER BY count(*) DESC, pattern) = 1) v USING (half, direction)""")
 def _(m):
     return ST.dominant_pattern(patterns(m), ["half", "direction"])
 

@@ -158,11 +158,14 @@ def _(m):
     return J.memberships(int_levels(m), ranges(m))
 
 
-@query("L03_level_invariants")
+@query("L03_level_invariants", """
+SELECT count(*) AS rows, CAST(count_if(consumed_slot <= from_slot) AS BIGINT) AS ends_before_start, CAST(count_if(evidence_count < 1) AS BIGINT) AS no_evidence, count(*) - count(DISTINCT level_id) AS duplicate_levels FROM int_levels""")
 def _(m):
     rows = int_levels(m)
-    return Q.count_violations(rows, {"ends_before_start": F.col("consumed_slot") <= F.col("from_slot"), "no_evidence": F.col("evidence_count") < 1}).join(
-        Q.duplicate_keys(rows, ["level_id"]).agg(F.count(F.lit(1)).alias("duplicate_levels")))
+    one = lambda d: d.withColumn("_one", F.lit(1))
+    repeats = Q.duplicate_keys(rows, ["level_id"]).agg(F.coalesce(F.sum(F.col("occurrences") - 1), F.lit(0)).alias("duplicate_levels"))
+    rules = {"ends_before_start": F.col("consumed_slot") <= F.col("from_slot"), "no_evidence": F.col("evidence_count") < 1}
+    return one(Q.count_violations(rows, rules)).join(one(repeats), "_one").drop("_one")
 
 
 LINKS_SQL = """

@@ -92,7 +92,13 @@ def relationship_patterns(summary: DataFrame, keys: Sequence[str], order: str, c
     spread = added(F.transform(ranks, lambda a: (a - center) * (a - center)))
     fixed = sum((i + 1 - center) ** 2 for i in range(count))
     rho = F.when(complete & (spread > 0), covariance / F.sqrt(spread * fixed))
-    middle = lambda a: (F.element_at(F.sort_array(F.slice(a, 1, count - 1)), count // 2) + F.element_at(F.sort_array(F.slice(a, 1, count - 1)), (count - 1) // 2 + (count - 1) % 2 + (0 if (count - 1) % 2 else 1))) / 2  # noqa: E731,E501
+    rest = count - 1
+
+    def middle(a):
+        """Median of all but the last value."""
+        ordered = F.sort_array(F.slice(a, 1, rest))
+        return (F.element_at(ordered, (rest + 1) // 2) + F.element_at(ordered, rest // 2 + 1)) / 2
+
     worse = (F.element_at(mfe, count) < middle(mfe)) & (F.element_at(mae, count) > middle(mae))
     peak = F.array_position(mfe, F.array_max(mfe))
     inner = (peak > 1) & (peak < count) & (F.array_max(mfe) > F.element_at(mfe, 1)) & (F.array_max(mfe) > F.element_at(mfe, count))

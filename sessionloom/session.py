@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,9 +23,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators assume; leaves everything else to the cluster."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    key = spark.sparkContext.applicationId
+    if key not in _SHIPPED:
+        _SHIPPED.add(key)
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "sessionloom"), "zip", root, "sessionloom")
+        spark.sparkContext.addPyFile(archive)
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (
