@@ -96,11 +96,11 @@ def _(m):
 @query("E11_monthly_dense", """
 SELECT d.variant, d.month, coalesce(x.trades, 0) AS trades, coalesce(x.total_r, 0) AS total_r, x.average_r
 FROM (SELECT variant, strftime(unnest(generate_series(date_trunc('month', min(session_date)), date_trunc('month', max(session_date)), INTERVAL 1 MONTH)), '%Y-%m') AS month
-      FROM ledger WHERE l_quantity = 50 AND l_linenumber = 7 GROUP BY variant) d
+      FROM ledger GROUP BY variant) d
 LEFT JOIN (SELECT variant, strftime(session_date, '%Y-%m') AS month, count(*) AS trades, round(sum(result_r), 6) AS total_r, round(avg(result_r), 6) AS average_r
-           FROM ledger WHERE l_quantity = 50 AND l_linenumber = 7 GROUP BY 1, 2) x USING (variant, month)""")
+           FROM ledger GROUP BY 1, 2) x USING (variant, month)""")
 def _(m):
-    return S.monthly_dense(book(m).filter("l_quantity = 50 and l_linenumber = 7"), KEYS)
+    return S.monthly_dense(book(m), KEYS)
 
 
 @query("E12_month_statistics", """

@@ -539,14 +539,15 @@ def _(m):
 
 
 @query("G04_closest_candidate", """
-SELECT b.instrument_id, b.bar_end, arg_min(s.swing_id, (s.price_ticks - b.close, s.available_at, s.swing_id)) AS swing_id, min(s.price_ticks - b.close) AS distance_ticks
-FROM seg b JOIN swings s ON s.instrument_id = b.instrument_id AND s.segment_id = b.segment_id AND s.orientation = 'UPPER' AND s.available_at <= b.bar_start AND s.price_ticks > b.close AND s.available_slot >= b.slot - 24 GROUP BY 1, 2""")
+SELECT a.instrument_id, a.trading_date, arg_min(b.trading_date, (b.high - a.close, b.trading_date)) AS source_date, min(b.high - a.close) AS distance_ticks
+FROM daily a JOIN daily b ON b.instrument_id = a.instrument_id AND b.contract = a.contract AND b.trading_date < a.trading_date AND b.high > a.close GROUP BY 1, 2""")
 def _(m):
-    # swings stay candidates for 24 bars, so each meets a bounded number of bars by an equi key
-    sw = PC.swings(m).filter("orientation = 'UPPER'").select("instrument_id", "segment_id", "swing_id", "price_ticks", "available_at", F.explode(F.sequence(F.col("available_slot") + 1, F.col("available_slot") + 24)).alias("slot"))
-    rows = m.segments().select("instrument_id", "segment_id", "slot", "bar_end", "close").join(sw, ["instrument_id", "segment_id", "slot"]).filter("price_ticks > close")
-    d = F.col("price_ticks") - F.col("close")
-    return rows.groupBy("instrument_id", "bar_end").agg(F.min_by("swing_id", F.struct(d, "available_at", "swing_id")).alias("swing_id"), F.min(d).alias("distance_ticks"))
+    # one row per day and contract on both sides: the earlier days of one contract bound the candidates
+    day = m.bars().groupBy("instrument_id", "contract", "trading_date").agg(F.max("high").alias("high"), F.max_by("close", "bar_end").alias("close"))
+    earlier = day.select("instrument_id", "contract", F.col("trading_date").alias("source_date"), F.col("high").alias("candidate"))
+    rows = day.join(earlier, ["instrument_id", "contract"]).filter((F.col("source_date") < F.col("trading_date")) & (F.col("candidate") > F.col("close")))
+    d = F.col("candidate") - F.col("close")
+    return rows.groupBy("instrument_id", "trading_date").agg(F.min_by("source_date", F.struct(d, "source_date")).alias("source_date"), F.min(d).alias("distance_ticks"))
 
 
 @query("G05_review_queue", """
@@ -584,11 +585,10 @@ def _(m):
 
 
 @query("H02_reconcile", """
-WITH a AS (SELECT l_suppkey, l_returnflag FROM lineitem), b AS (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber <> 3)
+WITH a AS (SELECT l_orderkey AS k FROM lineitem), b AS (SELECT o_orderkey AS k FROM orders)
 SELECT CAST((SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS BIGINT) AS only_left, CAST((SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS BIGINT) AS only_right""")
 def _(m):
-    rows = m.table("lineitem")
-    return H.reconcile_counts(rows.select("l_suppkey", "l_returnflag"), rows.filter("l_linenumber <> 3").select("l_suppkey", "l_returnflag"))
+    return H.reconcile_counts(m.table("lineitem").select(F.col("l_orderkey").alias("k")), m.table("orders").select(F.col("o_orderkey").alias("k")))
 
 
 @query("H03_key_set_equality", "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)) AS only_left, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS only_right")
