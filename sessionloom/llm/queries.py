@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import exact_dedup, fingerprints, licenses, mixing
+from sessionloom.llm import exact_dedup, fingerprints, licenses, mixing, packing, toxicity
 from sessionloom.llm.common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the given vocabulary file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_best_fit_packing")
+def _(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op2_license_scan")
 def _(spark, sf_dir):
     return licenses.scan(read_table(spark, sf_dir, "documents"))
@@ -34,6 +46,13 @@ def _(spark, sf_dir):
     return fingerprints.edit_report(read_table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def _(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
