@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import exact_dedup, fingerprints, licenses, mixing, packing, toxicity
+from sessionloom.llm import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, toxicity
 from sessionloom.llm.common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,11 @@ def _(spark, sf_dir):
     return exact_dedup.memberships(docs, index)
 
 
+@query("op8_html_extraction")
+def _(spark, sf_dir):
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -94,3 +99,8 @@ FROM c
 def _(spark, sf_dir):
     out = mixing.mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op10_order_minhash_near_dedup")
+def _(spark, sf_dir):
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
