@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import blank, written
+from sessionloom.llm.common import blank, free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 NEWTON_STEPS = 25
@@ -106,3 +106,26 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.ceil(taken / F.greatest("size", F.lit(1)))).cast("long")
     return out.select("doc_id", "size", "source_size", "target", "rate", taken.alias("taken"), copies.alias("copies"))
+
+
+def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The documents as the mix takes them: repeated, dropped, and one of each source cut after its last taken word.
+
+    Columns as given; ``n_chars`` follows the text where a document is cut.
+    """
+    nth, left, copy = free_name(docs, "nth"), free_name(docs, "left_words"), free_name(docs, "copy_no")
+    # Rows that share an id are paired one by one; both windows use the partitioning of the join.
+    taken = mix(docs, text, source, id_col, **options).select(F.col("doc_id").alias("mix_id"), "size", "taken")
+    taken = taken.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_id").orderBy("size", "taken")))
+    rows = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(words(F.col(text)))))
+    # Written as two comparisons so that the id alone is the key of the join.
+    same = rows[id_col].eqNullSafe(taken["mix_id"]) & (rows[nth] <= taken["mix_nth"]) & (rows[nth] >= taken["mix_nth"])
+    rows = rows.join(taken.where("taken > 0"), same).withColumn(copy, F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = rows.withColumn(left, F.col("taken") - F.col(copy) * F.col("size")).where(F.col(left) > 0)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(left).cast("int")), "")
+    whole = F.col(left) >= F.col("size")
+    out = {c: F.col(c) for c in docs.columns}
+    out[text] = F.when(whole, F.col(text)).otherwise(cut)
+    if n_chars in out:
+        out[n_chars] = F.when(whole, F.col(n_chars)).otherwise(F.length(cut).cast(docs.schema[n_chars].dataType))
+    return rows.select(*[c.alias(name) for name, c in out.items()])
