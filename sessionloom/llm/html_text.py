@@ -71,7 +71,8 @@ def page_lines(page: str) -> list[tuple[str, bool, int, float]]:
     """The lines of a page: text, whether it stands aside, number of its article (0: none), share of it in links."""
     lines: list[tuple[str, bool, int, float]] = []
     parts: list[str] = []
-    links = article = articles = depth = 0
+    regions: list[str] = []
+    links = article = articles = 0
     in_link, aside, nested, at = False, "", 0, 0
 
     def end_line() -> None:
@@ -111,16 +112,18 @@ def page_lines(page: str) -> list[tuple[str, bool, int, float]]:
             if aside:
                 continue
         if name in ("article", "main"):
-            if name == "article" or not articles:
-                if not closing and _is_aside(name, tag[4], False):
-                    aside, nested = name, 1
-                    continue
-                depth += -1 if closing else 1
-                if depth == 1 and not closing:
+            if closing:
+                # Closes the innermost open element of that name and what is left open inside it.
+                while name in regions and regions.pop() != name:
+                    pass
+                article = article if regions else 0
+            elif _is_aside(name, tag[4], False):
+                aside, nested = name, 1
+            else:
+                if "article" not in regions:
                     articles += 1
                     article = articles
-                elif depth <= 0:
-                    depth = article = 0
+                regions.append(name)
         elif not closing and name not in _VOID and _is_aside(name, tag[4], article > 0):
             if not tag[4].rstrip().endswith("/"):
                 if name in _INLINE:

@@ -113,17 +113,18 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", id_co
 
     Columns as given; ``n_chars`` follows the text where a document is cut.
     """
-    nth, left, copy = free_name(docs, "nth"), free_name(docs, "left_words"), free_name(docs, "copy_no")
+    nth, left, copy, size, taken = (free_name(docs, n) for n in ("nth_row", "left_words", "copy_number", "all_words", "taken_words"))
     # Rows that share an id are paired one by one; both windows use the partitioning of the join.
-    taken = mix(docs, text, source, id_col, **options).select(F.col("doc_id").alias("mix_id"), "size", "taken")
-    taken = taken.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_id").orderBy("size", "taken")))
+    mixed = mix(docs, text, source, id_col, **options).select(F.col("doc_id").alias("mix_id"), F.col("size").alias(size), F.col("taken").alias(taken))
+    mixed = mixed.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_id").orderBy(size, taken)))
     rows = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(words(F.col(text)))))
     # Written as two comparisons so that the id alone is the key of the join.
-    same = rows[id_col].eqNullSafe(taken["mix_id"]) & (rows[nth] <= taken["mix_nth"]) & (rows[nth] >= taken["mix_nth"])
-    rows = rows.join(taken.where("taken > 0"), same).withColumn(copy, F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    rows = rows.withColumn(left, F.col("taken") - F.col(copy) * F.col("size")).where(F.col(left) > 0)
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(left).cast("int")), "")
-    whole = F.col(left) >= F.col("size")
+    same = rows[id_col].eqNullSafe(mixed["mix_id"]) & (rows[nth] <= mixed["mix_nth"]) & (rows[nth] >= mixed["mix_nth"])
+    rows = rows.join(mixed.where(F.col(taken) > 0), same).withColumn(copy, F.explode(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    rows = rows.withColumn(left, F.col(taken) - F.col(copy) * F.col(size)).where(F.col(left) > 0)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(left).cast("int")), "")
+    whole = F.col(left) >= F.col(size)
     out = {c: F.col(c) for c in docs.columns}
     out[text] = F.when(whole, F.col(text)).otherwise(cut)
     if n_chars in out:

@@ -15,7 +15,7 @@
 * **Classes** are the connected components of the links.
 
 Null texts count as empty; texts without words form one class.  Texts of fewer than five words have one shingle.  The
-representative and the id of a class are its smallest id; repeated ids are rows of their own.  Whole texts are sketched.
+representative and the id of a class are its smallest id; repeated ids are rows of their own, and texts without an id are compared for equality only.  Whole texts are sketched.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import blank, written
-from sessionloom.llm.graph import components
+from sessionloom.functions.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 3
@@ -285,9 +285,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     groups = written(groups, "groups")
     # Bands of one row per digest: any copy has the same.
     reps = rows.select(F.col("doc_id").alias("rep"), "digest", "bands").join(groups.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).select("rep", "bands")
-    label = written(components(near_links(docs, reps, text, id_col)), "label")
+    # Texts without an id are only compared for equality.
+    label = written(components(near_links(docs, reps.where(F.col("rep").isNotNull()), text, id_col)), "label")
     classes = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.min("rep").alias("smallest"))
-    classes = written(classes.select("digest", "class_id").join(sizes, "class_id").select("digest", F.col("smallest").alias("class_id"), "class_size"), "classes")
+    sizes = sizes.withColumnRenamed("class_id", "class_of")
+    classes = classes.select("digest", "class_id").join(sizes, F.col("class_id").eqNullSafe(F.col("class_of")))
+    classes = written(classes.select("digest", F.col("smallest").alias("class_id"), "class_size"), "classes")
     out = rows.select("doc_id", "digest", "n_words").join(classes, "digest")
     return out.select("doc_id", "class_id", "class_size", "n_words", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

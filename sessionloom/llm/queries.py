@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, suffix_dedup, toxicity
+from sessionloom.llm import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, suffix_dedup, toxicity
 from sessionloom.llm.common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def _(spark, sf_dir):
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_line_dedup")
+def _(spark, sf_dir):
+    return line_dedup.line_classes(read_table(spark, sf_dir, "documents")).drop("version")
+
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
