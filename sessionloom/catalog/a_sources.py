@@ -11,6 +11,13 @@ def _(m):
     return cal.expected_schedule(m.calendar(), m.interval)
 
 
+@query("A10_rejected_bars", """
+SELECT r.instrument_id, r.trading_date, r.bar_start, r.bar_end, r.volume, CASE WHEN coalesce(c.kind, 'CLOSED') = 'CLOSED' THEN 'CLOSED_DAY' ELSE 'SESSION_BREAK' END AS reason
+FROM raw_bars r LEFT JOIN calendar c USING (trading_date) WHERE coalesce(c.kind, 'CLOSED') = 'CLOSED' OR r.bar_start < c.open OR r.bar_start >= c.close""")
+def _(m):
+    return m.rejected_bars()
+
+
 @query("E01_resample_bars", "SELECT * FROM resampled")
 def _(m):
     return B.resample_bars(m.bars(), m.calendar(), m.interval, 14_400)

@@ -137,11 +137,11 @@ def _(m):
     return S.correlations(book(m), KEYS, "l_extendedprice", "result_r")
 
 
-@query("D22_full_outer_align", "SELECT session_date, " + ", ".join(
-    f"round(sum(coalesce({v}, 0)) OVER (ORDER BY session_date), 6) AS {v}" for v in ("AF", "AO", "NF", "NO", "RF", "RO")) + """
-FROM (SELECT session_date, """ + ", ".join(f"sum(result_r) FILTER (variant = '{v}') AS {v}" for v in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM ledger GROUP BY 1)")
+@query("D22_full_outer_align", """
+SELECT session_date, variant, round(sum(coalesce(r, 0)) OVER (PARTITION BY variant ORDER BY session_date), 6) AS equity
+FROM (SELECT DISTINCT variant FROM ledger) CROSS JOIN (SELECT DISTINCT session_date FROM ledger) LEFT JOIN (SELECT variant, session_date, sum(result_r) AS r FROM ledger GROUP BY 1, 2) USING (variant, session_date)""")
 def _(m):
-    return S.equity_curves(book(m), "variant", ("AF", "AO", "NF", "NO", "RF", "RO"))
+    return S.equity_curves(book(m), "variant")
 
 
 @query("E41_temporal_consistency", """

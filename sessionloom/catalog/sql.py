@@ -10,11 +10,7 @@ import re
 CTES: dict[str, str] = {}
 
 CTES["prm"] = """
-SELECT CASE WHEN c < 5000 THEN 14400 WHEN c < 50000 THEN 3600 WHEN c < 500000 THEN 900 ELSE 60 END::BIGINT AS iv,
-       CASE WHEN c < 5000 THEN 8*3600 ELSE 9*3600 END AS range_clock,
-       CASE WHEN c < 5000 THEN 1 ELSE 3 END AS range_bars,
-       CASE WHEN c < 5000 THEN 16*3600 ELSE 13*3600 END AS cutoff_clock
-FROM (SELECT count(*) AS c FROM events)"""
+SELECT 3600::BIGINT AS iv, 9 * 3600 AS range_clock, 3 AS range_bars, 13 * 3600 AS cutoff_clock"""
 
 CTES["ticks"] = """
 SELECT event_type AS instrument_id, ts, event_id,

@@ -13,13 +13,26 @@ from sessionloom.functions import scalars as C
 from sessionloom.operators import states as ST
 from sessionloom.operators import stats as S
 from sessionloom.operators import trades as T
+from sessionloom.sources.calendar import TEST_PARTITIONS
 
 CELL = ["breakout_type", "config_id"]
-PERIOD_SQL = "CASE WHEN trading_date < DATE '2024-01-15' THEN 'DEVELOPMENT' ELSE 'VALIDATION' END"
+PERIOD_SQL = """CASE WHEN trading_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-14' THEN 'DEVELOPMENT' WHEN trading_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-22' THEN 'VALIDATION'
+ WHEN trading_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-31' THEN 'RESERVED' ELSE 'UNASSIGNED' END"""
+#: Two-period queries read these; reserved days are for a later test and must not be looked at.
+OPEN_PERIODS = ("DEVELOPMENT", "VALIDATION")
+OPEN_SQL = "period IN ('DEVELOPMENT', 'VALIDATION')"
 
 
 def period():
-    return F.when(F.col("trading_date") < F.lit("2024-01-15").cast("date"), "DEVELOPMENT").otherwise("VALIDATION")
+    """The research partition of a trading date, from the literal partition table."""
+    day, out = F.col("trading_date"), F.lit("UNASSIGNED")
+    for name, first, last in reversed(TEST_PARTITIONS):
+        out = F.when(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), name).otherwise(out)
+    return out
+
+
+def open_trades(m):
+    return executed(m).filter(F.col("period").isin(*OPEN_PERIODS))
 
 
 CTES["executed"] = f"""
@@ -134,9 +147,13 @@ SELECT * EXCLUDE (i, n), CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * i + n - 2)
 FROM (SELECT *, row_number() OVER (PARTITION BY duration ORDER BY or_width, trading_date, instrument_id) - 1 AS i, count(*) OVER (PARTITION BY duration) AS n FROM width_obs)"""
 
 
+#: Opening-range lengths in bars whose widths are binned.
+DURATIONS = (1, 2, 3)
+
+
 def width_obs(m):
     s, out = m.settings, None
-    for k in (1, 2, 3):
+    for k in DURATIONS:
         part = T.opening_levels(m.bars(), s.interval, s.range_clock, k).filter("valid").select(
             F.lit(k).alias("duration"), "instrument_id", "trading_date", (F.col("or_high") - F.col("or_low")).alias("or_width"))
         out = part if out is None else out.unionByName(part)
@@ -158,14 +175,19 @@ def _(m):
     return base.join(points.select("duration", r6("median_width").alias("median_width"), r6("p90_width").alias("p90_width")), "duration")
 
 
-@query("D02_add_width_bin", "SELECT e.*, b.bin FROM executed e LEFT JOIN width_bins b ON b.duration = 3 AND b.instrument_id = e.instrument_id AND b.trading_date = e.trading_date")
+CTES["binned"] = """SELECT e.*, k.duration, b.bin FROM executed e CROSS JOIN (VALUES (1), (2), (3)) k(duration)
+LEFT JOIN width_bins b ON b.duration = k.duration AND b.instrument_id = e.instrument_id AND b.trading_date = e.trading_date"""
+
+
+@query("D02_add_width_bin", "SELECT * FROM binned")
 def _(m):
     return with_bin(m)
 
 
 def with_bin(m):
-    bins = width_bins(m).filter("duration = 3").select("instrument_id", "trading_date", "bin")
-    return executed(m).join(bins, ["instrument_id", "trading_date"], "left")
+    """Every trade with the bin of its session's width at each opening-range length."""
+    rows = executed(m).withColumn("duration", F.explode(F.array(*[F.lit(k) for k in DURATIONS])))
+    return rows.join(width_bins(m).select("duration", "instrument_id", "trading_date", "bin"), ["duration", "instrument_id", "trading_date"], "left")
 
 
 @query("E18_bin_boundaries", "SELECT duration, bin, count(*) AS n, min(or_width) AS lower, max(or_width) AS upper, round(quantile_cont(or_width, 0.5), 6) AS median FROM width_bins GROUP BY 1, 2")
@@ -175,19 +197,19 @@ def _(m):
     return base.join(medians, ["duration", "bin"])
 
 
-CTES["binned"] = "SELECT e.*, b.bin FROM executed e LEFT JOIN width_bins b ON b.duration = 3 AND b.instrument_id = e.instrument_id AND b.trading_date = e.trading_date"
 CTES["conditional"] = f"""
-SELECT g.breakout_type, g.config_id, CAST(g.bin AS BIGINT) AS bin, coalesce(x.trades, 0) AS trades, x.average_r, x.total_r, coalesce(x.trades, 0) < 10 AS low_sample
-FROM (SELECT * FROM (SELECT DISTINCT breakout_type, config_id FROM executed) CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(bin)) g
-LEFT JOIN (SELECT breakout_type, config_id, bin, {CORE} FROM binned GROUP BY 1, 2, 3) x ON x.breakout_type = g.breakout_type AND x.config_id = g.config_id AND x.bin = g.bin"""
+SELECT g.breakout_type, g.config_id, g.duration, CAST(g.bin AS BIGINT) AS bin, coalesce(x.trades, 0) AS trades, x.average_r, x.total_r, coalesce(x.trades, 0) < 10 AS low_sample
+FROM (SELECT * FROM (SELECT DISTINCT breakout_type, config_id FROM executed) CROSS JOIN (VALUES (1), (2), (3)) k(duration) CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(bin)) g
+LEFT JOIN (SELECT breakout_type, config_id, duration, bin, {CORE} FROM binned GROUP BY 1, 2, 3, 4) x ON x.breakout_type = g.breakout_type AND x.config_id = g.config_id AND x.duration = g.duration AND x.bin = g.bin"""
 
 
 def conditional(m):
-    cells = executed(m).select(*CELL).distinct().withColumn("bin", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(1, 6)])))
-    seen = with_bin(m).groupBy(*CELL, "bin").agg(*S.core_metrics())
-    out = cells.join(seen, [*CELL, "bin"], "left")
+    cells = executed(m).select(*CELL).distinct().withColumn("duration", F.explode(F.array(*[F.lit(k) for k in DURATIONS])))
+    cells = cells.withColumn("bin", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(1, 6)])))
+    seen = with_bin(m).groupBy(*CELL, "duration", "bin").agg(*S.core_metrics())
+    out = cells.join(seen, [*CELL, "duration", "bin"], "left")
     trades = F.coalesce("trades", F.lit(0))
-    return out.select(*CELL, "bin", trades.alias("trades"), "average_r", "total_r", (trades < 10).alias("low_sample"))
+    return out.select(*CELL, "duration", "bin", trades.alias("trades"), "average_r", "total_r", (trades < 10).alias("low_sample"))
 
 
 @query("E19_conditional_performance", "SELECT * FROM conditional")
@@ -204,22 +226,21 @@ def _(m):
 
 
 @query("E21_ambiguity_by_bin", """
-SELECT t.config_id, b.bin, count(*) AS candidates, CAST(count_if(t.exit_reason = 'AMBIGUOUS_ENTRY_STOP') AS BIGINT) AS entry_stop, CAST(count_if(t.exit_reason = 'AMBIGUOUS_STOP_TARGET') AS BIGINT) AS stop_target,
+SELECT t.config_id, b.duration, b.bin, count(*) AS candidates, CAST(count_if(t.exit_reason = 'AMBIGUOUS_ENTRY_STOP') AS BIGINT) AS entry_stop, CAST(count_if(t.exit_reason = 'AMBIGUOUS_STOP_TARGET') AS BIGINT) AS stop_target,
        round(avg(CASE WHEN t.is_ambiguous THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS ambiguity_rate
-FROM exits_points t JOIN width_bins b ON b.duration = 3 AND b.instrument_id = t.instrument_id AND b.trading_date = t.trading_date GROUP BY 1, 2""")
+FROM exits_points t JOIN width_bins b ON b.instrument_id = t.instrument_id AND b.trading_date = t.trading_date GROUP BY 1, 2, 3""")
 def _(m):
-    bins = width_bins(m).filter("duration = 3").select("instrument_id", "trading_date", "bin")
-    rows = point_exits(m).join(bins, ["instrument_id", "trading_date"])
-    return rows.groupBy("config_id", "bin").agg(
+    rows = point_exits(m).join(width_bins(m).select("duration", "instrument_id", "trading_date", "bin"), ["instrument_id", "trading_date"])
+    return rows.groupBy("config_id", "duration", "bin").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("exit_reason") == "AMBIGUOUS_ENTRY_STOP").alias("entry_stop"),
         F.count_if(F.col("exit_reason") == "AMBIGUOUS_STOP_TARGET").alias("stop_target"), r6(S.share(F.col("is_ambiguous"))).alias("ambiguity_rate"))
 
 
 @query("E22_expectancy_bins", """
-SELECT c.*, b.median_width FROM conditional c LEFT JOIN (SELECT bin, round(quantile_cont(or_width, 0.5), 6) AS median_width FROM width_bins WHERE duration = 3 GROUP BY 1) b USING (bin)""")
+SELECT c.*, b.median_width FROM conditional c LEFT JOIN (SELECT duration, bin, round(quantile_cont(or_width, 0.5), 6) AS median_width FROM width_bins GROUP BY 1, 2) b USING (duration, bin)""")
 def _(m):
-    medians = S.exact_percentiles(width_bins(m).filter("duration = 3"), ["bin"], "or_width", {"median_width": 0.5}).withColumn("median_width", r6("median_width"))
-    return conditional(m).join(F.broadcast(medians), "bin", "left")
+    medians = S.exact_percentiles(width_bins(m), ["duration", "bin"], "or_width", {"median_width": 0.5}).withColumn("median_width", r6("median_width"))
+    return conditional(m).join(F.broadcast(medians), ["duration", "bin"], "left")  # five bins of three lengths
 
 
 CTES["ratio_sessions"] = """
@@ -242,8 +263,8 @@ def _(m):
 
 
 CTES["scenario_bins"] = """
-SELECT s.breakout_type, s.config_id, b.bin, s.scenario, round(avg(s.result_r), 6) AS average_r FROM scenario_audit s
-JOIN width_bins b ON b.duration = 3 AND b.instrument_id = s.instrument_id AND b.trading_date = s.trading_date WHERE s.status = 'EXECUTED' GROUP BY 1, 2, 3, 4"""
+SELECT s.breakout_type, s.config_id, b.duration, b.bin, s.scenario, round(avg(s.result_r), 6) AS average_r FROM scenario_audit s
+JOIN width_bins b ON b.instrument_id = s.instrument_id AND b.trading_date = s.trading_date WHERE s.status = 'EXECUTED' GROUP BY 1, 2, 3, 4, 5"""
 
 
 def scenario_audit(m):
@@ -257,16 +278,16 @@ def scenario_audit(m):
 
 
 def width_sensitivity(m):
-    bins = width_bins(m).filter("duration = 3").select("instrument_id", "trading_date", "bin")
+    bins = width_bins(m).select("duration", "instrument_id", "trading_date", "bin")
     rows = scenario_audit(m).filter("status = 'EXECUTED'").join(bins, ["instrument_id", "trading_date"])
-    wide = rows.groupBy(*CELL, "bin").pivot("scenario", list(SCENARIOS)).agg(r6(F.avg("result_r"))).withColumnsRenamed({s: s.lower() for s in SCENARIOS})
+    wide = rows.groupBy(*CELL, "duration", "bin").pivot("scenario", list(SCENARIOS)).agg(r6(F.avg("result_r"))).withColumnsRenamed({s: s.lower() for s in SCENARIOS})
     known = F.array_compact(F.array(*[F.col(s.lower()) for s in SCENARIOS]))
     return wide.withColumn("scenario_range", r6(F.array_max(known) - F.array_min(known)))
 
 
 SENSITIVITY_SQL = """
-SELECT breakout_type, config_id, bin, max(average_r) FILTER (scenario = 'EXCLUDED') AS excluded, max(average_r) FILTER (scenario = 'PESSIMISTIC') AS pessimistic,
-       max(average_r) FILTER (scenario = 'AFTER_ENTRY') AS after_entry, round(max(average_r) - min(average_r), 6) AS scenario_range FROM scenario_bins GROUP BY 1, 2, 3"""
+SELECT breakout_type, config_id, duration, bin, max(average_r) FILTER (scenario = 'EXCLUDED') AS excluded, max(average_r) FILTER (scenario = 'PESSIMISTIC') AS pessimistic,
+       max(average_r) FILTER (scenario = 'AFTER_ENTRY') AS after_entry, round(max(average_r) - min(average_r), 6) AS scenario_range FROM scenario_bins GROUP BY 1, 2, 3, 4"""
 
 
 @query("E24_width_sensitivity", SENSITIVITY_SQL)
@@ -274,24 +295,24 @@ def _(m):
     return width_sensitivity(m)
 
 
-@query("O05_chronology_robustness", f"SELECT config_id, breakout_type, count(*) AS bins, round(avg(scenario_range), 6) AS mean_range, max(scenario_range) AS max_range FROM ({SENSITIVITY_SQL}) GROUP BY 1, 2")
+@query("O05_chronology_robustness", f"SELECT config_id, breakout_type, duration, count(*) AS bins, round(avg(scenario_range), 6) AS mean_range, max(scenario_range) AS max_range FROM ({SENSITIVITY_SQL}) GROUP BY 1, 2, 3")
 def _(m):
-    return width_sensitivity(m).groupBy("config_id", "breakout_type").agg(
+    return width_sensitivity(m).groupBy("config_id", "breakout_type", "duration").agg(
         F.count(F.lit(1)).alias("bins"), r6(F.avg("scenario_range")).alias("mean_range"), F.max("scenario_range").alias("max_range"))
 
 
 @query("E25_width_descriptors", """
-SELECT breakout_type, config_id, CASE WHEN hi - lo <= 0.25 AND pos >= 4 THEN 'RELATIVELY_STABLE' WHEN (a[1] + a[5]) / 2 > (a[2] + a[3] + a[4]) / 3 + 0.10 THEN 'U_SHAPED'
+SELECT breakout_type, config_id, duration, CASE WHEN hi - lo <= 0.25 AND pos >= 4 THEN 'RELATIVELY_STABLE' WHEN (a[1] + a[5]) / 2 > (a[2] + a[3] + a[4]) / 3 + 0.10 THEN 'U_SHAPED'
        WHEN (a[2] + a[3] + a[4]) / 3 > (a[1] + a[5]) / 2 + 0.10 AND list_position(a, hi) IN (2, 3, 4) THEN 'HUMP_SHAPED' ELSE 'MIXED_NONLINEAR' END || CASE WHEN top2 >= 0.8 THEN '_CONCENTRATED' ELSE '' END AS dependency,
        round(hi - lo, 6) AS average_r_range, CAST(pos AS INTEGER) AS positive_bins, CAST(list_position(a, hi) AS BIGINT) AS best_bin, CAST(list_position(a, lo) AS BIGINT) AS worst_bin, round(top2, 6) AS top_two_share
 FROM (SELECT *, list_max(a) AS hi, list_min(a) AS lo, len(list_filter(a, lambda x: x > 0)) AS pos, CASE WHEN len(g) > 0 THEN list_sum(g[1:2]) / list_sum(g) END AS top2
-      FROM (SELECT breakout_type, config_id, list(average_r ORDER BY bin) AS a, list_sort(list_filter(list(total_r), lambda x: x > 0), 'DESC') AS g, count(average_r) AS n FROM conditional WHERE average_r IS NOT NULL GROUP BY 1, 2) WHERE n = 5)""")
+      FROM (SELECT breakout_type, config_id, duration, list(average_r ORDER BY bin) AS a, list_sort(list_filter(list(total_r), lambda x: x > 0), 'DESC') AS g, count(average_r) AS n FROM conditional WHERE average_r IS NOT NULL GROUP BY 1, 2, 3) WHERE n = 5)""")
 def _(m):
-    return S.width_shape(conditional(m).filter("average_r is not null"), CELL)
+    return S.width_shape(conditional(m).filter("average_r is not null"), [*CELL, "duration"])
 
 
 # --- two periods ----------------------------------------------------------
-CTES["period_cells"] = f"SELECT breakout_type, config_id, stop_points, target_points, period, {CORE} FROM executed GROUP BY 1, 2, 3, 4, 5"
+CTES["period_cells"] = f"SELECT breakout_type, config_id, stop_points, target_points, period, {CORE} FROM executed WHERE {OPEN_SQL} GROUP BY 1, 2, 3, 4, 5"
 CTES["surface"] = """
 SELECT d.breakout_type, d.config_id, d.stop_points, d.target_points, d.average_r AS dev_average_r, d.profit_factor AS dev_profit_factor, d.trades AS dev_trades, d.win_rate AS dev_win_rate,
        v.average_r AS val_average_r, v.profit_factor AS val_profit_factor, v.trades AS val_trades, v.win_rate AS val_win_rate, round(v.average_r - d.average_r, 6) AS average_r_delta,
@@ -302,7 +323,7 @@ FULL = [*CELL, "stop_points", "target_points"]
 
 
 def period_cells(m):
-    return executed(m).groupBy(*FULL, "period").agg(*S.core_metrics())
+    return open_trades(m).groupBy(*FULL, "period").agg(*S.core_metrics())
 
 
 def surface(m):
@@ -395,19 +416,19 @@ def _(m):
 
 @query("E39_observability_comparison", f"""
 SELECT stop_points, period, count(*) AS eligible, round(sum(CASE WHEN exit_reason = 'AMBIGUOUS_ENTRY_STOP' THEN 1 ELSE 0 END) / count(*), 6) AS entry_stop_rate, round(sum(CASE WHEN is_ambiguous THEN 1 ELSE 0 END) / count(*), 6) AS exclusion_rate
-FROM (SELECT x.*, c.stop_points, {PERIOD_SQL.replace('trading_date', 'x.trading_date')} AS period FROM exits_points x JOIN cand_points c USING (instrument_id, trading_date, breakout_type, direction, config_id)) GROUP BY 1, 2""")
+FROM (SELECT x.*, c.stop_points, {PERIOD_SQL.replace('trading_date', 'x.trading_date')} AS period FROM exits_points x JOIN cand_points c USING (instrument_id, trading_date, breakout_type, direction, config_id)) WHERE {OPEN_SQL} GROUP BY 1, 2""")
 def _(m):
-    rows = point_exits(m).join(point_candidates(m).select(*T.CANDIDATE, "stop_points"), T.CANDIDATE).withColumn("period", period())
+    rows = point_exits(m).join(point_candidates(m).select(*T.CANDIDATE, "stop_points"), T.CANDIDATE).withColumn("period", period()).filter(F.col("period").isin(*OPEN_PERIODS))
     return rows.groupBy("stop_points", "period").agg(
         F.count(F.lit(1)).alias("eligible"), r6(F.count_if(F.col("exit_reason") == "AMBIGUOUS_ENTRY_STOP") / F.count(F.lit(1))).alias("entry_stop_rate"),
         r6(F.count_if("is_ambiguous") / F.count(F.lit(1))).alias("exclusion_rate"))
 
 
 @query("E38_width_two_period", f"""
-SELECT period, bucket, count(*) AS n, round(avg(result_r), 6) AS average_r FROM (SELECT *, CASE WHEN or_width < 20000 THEN 'NARROW' WHEN or_width < 40000 THEN 'MIDDLE' ELSE 'WIDE' END AS bucket FROM executed) GROUP BY 1, 2""")
+SELECT period, bucket, count(*) AS n, round(avg(result_r), 6) AS average_r FROM (SELECT *, CASE WHEN or_width < 20000 THEN 'NARROW' WHEN or_width < 40000 THEN 'MIDDLE' ELSE 'WIDE' END AS bucket FROM executed WHERE {OPEN_SQL}) GROUP BY 1, 2""")
 def _(m):
     bucket = F.when(F.col("or_width") < 20000, "NARROW").when(F.col("or_width") < 40000, "MIDDLE").otherwise("WIDE")
-    return executed(m).groupBy("period", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("result_r")).alias("average_r"))
+    return open_trades(m).groupBy("period", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("result_r")).alias("average_r"))
 
 
 CTES["decisions"] = """
@@ -427,12 +448,12 @@ def _(m):
                        S.overall_class(F.col("edge"), F.col("degradation"), F.lit("BROAD"), F.col("observability")).alias("overall"))
 
 
-@query("C33_price_normalization", """
+@query("C33_price_normalization", f"""
 SELECT instrument_id, period, round(quantile_cont(stop_points * 100 / mid, 0.5), 6) AS median_stop_pct, round(quantile_cont(or_width / mid, 0.5), 6) AS median_width_pct
-FROM (SELECT e.*, (l.or_high + l.or_low) / 2.0::DOUBLE AS mid FROM executed e JOIN or_levels l USING (instrument_id, trading_date)) GROUP BY 1, 2""")
+FROM (SELECT e.*, (l.or_high + l.or_low) / 2.0::DOUBLE AS mid FROM executed e JOIN or_levels l USING (instrument_id, trading_date) WHERE {OPEN_SQL}) GROUP BY 1, 2""")
 def _(m):
     mid = or_levels(m).select("instrument_id", "trading_date", (F.col("or_mid2") / 2.0).alias("mid"))
-    rows = executed(m).join(mid, ["instrument_id", "trading_date"]).withColumns({
+    rows = open_trades(m).join(mid, ["instrument_id", "trading_date"]).withColumns({
         "stop_pct": F.col("stop_points") * 100 / F.col("mid"), "width_pct": F.col("or_width") / F.col("mid")})
     keys = ["instrument_id", "period"]
     a = S.exact_percentiles(rows, keys, "stop_pct", {"median_stop_pct": 0.5}).withColumn("median_stop_pct", r6("median_stop_pct"))

@@ -190,10 +190,11 @@ def _(m):
     return window_facts(m).select("instrument_id", "trading_date", "level_id", C.category_reject_first(*cols).alias("reject_first"), C.category_close_first(*cols).alias("close_first"))
 
 
-@query("E28_state_characterization_key_level", summary_sql(f"SELECT s.instrument_id, s.trading_date, s.breakout_type, s.direction, {_CAT} AS state FROM signals s JOIN window_facts w USING (instrument_id, trading_date) WHERE w.level_type = 'previous_day_high'"))
+@query("E28_state_characterization_key_level", summary_sql(f"SELECT s.instrument_id, s.trading_date, s.breakout_type, s.direction, w.level_type || ':' || {_CAT} AS state FROM signals s JOIN window_facts w USING (instrument_id, trading_date)"))
 def _(m):
     cols = [F.coalesce(F.col(c), F.lit(False)) for c in ("touch", "trade_through", "close_through", "reject", "sweep")]
-    days = window_facts(m).filter("level_type = 'previous_day_high'").select("instrument_id", "trading_date", C.category_reject_first(*cols).alias("state"))
+    state = F.concat_ws(":", "level_type", C.category_reject_first(*cols))
+    days = window_facts(m).select("instrument_id", "trading_date", state.alias("state"))
     return summary(m, signals(m).join(days, ["instrument_id", "trading_date"]))
 
 
@@ -324,23 +325,43 @@ def _(m):
     return broad.unionByName(moved)
 
 
-def merged_edges(m, minimum: int = 200):
-    """Only counts per initial bin (at most ten numbers) reach the driver; bins merge there until each holds enough."""
-    marks = [10_000.0 * i for i in range(1, 8)]
-    bin_of = F.aggregate(F.array(*[F.lit(x) for x in marks]), F.lit(0), lambda s, x: s + (F.col("or_width") >= x).cast("int"))
-    counts = {r["b"]: r["n"] for r in executed(m).groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    bins = [[i, i, counts.get(i, 0)] for i in range(len(marks) + 1)]
-    while len(bins) > 3:
-        k = min(range(len(bins)), key=lambda i: bins[i][2])
-        if bins[k][2] >= minimum:
-            break
-        into = k + 1 if k == 0 else k - 1 if k == len(bins) - 1 or bins[k - 1][2] <= bins[k + 1][2] else k + 1
-        a, b = sorted((k, into))
-        bins[a:b + 1] = [[bins[a][0], bins[b][1], bins[a][2] + bins[b][2]]]
-    inner = [marks[b[0] - 1] for b in bins[1:]]
-    return F.aggregate(F.array(*[F.lit(x) for x in inner]), F.lit(0), lambda s, x: s + (F.col("or_width") >= x).cast("int"))
-
-
-@query("E37_merge_sparse_bins")
+#: Lower edges of all initial width bins but the first, the least rows of a merged bin, and how many bins are left at least.
+WIDTH_MARKS, LEAST_ROWS, LEAST_BINS = tuple(10_000 * i for i in range(1, 8)), 200, 3
+
+
+def sparse_bins_merged(bins):
+    """One merging step on an array of ``(low, high, n)``: the emptiest bin joins its emptier neighbour, the lower one of equals."""
+    sizes = F.transform(bins, lambda b: b["n"])
+    least, count = F.array_min(sizes), F.size(bins)
+    k = F.array_position(sizes, least).cast("int")
+    lower = F.when(k == 1, 1).when((k == count) | (F.get(sizes, k - 2) <= F.get(sizes, k)), k - 1).otherwise(k)
+    pair = F.struct(F.get(bins, lower - 1)["low"].alias("low"), F.get(bins, lower)["high"].alias("high"), (F.get(sizes, lower - 1) + F.get(sizes, lower)).alias("n"))
+    merged = F.concat(F.slice(bins, F.lit(1), lower - 1), F.array(pair), F.slice(bins, lower + 2, F.greatest(count - lower - 1, F.lit(0))))
+    return F.when((count <= LEAST_BINS) | (least >= LEAST_ROWS), bins).otherwise(merged)
+
+
+_BIN = "CASE " + " ".join(f"WHEN or_width < {x} THEN {i}" for i, x in enumerate(WIDTH_MARKS)) + f" ELSE {len(WIDTH_MARKS)} END"
+CTES["merged_bins"] = f"""
+WITH RECURSIVE counts AS (SELECT i, count(e.b) AS n FROM range({len(WIDTH_MARKS) + 1}) r(i) LEFT JOIN (SELECT {_BIN} AS b FROM executed) e ON e.b = r.i GROUP BY 1),
+ fold AS (SELECT 0 AS step, (SELECT list({{'low': i, 'high': i, 'n': n}} ORDER BY i) FROM counts) AS b
+  UNION ALL
+  SELECT step + 1, b[1:l - 1] || [{{'low': b[l].low, 'high': b[l + 1].high, 'n': b[l].n + b[l + 1].n}}] || b[l + 2:]
+  FROM (SELECT *, CASE WHEN k = 1 THEN 1 WHEN k = len(b) OR b[k - 1].n <= b[k + 1].n THEN k - 1 ELSE k END AS l
+        FROM (SELECT *, list_position(list_transform(b, lambda x: x.n), m) AS k FROM (SELECT *, list_min(list_transform(b, lambda x: x.n)) AS m FROM fold)))
+  WHERE len(b) > {LEAST_BINS} AND m < {LEAST_ROWS})
+SELECT unnest(b, recursive := true) FROM (SELECT b FROM fold ORDER BY step DESC LIMIT 1)"""
+
+
+@query("E37_merge_sparse_bins", f"""
+SELECT CAST(rank AS BIGINT) AS bin, count(*) AS n, min(or_width) AS lower, max(or_width) AS upper, round(avg(result_r), 6) AS average_r
+FROM (SELECT *, {_BIN} AS b FROM executed) e JOIN (SELECT *, row_number() OVER (ORDER BY low) - 1 AS rank FROM merged_bins) m ON e.b BETWEEN m.low AND m.high GROUP BY 1""")
 def _(m):
-    return executed(m).groupBy(merged_edges(m).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"), r6(F.avg("result_r")).alias("average_r"))
+    first = F.aggregate(F.array(*[F.lit(x) for x in WIDTH_MARKS]), F.lit(0), lambda s, x: s + (F.col("or_width") >= x).cast("int"))
+    rows = executed(m).withColumn("_b", first)
+    # One row with a number per initial bin; the fold is part of the plan.
+    counts = rows.agg(*[F.count_if(F.col("_b") == i).alias(f"n{i}") for i in range(len(WIDTH_MARKS) + 1)])
+    bins = F.array(*[F.struct(F.lit(i).alias("low"), F.lit(i).alias("high"), F.col(f"n{i}").alias("n")) for i in range(len(WIDTH_MARKS) + 1)])
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(len(WIDTH_MARKS))), bins, lambda b, _: sparse_bins_merged(b))
+    merged = counts.select(F.posexplode(folded).alias("bin", "_m")).select(F.col("bin").cast("bigint"), F.explode(F.sequence("_m.low", "_m.high")).alias("_b"))
+    return rows.join(F.broadcast(merged), "_b").groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("or_width").alias("lower"), F.max("or_width").alias("upper"), r6(F.avg("result_r")).alias("average_r"))

@@ -8,6 +8,7 @@ from sessionloom.catalog import patterns as PC
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.sql import CTES
 from sessionloom.catalog.trades import exits
+from sessionloom.catalog.zquality import at
 from sessionloom.operators import bars as B
 from sessionloom.operators import patterns as P
 from sessionloom.operators import quality as Q
@@ -262,8 +263,10 @@ def _(m):
 
 @query("K06_active_blocks")
 def _(m):
-    slot = 250
-    return block_life(m).filter((F.col("admission_slot") <= slot) & (F.col("failed_slot").isNull() | (F.col("failed_slot") > slot))).select("instrument_id", "swing_id", "direction", "lower_ticks", "upper_ticks", "admission_slot")
+    # the last expected slot that has ended at the instant
+    now = m.schedule().filter(F.col("bar_end") <= at()).agg(F.max("slot").alias("now_slot"))
+    rows = block_life(m).join(F.broadcast(now), F.col("admission_slot") <= F.col("now_slot"))
+    return rows.filter(F.col("failed_slot").isNull() | (F.col("failed_slot") > F.col("now_slot"))).select("instrument_id", "swing_id", "direction", "lower_ticks", "upper_ticks", "admission_slot")
 
 
 def block_touches(m):

@@ -101,3 +101,8 @@ def touch_visits(touches: DataFrame) -> DataFrame:
     return rows.groupBy("zone_id", "stage", "visit_no").agg(
         F.min("bar_end").alias("first_touch_at"), F.max("bar_end").alias("last_touch_at"), F.count(F.lit(1)).alias("bars"),
         F.bool_or("is_midpoint").alias("reached_midpoint"), F.bool_or("is_full").alias("reached_full"), F.max("depth_ticks").alias("max_depth_ticks"))
+
+
+def review_queue(rows: DataFrame, rank: str, order: Sequence[str], size: int = 24) -> DataFrame:
+    """The first ``size`` rows to look at: the first of each stratum, then the others, each in ``order`` (a distributed take)."""
+    return rows.orderBy(F.when(F.col(rank) == 1, 0).otherwise(1), *order).limit(size)

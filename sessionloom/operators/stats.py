@@ -192,11 +192,12 @@ def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
         r6(F.when(ok("_rx", "_ry"), F.corr("_rx", "_ry"))).alias("spearman"))
 
 
-def equity_curves(trades: DataFrame, key: str, names: Sequence[str], day: str = "session_date") -> DataFrame:
-    """Equity of each key on the union of dates, carried forward; one row per date (a bounded dimension)."""
-    daily = trades.groupBy(day).pivot(key, list(names)).agg(F.sum("result_r"))
-    order = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select(day, *[r6(F.sum(F.coalesce(n, F.lit(0.0))).over(order)).alias(n) for n in names])
+def equity_curves(trades: DataFrame, key: str, day: str = "session_date") -> DataFrame:
+    """Equity of every key on the union of all dates, carried forward; one row per key and date, one window per key."""
+    # One column per key that there is, and back to rows: dates on which a key has no trade come out as nulls.
+    daily = trades.groupBy(day).pivot(key).agg(F.sum("result_r")).unpivot([day], None, key, "_sum")
+    order = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    return daily.select(day, key, r6(F.sum(F.coalesce("_sum", F.lit(0.0))).over(order)).alias("equity"))
 
 
 def grid_neighbours(cells: DataFrame, group: Sequence[str], axes: Sequence[str], value: str) -> DataFrame:

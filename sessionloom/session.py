@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -59,11 +60,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests on one machine) a fresh temporary folder is made.
+    Where none is named, a fresh temporary folder is made on a local master; elsewhere executors would write to
+    disks of their own, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -15,20 +15,12 @@ from sessionloom.sources import calendar as cal
 
 @dataclass(frozen=True)
 class Settings:
-    """Bar length and opening-range parameters; denser event tables get finer bars."""
+    """Bar length in seconds, opening range (start, number of bars) and the last start of an entry bar; the same at every scale."""
 
-    interval: int
-    range_clock: int
-    range_bars: int
-    cutoff_clock: int
-
-
-def settings_for(events: DataFrame) -> Settings:
-    rows = events.count()
-    if rows < 5_000:
-        return Settings(14_400, 8 * 3600, 1, 16 * 3600)
-    interval = 3_600 if rows < 50_000 else 900 if rows < 500_000 else 60
-    return Settings(interval, 9 * 3600, 3, 13 * 3600)
+    interval: int = 3_600
+    range_clock: int = 9 * 3600
+    range_bars: int = 3
+    cutoff_clock: int = 13 * 3600
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,24 +76,17 @@ class Market:
     query starts from a scan of them.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, spec: cal.SessionSpec = cal.TEST_SPEC):
-        self.spark, self.sf_dir, self.spec = spark, sf_dir, spec
+    def __init__(self, spark: SparkSession, sf_dir: str, spec: cal.SessionSpec = cal.TEST_SPEC, settings: Settings = Settings()):
+        self.spark, self.sf_dir, self.spec, self.settings = spark, sf_dir, spec, settings
         self.events = read_table(spark, sf_dir, "events")
-        self._settings: Settings | None = None
 
     def keep(self, name: str, build) -> DataFrame:
         """Write a shared table once per application and scan it afterwards."""
-        key = (self.spark.sparkContext.applicationId, id(self.spark._jsparkSession), self.sf_dir, self.spec, name)
+        key = (self.spark.sparkContext.applicationId, id(self.spark._jsparkSession), self.sf_dir, self.spec, self.settings, name)
         if key not in _KEPT:
             _KEPT[key] = written(build(), name)
         return _KEPT[key]
 
-    @property
-    def settings(self) -> Settings:
-        if self._settings is None:
-            self._settings = settings_for(self.events)
-        return self._settings
-
     @property
     def interval(self) -> int:
         return self.settings.interval
@@ -120,6 +105,15 @@ class Market:
         """Bars that start inside an open session, with the ordinal of their expected slot."""
         return self.keep("bars", self._bars)
 
+    def rejected_bars(self) -> DataFrame:
+        """Bars in a break, on a closed day or outside the calendar, with the reason."""
+        dim = self.calendar().select("trading_date", "kind", F.col("open").alias("_open"), F.col("close").alias("_close"))
+        rows = self.raw_bars().join(F.broadcast(dim), "trading_date", "left")
+        closed = F.col("kind").isNull() | (F.col("kind") == "CLOSED")
+        outside = (F.col("bar_start") < F.col("_open")) | (F.col("bar_start") >= F.col("_close"))
+        return rows.filter(closed | outside).select(
+            "instrument_id", "trading_date", "bar_start", "bar_end", "volume", F.when(closed, "CLOSED_DAY").otherwise("SESSION_BREAK").alias("reason"))
+
     def segments(self) -> DataFrame:
         """Session bars with their continuity segment."""
         return self.keep("segments", lambda: continuity_segments(self.bars()))

@@ -6,7 +6,7 @@ import sys
 import duckdb
 import pytest
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = """A05_derived_bar_store A08_session_calendar B01_validate_bars C02_session_status C25_candidate_entry D08_bar_level_interactions D10_first_close_beyond
