@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, insort
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.graph import components
 from sessionloom.functions.ids import natural_id, utc_text
 from sessionloom.functions.ordered import running
 from sessionloom.functions.replay import replay
@@ -18,124 +21,170 @@ BULL, BEAR = "BULLISH", "BEARISH"
 
 
 # --- J02 -------------------------------------------------------------------------------------------------
+class _Side:
+    """One direction seen as rising: prices are mirrored for the falling one, so that every rule is written once."""
+
+    def __init__(self, name: str, sign: int, origin: str, goal: str):
+        self.name, self.sign, self.origin, self.goal = name, sign, origin, goal
+        self.low, self.high = ("LOWER", "UPPER") if sign > 0 else ("UPPER", "LOWER")
+
+    def above(self, a, b) -> bool:
+        return self.sign * a.price > self.sign * b.price
+
+
+class _Swing(NamedTuple):
+    first: int
+    last: int
+    price: int
+    id: str
+
+
+class _Role(NamedTuple):
+    """A swing in a role under a parent (the anchor or leg that it belongs to)."""
+
+    swing: _Swing
+    parent: tuple
+
+
+SIDES = (_Side(BULL, 1, "BULL_ANCHOR", "BULL_TARGET"), _Side(BEAR, -1, "BEAR_ANCHOR", "BEAR_TARGET"))
+
+
 class _Structure:
-    """Direction and role selection of one episode.
+    """Direction and roles of one episode, from admissions and breaks of swings alone.
 
-    Every classified break is the first close beyond a swing, so the machine needs only admissions and
-    breaches of swings, not the bars.
+    Rules.  Without a direction, each side has an origin (its most extreme low-side swing since the last change of character)
+    and a goal (the most extreme high-side swing after it).  Breaking a goal while exactly one side has an unbroken pullback
+    above its origin, newer than the last change of character, establishes that direction; the pullback is protected.
+    With a direction, breaking the target goes on (and protects a higher pullback), breaking the protected swing ends it.
     """
 
     def __init__(self, key):
-        self.key, self.slot, self.batch = key, None, []
-        self.alive = {"UPPER": [], "LOWER": []}     # (first_slot, last_slot, price, swing_id), by source
-        self.direction, self.scope, self.choch = "UNDEFINED", -1, None
-        self.roles, self.baseline, self.expansion = {}, None, None
-
-    def best(self, side, first=None, last=None):
-        """Most extreme live swing at or after the bounds; the earliest wins a tie."""
-        sign = -1 if side == "UPPER" else 1
-        rows = [s for s in self.alive[side] if (first is None or s[0] >= first) and (last is None or s[1] >= last)]
-        return min(rows, key=lambda s: (sign * s[2], s[0])) if rows else None
+        self.key, self.slot, self.rows = key, None, []
+        self.live = {"UPPER": {}, "LOWER": {}}
+        self.side, self.ended, self.since, self.turned = None, False, -1, None
+        self.roles, self.protected, self.leg = {}, None, None
 
     def step(self, row):
-        out = []
-        if row.slot != self.slot:
-            out = self.flush()
-            self.slot, self.batch = row.slot, []
-        self.batch.append(row)
-        return out
+        if row.slot == self.slot:
+            self.rows.append(row)
+            return []
+        done = self.finish()
+        self.slot, self.rows = row.slot, [row]
+        return done
 
     def finish(self):
-        return self.flush()
-
-    def flush(self):
-        if not self.batch:
+        if not self.rows:
             return []
-        out, slot = [], self.slot
-        emit = lambda kind, a, b, swing, role: out.append((*self.key, slot, kind, a, b, swing, role))
-        if any(r.action == "RESET" for r in self.batch):
-            for role, swing in sorted(self.roles.items()):
-                emit("ROLE_END", None, "ENDED", swing[3], role)
-            emit("RESET", self.direction, "RESET", None, None)
-            self.roles, self.direction = {}, "RESET"
-            return out
-        broken = {r.swing_id for r in self.batch if r.action == "BREACH"}
-        before, reasons, event = dict(self.roles), {}, None
-        hit = lambda role: role in before and before[role][3] in broken
-        if self.direction == "UNDEFINED":
-            wins = []
-            for name, anchor, target, low in ((BULL, "BULL_ANCHOR", "BULL_TARGET", "LOWER"), (BEAR, "BEAR_ANCHOR", "BEAR_TARGET", "UPPER")):
-                if hit(anchor):
-                    reasons[anchor] = "BROKEN"
-                elif anchor in before and hit(target):
-                    pull = self.best(low, first=before[target][1] + 1)
-                    inside = pull is not None and (pull[2] > before[anchor][2] if name == BULL else pull[2] < before[anchor][2])
-                    fresh = inside and (self.choch is None or pull[0] > self.choch)
-                    reasons[target] = "RETIRED"
-                    if fresh:
-                        wins.append((name, target, pull))
-            if len(wins) == 1:
-                name, target, pull = wins[0]
-                reasons[target] = "CONSUMED"
-                event = ("ESTABLISHMENT", "UNDEFINED", name, before[target])
-                new_state = (name, pull)
-            elif len(wins) == 2:
-                emit("DUAL_ESTABLISHMENT", "UNDEFINED", "UNDEFINED", None, None)
-        else:
-            bull = self.direction == BULL
-            if hit("PROTECTION"):
-                reasons["PROTECTION"] = "BROKEN"
-                event = ("CHOCH", self.direction, "UNDEFINED", before["PROTECTION"])
-            elif hit("TARGET"):
-                reasons["TARGET"] = "CONSUMED"
-                event = ("BOS", self.direction, self.direction, before["TARGET"])
-                pull = self.best("LOWER" if bull else "UPPER", first=before["TARGET"][1] + 1)
-                keep = before["PROTECTION"]
-                if pull is not None and (pull[2] > keep[2] if bull else pull[2] < keep[2]):
-                    reasons["PROTECTION"] = "REPLACED"
-                    keep = pull
-        for side in ("UPPER", "LOWER"):
-            self.alive[side] = [s for s in self.alive[side] if s[3] not in broken]
-        for r in self.batch:
-            if r.action == "ADMIT":
-                insort(self.alive[r.orientation], (r.first_slot, r.last_slot, r.price_ticks, r.swing_id))
-        protection = before.get("PROTECTION")
-        if event is not None:
-            kind, _, post, swing = event
-            if kind == "ESTABLISHMENT":
-                self.direction, protection = new_state
-                self.baseline, self.expansion = swing, slot
-            elif kind == "BOS":
-                protection, self.baseline, self.expansion = keep, swing, slot
-            else:
-                self.direction, self.scope, self.choch = "UNDEFINED", swing[0], slot
-                self.baseline = self.expansion = protection = None
-        roles = {}
-        if self.direction == "UNDEFINED":
-            for anchor, target, low, high in (("BULL_ANCHOR", "BULL_TARGET", "LOWER", "UPPER"), ("BEAR_ANCHOR", "BEAR_TARGET", "UPPER", "LOWER")):
-                a = self.best(low, first=self.scope)
-                if a is not None:
-                    roles[anchor] = a
-                    t = self.best(high, first=a[1] + 1)
-                    if t is not None:
-                        roles[target] = t
-        else:
-            roles["PROTECTION"] = protection
-            bull = self.direction == BULL
-            t = self.best("UPPER" if bull else "LOWER", first=self.baseline[1] + 1, last=self.expansion)
-            if t is not None and (t[2] > self.baseline[2] if bull else t[2] < self.baseline[2]):
-                roles["TARGET"] = t
+        actions = {k: [r for r in self.rows if r.action == k] for k in ("ADMIT", "BREACH", "RESET")}
+        return self.reset() if actions["RESET"] else self.advance(actions["ADMIT"], {r.swing_id for r in actions["BREACH"]})
+
+    def state(self):
+        return "RESET" if self.ended else self.side.name if self.side else "UNDEFINED"
+
+    def line(self, kind, pre, post, swing=None, role=None):
+        return (*self.key, self.slot, kind, pre, post, swing.id if swing else None, role)
+
+    def reset(self):
+        closed = [self.line("ROLE_END", None, "ENDED", self.roles[r].swing, r) for r in sorted(self.roles)]
+        closed.append(self.line("RESET", self.state(), "RESET"))
+        self.roles, self.side, self.ended = {}, None, True
+        return closed
+
+    def extreme(self, kind, first=None, last=None):
+        """The outermost live swing of a kind in bounds; the earliest of equals."""
+        sign = 1 if kind == "UPPER" else -1
+        fits = [x for x in self.live[kind].values() if (first is None or x.first >= first) and (last is None or x.last >= last)]
+        return max(fits, key=lambda x: (sign * x.price, -x.first), default=None)
+
+    def advance(self, admitted, broken):
+        why, before, pre = {}, self.roles, self.state()
+        event = self.judge({r for r, v in before.items() if v.swing.id in broken}, why)
+        for kind, swings in self.live.items():
+            for swing in broken:
+                swings.pop(swing, None)
+        for r in admitted:
+            self.live[r.orientation][r.swing_id] = _Swing(r.first_slot, r.last_slot, r.price_ticks, r.swing_id)
+        if event and event[1] is not None:
+            event[1]()
+        self.roles = self.assigned()
+        lines = []
         for role in sorted(before):
-            if roles.get(role) != before[role]:
-                more = roles.get(role) is not None and role not in reasons
-                emit("ROLE_END", None, reasons.get(role, "SUPERSEDED" if more else "ENDED"), before[role][3], role)
-        for role in sorted(roles):
-            if before.get(role) != roles[role]:
-                emit("ROLE_START", None, "ACTIVE", roles[role][3], role)
-        if event is not None:
-            emit(event[0], event[1], event[2], event[3][3], None)
-        self.roles = roles
-        return out
+            old, new = before[role], self.roles.get(role)
+            if new != old:
+                lines.append(self.line("ROLE_END", None, why.get(role) or self.fate(role, old, new), old.swing, role))
+        lines += [self.line("ROLE_START", None, "ACTIVE", v.swing, r) for r, v in sorted(self.roles.items()) if before.get(r) != v]
+        if event:
+            kind, _, swing = event
+            at_end = kind == "DUAL_ESTABLISHMENT"
+            lines.insert(0 if at_end else len(lines), self.line(kind, pre, self.state(), swing))
+        return lines
+
+    def fate(self, role, old, new):
+        """A role passes on only under the same parent and to a swing further out."""
+        if new is None or new.parent != old.parent:
+            return "ENDED"
+        outer = {"PROTECTION": self.side and -self.side.sign, "TARGET": self.side and self.side.sign}
+        sign = outer.get(role) or next(x.sign * (-1 if role == x.origin else 1) for x in SIDES if role in (x.origin, x.goal))
+        return "SUPERSEDED" if sign * new.swing.price > sign * old.swing.price else "ENDED"
+
+    def judge(self, hit, why):
+        """What the broken roles mean: an event with the change it makes, or nothing."""
+        if self.ended:
+            return None
+        if self.side is None:
+            ready = []
+            for x in SIDES:
+                if x.origin in hit:
+                    why[x.origin] = "BROKEN"
+                elif x.goal in hit:
+                    why[x.goal] = "RETIRED"
+                    pull = self.extreme(x.low, first=self.roles[x.goal].swing.last + 1)
+                    if pull and x.above(pull, self.roles[x.origin].swing) and (self.turned is None or pull.first > self.turned):
+                        ready.append((x, pull))
+            if len(ready) == 2:
+                return "DUAL_ESTABLISHMENT", None, None
+            if not ready:
+                return None
+            (x, pull), = ready
+            why[x.goal] = "CONSUMED"
+            goal = self.roles[x.goal].swing
+            return "ESTABLISHMENT", lambda: self.go(x, pull, goal), goal
+        x, guard = self.side, self.protected
+        if "PROTECTION" in hit:
+            why["PROTECTION"] = "BROKEN"
+            return "CHOCH", lambda: self.turn(guard), guard
+        if "TARGET" in hit:
+            why["TARGET"] = "CONSUMED"
+            goal = self.roles["TARGET"].swing
+            pull = self.extreme(x.low, first=goal.last + 1)
+            if pull and x.above(pull, guard):
+                why["PROTECTION"], guard = "REPLACED", pull
+            return "BOS", lambda: self.go(x, guard, goal), goal
+        return None
+
+    def go(self, side, protected, broken):
+        self.side, self.protected, self.leg = side, protected, (broken, self.slot)
+
+    def turn(self, broken):
+        self.since, self.turned = broken.first, self.slot
+        self.side = self.protected = self.leg = None
+
+    def assigned(self):
+        if self.ended:
+            return {}
+        found = {}
+        if self.side is None:
+            for x in SIDES:
+                origin = self.extreme(x.low, first=self.since)
+                goal = origin and self.extreme(x.high, first=origin.last + 1)
+                found[x.origin] = origin and _Role(origin, (self.since,))
+                found[x.goal] = goal and _Role(goal, (origin.id,))
+        else:
+            start, slot = self.leg
+            goal = self.extreme(self.side.high, first=start.last + 1, last=slot)
+            found["PROTECTION"] = _Role(self.protected, (start.id,))
+            found["TARGET"] = _Role(goal, (start.id,)) if goal and self.side.above(goal, start) else None
+        return {role: v for role, v in found.items() if v}
 
 
 STRUCTURE_SCHEMA = ("instrument_id string, segment_id bigint, slot bigint, kind string, pre_state string, post_state string, "
@@ -182,90 +231,51 @@ def level_links(atoms: DataFrame, tolerance: int) -> DataFrame:
     return checked.drop("_from", "_top", "_side", "_last").withColumn("is_blocked", F.col("blocked_slot").isNotNull())
 
 
-class _Clusters:
-    """Component versions of one segment and side: FORMED, EXTENDED or MERGED as links arrive."""
-
-    def __init__(self, key):
-        self.key, self.parent, self.members, self.version = key, {}, {}, {}
-        self.slot, self.current, self.links = None, None, []
-
-    def root(self, x):
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def step(self, row):
-        out = []
-        if row.later_id != self.current:
-            out = self.flush()
-            self.current, self.slot, self.links = row.later_id, row.later_slot, []
-        self.links.append(row.earlier_id)
-        return out
-
-    def finish(self):
-        return self.flush()
-
-    def flush(self):
-        if not self.links:
-            return []
-        j = self.current
-        for x in (j, *self.links):
-            self.parent.setdefault(x, x)
-            self.members.setdefault(self.root(x), [x] if self.root(x) == x else self.members.get(self.root(x)))
-        prior = sorted({self.version[self.root(i)] for i in self.links if self.root(i) in self.version})
-        for i in self.links:
-            a, b = self.root(i), self.root(j)
-            if a != b:
-                if len(self.members[a]) < len(self.members[b]):
-                    a, b = b, a
-                self.parent[b] = a
-                self.members[a] += self.members.pop(b)
-        top = self.root(j)
-        self.version = {r: v for r, v in self.version.items() if self.parent.get(r) == r and v not in prior}
-        change = "FORMED" if not prior else "EXTENDED" if len(prior) == 1 else "MERGED"
-        name = f"{j}@{len(self.members[top])}"
-        self.version[top] = name
-        return [(*self.key, self.slot, name, change, sorted(self.members[top]), prior)]
-
-
 CLUSTER_SCHEMA = ("instrument_id string, segment_id bigint, orientation string, available_slot bigint, version_id string, change_kind string, "
                   "member_ids array<string>, supersedes array<string>")
 
 
-def equal_level_clusters(links: DataFrame) -> DataFrame:
-    open_links = links.filter("not is_blocked")
-    return replay(open_links, [*SEGMENT, "orientation"], ["later_slot", "later_id", "earlier_slot"], _Clusters, CLUSTER_SCHEMA)
-
+def _cluster_history(rows: pd.DataFrame) -> pd.DataFrame:
+    """Versions of one connected set of links: each later swing joins all sets it is linked to into a new version."""
+    rows = rows.sort_values(["later_slot", "later_id"])
+    key = rows.iloc[0][[*SEGMENT, "orientation"]].tolist()
+    live: dict[str, set] = {}
+    out = []
+    for (slot, later), links in rows.groupby(["later_slot", "later_id"], sort=True):
+        joining = set(links["earlier_id"]) | {later}
+        touched = sorted(name for name, members in live.items() if members & joining)
+        members = joining.union(*(live.pop(name) for name in touched))
+        change = ("FORMED", "EXTENDED")[len(touched)] if len(touched) < 2 else "MERGED"
+        name = f"{later}@{len(members)}"
+        live[name] = members
+        out.append((*key, slot, name, change, sorted(members), touched))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in CLUSTER_SCHEMA.split(", ")])
 
-class _Lineages:
-    """Versions to lineages: an extension continues its lineage, a merge starts one and stops the absorbed."""
-
-    def __init__(self, key):
-        self.key, self.of, self.stopped = key, {}, set()
-
-    def step(self, row):
-        out = []
-        if row.change_kind == "EXTENDED":
-            name = self.of[row.supersedes[0]]
-        else:
-            name = "xc_" + row.version_id
-            if row.change_kind == "MERGED":
-                for old in sorted({self.of[s] for s in row.supersedes}):
-                    if old not in self.stopped:
-                        self.stopped.add(old)
-                        out.append((*self.key, old, row.version_id, row.available_slot, "STOPPED"))
-        self.of[row.version_id] = name
-        out.append((*self.key, name, row.version_id, row.available_slot, row.change_kind))
-        return out
 
-    def finish(self):
-        return []
+def equal_level_clusters(links: DataFrame) -> DataFrame:
+    """Versions of the connected sets of equal levels; sets are found first, so each is a group of its own."""
+    rows = links.filter("not is_blocked").select(*SEGMENT, "orientation", "later_slot", "later_id", "earlier_id")
+    sets = components(rows.select(F.col("earlier_id").alias("a"), F.col("later_id").alias("b")))
+    rows = rows.join(sets, rows["later_id"] == sets["node"]).drop("node")
+    return rows.groupBy("root").applyInPandas(lambda pdf: _cluster_history(pdf), CLUSTER_SCHEMA)
 
 
 def cluster_lineages(versions: DataFrame) -> DataFrame:
-    schema = "instrument_id string, segment_id bigint, orientation string, lineage_id string, version_id string, available_slot bigint, change_kind string"
-    return replay(versions, [*SEGMENT, "orientation"], ["available_slot", "version_id"], _Lineages, schema)
+    """Versions to lineages: an extension continues its lineage, a merge starts one and stops the absorbed.
+
+    The chains of extensions are connected sets, each named by the one version in it that extends nothing.
+    """
+    keys = [*SEGMENT, "orientation"]
+    named = versions.select(*keys, "version_id", "available_slot", "change_kind", "supersedes", F.concat_ws("|", *keys, "version_id").alias("_node"))
+    chains = components(named.filter("change_kind = 'EXTENDED'").select("_node", F.concat_ws("|", *keys, F.col("supersedes")[0]).alias("_before")).toDF("a", "b"))
+    rows = named.join(chains, named["_node"] == chains["node"], "left").withColumn("_chain", F.coalesce("root", "_node"))
+    heads = rows.filter("change_kind <> 'EXTENDED'").select(F.col("_chain"), F.concat(F.lit("lineage_"), "version_id").alias("lineage_id"))
+    rows = written(rows.join(heads, "_chain").select(*keys, "lineage_id", "version_id", "available_slot", "change_kind", "supersedes"), "lineages")
+    absorbed = rows.filter("change_kind = 'MERGED'").select(*keys, "version_id", "available_slot", F.explode("supersedes").alias("_old"))
+    absorbed = absorbed.join(rows.select(*keys, F.col("version_id").alias("_old"), "lineage_id"), [*keys, "_old"])
+    stops = absorbed.groupBy(*keys, "lineage_id").agg(F.min(F.struct("available_slot", "version_id")).alias("_at"))
+    stops = stops.select(*keys, "lineage_id", "_at.version_id", "_at.available_slot", F.lit("STOPPED").alias("change_kind"))
+    return rows.drop("supersedes").unionByName(stops)
 
 
 # --- J05 -------------------------------------------------------------------------------------------------
@@ -297,67 +307,83 @@ def level_versions(levels: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 # --- J06 -------------------------------------------------------------------------------------------------
+class _Book:
+    """Live boundaries of one side, from the inside out; prices are mirrored below, so that outwards is upwards."""
+
+    def __init__(self, sign: int):
+        self.sign, self.rows = sign, []
+
+    def add(self, price, slot, name):
+        insort(self.rows, (self.sign * price, slot, name))
+
+    def drop(self, price, slot, name):
+        at = bisect_left(self.rows, (self.sign * price, slot, name))
+        del self.rows[at]
+
+    def first(self, price, beyond=False):
+        """The innermost boundary at or outside a price, or strictly outside."""
+        at = bisect_left(self.rows, (self.sign * price + beyond,))
+        return self.rows[at] if at < len(self.rows) else None
+
+
 class _Ranges:
-    """Trading range of one episode between the closest live boundaries."""
+    """Trading range of one episode between the closest live boundaries.
+
+    A range starts at the first close not below all lower boundaries.  A side whose boundary died moves outwards; then the
+    other side moves inwards if a boundary nearer to the close is there.  Without a lower boundary the range ends.
+    """
 
     def __init__(self, key):
-        self.key, self.live, self.range, self.count = key, [], None, 0
-
-    def pick(self, side, close=None, beyond=None):
-        if side == "UPPER":
-            rows = [c for c in self.live if c[0] == side and (close is None or c[1] >= close) and (beyond is None or c[1] > beyond)]
-            return min(rows, key=lambda c: (c[1], c[2], c[3])) if rows else None
-        rows = [c for c in self.live if c[0] == side and (close is None or c[1] <= close) and (beyond is None or c[1] < beyond)]
-        return min(rows, key=lambda c: (-c[1], c[2], c[3])) if rows else None
-
-    def emit(self, slot, kind):
-        up, lo = self.range["UPPER"], self.range["LOWER"]
-        return (*self.key, self.range["no"], slot, kind, up[1] if up else None, lo[1] if lo else None, up[3] if up else None, lo[3] if lo else None)
-
-    def establish(self, slot, close):
-        lows = [c[1] for c in self.live if c[0] == "LOWER"]
-        if not lows or close < min(lows):
-            return []
-        self.count += 1
-        self.range = {"no": self.count, "UPPER": self.pick("UPPER", close=close), "LOWER": self.pick("LOWER", close=close)}
-        return [self.emit(slot, "ESTABLISHED")]
+        self.key, self.number, self.held = key, 0, None
+        self.books, self.ends = {"UPPER": _Book(1), "LOWER": _Book(-1)}, []
+
+    def finish(self):
+        return []
 
     def step(self, row):
-        if row.action == "A":
-            # a boundary becomes eligible at the end of its bar, before that bar's close is judged
-            self.live.append((row.side, row.price_ticks, row.slot, row.object_id, row.death_slot if row.death_slot == row.death_slot else None))
+        if row.action == "A":  # eligible at the end of its bar, before that bar's close is judged
+            self.books[row.side].add(row.price_ticks, row.slot, row.object_id)
+            if row.death_slot == row.death_slot:
+                insort(self.ends, (row.death_slot, row.side, row.price_ticks, row.slot, row.object_id))
             return []
-        slot, close, out = row.slot, row.close, []
-        dead = [c for c in self.live if c[4] is not None and c[4] <= slot]
-        self.live = [c for c in self.live if c not in dead]
-        if self.range is None:
-            return self.establish(slot, close)
-        up, lo = self.range["UPPER"], self.range["LOWER"]
-        hit_up, hit_lo = up in dead, lo in dead
-        if not (hit_up or hit_lo):
+        gone = {}
+        while self.ends and self.ends[0][0] <= row.slot:
+            _, side, *spot = self.ends.pop(0)
+            self.books[side].drop(*spot)
+            gone.setdefault(side, set()).add(spot[2])
+        lost = {s for s, v in (self.held or {}).items() if v and v[2] in gone.get(s, ())}
+        if self.held is None:
+            return self.start(row)
+        return self.moved(row, lost) if lost else []
+
+    def start(self, row):
+        outer = self.books["LOWER"].rows
+        if not outer or -row.close > outer[-1][0]:
             return []
-        if hit_lo:
-            new = self.pick("LOWER", beyond=lo[1])
-            if new is None:
-                out.append(self.emit(slot, "TERMINATED"))
-                self.range = None
-                return out + self.establish(slot, close)
-            self.range["LOWER"] = new
-        if hit_up:
-            self.range["UPPER"] = self.pick("UPPER", beyond=up[1])
-        kind = "BOTH_ADVANCED" if hit_up and hit_lo else "UPPER_ADVANCED" if hit_up else "LOWER_ADVANCED"
-        if hit_up and not hit_lo:
-            near = self.pick("LOWER", close=close)
-            if near is not None and near[1] > lo[1]:
-                self.range["LOWER"], kind = near, kind + "+OPPOSITE_RESELECTED"
-        elif hit_lo and not hit_up:
-            near = self.pick("UPPER", close=close)
-            if near is not None and (up is None or near[1] < up[1]):
-                self.range["UPPER"], kind = near, kind + "+OPPOSITE_RESELECTED"
-        return [self.emit(slot, kind)]
-
-    def finish(self):
-        return []
+        self.number += 1
+        self.held = {s: b.first(row.close) for s, b in self.books.items()}
+        return [self.line(row.slot, "ESTABLISHED")]
+
+    def moved(self, row, lost):
+        was = self.held
+        outward = {s: self.books[s].first(self.books[s].sign * was[s][0], beyond=True) for s in lost}
+        if "LOWER" in lost and outward["LOWER"] is None:
+            ended = self.line(row.slot, "TERMINATED")
+            self.held = None
+            return [ended, *self.start(row)]
+        self.held = {**was, **outward}
+        kind = "BOTH_ADVANCED"
+        if len(lost) == 1:
+            (side,) = lost
+            other = "LOWER" if side == "UPPER" else "UPPER"
+            kind, near = f"{side}_ADVANCED", self.books[other].first(row.close)
+            if near and (was[other] is None or near[0] < was[other][0]):
+                self.held[other], kind = near, kind + "+OPPOSITE_RESELECTED"
+        return [self.line(row.slot, kind)]
+
+    def line(self, slot, kind):
+        up, low = self.held["UPPER"], self.held["LOWER"]
+        return (*self.key, self.number, slot, kind, up and up[0], low and -low[0], up and up[2], low and low[2])
 
 
 RANGE_SCHEMA = ("instrument_id string, segment_id bigint, range_no bigint, slot bigint, change_kind string, upper_ticks bigint, lower_ticks bigint, "
