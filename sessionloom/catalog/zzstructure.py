@@ -78,12 +78,35 @@ def clusters(m):
     return m.keep("clusters", lambda: J.equal_level_clusters(links(m)))
 
 
-@query("J03_equal_level_clusters")
+CTES["clusters"] = """
+WITH RECURSIVE l AS (SELECT * FROM links WHERE NOT is_blocked),
+ ev AS (SELECT DISTINCT instrument_id, segment_id, orientation, later_slot AS js, later_id AS j FROM l),
+ now AS (SELECT js, j, j AS m FROM ev UNION SELECT n.js, n.j, CASE WHEN l.later_id = n.m THEN l.earlier_id ELSE l.later_id END FROM now n JOIN l ON (l.later_id = n.m OR l.earlier_id = n.m) AND (l.later_slot, l.later_id) <= (n.js, n.j)),
+ old AS (SELECT later_slot AS js, later_id AS j, earlier_id AS e, earlier_id AS m FROM l
+   UNION SELECT o.js, o.j, o.e, CASE WHEN l.later_id = o.m THEN l.earlier_id ELSE l.later_id END FROM old o JOIN l ON (l.later_id = o.m OR l.earlier_id = o.m) AND (l.later_slot, l.later_id) < (o.js, o.j)),
+ prior AS (SELECT o.js, o.j, o.e, max_by(x.j, (x.js, x.j)) || '@' || CAST(count(DISTINCT o.m) AS VARCHAR) AS v FROM old o LEFT JOIN ev x ON x.j = o.m GROUP BY 1, 2, 3 HAVING count(x.j) > 0),
+ sup AS (SELECT js, j, list_sort(list(DISTINCT v)) AS v FROM prior GROUP BY 1, 2),
+ mem AS (SELECT js, j, list_sort(list(m)) AS m FROM now GROUP BY 1, 2)
+SELECT ev.instrument_id, ev.segment_id, ev.orientation, js AS available_slot, j || '@' || CAST(len(mem.m) AS VARCHAR) AS version_id,
+       CASE WHEN sup.v IS NULL THEN 'FORMED' WHEN len(sup.v) = 1 THEN 'EXTENDED' ELSE 'MERGED' END AS change_kind, mem.m AS member_ids, coalesce(sup.v, CAST([] AS VARCHAR[])) AS supersedes
+FROM ev JOIN mem USING (js, j) LEFT JOIN sup USING (js, j)"""
+
+
+@query("J03_equal_level_clusters", "SELECT * FROM clusters")
 def _(m):
     return clusters(m)
 
 
-@query("J04_cluster_lineages")
+CTES["lineages"] = """
+WITH RECURSIVE f AS (SELECT version_id, 'lineage_' || version_id AS lineage_id FROM clusters WHERE change_kind <> 'EXTENDED'
+ UNION ALL SELECT c.version_id, f.lineage_id FROM clusters c JOIN f ON c.change_kind = 'EXTENDED' AND c.supersedes[1] = f.version_id)
+SELECT c.*, f.lineage_id FROM clusters c JOIN f USING (version_id)"""
+
+
+@query("J04_cluster_lineages", """
+SELECT instrument_id, segment_id, orientation, lineage_id, version_id, available_slot, change_kind FROM lineages
+UNION ALL SELECT * FROM (SELECT n.instrument_id, n.segment_id, n.orientation, o.lineage_id, min_by(n.version_id, (n.available_slot, n.version_id)) AS version_id, min(n.available_slot) AS available_slot, 'STOPPED' AS change_kind
+ FROM (SELECT *, unnest(supersedes) AS old FROM lineages WHERE change_kind = 'MERGED') n JOIN lineages o ON o.version_id = n.old GROUP BY 1, 2, 3, 4)""")
 def _(m):
     return J.cluster_lineages(clusters(m))
 
