@@ -77,9 +77,9 @@ def _(m):
     rolled = S.rolling_mean(rows, CELL, levels, ORDER, 20).groupBy(*CELL).agg(F.min("rolling_20").alias("rolling_20_min"))
     months = S.monthly_summary(rows, CELL, "trading_date").groupBy(*CELL).agg(F.count_if(F.col("total_r") > 0).alias("positive_months"), F.count(F.lit(1)).alias("months"))
     out = rows.groupBy(*CELL).agg(*S.core_metrics())
-    for other in (counts, S.max_drawdown(rows, CELL, levels, ORDER), rolled, months):
+    for other in (counts, S.order_risk(rows, CELL, levels, ORDER), rolled, months):
         out = out.join(other, CELL, "left")
-    return out.join(S.max_losing_streak(rows, CELL, levels, ORDER), CELL, "left").withColumn("max_losing_streak", F.coalesce("max_losing_streak", F.lit(0)))
+    return out
 
 
 # --- chronology scenarios -------------------------------------------------

@@ -106,6 +106,35 @@ def max_losing_streak(df: DataFrame, keys: Sequence[str], levels, order, value:
     return sizes.groupBy(*keys).agg(F.max("_n").alias("max_losing_streak"))
 
 
+def order_risk(df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[str]], order: Sequence[str], value: str = "result_r") -> DataFrame:
+    """``max_drawdown_r`` and ``max_losing_streak`` (0 without a loss) from one pass over the trades.
+
+    A chunk is folded to (sum, highest and lowest running sum, worst fall) and (rows, losses at its start, losses at its
+    end, longest run of losses); chunk rows fold the same way into coarser ones.
+    """
+    lost = F.when(F.col(value) < 0, 1).otherwise(0).cast("bigint")
+    v = F.col(value)
+    units = df.select(*keys, *[c for level in levels for c in level], *order, v.alias("_s"), v.alias("_peak"), v.alias("_low"), F.lit(0.0).alias("_dd"),
+                      F.lit(1).cast("bigint").alias("_n"), lost.alias("_pre"), lost.alias("_suf"), lost.alias("_run"))
+    for depth in range(len(levels), -1, -1):
+        part = [*keys, *[c for level in levels[:depth] for c in level]]
+        window = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        units = units.withColumns({"_off": F.coalesce(F.sum("_s").over(window), F.lit(0.0)), "_start": F.coalesce(F.sum("_n").over(window), F.lit(0))})
+        high = F.max(F.col("_off") + F.col("_peak")).over(window)
+        # Where the last row that was no loss ended, before this unit and in it.
+        edge = F.when(F.col("_suf") < F.col("_n"), F.col("_start") + F.col("_n") - F.col("_suf"))
+        units = units.withColumns({"_top": high if depth else F.greatest(high, F.lit(0.0)), "_own": edge})
+        units = units.withColumn("_edge", F.max("_own").over(window))
+        entering = F.col("_start") - F.coalesce("_edge", F.lit(0))
+        fall = F.greatest(F.col("_dd"), F.col("_top") - (F.col("_off") + F.col("_low")))
+        units = units.groupBy(*part).agg(
+            F.sum("_s").alias("_s"), F.max(F.col("_off") + F.col("_peak")).alias("_peak"), F.min(F.col("_off") + F.col("_low")).alias("_low"), F.max(fall).alias("_dd"),
+            F.sum("_n").alias("_n"), F.max(F.when(F.col("_edge").isNull(), F.col("_start") + F.col("_pre"))).alias("_pre"),
+            (F.sum("_n") - F.coalesce(F.max("_own"), F.lit(0))).alias("_suf"), F.max(F.greatest(F.col("_run"), entering + F.col("_pre"))).alias("_run"))
+        order = levels[depth - 1] if depth else order
+    return units.select(*keys, r6(F.col("_dd")).alias("max_drawdown_r"), F.col("_run").alias("max_losing_streak"))
+
+
 def trade_summary(trades: DataFrame, keys: Sequence[str], levels, order) -> DataFrame:
     """Variant metrics with median, long / short split, drawdown, losing streak and holding time."""
     long, short = F.col("direction") == "LONG", F.col("direction") == "SHORT"
@@ -115,9 +144,7 @@ def trade_summary(trades: DataFrame, keys: Sequence[str], levels, order) -> Data
         F.count_if(long).alias("long_trades"), r6(F.avg(F.when(long, result()))).alias("long_average_r"),
         F.count_if(short).alias("short_trades"), r6(F.avg(F.when(short, result()))).alias("short_average_r"))
     median = exact_percentiles(trades, keys, "result_r", {"median_r": 0.5}).withColumn("median_r", r6(F.col("median_r")))
-    return (base.join(median, list(keys), "left").join(max_drawdown(trades, keys, levels, order), list(keys), "left")
-            .join(max_losing_streak(trades, keys, levels, order), list(keys), "left")
-            .withColumn("max_losing_streak", F.coalesce("max_losing_streak", F.lit(0))))
+    return base.join(median, list(keys), "left").join(order_risk(trades, keys, levels, order), list(keys), "left")
 
 
 def month_of(day: str = "session_date") -> Column:
