@@ -116,7 +116,7 @@ def _(m):
 
 @query("A12_read_scoped_bars", "SELECT * FROM bars WHERE trading_date <= DATE '2024-01-14'")
 def _(m):
-    return FS.scoped(m.bars(), cal.partition_table(m.spark), "DEVELOPMENT", ("DEVELOPMENT",))
+    return FS.scoped(m.bars(), cal.TEST_PARTITIONS, "DEVELOPMENT", ("DEVELOPMENT",))
 
 
 @query("A13_instruments", "SELECT DISTINCT upper(trim(event_type)) AS instrument_id, 0.01::DOUBLE AS tick_size, 2.0::DOUBLE AS point_value, 'USD' AS currency FROM events")

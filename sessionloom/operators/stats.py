@@ -294,7 +294,7 @@ def quantile_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int) ->
 def assign_interval(df: DataFrame, edges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Number of the interval a value falls into; the edges are one row per key of the analysis."""
     packed = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("interval_no", "lower", "upper", "is_last"))).alias("_edges"))
-    joined = df.join(F.broadcast(packed), list(keys), "left")
+    joined = df.join(packed, list(keys), "left")
     v = F.col(value)
     hit = F.filter("_edges", lambda e: (v >= e["lower"]) & ((v < e["upper"]) | (e["is_last"] & (v <= e["upper"]))))
     return joined.withColumn("interval_no", F.get(hit, F.lit(0))["interval_no"]).drop("_edges")

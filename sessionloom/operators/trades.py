@@ -136,36 +136,30 @@ CARRIED = ["contract", "signal_slot", "signal_time", "entry_slot", "entry_time",
 def exit_barrier(candidates: DataFrame, bars: DataFrame, *, skip_entry_bar: bool = False) -> DataFrame:
     """Follow each valid candidate through the rest of its session to the first barrier it meets.
 
-    Both barriers in one bar, and a stop in the entry bar of a PRINT, leave the order unknown.  The
-    join runs per session; grouping by candidate needs no further shuffle because the session keys
-    are part of the group, and rows that meet no barrier never leave the join.
+    Both barriers in one bar, and a stop in the entry bar of a PRINT, leave the order unknown.  The bars of a session,
+    bounded by its slots, become one row; each candidate meets that row once and is followed inside the row.
     """
-    path = bars.select(*SESSION, "slot", "bar_end", "high", "low", "close")
-    valid = candidates.filter("is_valid").select(*CANDIDATE, *CARRIED)
-    reach = (F.col("slot") > F.col("entry_slot")) if skip_entry_bar else (F.col("slot") >= F.col("entry_slot"))
-    pairs = valid.join(path, SESSION).filter(reach)
+    bar = F.struct("slot", "bar_end", "high", "low", "close")
+    path = bars.groupBy(*SESSION).agg(F.sort_array(F.collect_list(bar)).alias("_path"))
+    rows = candidates.filter("is_valid").select(*CANDIDATE, *CARRIED).join(path, SESSION)
+    rows = rows.withColumn("_path", F.filter("_path", lambda x: (x["slot"] > F.col("entry_slot")) if skip_entry_bar else (x["slot"] >= F.col("entry_slot"))))
     long = F.col("direction") == "LONG"
-    stop = F.when(long, F.col("low") <= F.col("stop_ticks")).otherwise(F.col("high") >= F.col("stop_ticks"))
-    target = F.when(long, F.col("high") >= F.col("target_ticks")).otherwise(F.col("low") <= F.col("target_ticks"))
-    entry_bar = (F.col("breakout_type") == "PRINT") & (F.col("slot") == F.col("entry_slot"))
-    reason = (F.when(stop & target, "AMBIGUOUS_STOP_TARGET").when(stop & entry_bar, "AMBIGUOUS_ENTRY_STOP")
-              .when(target, "TARGET").when(stop, "STOP"))
-    bar = F.struct("slot", "bar_end", "close")
-    hits = pairs.withColumn("_reason", reason).groupBy(*CANDIDATE, *CARRIED).agg(
-        F.min(F.when(F.col("_reason").isNotNull(), F.struct("slot", "bar_end", "close", "_reason"))).alias("_hit"),
-        F.max(bar).alias("_end"))
-    found = F.col("_hit").isNotNull()
-    hits = hits.withColumns({
-        "exit_slot": F.coalesce(F.col("_hit.slot"), F.col("_end.slot")),
-        "exit_time": F.coalesce(F.col("_hit.bar_end"), F.col("_end.bar_end")),
-        "exit_reason": F.when(found, F.col("_hit._reason")).otherwise("SESSION_END"),
-        "exit_ticks": F.when(F.col("_hit._reason") == "TARGET", F.col("target_ticks"))
-                       .when(F.col("_hit._reason") == "STOP", F.col("stop_ticks")).when(~found, F.col("_end.close"))}).drop("_hit", "_end")
-    walked = hits.join(bars.select(*SESSION, "slot", "high", "low"), SESSION).filter(
-        ((F.col("slot") > F.col("entry_slot")) if skip_entry_bar else (F.col("slot") >= F.col("entry_slot")))
-        & (F.col("slot") <= F.col("exit_slot")))
-    keys = [*CANDIDATE, *CARRIED, "exit_slot", "exit_time", "exit_reason", "exit_ticks"]
-    done = walked.groupBy(*keys).agg(F.count(F.lit(1)).alias("holding_bars"), F.max("high").alias("_h"), F.min("low").alias("_l"))
+
+    def reason(x):
+        stop = F.when(long, x["low"] <= F.col("stop_ticks")).otherwise(x["high"] >= F.col("stop_ticks"))
+        target = F.when(long, x["high"] >= F.col("target_ticks")).otherwise(x["low"] <= F.col("target_ticks"))
+        entry_bar = (F.col("breakout_type") == "PRINT") & (x["slot"] == F.col("entry_slot"))
+        return (F.when(stop & target, "AMBIGUOUS_STOP_TARGET").when(stop & entry_bar, "AMBIGUOUS_ENTRY_STOP")
+                .when(target, "TARGET").when(stop, "STOP"))
+
+    rows = rows.filter(F.size("_path") > 0).withColumn("_hit", F.get(F.filter("_path", lambda x: reason(x).isNotNull()), F.lit(0)))
+    rows = rows.withColumns({"_end": F.coalesce("_hit", F.element_at("_path", -1)), "exit_reason": F.coalesce(reason(F.col("_hit")), F.lit("SESSION_END"))})
+    rows = rows.withColumn("_path", F.filter("_path", lambda x: x["slot"] <= F.col("_end.slot")))
+    exit_ticks = (F.when(F.col("exit_reason") == "TARGET", F.col("target_ticks")).when(F.col("exit_reason") == "STOP", F.col("stop_ticks"))
+                  .when(F.col("exit_reason") == "SESSION_END", F.col("_end.close")))
+    done = rows.select(*CANDIDATE, *CARRIED, F.col("_end.bar_end").alias("exit_time"), "exit_reason", exit_ticks.alias("exit_ticks"),
+                       F.size("_path").cast("bigint").alias("holding_bars"), F.array_max(F.transform("_path", lambda x: x["high"])).alias("_h"),
+                       F.array_min(F.transform("_path", lambda x: x["low"])).alias("_l"))
     unclear = F.col("exit_reason").startswith("AMBIGUOUS")
     known = ~unclear
     gain = F.when(long, F.col("exit_ticks") - F.col("entry_ticks")).otherwise(F.col("entry_ticks") - F.col("exit_ticks"))
@@ -174,7 +168,7 @@ def exit_barrier(candidates: DataFrame, bars: DataFrame, *, skip_entry_bar: bool
     return done.withColumns({
         "is_ambiguous": unclear, "pnl_ticks": F.when(known, gain),
         "result_r": F.when(known, gain / F.col("risk_ticks")),
-        "mfe_ticks": F.when(known, best), "mae_ticks": F.when(known, worst)}).drop("_h", "_l", "exit_slot")
+        "mfe_ticks": F.when(known, best), "mae_ticks": F.when(known, worst)}).drop("_h", "_l")
 
 
 def session_trade_limit(candidates: DataFrame, trades: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -46,12 +46,12 @@ def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def scoped(df: DataFrame, partitions: DataFrame, name: str, allowed: Sequence[str], day: str = "trading_date") -> DataFrame:
-    """Rows of one named period; other periods are refused."""
+def scoped(df: DataFrame, partitions: Sequence[tuple[str, str, str]], name: str, allowed: Sequence[str], day: str = "trading_date") -> DataFrame:
+    """Rows of one named period of a literal period table; other periods are refused.  The range filter reaches the scan."""
     if name not in allowed:
         raise ValueError(f"period {name!r} is not open for this analysis")
-    dim = F.broadcast(partitions.filter(F.col("partition") == name).select("first_date", "last_date"))
-    return df.join(dim, (F.col(day) >= F.col("first_date")) & (F.col(day) <= F.col("last_date"))).drop("first_date", "last_date")
+    (first, last), = [(a, b) for n, a, b in partitions if n == name]
+    return df.filter(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
 def write_derived_bars(df: DataFrame, path: str, *, dataset: str, timeframe: str, session_fingerprint: str) -> None:
