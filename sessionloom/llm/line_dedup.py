@@ -13,7 +13,8 @@ line of a class, by document id and place, stays.
 * Letter counts that differ by more than two edits allow rule a pair out; the rest is verified by a bit-parallel edit
   distance: one integer holds the band of five cells of a column, and a handful of bit operations moves it on by one character.
 
-All of it is built-in functions.  Null texts have no lines.  Repeated ids are ordered by text digest and place.
+All of it is built-in functions.  Null texts have no lines.  Repeated ids are ordered by text digest and place; rows equal in id and
+text share one result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ STAR_ROUNDS = 2
 def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc, version, line, content``: all lines that aren't blank, numbered from 0 among all lines of the text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(blank(text)).alias("version"), F.posexplode(F.split(blank(text), "\n", -1)).alias("line", "content"))
-    rows = rows.withColumn("content", F.regexp_replace("content", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    rows = rows.withColumn("content", F.btrim("content", F.lit(" \t\n\x0b\x0c\r")))
     return rows.where("content != ''")
 
 
@@ -110,13 +111,18 @@ def _moved(d0: Column, vp: Column, vn: Column, d: Column, j: Column, n: Column,
     return F.struct((hn.bitwiseOR(upside(low.bitwiseOR(hp)))).bitwiseAND(full).alias("vp"), low.bitwiseAND(hp).alias("vn"), (d + change).alias("d"))
 
 
+def _may_match(p: str, q: str) -> Column:
+    """Whether letter counts allow two lines to be similar: each edit changes at most two counts by one."""
+    apart = F.aggregate(F.zip_with(p, q, lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
+    return apart <= 2 * EDITS
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """``a, b, linked`` for pairs of distinct lines."""
     left = lines.select(F.col("id").alias("a"), F.col("content").alias("x"), F.col("letters").alias("p"))
     right = lines.select(F.col("id").alias("b"), F.col("content").alias("y"), F.col("letters").alias("q"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    apart = F.aggregate(F.zip_with("p", "q", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
-    return both.select("a", "b", F.when(apart <= 2 * EDITS, within_edits(F.col("x"), F.col("y"))).otherwise(False).alias("linked"))
+    return both.select("a", "b", F.when(_may_match("p", "q"), within_edits(F.col("x"), F.col("y"))).otherwise(False).alias("linked"))
 
 
 def similar_links(distinct: DataFrame) -> DataFrame:
@@ -145,8 +151,11 @@ def similar_links(distinct: DataFrame) -> DataFrame:
         theirs = label.select(F.col("node").alias("leader"), F.col("root").alias("leader_comp"))
         current = members.join(mine, "id", "left").join(theirs, "leader", "left")
         current = current.withColumn("comp", F.coalesce("comp", "id")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
-    own = current.where("own").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"))
-    rest = own.join(current.select("key", F.col("id").alias("b"), "comp"), "key").where(F.col("a_comp") != F.col("comp"))
+    # The letter counts are part of the join's condition, so pairs that they rule out never become rows.
+    current = current.join(lines.select("id", "letters"), "id")
+    own = current.where("own").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("letters").alias("p"))
+    rest = own.join(current.select("key", F.col("id").alias("b"), "comp", F.col("letters").alias("q")), "key")
+    rest = rest.where((F.col("a_comp") != F.col("comp")) & _may_match("p", "q"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_verified(rest.join(ordered, ["a", "b"], "left_anti"), lines), "rest")
