@@ -431,21 +431,58 @@ def _(m):
     return open_trades(m).groupBy("period", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("result_r")).alias("average_r"))
 
 
-CTES["decisions"] = """
-SELECT breakout_type, config_id, edge, degradation, observability, CASE WHEN edge = 'FAILED' OR observability = 'FAILED' THEN 'REJECT' WHEN edge = 'STRONG' AND degradation IN ('LOW', 'MODERATE') AND observability = 'STRONG' THEN 'PASS' ELSE 'REVISE' END AS overall
-FROM (SELECT *, CASE WHEN val_average_r <= 0 OR coalesce(val_profit_factor, 9.99) <= 1 THEN 'FAILED' WHEN least(val_average_r, val_average_r) < 0.02 OR coalesce(val_profit_factor, 9.99) - 1 < 0.05 THEN 'MIXED' ELSE 'STRONG' END AS edge,
+# --- decisions -----------------------------------------------------------
+#: Fixed values of the observability class: an ambiguity rate, its increase and a range of mean results that call for caution.
+HIGH_AMBIGUITY, AMBIGUITY_RISE, MATERIAL_RANGE = 0.30, 0.10, 0.15
+
+CTES["entry_first"] = f"""
+SELECT breakout_type, config_id, {CORE} FROM ({audit_sql("cand_points", "(" + _PESSIMISTIC.replace("exits_grid", "exits_points") + ")")})
+WHERE status = 'EXECUTED' AND trading_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-22' GROUP BY 1, 2"""
+CTES["daily_labels"] = f"""
+SELECT breakout_type, config_id, CASE WHEN fh + sh <= 0 OR (fh > 0 AND sh < 0 AND abs(sh) >= 0.5 * fh) THEN 'UNSTABLE' WHEN pos >= 50 AND conc <= 0.6 THEN 'BROAD' ELSE 'CONCENTRATED' END AS temporal
+FROM (SELECT breakout_type, config_id, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) * 100, 6) AS pos, round(max(CASE WHEN r > 0 THEN r END) / sum(CASE WHEN r > 0 THEN r END), 6) AS conc,
+             round(sum(CASE WHEN k * 2 <= n THEN r ELSE 0 END), 6) AS fh, round(sum(CASE WHEN k * 2 > n THEN r ELSE 0 END), 6) AS sh
+      FROM (SELECT *, row_number() OVER (PARTITION BY breakout_type, config_id ORDER BY trading_date) AS k, count(*) OVER (PARTITION BY breakout_type, config_id) AS n
+            FROM (SELECT breakout_type, config_id, trading_date, round(sum(result_r), 6) AS r FROM executed WHERE period = 'VALIDATION' GROUP BY 1, 2, 3)) GROUP BY 1, 2)"""
+CTES["ambiguity"] = f"""
+SELECT breakout_type, config_id, avg(CASE WHEN is_ambiguous THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (period = 'VALIDATION') AS val_rate, avg(CASE WHEN is_ambiguous THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (period = 'DEVELOPMENT') AS dev_rate
+FROM (SELECT *, {PERIOD_SQL} AS period FROM exits_points) GROUP BY 1, 2"""
+CTES["decisions"] = f"""
+SELECT breakout_type, config_id, edge, degradation, temporal, observability,
+       CASE WHEN edge = 'FAILED' OR observability = 'FAILED' THEN 'REJECT' WHEN edge = 'STRONG' AND degradation IN ('LOW', 'MODERATE') AND temporal = 'BROAD' AND observability = 'STRONG' THEN 'PASS' ELSE 'REVISE' END AS overall
+FROM (SELECT *, CASE WHEN val_average_r <= 0 OR vpf <= 1 THEN 'FAILED' WHEN ear <= 0 OR epf <= 1 THEN 'MIXED' WHEN least(val_average_r, ear) < 0.02 OR least(vpf, epf) - 1 < 0.05 THEN 'MIXED' ELSE 'STRONG' END AS edge,
              CASE WHEN val_average_r <= 0 THEN 'SIGN_REVERSAL' WHEN val_average_r / dev_average_r >= 0.75 - 1e-12 THEN 'LOW' WHEN val_average_r / dev_average_r >= 0.5 - 1e-12 THEN 'MODERATE' ELSE 'HIGH' END AS degradation,
-             CASE WHEN val_average_r <= 0 THEN 'FAILED' WHEN abs(average_r_delta) > 0.3 THEN 'CAUTION' ELSE 'STRONG' END AS observability FROM surface)"""
+             CASE WHEN ear <= 0 OR epf <= 1 THEN 'FAILED' WHEN val_rate >= {HIGH_AMBIGUITY} OR val_rate - coalesce(dev_rate, 0) >= {AMBIGUITY_RISE} OR val_average_r - ear > {MATERIAL_RANGE} THEN 'CAUTION' ELSE 'STRONG' END AS observability
+      FROM (SELECT s.*, coalesce(s.val_profit_factor, 9.99) AS vpf, e.average_r AS ear, coalesce(e.profit_factor, 9.99) AS epf, t.temporal, a.val_rate, a.dev_rate
+            FROM surface s JOIN entry_first e USING (breakout_type, config_id) JOIN daily_labels t USING (breakout_type, config_id) JOIN ambiguity a USING (breakout_type, config_id)))"""
+
+
+def decisions(m):
+    """Edge, degradation, temporal and observability class of each cell from its validation results.
+
+    The edge must also hold if unknown entry-bar stops count as losses; the temporal label is that of daily totals; the
+    observability comes from that scenario, the share of ambiguous exits and its rise since development.
+    """
+    def build():
+        held = F.col("period") == "VALIDATION"
+        resolved = T.session_trade_limit(point_candidates(m), T.resolve_pessimistic(point_exits(m))).withColumn("period", period())
+        entry = resolved.filter((F.col("status") == "EXECUTED") & held).groupBy(*CELL).agg(*S.core_metrics()).select(*CELL, F.col("average_r").alias("_e"), F.col("profit_factor").alias("_epf"))
+        days = executed(m).filter(held).groupBy(*CELL, F.col("trading_date").alias("month")).agg(r6(F.sum("result_r")).alias("total_r"))
+        label = S.temporal_consistency(days, CELL).select(*CELL, F.col("label").alias("temporal"))
+        rates = point_exits(m).withColumn("period", period()).groupBy(*CELL).agg(F.try_divide(S.share(F.col("is_ambiguous") & (F.col("period") == "VALIDATION")), S.share(F.col("period") == "VALIDATION")).alias("_rate"), F.coalesce(F.try_divide(S.share(F.col("is_ambiguous") & (F.col("period") == "DEVELOPMENT")), S.share(F.col("period") == "DEVELOPMENT")), F.lit(0.0)).alias("_dev"))
+        rows = surface(m).join(entry, CELL).join(label, CELL).join(rates, CELL)
+        d, v, pf, e, epf = (F.col(c) for c in ("dev_average_r", "val_average_r", "val_profit_factor", "_e", "_epf"))
+        careful = (F.col("_rate") >= HIGH_AMBIGUITY) | (F.col("_rate") - F.col("_dev") >= AMBIGUITY_RISE) | (v - e > MATERIAL_RANGE)
+        seen = F.when((e <= 0) | (F.coalesce(epf, F.lit(9.99)) <= 1), "FAILED").when(careful, "CAUTION").otherwise("STRONG")
+        rows = rows.withColumns({"edge": S.edge_class(v, pf, e, epf), "degradation": S.degradation_class(v, d), "observability": seen})
+        return rows.select(*CELL, "edge", "degradation", "temporal", "observability",
+                           S.overall_class(F.col("edge"), F.col("degradation"), F.col("temporal"), F.col("observability")).alias("overall"))
+    return m.keep("decisions", build)
 
 
 @query("C34_decision_classifiers", "SELECT * FROM decisions")
 def _(m):
-    d, v, pf = F.col("dev_average_r"), F.col("val_average_r"), F.col("val_profit_factor")
-    rows = surface(m).withColumns({
-        "edge": S.edge_class(v, pf, v, pf), "degradation": S.degradation_class(v, d),
-        "observability": F.when(v <= 0, "FAILED").when(F.abs("average_r_delta") > 0.3, "CAUTION").otherwise("STRONG")})
-    return rows.select(*CELL, "edge", "degradation", "observability",
-                       S.overall_class(F.col("edge"), F.col("degradation"), F.lit("BROAD"), F.col("observability")).alias("overall"))
+    return decisions(m)
 
 
 @query("C33_price_normalization", f"""
@@ -464,8 +501,5 @@ def _(m):
 @query("D04_evidence_table", """
 SELECT s.*, n.positive_share, n.neighbour_val_mean, d.edge, d.overall FROM surface s LEFT JOIN neighbourhood n USING (breakout_type, config_id) LEFT JOIN decisions d USING (breakout_type, config_id)""")
 def _(m):
-    d, v, pf = F.col("dev_average_r"), F.col("val_average_r"), F.col("val_profit_factor")
-    observability = F.when(v <= 0, "FAILED").when(F.abs("average_r_delta") > 0.3, "CAUTION").otherwise("STRONG")
-    edge = S.edge_class(v, pf, v, pf)
-    rows = surface(m).withColumns({"edge": edge, "overall": S.overall_class(edge, S.degradation_class(v, d), F.lit("BROAD"), observability)})
+    rows = surface(m).join(decisions(m).select(*CELL, "edge", "overall"), CELL, "left")
     return rows.join(neighbourhood(m).select(*CELL, "positive_share", "neighbour_val_mean"), CELL, "left")

@@ -337,11 +337,8 @@ def _(m):
 
 @query("O06_two_period_validation", "SELECT edge, degradation, overall, count(*) AS cells FROM decisions GROUP BY 1, 2, 3")
 def _(m):
-    from sessionloom.catalog.sweeps import surface
-    d, v, pf = F.col("dev_average_r"), F.col("val_average_r"), F.col("val_profit_factor")
-    seen = F.when(v <= 0, "FAILED").when(F.abs("average_r_delta") > 0.3, "CAUTION").otherwise("STRONG")
-    edge, loss = S.edge_class(v, pf, v, pf), S.degradation_class(v, d)
-    return surface(m).groupBy(edge.alias("edge"), loss.alias("degradation"), S.overall_class(edge, loss, F.lit("BROAD"), seen).alias("overall")).agg(F.count(F.lit(1)).alias("cells"))
+    from sessionloom.catalog.sweeps import decisions
+    return decisions(m).groupBy("edge", "degradation", "overall").agg(F.count(F.lit(1)).alias("cells"))
 
 
 CTES["feature_table"] = """
