@@ -111,14 +111,34 @@ def _(m):
     return J.cluster_lineages(clusters(m))
 
 
-@query("B08_validate_structures", "SELECT 0::BIGINT AS unknown_member, 0::BIGINT AS side_mismatch, 0::BIGINT AS unknown_superseded FROM prm")
-def _(m):
-    members = clusters(m).select("version_id", "orientation", F.explode("member_ids").alias("member_id")).join(
-        atoms(m).select("member_id", F.col("orientation").alias("_side")), "member_id", "left")
-    counts = members.agg(F.count_if(F.col("_side").isNull()).alias("unknown_member"), F.count_if(F.col("_side") != F.col("orientation")).alias("side_mismatch"))
-    older = clusters(m).select(F.explode("supersedes").alias("version_id")).join(clusters(m).select("version_id"), "version_id", "left_anti").agg(F.count(F.lit(1)).alias("unknown_superseded"))
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(counts).join(one(older), "_one").drop("_one")
+_CHECKED = """SELECT '{name}' AS input, (SELECT count(*) FROM {t} m LEFT JOIN swings s ON s.swing_id = m.member_id WHERE s.swing_id IS NULL) AS unknown_member,
+ (SELECT count(*) FROM {t} m JOIN swings s ON s.swing_id = m.member_id WHERE s.orientation <> m.orientation) AS side_mismatch,
+ (SELECT count(*) FROM (SELECT unnest(supersedes) AS old FROM {v}) WHERE old NOT IN (SELECT version_id FROM clusters)) AS unknown_superseded"""
+
+
+@query("B08_validate_structures", f"""
+WITH bad AS (SELECT version_id, CASE WHEN available_slot % 5 = 1 THEN CASE orientation WHEN 'UPPER' THEN 'LOWER' ELSE 'UPPER' END ELSE orientation END AS orientation,
+  CASE WHEN available_slot % 3 = 0 THEN member_ids || ['ghost'] ELSE member_ids END AS member_ids, CASE WHEN available_slot % 2 = 0 THEN supersedes || ['ghost'] ELSE supersedes END AS supersedes FROM clusters),
+ m1 AS (SELECT orientation, unnest(member_ids) AS member_id FROM clusters), m2 AS (SELECT orientation, unnest(member_ids) AS member_id FROM bad)
+{_CHECKED.format(name="GIVEN", t="m1", v="clusters")} UNION ALL {_CHECKED.format(name="TAMPERED", t="m2", v="bad")}""")
+def _(m):
+    slot, other = F.col("available_slot"), F.when(F.col("orientation") == "UPPER", "LOWER").otherwise("UPPER")
+    ghost = F.array(F.lit("ghost"))
+    # planted faults: another side, a member and a superseded version that don't exist
+    tampered = clusters(m).withColumns({
+        "orientation": F.when(slot % 5 == 1, other).otherwise(F.col("orientation")), "member_ids": F.when(slot % 3 == 0, F.concat("member_ids", ghost)).otherwise(F.col("member_ids")),
+        "supersedes": F.when(slot % 2 == 0, F.concat("supersedes", ghost)).otherwise(F.col("supersedes"))})
+    known = clusters(m).select(F.col("version_id").alias("old"))
+
+    def violations(versions, name):
+        members = versions.select("orientation", F.explode("member_ids").alias("member_id")).join(atoms(m).select("member_id", F.col("orientation").alias("_side")), "member_id", "left")
+        counts = members.agg(F.count_if(F.col("_side").isNull()).alias("unknown_member"), F.count_if(F.col("_side") != F.col("orientation")).alias("side_mismatch"), F.lit(0).cast("bigint").alias("unknown_superseded"))
+        older = versions.select(F.explode("supersedes").alias("old")).join(known, "old", "left_anti").agg(
+            F.lit(0).cast("bigint").alias("unknown_member"), F.lit(0).cast("bigint").alias("side_mismatch"), F.count(F.lit(1)).alias("unknown_superseded"))
+        sums = [F.sum(c).alias(c) for c in ("unknown_member", "side_mismatch", "unknown_superseded")]
+        return counts.unionByName(older).agg(*sums).withColumn("input", F.lit(name))
+
+    return violations(clusters(m), "GIVEN").unionByName(violations(tampered, "TAMPERED"))
 
 
 # --- J05 / J06 ---------------------------------------------------------------------
