@@ -535,15 +535,16 @@ def _(m):
 
 @query("G02_rank_bprs", "SELECT instrument_id, zone_a, zone_b, row_number() OVER (PARTITION BY instrument_id ORDER BY upper_ticks - lower_ticks DESC, created_at, zone_a, stage_a, zone_b, stage_b) AS bpr_rank FROM zone_pairs WHERE label <> 'FVG_OVERLAP' AND direction <> 'UNDEFINED'")
 def _(m):
-    order = Window.partitionBy("instrument_id").orderBy(F.desc(F.col("upper_ticks") - F.col("lower_ticks")), "created_at", "zone_a", "stage_a", "zone_b", "stage_b")
-    return PC.overlaps(m).filter("label <> 'FVG_OVERLAP' and direction <> 'UNDEFINED'").select("instrument_id", "zone_a", "zone_b", F.row_number().over(order).cast("bigint").alias("bpr_rank"))
+    rows = PC.overlaps(m).filter("label <> 'FVG_OVERLAP' and direction <> 'UNDEFINED'").withColumn("_w", F.col("lower_ticks") - F.col("upper_ticks"))
+    rows = rows.withColumn("_range", F.floor(F.col("_w") / 64))
+    return K.ranked(rows, ["instrument_id"], [["_range"]], ["_w", "created_at", "zone_a", "stage_a", "zone_b", "stage_b"], "bpr_rank").select("instrument_id", "zone_a", "zone_b", "bpr_rank")
 
 
 @query("G03_rank_levels", "SELECT level_id, row_number() OVER (PARTITION BY instrument_id ORDER BY touches DESC, first_touch_at, level_id) AS level_rank FROM (SELECT instrument_id, level_id, count(*) AS touches, min(bar_end) AS first_touch_at FROM facts WHERE touch GROUP BY 1, 2)")
 def _(m):
-    order = Window.partitionBy("instrument_id").orderBy(F.desc("touches"), "first_touch_at", "level_id")
-    seen = facts(m).filter("touch").groupBy("instrument_id", "level_id").agg(F.count(F.lit(1)).alias("touches"), F.min("bar_end").alias("first_touch_at"))
-    return seen.select("level_id", F.row_number().over(order).cast("bigint").alias("level_rank"))
+    seen = facts(m).filter("touch").groupBy("instrument_id", "level_id").agg((-F.count(F.lit(1))).alias("_t"), F.min("bar_end").alias("first_touch_at"))
+    seen = seen.withColumn("_day", F.to_date("first_touch_at"))
+    return K.ranked(seen, ["instrument_id"], [["_t"], ["_day"]], ["_t", "first_touch_at", "level_id"], "level_rank").select("level_id", "level_rank")
 
 
 @query("G04_closest_candidate", """

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.ids import natural_id, utc_text
+from sessionloom.functions.ordered import position
 from sessionloom.functions.rangejoin import points_in_intervals
 
 
@@ -81,9 +82,15 @@ def active_zones(stages: DataFrame, zones: DataFrame, events: DataFrame, overlap
 
 def rank_zones(view: DataFrame) -> DataFrame:
     """Priority inside each instrument: overlaps, known strength, width, then earlier and smaller id."""
-    known = F.when(F.col("normalization_status") == "OK", F.col("strength"))
-    order = Window.partitionBy("instrument_id").orderBy(F.desc("overlap_contribution"), known.desc_nulls_last(), F.desc("width_ticks"), "available_at", "zone_id")
-    return view.withColumn("priority_rank", F.row_number().over(order))
+    known = F.when(F.col("normalization_status") == "OK", F.col("strength").cast("double"))
+    rows = view.withColumns({"_o": -F.col("overlap_contribution"), "_s": -F.coalesce(known, F.lit(-1e300)), "_w": -F.col("width_ticks")})
+    rows = rows.withColumn("_k", F.floor(F.greatest(F.col("_s"), F.lit(-1e6)) * 16))
+    return ranked(rows, ["instrument_id"], [["_o"], ["_k"]], ["_o", "_s", "_w", "available_at", "zone_id"], "priority_rank").drop("_o", "_s", "_w", "_k")
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[str]], order: Sequence[str], name: str) -> DataFrame:
+    """Rank from 1 in ``order`` per key, from counts of ordered chunks; no key meets in one task."""
+    return position(rows, keys, levels, order, name).withColumn(name, (F.col(name) + 1).cast("bigint"))
 
 
 def reset_warnings(life: DataFrame, episodes: DataFrame) -> DataFrame:
