@@ -2,13 +2,16 @@
 
 * **Words** are runs of ASCII letters and digits (lower-cased) and of all other non-ASCII characters.  Documents with the
   same words are collapsed first; one of them, the representative, stands for all.
-* **Sketch.** Five-word shingles are labelled with their occurrence number, so that repeats count.  Each of
-  ``BANDS * ROWS`` hash functions takes the two smallest labelled shingles and keeps them in text order.  ``ROWS`` of these
-  make one band key: at similarity 0.8 some band of 20 agrees with probability 0.998, at 0.3 with 0.015.
+* **Sketch.** Five-word shingles are labelled with their occurrence number.  Each of ``BANDS * ROWS`` hash functions takes the
+  two smallest labelled shingles and keeps them in text order.  ``ROWS`` of these make one band key: at similarity 0.8 some
+  band of 20 agrees with probability 0.998, at 0.3 with 0.015.  One function of a band samples all labels, so that repeats
+  count; the others sample first occurrences, because the classes are judged by sets of shingles and texts that only
+  share a line many times over would otherwise all be candidates of each other.
 * **Candidates.** Bucket members are compared with a leader, one leader per document and round, so the pairs of a round
   are at most as many as documents.  Verified links are contracted to components.  After ``STAR_ROUNDS`` rounds
-  what is left is done exactly: all untested pairs of a bucket whose members still lie in different components, formed by
-  joining the members outside the bucket's largest component with the bucket.
+  what is left is done exactly: in buckets whose members still lie in different components, those outside the largest one
+  are compared with all members, in cells of about ``BLOCK`` by ``BLOCK`` documents.  A cell counts common shingles for all
+  its pairs at once and returns one link per document and component, so pairs never become rows.
 * **Verification** aligns the two word sequences in a band of diagonals that widens with each edit.  If the aligned
   words prove a shingle similarity of 0.8 the pair is linked; if they don't, the exact Jaccard similarity of the shingle
   sets decides.
@@ -35,6 +38,8 @@ from sessionloom.functions.graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 3
 STAR_ROUNDS = 3
+#: Documents on either side of a cell of the exact stage.
+BLOCK = 256
 #: Documents sketched at a time; their words are the memory that a task needs.
 AT_ONCE_CHARS = 1_500_000
 
@@ -92,10 +97,14 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return _mixed(out), n
 
 
+def _starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's shingles begin, whose each shingle is, and how many each has."""
+    return np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(n)), n), n
+
+
 def order_minhash(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Band keys, one row per text: the hashed Order MinHash sketch of its shingles.  All ``n`` must be positive."""
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-    owner = np.repeat(np.arange(len(n)), n)
+    begin, owner, n = _starts(n)
     # Occurrence labels: the rank of a shingle among the equal ones of its text.
     key = shingles ^ _mixed(owner.astype(np.uint64) + np.uint64(77))
     order = np.argsort(key, kind="stable")
@@ -106,8 +115,11 @@ def order_minhash(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
     label[order] = rank.astype(np.uint64)
     elements = _mixed(shingles + label * np.uint64(0xD1342543DE82EF95))
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    firsts = label == 0
+    views = [(elements, begin, owner, n), (elements[firsts], *_starts(np.bincount(owner[firsts], minlength=len(n))))]
     out, keys = np.zeros((BANDS, len(n)), np.uint64), None
     for j, seed in enumerate(_SEEDS):
+        elements, begin, owner, n = views[j % ROWS > 0]
         v = (elements ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         v ^= v >> np.uint64(32)
         least = np.minimum.reduceat(v, begin)
@@ -260,15 +272,54 @@ def near_links(docs: DataFrame, reps: DataFrame, text: str = "text", id_col: str
             break
         label = written(components(links), "label")
         current = _labelled(members, label)
-    # The rest, exactly.
+    # The rest, exactly: members outside a bucket's largest component against all members of other components.
     sizes = current.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = written(current.join(largest.select("key", F.col("most.comp").alias("major")), "key").select("key", "rep", "comp", "major"), "mixed")
-    minor = mixed.where(F.col("comp") != F.col("major")).select("key", F.col("rep").alias("x"), F.col("comp").alias("x_comp"))
-    rest = minor.join(mixed.drop("major"), "key").where(F.col("x_comp") != F.col("comp")).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.join(ordered, ["a", "b"], "left_anti")
-    return links.unionByName(written(_verified(rest, words), "rest").where("linked").select("a", "b"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    across = F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    largest = largest.select("key", F.col("most.comp").alias("major"), *[c.alias(n) for c, n in zip(across, ("x_blocks", "y_blocks"))])
+    mixed = written(current.join(largest, "key").select("key", "rep", "comp", "major", "x_blocks", "y_blocks"), "mixed")
+    place = lambda blocks: F.pmod(F.xxhash64("rep", "key"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    keep = ["key", "rep", "comp"]
+    minor = mixed.where(F.col("comp") != F.col("major")).select(*keep, F.lit(True).alias("minor"), place("x_blocks").alias("x"), every("y_blocks").alias("y"))
+    member = mixed.select(*keep, F.lit(False).alias("minor"), every("x_blocks").alias("x"), place("y_blocks").alias("y"))
+    cells = minor.unionByName(member).join(words, "rep")
+    rest = cells.groupBy("key", "x", "y").applyInArrow(_cell_links, "a long, b long")
+    return links.unionByName(written(rest, "rest"))
+
+
+def _cell_links(table: pa.Table) -> pa.Table:
+    """Links between the minor documents and the members of one cell: shingles in common are counted for all pairs at once.
+
+    One link per minor document and component is enough.
+    """
+    minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+    rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+    docs = [np.frombuffer(w, "<u4") for w in table.column("words").to_pylist()]
+    counts = np.array([len(d) for d in docs], np.int64)
+    hashes, n = shingle_hashes(np.concatenate(docs).astype(np.uint64), counts)
+    owner = np.repeat(np.arange(len(docs)), n)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
+    hashes, owner = hashes[fresh], owner[fresh]
+    size = np.bincount(owner, minlength=len(docs))
+    _, ids = np.unique(hashes, return_inverse=True)
+    # Postings of the members, then one count for each (minor, member) pair that shares a shingle.
+    xs, ys = np.flatnonzero(minor), np.flatnonzero(~minor)
+    local = np.empty(len(docs), np.int64)
+    local[xs], local[ys] = np.arange(len(xs)), np.arange(len(ys))
+    of_x = minor[owner]
+    posting = np.argsort(ids[~of_x], kind="stable")
+    member, where = local[owner[~of_x]][posting], ids[~of_x][posting]
+    low, high = np.searchsorted(where, ids[of_x]), np.searchsorted(where, ids[of_x], side="right")
+    width = high - low
+    at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
+    shared = np.bincount(np.repeat(local[owner[of_x]], width) * len(ys) + member[at], minlength=len(xs) * len(ys)).reshape(len(xs), len(ys))
+    close = shared >= SIMILARITY * (size[xs][:, None] + size[ys][None] - shared)
+    i, j = np.nonzero(close & (comp[xs][:, None] != comp[ys][None]))
+    first = np.unique(np.stack([i, comp[ys][j]]), axis=1, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(rep[xs][i[first]], pa.int64()), "b": pa.array(rep[ys][j[first]], pa.int64())})
 
 
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
