@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from brute import near_classes
 from sessionloom.llm import near_dedup as N
@@ -16,8 +17,11 @@ def test_documents(larger_docs):
     assert classes(larger_docs) == near_classes([(d["doc_id"], d["text"]) for d in larger_docs.collect()])
 
 
-def test_large_groups(table):
-    """A group of edited copies, and texts that share half of their words."""
+@pytest.mark.parametrize("block, rounds", [(256, 3), (16, 0), (16, 1)])
+def test_large_groups(table, monkeypatch, block, rounds):
+    """A group of edited copies, and texts that share half of their words; small cells, and few rounds before them."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "STAR_ROUNDS", rounds)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     base, rows = [word() for _ in range(200)], []
