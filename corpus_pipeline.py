@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import mixing, near_dedup, packing, toxicity
 from sessionloom.llm.common import fresh_path, prepare, read_table
-from sessionloom.llm.exact_dedup import DigestIndex, deduplicate
+from sessionloom.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 from sessionloom.llm.queries import tokenizer_path
 
 
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     prepare(spark)
-    return deduplicate(docs, DigestIndex(spark))
+    return deduplicate(docs, DigestIndex(spark, buckets=buckets_for(docs.count())))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

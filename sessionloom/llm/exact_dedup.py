@@ -41,15 +41,20 @@ def survivors(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
     return groups.select("digest", (-F.col("best.id")).alias("keep_id"), F.col("best.n").alias("keep_chars"), "seen")
 
 
+def buckets_for(digests: int) -> int:
+    """Buckets for an expected number of digests: a power of two, at most a million digests (about 100 MB) each, eight at least."""
+    return max(8, 1 << max(0, (-(-digests // 1_000_000) - 1).bit_length()))
+
+
 class DigestIndex:
     """A persistent index of text digests: a table bucketed and sorted by digest.
 
-    ``buckets`` fixes the layout for the life of the index; choose it so that one bucket of the index fits a task
-    (about 100 MB, 1.2 million digests).  All batches and all readers use the same number, so lookups join bucket by
+    ``buckets`` fixes the layout for the life of the index; choose it for the digests expected in the end
+    (``buckets_for``), so that one bucket fits a task.  All batches and all readers use the same number, so lookups join bucket by
     bucket without moving the index.  A later application opens the same index by giving the same ``path``.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8) -> None:
         self.spark, self.buckets = spark, buckets
         self.path = path or fresh_path(spark, "digest_index")
         self.table = f"digest_index_{uuid.uuid4().hex}"

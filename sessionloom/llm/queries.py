@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, suffix_dedup, toxicity
-from sessionloom.llm.common import prepare, read_table
+from sessionloom.llm.common import prepare, read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,8 +73,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 @query("op7_exact_dedup", OP7)
 def _(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    index = exact_dedup.DigestIndex(spark)
-    index.append(index.unseen(exact_dedup.survivors(docs)))
+    batch = written(exact_dedup.survivors(docs), "survivors")
+    index = exact_dedup.DigestIndex(spark, buckets=exact_dedup.buckets_for(batch.count()))
+    index.append(index.unseen(batch))
     return exact_dedup.memberships(docs, index)
 
 

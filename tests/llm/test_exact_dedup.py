@@ -30,3 +30,7 @@ def test_awkward_rows(session, table, awkward):
     kept = E.deduplicate(docs, E.DigestIndex(session))
     assert kept.columns == docs.columns and kept.count() == len({r["text_sha256"] for r in rows})
     assert E.deduplicate(table([(5, "x"), (5, "x"), (5, "x")]), E.DigestIndex(session)).count() == 1
+
+
+def test_buckets_follow_the_number_of_digests():
+    assert [E.buckets_for(n) for n in (0, 1, 8_000_000, 8_000_001, 10**10)] == [8, 8, 8, 16, 16384]
