@@ -10,8 +10,8 @@ line of a class, by document id and place, stays.
   left and right of a segment allow.  Two lines within two edits share one such key.
 * Key groups are compared with one leader per line and round; verified links are contracted to components.  After
   ``STAR_ROUNDS`` rounds all untested pairs of index and probe whose lines still lie in different components follow.
-* Letter counts that differ by more than two edits allow rule a pair out; the rest is verified by a bit-parallel edit
-  distance: one integer holds the band of five cells of a column, and a handful of bit operations moves it on by one character.
+* Letter counts that differ by more than two edits allow, and then the built-in distance with its threshold, rule most pairs
+  out; the rest is verified by a bit-parallel edit distance: one integer holds the band of five cells of a column, and a handful of bit operations moves it on by one character.
 
 All of it is built-in functions.  Null texts have no lines.  Repeated ids are ordered by text digest and place; rows equal in id and
 text share one result.
@@ -36,29 +36,26 @@ def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     return rows.where("content != ''")
 
 
-def _segment(length: Column, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th segment (from 0) of a line: even, the later ones longer."""
-    parts = EDITS + 1
-    short = F.floor(length / parts).cast("int")
-    longer = F.pmod(length, F.lit(parts))
-    size = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-    return (short * i + F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer)) + 1).cast("int"), size.cast("int")
+def segment_rows(lines: DataFrame) -> DataFrame:
+    """``id, key, own``: keys of each line's own segments, and of the substrings that probe lines of its length and up to ``EDITS`` less.
 
-
-def segment_keys(content: Column, length: Column) -> Column:
-    """Keys of a line: its own segments (``own``), and substrings that probe lines of its length and up to ``EDITS`` less."""
-    keys = []
+    Segments are even, the later ones longer.  Edits before the i-th are at most i, after it at most ``EDITS - i``, which
+    bounds the shift of a probe.  Each case is a row, so the key is one small expression.
+    """
+    parts, cases = EDITS + 1, []
     for less in range(EDITS + 1):
-        other = length - less
-        for i in range(EDITS + 1):
-            start, size = _segment(other, i)
-            # Edits before the segment are at most i, after it at most EDITS - i.
+        for i in range(parts):
             for shift in range(max(-i, less - (EDITS - i)), min(i, less + EDITS - i) + 1):
-                part = F.substring(content, start + shift, size)
-                fits = (other >= SHORTEST) & (start + shift >= 1) & (start + shift + size <= length + 1)
-                key = F.when(fits, F.xxhash64(other, F.lit(i), part))
-                keys.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.filter(F.array(*keys), lambda k: k["key"].isNotNull())
+                cases.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")))
+    rows = lines.select("id", "content", F.length("content").alias("n"), F.explode(F.array(*cases)).alias("c"))
+    rows = rows.select("id", "content", "n", "c.*").withColumn("other", F.col("n") - F.col("less")).where(F.col("other") >= SHORTEST)
+    rows = rows.withColumns({"short": F.expr(f"int(other div {parts})"), "more": F.lit(parts) - F.col("other") % parts})
+    rows = rows.withColumns({
+        "at": F.col("short") * F.col("i") + F.greatest(F.lit(0), F.col("i") - F.col("more")) + 1 + F.col("shift"),
+        "size": F.col("short") + (F.col("i") >= F.col("more")).cast("int")})
+    rows = rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") <= F.col("n") + 1))
+    key = F.xxhash64("other", "i", F.substring("content", F.col("at"), F.col("size")))
+    return rows.select("id", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
 def letter_counts(content: Column) -> Column:
@@ -122,14 +119,15 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     left = lines.select(F.col("id").alias("a"), F.col("content").alias("x"), F.col("letters").alias("p"))
     right = lines.select(F.col("id").alias("b"), F.col("content").alias("y"), F.col("letters").alias("q"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return both.select("a", "b", F.when(_may_match("p", "q"), within_edits(F.col("x"), F.col("y"))).otherwise(False).alias("linked"))
+    # The built-in distance gives up at the threshold and turns most pairs away cheaply; the bit-parallel one decides on the rest.
+    near = _may_match("p", "q") & (F.levenshtein("x", "y", EDITS) >= 0)
+    return both.select("a", "b", F.when(near, within_edits(F.col("x"), F.col("y"))).otherwise(False).alias("linked"))
 
 
 def similar_links(distinct: DataFrame) -> DataFrame:
     """Verified links whose components are those of all similar lines; ``distinct``: ``id, content``."""
     spark = distinct.sparkSession
-    size = F.length("content")
-    keyed = distinct.where(size >= SHORTEST).select("id", F.inline(segment_keys(F.col("content"), size)))
+    keyed = segment_rows(distinct)
     shared = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("leader"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = shared.where("leader IS NOT NULL AND low != high").select("key", "leader")
     members = written(keyed.join(shared, "key").distinct(), "members")
