@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.session import prepare, shared_folder, written
 
-__all__ = ["blank", "free_name", "fresh_path", "prepare", "read_table", "shared_folder", "written"]
+__all__ = ["blank", "free_name", "fresh_path", "prepare", "read_table", "shared_folder", "written", "written_dense"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sessionloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
+def written_dense(df: DataFrame, name: str) -> DataFrame:
+    """Like ``written``, in a denser codec: for whole texts and other large tables that are read a few times."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of the table has it."""
     while name.lower() in {c.lower() for c in df.columns}:

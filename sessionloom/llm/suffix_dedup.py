@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import blank, written
+from sessionloom.llm.common import blank, written, written_dense
 
 LENGTH, CORE, SYMBOL = 100, 40, 4
 #: Bytes of fragments in one merge, in one of its shards, and of one core before it is split.
@@ -294,20 +294,21 @@ def repeated_runs(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_core_b
     cores = texts.mapInArrow(_occurrences, schema).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     cores = written(cores, "cores")
     _release(spark)
-    found = written(texts.mapInArrow(_occurrences, schema).join(cores, "core"), "occurrences")
+    found = written_dense(texts.mapInArrow(_occurrences, schema).join(cores, "core"), "occurrences")
     _release(spark)
     first = F.min(F.struct("doc", "place"))
     kinds = found.groupBy("core", "whole").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     kinds = written(kinds.select("core", "whole", "first.doc", "first.place", "n"), "fragments")
     windows = lambda place: place.bitwiseAND(0xFF)
     per_core = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum(windows(F.col("place")) + LENGTH - 1).alias("size"))
-    kinds = written(kinds.join(per_core, "core"), "kinds")
+    kinds = written_dense(kinds.join(per_core, "core"), "kinds")
+    _release(spark)
     # One distinct fragment: there is nothing to merge, its first occurrence owns all its windows.
     start = F.shiftright("place", _START)
     alone = kinds.where((F.col("kinds") == 1) & (F.col("n") > 1)).select(
         "core", "whole", F.lit(0).alias("low"), (windows(F.col("place")) - 1).cast("int").alias("high"), F.col("doc").alias("owner_doc"), start.alias("owner_place"))
     several = kinds.where("kinds > 1")
-    data = written(_with_bytes(texts, several), "data")
+    data = written_dense(_with_bytes(texts, several), "data")
     _release(spark)
     total = data.where(F.col("size") <= max_core_bytes).agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     bucket = F.pmod(F.xxhash64("core"), F.lit(max(1, -(-int(total) // bucket_bytes))))
@@ -322,7 +323,7 @@ def repeated_runs(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_core_b
     hits = hits.where((F.col("doc") != F.col("owner_doc")) | (F.col("begin") != F.col("owner_place")))
     at = F.col("begin").bitwiseAND((1 << (_VERSION - _START)) - 1)
     out = hits.select("doc", F.shiftright("begin", _VERSION - _START).cast("int").alias("version"), at.alias("start"), (at + F.col("high") - F.col("low") + LENGTH).alias("end"))
-    return written(out, "hits")
+    return written_dense(out, "hits")
 
 
 def _with_bytes(texts: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -360,7 +361,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), blank(text).alias("text"))
     groups, texts = _unique_texts(rows)
-    texts = written(texts, "texts")
+    texts = written_dense(texts, "texts")
     _release(spark)
     hits = repeated_runs(texts, bucket_bytes, max_core_bytes)
     _release(spark)
