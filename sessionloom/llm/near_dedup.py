@@ -37,7 +37,7 @@ from sessionloom.functions.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 3
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Documents on either side of a cell of the exact stage.
 BLOCK = 256
 #: Documents sketched at a time; their words are the memory that a task needs.
