@@ -59,8 +59,8 @@ def segment_rows(lines: DataFrame) -> DataFrame:
 
 
 def letter_counts(content: Column) -> Column:
-    """How often each of a few frequent letters and spaces stand in a line."""
-    return F.array(*[F.length(content) - F.length(F.replace(content, F.lit(c), F.lit(""))) for c in "etaoinsrhld "])
+    """How often each lower-case letter, the space, comma and full stop stand in a line."""
+    return F.array(*[F.length(content) - F.length(F.replace(content, F.lit(c), F.lit(""))) for c in "etaoinsrhldcumfpgwybvkjxqz ,."])
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -152,8 +152,9 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     # The letter counts are part of the join's condition, so pairs that they rule out never become rows.
     current = current.join(lines.select("id", "letters"), "id")
     own = current.where("own").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("letters").alias("p"))
-    rest = own.join(current.select("key", F.col("id").alias("b"), "comp", F.col("letters").alias("q")), "key")
-    rest = rest.where((F.col("a_comp") != F.col("comp")) & _may_match("p", "q"))
+    rest = own.join(current.select("key", F.col("id").alias("b"), "comp", F.col("letters").alias("q"), F.col("own").alias("b_own")), "key")
+    # Two own segments meet in either order: one is enough.
+    rest = rest.where((F.col("a_comp") != F.col("comp")) & ~(F.col("b_own") & (F.col("a") > F.col("b"))) & _may_match("p", "q"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_verified(rest.join(ordered, ["a", "b"], "left_anti"), lines), "rest")
