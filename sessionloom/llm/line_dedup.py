@@ -1,16 +1,17 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines are trimmed pieces between line ends; blank ones don't take part.  Two lines are similar within ``EDITS`` (2) edits; lines
-shorter than ``SHORTEST`` code points only if they are equal.  Similar lines form classes (connected components), and the first
+Lines are trimmed pieces between line ends; blank ones don't take part.  Two lines are similar within one edit per
+``PER_EDIT`` (5) code points of the shorter one, ``EDITS`` (2) at most: two edits from ``SHORTEST`` (10) code points, one from 5;
+under 5 an edit is more than a fifth of the line, and only equal lines are similar.  Similar lines form classes (connected components), and the first
 line of a class, by document id and place, stays.
 
 * Equal lines are folded first, with partial aggregation, so a line in a third of all documents is one row per task.
-* Each distinct line is split into ``EDITS + 1`` segments.  Segments are indexed by a hash of length, number and content; a line
-  probes the indexes of its own length and of up to two code points less, with the few substrings at places that the edits
-  left and right of a segment allow.  Two lines within two edits share one such key.
+* Each distinct line is split into one segment more than it may have edits.  Segments are indexed by a hash of length, number and content; a line
+  probes the indexes of its own length and of as many code points less as the shorter line may have edits, with the few substrings at places that the edits
+  left and right of a segment allow.  Two similar lines share one such key.
 * Key groups are compared with one leader per line and round; verified links are contracted to components.  After
   ``STAR_ROUNDS`` rounds all untested pairs of index and probe whose lines still lie in different components follow.
-* Letter counts that differ by more than two edits allow, and then the built-in distance with its threshold, rule most pairs
+* Letter counts that differ by more than the edits allow, and then the built-in distance with its threshold, rule most pairs
   out; the rest is verified by a bit-parallel edit distance: one integer holds the band of five cells of a column, and a handful of bit operations moves it on by one character.
 
 All of it is built-in functions.  Null texts have no lines.  Repeated ids are ordered by text digest and place; rows equal in id and
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from sessionloom.functions.graph import components
 from sessionloom.llm.common import blank, written
 
-EDITS, SHORTEST = 2, 20
+EDITS, PER_EDIT = 2, 5
+#: From this length on lines may have all ``EDITS`` edits.
+SHORTEST = EDITS * PER_EDIT
 STAR_ROUNDS = 2
 
 
@@ -36,20 +39,32 @@ def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     return rows.where("content != ''")
 
 
+def allowed(n: Column) -> Column:
+    """Edits that a line of ``n`` code points may have."""
+    return F.least(F.lit(EDITS), F.floor(n / PER_EDIT)).cast("int")
+
+
+def _cases(edits: int) -> list[Column]:
+    """Length difference, segment and shift of the probes for a shorter line of so many edits."""
+    cases = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                cases.append(F.struct(F.lit(edits).alias("most"), F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")))
+    return cases
+
+
 def segment_rows(lines: DataFrame) -> DataFrame:
-    """``id, key, own``: keys of each line's own segments, and of the substrings that probe lines of its length and up to ``EDITS`` less.
+    """``id, key, own``: keys of each line's own segments, and of the substrings that probe lines of its length and somewhat less.
 
-    Segments are even, the later ones longer.  Edits before the i-th are at most i, after it at most ``EDITS - i``, which
+    Segments are even, the later ones longer.  Edits before the i-th are at most i, after it at most ``most - i``, which
     bounds the shift of a probe.  Each case is a row, so the key is one small expression.
     """
-    parts, cases = EDITS + 1, []
-    for less in range(EDITS + 1):
-        for i in range(parts):
-            for shift in range(max(-i, less - (EDITS - i)), min(i, less + EDITS - i) + 1):
-                cases.append(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")))
-    rows = lines.select("id", "content", F.length("content").alias("n"), F.explode(F.array(*cases)).alias("c"))
-    rows = rows.select("id", "content", "n", "c.*").withColumn("other", F.col("n") - F.col("less")).where(F.col("other") >= SHORTEST)
-    rows = rows.withColumns({"short": F.expr(f"int(other div {parts})"), "more": F.lit(parts) - F.col("other") % parts})
+    every, n = [_cases(edits) for edits in range(1, EDITS + 1)], F.length("content")
+    cases = F.when(n >= SHORTEST + EDITS, F.array(*every[-1])).otherwise(F.array(*sum(every, [])))
+    rows = lines.where(n >= PER_EDIT).select("id", "content", n.alias("n"), F.explode(cases).alias("c"))
+    rows = rows.select("id", "content", "n", "c.*").withColumn("other", F.col("n") - F.col("less")).where(allowed(F.col("other")) == F.col("most"))
+    rows = rows.withColumns({"short": F.expr("int(other div (most + 1))"), "more": F.col("most") + 1 - F.col("other") % (F.col("most") + 1)})
     rows = rows.withColumns({
         "at": F.col("short") * F.col("i") + F.greatest(F.lit(0), F.col("i") - F.col("more")) + 1 + F.col("shift"),
         "size": F.col("short") + (F.col("i") >= F.col("more")).cast("int")})
@@ -108,10 +123,10 @@ def _moved(d0: Column, vp: Column, vn: Column, d: Column, j: Column, n: Column,
     return F.struct((hn.bitwiseOR(upside(low.bitwiseOR(hp)))).bitwiseAND(full).alias("vp"), low.bitwiseAND(hp).alias("vn"), (d + change).alias("d"))
 
 
-def _may_match(p: str, q: str) -> Column:
-    """Whether letter counts allow two lines to be similar: each edit changes at most two counts by one."""
+def _may_match(p: str, q: str, most: Column) -> Column:
+    """Whether letter counts allow two lines to be within ``most`` edits: each changes at most two counts by one."""
     apart = F.aggregate(F.zip_with(p, q, lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
-    return apart <= 2 * EDITS
+    return apart <= 2 * most
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -120,8 +135,10 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     right = lines.select(F.col("id").alias("b"), F.col("content").alias("y"), F.col("letters").alias("q"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
     # The built-in distance gives up at the threshold and turns most pairs away cheaply; the bit-parallel one decides on the rest.
-    near = _may_match("p", "q") & (F.levenshtein("x", "y", EDITS) >= 0)
-    return both.select("a", "b", F.when(near, within_edits(F.col("x"), F.col("y"))).otherwise(False).alias("linked"))
+    most = allowed(F.least(F.length("x"), F.length("y")))
+    near = _may_match("p", "q", most) & (F.levenshtein("x", "y", EDITS) >= 0)
+    linked = F.when(most < EDITS, F.levenshtein("x", "y") <= most).otherwise(within_edits(F.col("x"), F.col("y")))
+    return both.select("a", "b", F.when(near, linked).otherwise(False).alias("linked"))
 
 
 def similar_links(distinct: DataFrame) -> DataFrame:
@@ -150,11 +167,12 @@ def similar_links(distinct: DataFrame) -> DataFrame:
         current = members.join(mine, "id", "left").join(theirs, "leader", "left")
         current = current.withColumn("comp", F.coalesce("comp", "id")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
     # The letter counts are part of the join's condition, so pairs that they rule out never become rows.
-    current = current.join(lines.select("id", "letters"), "id")
-    own = current.where("own").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("letters").alias("p"))
+    current = current.join(lines.select("id", "letters", allowed(F.length("content")).alias("most")), "id")
+    # A line that probes is never shorter than the one whose own segment it meets.
+    own = current.where("own").select("key", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("letters").alias("p"), "most")
     rest = own.join(current.select("key", F.col("id").alias("b"), "comp", F.col("letters").alias("q"), F.col("own").alias("b_own")), "key")
     # Two own segments meet in either order: one is enough.
-    rest = rest.where((F.col("a_comp") != F.col("comp")) & ~(F.col("b_own") & (F.col("a") > F.col("b"))) & _may_match("p", "q"))
+    rest = rest.where((F.col("a_comp") != F.col("comp")) & ~(F.col("b_own") & (F.col("a") > F.col("b"))) & _may_match("p", "q", F.col("most")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_verified(rest.join(ordered, ["a", "b"], "left_anti"), lines), "rest")

@@ -66,6 +66,31 @@ def test_classes(table):
     assert left == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if want.get((d, k), (0, 0, 0, False))[3]) for d, t in rows}
 
 
+def test_short_lines(table):
+    """Lines of every length against brute force: one edit per five characters of the shorter, two at most."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(1, 25) for _ in range(4)]
+    known = ["The, thertion.", "The thertion.", "Ertionnt.", "Ertionat.", "a" + "k" * 18, "k" * 20, "No", "Na", "Yess", "Yes", "wordy", "wordly"]
+    content = known + [edited(rng, rng.choice(base), 2).strip() or "z" for _ in range(400)]
+    rows = list(enumerate(content))
+    parent = list(range(len(content)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(content):
+        for j, b in enumerate(content[:i]):
+            most = min(2, min(len(a), len(b)) // 5)
+            if abs(len(a) - len(b)) <= most and (a == b or (most and distance(a, b) <= most)):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = {r["doc_id"]: r["class_doc"] for r in L.line_classes(table(rows)).collect()}
+    assert got == {i: root(i) for i in range(len(content))}
+    assert got[1] == 0 and got[3] == 2 and got[5] == 4 and got[7] == 7 and got[9] == 9 and got[11] == 10
+
+
 def test_awkward_rows(table, awkward):
     rows = L.line_classes(table(awkward)).collect()
     assert all(r["doc_id"] not in (1, 2, 3) for r in rows)
