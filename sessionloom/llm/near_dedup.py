@@ -3,10 +3,10 @@
 * **Words** are runs of ASCII letters and digits (lower-cased) and of all other non-ASCII characters.  Documents with the
   same words are collapsed first; one of them, the representative, stands for all.
 * **Sketch.** Five-word shingles are labelled with their occurrence number.  Each of ``BANDS * ROWS`` hash functions takes the
-  two smallest labelled shingles and keeps them in text order.  ``ROWS`` of these make one band key: at similarity 0.8 some
-  band of 20 agrees with probability 0.998, at 0.3 with 0.015.  One function of a band samples all labels, so that repeats
-  count; the others sample first occurrences, because the classes are judged by sets of shingles and texts that only
-  share a line many times over would otherwise all be candidates of each other.
+  two smallest labelled shingles and keeps them in text order.  ``ROWS`` of these make one band key.  In the last ``BANDS -
+  LABELLED_BANDS`` (20) bands all functions sample first occurrences, because the classes are judged by sets of shingles:
+  at a set similarity of 0.8 some of them agrees with probability 0.998, at 0.3 with 0.015, however often a text repeats
+  its lines.  In the ``LABELLED_BANDS`` before, one function of each samples all labels, so that repeats count as well.
 * **Candidates.** Bucket members are compared with a leader, one leader per document and round, so the pairs of a round
   are at most as many as documents.  Verified links are contracted to components.  After ``STAR_ROUNDS`` rounds
   what is left is done exactly: in buckets whose members still lie in different components, those outside the largest one
@@ -36,7 +36,9 @@ from sessionloom.llm.common import blank, written
 from sessionloom.functions.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 3
+BANDS, ROWS = 40, 3
+#: Bands, the first ones, of which one function samples repeats too.
+LABELLED_BANDS = 20
 STAR_ROUNDS = 1
 #: Documents on either side of a cell of the exact stage.
 BLOCK = 256
@@ -119,7 +121,7 @@ def order_minhash(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
     views = [(elements, begin, owner, n), (elements[firsts], *_starts(np.bincount(owner[firsts], minlength=len(n))))]
     out, keys = np.zeros((BANDS, len(n)), np.uint64), None
     for j, seed in enumerate(_SEEDS):
-        elements, begin, owner, n = views[j % ROWS > 0]
+        elements, begin, owner, n = views[j % ROWS > 0 or j // ROWS >= LABELLED_BANDS]
         v = (elements ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         v ^= v >> np.uint64(32)
         least = np.minimum.reduceat(v, begin)

@@ -35,6 +35,19 @@ def test_large_groups(table, monkeypatch, block, rounds):
     assert got == want
 
 
+def test_repeats_do_not_hide_links(table):
+    """Pairs with the same shingles but for a few, one of which repeats a line very often."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(30):
+        base, line = [word() for _ in range(200)], [word() for _ in range(8)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, *line * 250]))]
+    want = near_classes(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(30))
+    assert classes(table(rows)) == want
+
+
 def test_order_matters_to_the_sketch():
     words, counts = N.word_hashes(["a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o p", "i j k l m n o p a b c d e f g h", "A, b; C d e f g h i j k l m n o p!"])
     keys = N.order_minhash(*N.shingle_hashes(words, counts))
