@@ -33,6 +33,20 @@ def test_small_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<head><title>t</title><meta charset=x><body><p>body</p>", "body"), ("<head><title>t</title><p>flow</p>", "flow"), ("<head><style>p{}</style>bare", "bare"),
+    ("<head><title>t</title><script>x</script></head><p>after</p>", "after"), ("<head><title>never closed<body><p>b</p>", "b"), ("<header>no</header><p>yes</p>", "yes"),
+    ("<article><p>a</p><svg viewBox='0' /><p>b</p><iframe src=x /><p>c</p></article>", "a b c"),
+    *[(f"<article><p>a</p><{n} x=1><p>b</p></article>", "a b") for n in "noscript template svg math iframe object canvas title textarea select button".split()],
+    ("<article><p>a</p><button>x<p>b</p><button>no</button><p>c</p></article>", "a x b c"), ("<article><svg><svg>no</svg>no</svg><p>a</p></article>", "a"),
+    ("<article><p>a</p><script>never closed<p>b</p></article>", "a"), ("<article><p>a</p><script src='x'/><p>b</p><script>no</script></article>", "a b"),
+    ("<main><p>before</p><article><p>inside</p></article><p>after</p></main><p>out</p>", "before inside after"),
+    ("<main><p>before</p><article><p>the longer one</p></article><article><p>short</p></article></main>", "before the longer one"),
+])
+def test_unclosed_elements(page, want):
+    assert main_text(page) == want
+
+
 def test_lines_know_their_links():
     (text, aside, article, linked), = page_lines("<p>go <a href=x>there</a></p>")
     assert text == "go there" and not aside and not article and 0.6 < linked < 0.65
