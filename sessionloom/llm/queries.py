@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, suffix_dedup, toxicity
+from sessionloom.llm import (
+    exact_dedup, fingerprints, html_text, language, licenses, line_dedup, mixing, near_dedup, packing, periodic, suffix_dedup, toxicity, whitening,
+)
 from sessionloom.llm.common import prepare, read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +117,22 @@ def _(spark, sf_dir):
 @query("op10_order_minhash_near_dedup")
 def _(spark, sf_dir):
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def _(spark, sf_dir):
+    out = whitening.components_of(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op12_language_id")
+def _(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out()))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return periodic.digests(periodic.periodic_runs(periodic.with_planted_period(docs)))

@@ -18,7 +18,7 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLES) <= set(QUERIES) <= set(names) and "pipeline" in names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLES) <= set(QUERIES) <= set(names) and "pipeline" in names
 
 
 def test_whole_pipeline(session, small_docs):
