@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,10 @@ PROFILE = 400
 LONGEST_GRAM = 5
 MOST_LANGUAGES = 5_000
 UNKNOWN = "und"
-#: Bounds on what a task remembers: counted words before they are handed on, words whose n-grams are kept.
-HELD_WORDS, MEMO, MEMO_WORD = 300_000, 200_000, 40
+#: Words a task counts before it hands them on.
+HELD_WORDS = 300_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _BETWEEN = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]+")
 _PREDICTED = "lang_pred string, score double"
 
 
@@ -95,8 +94,39 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
     return counted.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams that are one character longer."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes
+    return h ^ (h >> np.uint64(32))
+
+
 def _number(gram: str) -> int:
-    return int.from_bytes(blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    h = np.zeros(1, np.uint64)
+    for c in _codes(gram):
+        h = _longer(h, c)
+    return int(h.view(np.int64)[0])
+
+
+def gram_numbers(text: str, longest: int = LONGEST_GRAM) -> np.ndarray:
+    """64-bit hashes of all n-grams of all words of a text; none where it has no word."""
+    words = _BETWEEN.sub("_", text.lower()).strip("_")
+    if not words:
+        return np.zeros(0, np.int64)
+    codes = _codes(f"_{words}_")
+    mark, h, out = codes == ord("_"), np.zeros(len(codes), np.uint64), []
+    whole = ~mark  # a boundary alone is no n-gram, longer ones may have it at their ends only
+    for n in range(1, min(longest, len(codes)) + 1):
+        h = _longer(h[: len(codes) - n + 1], codes[n - 1 :])
+        if n == 2:
+            whole = np.ones(len(h), bool)
+        elif n > 2:
+            whole = whole[: len(h)] & ~mark[n - 2 : len(codes) - 1]
+        out.append(h[whole])
+    return np.concatenate(out).view(np.int64)
 
 
 class Model:
@@ -111,21 +141,12 @@ class Model:
             at = np.searchsorted(self.known, np.array([_number(gram) for _, gram, _ in rows], np.int64))
             self.ranks[[place[lang] for lang, _, _ in rows], at] = [rank for _, _, rank in rows]
 
-    def distances(self, text: str, memo: dict[str, np.ndarray]) -> tuple[np.ndarray, int]:
+    def distances(self, text: str) -> tuple[np.ndarray, int]:
         """Out-of-place distance to each language, and the largest there could be."""
-        parts = []
-        for word in letter_words(text):
-            got = memo.get(word)
-            if got is None:
-                got = np.array([_number(g) for g in grams(word, self.longest)], np.int64)
-                if len(word) <= MEMO_WORD:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    memo[word] = got
-            parts.append(got)
-        if not parts:
+        every = gram_numbers(text, self.longest)
+        if not len(every):
             return np.zeros(len(self.languages)), 0
-        every = np.sort(np.concatenate(parts))
+        every.sort()
         starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         number, count = every[starts], np.diff(np.append(starts, len(every)))
         if len(number) > self.size:
@@ -138,10 +159,10 @@ class Model:
         absent = (theirs < 0) | (self.known[at] != number)
         return np.where(absent, self.size, np.abs(theirs - np.arange(len(number)))).sum(axis=1), self.size * len(number)
 
-    def predict(self, text: str, memo: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        distance, most = self.distances(text, memo)
+        distance, most = self.distances(text)
         if not most:
             return self.languages[0], 0.0  # letters that make no word, such as those of joined signs
         best = int(distance.argmin())
@@ -164,9 +185,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = [model.predict(value.as_py(), memo) for value in batch.column(name)]
+            found = [model.predict(value.as_py()) for value in batch.column(name)]
             columns = [batch.column(c) for c in names] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
 

@@ -17,20 +17,19 @@ def test_profiles_and_distances(small_docs):
     want = language_profiles([(r["lang"], r["text"]) for r in train.collect()])
     got = {}
     for lang, gram, rank in language.profiles(train).collect():
-        got.setdefault(lang, {})[gram] = rank
+        got.setdefault(lang)[gram] = rank
     assert got == want
     model = language.Model([(lang, g, r) for lang, p in want.items() for g, r in p.items()])
     for text in [r["text"] for r in small_docs.limit(40).collect()] + ["one", "the THE the of"]:
         mine = language_profiles([("x", text)])["x"]
         counts = language_profiles([("x", text)], size=10**9)["x"]
-        distances, most = model.distances(text, {})
+        distances, most = model.distances(text)
         assert most == 400 * len(mine)
         if len(counts) <= 2:  # only without ties are ranks the same in both
             continue
         # The order among equal counts is by hash, so hold the distance against ranks in that order.
-        words = [w for w in language.letter_words(text)]
         tally = {}
-        for w in words:
+        for w in language.letter_words(text):
             for g in language.grams(w):
                 tally[g] = tally.get(g, 0) + 1
         ordered = sorted(tally, key=lambda g: (-tally[g], language._number(g)))[:400]
@@ -45,15 +44,21 @@ def test_n_grams_of_any_word(session):
         assert sorted(r["g"]) == sorted(language.grams(r["word"]))
 
 
+def test_numbers_of_a_text():
+    for text in ("", "a", "The cat, the 2nd cat_flap.", "straße 日本語 𝒳𝒴z", "x" * 300):
+        want = [language._number(g) for w in language.letter_words(text) for g in language.grams(w)]
+        assert sorted(language.gram_numbers(text).tolist()) == sorted(want)
+
+
 def test_short_rules(session):
     rows = [("en", "the cat and the dog"), ("de", "der Hund und die Katze"), (None, "nothing"), ("de", None)]
     model = language.fit(session.createDataFrame(rows, "lang string, text string"))
     assert model.languages == ["de", "en"]
-    assert model.predict("THE DOG", {})[0] == "en" and model.predict("die Hunde", {})[0] == "de"
-    assert model.predict("", {}) == model.predict("123 _ 4!", {}) == ("und", 0.0)
-    assert model.predict("日本語", {}) == ("de", 0.0)
+    assert model.predict("THE DOG")[0] == "en" and model.predict("die Hunde")[0] == "de"
+    assert model.predict("") == model.predict("123 _ 4!") == ("und", 0.0)
+    assert model.predict("日本語") == ("de", 0.0)
     one = language.fit(session.createDataFrame(rows[:1], "lang string, text string"))
-    assert one.predict("the", {})[0] == "en" and 0 < one.predict("the", {})[1] <= 1 and one.predict("zzz", {}) == ("en", 0.0)
+    assert one.predict("the")[0] == "en" and 0 < one.predict("the")[1] <= 1 and one.predict("zzz") == ("en", 0.0)
 
 
 def test_awkward_rows(table, awkward):
