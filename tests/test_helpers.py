@@ -57,6 +57,35 @@ def test_first_beyond_is_brute_force(spark, monkeypatch, fan):
     assert len(got) == len(levels)
 
 
+def test_tree_of_one_long_segment(spark, monkeypatch):
+    """Ten million slots of one segment: three levels, no array beyond the fan-out, one build for several searches."""
+    import numpy as np
+
+    n, built = 10_000_000, []
+    real = search.ExtremesTree.__init__
+    monkeypatch.setattr(search.ExtremesTree, "__init__", lambda self, *a, **b: built.append(1) or real(self, *a, **b))
+    wave = lambda i: (i * 7919) % 10_007 + i // 100_000  # noqa: E731 - rises slowly, so that some hits are far away
+    bars = spark.range(n).select(F.lit("x").alias("key"), F.col("id").alias("slot"), F.expr("(id * 7919) % 10007 + id div 100000").alias("high"),
+                                 F.expr("(id * 7919) % 10007 + id div 100000 - 3").alias("low"))
+    rnd = random.Random(9)
+    wanted = [(i, "x", rnd.randrange(n), rnd.choice([10_010, 10_050, 10_104, 10_105, 10_200, 10, 40]), rnd.choice(["UPPER", "LOWER"])) for i in range(300)]
+    levels = spark.createDataFrame([(*w[:3], w[3] if w[4] == "UPPER" else w[3] % 100 - 3, w[4]) for w in wanted], "id int, key string, start bigint, level bigint, side string")
+    search_for = dict(ordinal="slot", above="high", below="low", start="start", threshold="level", side="side")
+    got = search.first_beyond(levels, bars, ["key"], **search_for).collect()
+    again = search.first_beyond(levels, bars, ["key"], **search_for, last="start").collect()
+    high = wave(np.arange(n))
+    far = 0
+    for r in got:
+        hits = (high[r.start :] > r.level) if r.side == "UPPER" else (high[r.start :] - 3 < r.level)
+        k = int(hits.argmax())
+        assert r.hit == (r.start + k if hits[k] else None), r
+        far += k > search.FAN**2
+    assert far and {r.id: r.hit for r in again} == {r.id: (r.hit if r.hit == r.start else None) for r in got}
+    tree = search.tree_of(bars, ["key"], "slot", ["high"])
+    assert len(built) == 1 and len(tree.levels) == 3
+    assert all(t.agg(F.max(F.size("kid"))).first()[0] <= search.FAN for t in tree.levels)
+
+
 def test_points_in_intervals(spark):
     rnd = random.Random(5)
     points = [("a" if rnd.random() < .7 else "b", i, rnd.randint(0, 400_000)) for i in range(200)]
