@@ -79,28 +79,41 @@ def clusters(m):
 
 
 CTES["clusters"] = """
-WITH RECURSIVE l AS (SELECT * FROM links WHERE NOT is_blocked),
- ev AS (SELECT DISTINCT instrument_id, segment_id, orientation, later_slot AS js, later_id AS j FROM l),
- now AS (SELECT js, j, j AS m FROM ev UNION SELECT n.js, n.j, CASE WHEN l.later_id = n.m THEN l.earlier_id ELSE l.later_id END FROM now n JOIN l ON (l.later_id = n.m OR l.earlier_id = n.m) AND (l.later_slot, l.later_id) <= (n.js, n.j)),
- old AS (SELECT later_slot AS js, later_id AS j, earlier_id AS e, earlier_id AS m FROM l
-   UNION SELECT o.js, o.j, o.e, CASE WHEN l.later_id = o.m THEN l.earlier_id ELSE l.later_id END FROM old o JOIN l ON (l.later_id = o.m OR l.earlier_id = o.m) AND (l.later_slot, l.later_id) < (o.js, o.j)),
- prior AS (SELECT o.js, o.j, o.e, max_by(x.j, (x.js, x.j)) || '@' || CAST(count(DISTINCT o.m) AS VARCHAR) AS v FROM old o LEFT JOIN ev x ON x.j = o.m GROUP BY 1, 2, 3 HAVING count(x.j) > 0),
- sup AS (SELECT js, j, list_sort(list(DISTINCT v)) AS v FROM prior GROUP BY 1, 2),
- mem AS (SELECT js, j, list_sort(list(m)) AS m FROM now GROUP BY 1, 2)
-SELECT ev.instrument_id, ev.segment_id, ev.orientation, js AS available_slot, j || '@' || CAST(len(mem.m) AS VARCHAR) AS version_id,
-       CASE WHEN sup.v IS NULL THEN 'FORMED' WHEN len(sup.v) = 1 THEN 'EXTENDED' ELSE 'MERGED' END AS change_kind, mem.m AS member_ids, coalesce(sup.v, CAST([] AS VARCHAR[])) AS supersedes
-FROM ev JOIN mem USING (js, j) LEFT JOIN sup USING (js, j)"""
+WITH RECURSIVE l AS (SELECT *, unnest(CASE WHEN earlier_value = later_value THEN ['EQ', 'REQ'] ELSE ['REQ'] END) AS ty FROM links WHERE NOT is_blocked),
+ ev AS (SELECT DISTINCT ty, instrument_id, segment_id, orientation, later_slot AS js, later_id AS j FROM l),
+ now AS (SELECT ty, js, j, j AS m FROM ev UNION SELECT n.ty, n.js, n.j, CASE WHEN l.later_id = n.m THEN l.earlier_id ELSE l.later_id END
+   FROM now n JOIN l ON l.ty = n.ty AND (l.later_id = n.m OR l.earlier_id = n.m) AND (l.later_slot, l.later_id) <= (n.js, n.j)),
+ old AS (SELECT ty, later_slot AS js, later_id AS j, earlier_id AS e, earlier_id AS m FROM l UNION SELECT o.ty, o.js, o.j, o.e, CASE WHEN l.later_id = o.m THEN l.earlier_id ELSE l.later_id END
+   FROM old o JOIN l ON l.ty = o.ty AND (l.later_id = o.m OR l.earlier_id = o.m) AND (l.later_slot, l.later_id) < (o.js, o.j)),
+ ver AS (SELECT ty, js, j, count(*) AS n, count(DISTINCT a.value) AS p, ty || ':' || j || '@' || CAST(count(*) AS VARCHAR) AS v FROM now JOIN atoms a ON a.member_id = now.m GROUP BY 1, 2, 3 HAVING ty = 'EQ' OR p > 1),
+ prior AS (SELECT o.ty, o.j, o.e, max_by(x.j, (x.js, x.j)) AS xj FROM old o JOIN ev x ON x.ty = o.ty AND x.j = o.m GROUP BY 1, 2, 3),
+ sup AS (SELECT prior.ty, prior.j, list_sort(list(DISTINCT ver.v)) AS v FROM prior JOIN ver ON ver.ty = prior.ty AND ver.j = prior.xj GROUP BY 1, 2),
+ added AS (SELECT now.m, min_by(ver.v, (ver.js, ver.j)) AS v FROM now JOIN ver USING (ty, js, j) GROUP BY now.ty, now.m)
+SELECT ev.instrument_id, ev.segment_id, ev.orientation, ver.v AS version_id, ver.ty AS structure_type, ver.js AS available_slot, ver.j AS last_member_id,
+       CASE WHEN sup.v IS NULL THEN 'FORMED' WHEN len(sup.v) = 1 THEN 'EXTENDED' ELSE 'MERGED' END AS change_kind, n AS member_count, p AS price_count,
+       coalesce(sup.v, CAST([] AS VARCHAR[])) AS supersedes, added.m AS member_id
+FROM ver JOIN ev USING (ty, js, j) LEFT JOIN sup ON sup.ty = ver.ty AND sup.j = ver.j LEFT JOIN added ON added.v = ver.v"""
+CTES["cluster_rows"] = "SELECT * EXCLUDE (member_id, last_member_id) FROM clusters WHERE member_id = last_member_id"
 
 
-@query("J03_equal_level_clusters", "SELECT * FROM clusters")
+def cluster_rows(m):
+    return J.cluster_versions(clusters(m))
+
+
+@query("J03_equal_level_clusters", "SELECT * FROM cluster_rows")
+def _(m):
+    return cluster_rows(m)
+
+
+@query("J03_cluster_members", "SELECT structure_type, version_id, member_id FROM clusters")
 def _(m):
-    return clusters(m)
+    return clusters(m).select("structure_type", "version_id", "member_id")
 
 
 CTES["lineages"] = """
-WITH RECURSIVE f AS (SELECT version_id, 'lineage_' || version_id AS lineage_id FROM clusters WHERE change_kind <> 'EXTENDED'
- UNION ALL SELECT c.version_id, f.lineage_id FROM clusters c JOIN f ON c.change_kind = 'EXTENDED' AND c.supersedes[1] = f.version_id)
-SELECT c.*, f.lineage_id FROM clusters c JOIN f USING (version_id)"""
+WITH RECURSIVE f AS (SELECT version_id, 'lineage_' || version_id AS lineage_id FROM cluster_rows WHERE change_kind <> 'EXTENDED'
+ UNION ALL SELECT c.version_id, f.lineage_id FROM cluster_rows c JOIN f ON c.change_kind = 'EXTENDED' AND c.supersedes[1] = f.version_id)
+SELECT c.*, f.lineage_id FROM cluster_rows c JOIN f USING (version_id)"""
 
 
 @query("J04_cluster_lineages", """
@@ -108,37 +121,37 @@ SELECT instrument_id, segment_id, orientation, lineage_id, version_id, available
 UNION ALL SELECT * FROM (SELECT n.instrument_id, n.segment_id, n.orientation, o.lineage_id, min_by(n.version_id, (n.available_slot, n.version_id)) AS version_id, min(n.available_slot) AS available_slot, 'STOPPED' AS change_kind
  FROM (SELECT *, unnest(supersedes) AS old FROM lineages WHERE change_kind = 'MERGED') n JOIN lineages o ON o.version_id = n.old GROUP BY 1, 2, 3, 4)""")
 def _(m):
-    return J.cluster_lineages(clusters(m))
+    return J.cluster_lineages(cluster_rows(m))
 
 
 _CHECKED = """SELECT '{name}' AS input, (SELECT count(*) FROM {t} m LEFT JOIN swings s ON s.swing_id = m.member_id WHERE s.swing_id IS NULL) AS unknown_member,
  (SELECT count(*) FROM {t} m JOIN swings s ON s.swing_id = m.member_id WHERE s.orientation <> m.orientation) AS side_mismatch,
- (SELECT count(*) FROM (SELECT unnest(supersedes) AS old FROM {v}) WHERE old NOT IN (SELECT version_id FROM clusters)) AS unknown_superseded"""
+ (SELECT count(*) FROM (SELECT unnest(supersedes) AS old FROM {v}) WHERE old NOT IN (SELECT version_id FROM cluster_rows)) AS unknown_superseded"""
 
 
 @query("B08_validate_structures", f"""
-WITH bad AS (SELECT version_id, CASE WHEN available_slot % 5 = 1 THEN CASE orientation WHEN 'UPPER' THEN 'LOWER' ELSE 'UPPER' END ELSE orientation END AS orientation,
-  CASE WHEN available_slot % 3 = 0 THEN member_ids || ['ghost'] ELSE member_ids END AS member_ids, CASE WHEN available_slot % 2 = 0 THEN supersedes || ['ghost'] ELSE supersedes END AS supersedes FROM clusters),
- m1 AS (SELECT orientation, unnest(member_ids) AS member_id FROM clusters), m2 AS (SELECT orientation, unnest(member_ids) AS member_id FROM bad)
-{_CHECKED.format(name="GIVEN", t="m1", v="clusters")} UNION ALL {_CHECKED.format(name="TAMPERED", t="m2", v="bad")}""")
+WITH m1 AS (SELECT orientation, member_id FROM clusters), v1 AS (SELECT supersedes FROM cluster_rows),
+ m2 AS (SELECT CASE WHEN available_slot % 5 = 1 THEN CASE orientation WHEN 'UPPER' THEN 'LOWER' ELSE 'UPPER' END ELSE orientation END AS orientation,
+               CASE WHEN available_slot % 3 = 0 THEN 'ghost' ELSE member_id END AS member_id FROM clusters),
+ v2 AS (SELECT CASE WHEN available_slot % 2 = 0 THEN supersedes || ['ghost'] ELSE supersedes END AS supersedes FROM cluster_rows)
+{_CHECKED.format(name="GIVEN", t="m1", v="v1")} UNION ALL {_CHECKED.format(name="TAMPERED", t="m2", v="v2")}""")
 def _(m):
     slot, other = F.col("available_slot"), F.when(F.col("orientation") == "UPPER", "LOWER").otherwise("UPPER")
-    ghost = F.array(F.lit("ghost"))
     # planted faults: another side, a member and a superseded version that don't exist
     tampered = clusters(m).withColumns({
-        "orientation": F.when(slot % 5 == 1, other).otherwise(F.col("orientation")), "member_ids": F.when(slot % 3 == 0, F.concat("member_ids", ghost)).otherwise(F.col("member_ids")),
-        "supersedes": F.when(slot % 2 == 0, F.concat("supersedes", ghost)).otherwise(F.col("supersedes"))})
-    known = clusters(m).select(F.col("version_id").alias("old"))
+        "orientation": F.when(slot % 5 == 1, other).otherwise(F.col("orientation")), "member_id": F.when(slot % 3 == 0, F.lit("ghost")).otherwise(F.col("member_id"))})
+    broken = cluster_rows(m).withColumn("supersedes", F.when(slot % 2 == 0, F.concat("supersedes", F.array(F.lit("ghost")))).otherwise(F.col("supersedes")))
+    known = cluster_rows(m).select(F.col("version_id").alias("old"))
 
-    def violations(versions, name):
-        members = versions.select("orientation", F.explode("member_ids").alias("member_id")).join(atoms(m).select("member_id", F.col("orientation").alias("_side")), "member_id", "left")
+    def violations(members, versions, name):
+        members = members.select("orientation", "member_id").join(atoms(m).select("member_id", F.col("orientation").alias("_side")), "member_id", "left")
         counts = members.agg(F.count_if(F.col("_side").isNull()).alias("unknown_member"), F.count_if(F.col("_side") != F.col("orientation")).alias("side_mismatch"), F.lit(0).cast("bigint").alias("unknown_superseded"))
         older = versions.select(F.explode("supersedes").alias("old")).join(known, "old", "left_anti").agg(
             F.lit(0).cast("bigint").alias("unknown_member"), F.lit(0).cast("bigint").alias("side_mismatch"), F.count(F.lit(1)).alias("unknown_superseded"))
         sums = [F.sum(c).alias(c) for c in ("unknown_member", "side_mismatch", "unknown_superseded")]
         return counts.unionByName(older).agg(*sums).withColumn("input", F.lit(name))
 
-    return violations(clusters(m), "GIVEN").unionByName(violations(tampered, "TAMPERED"))
+    return violations(clusters(m), cluster_rows(m), "GIVEN").unionByName(violations(tampered, broken, "TAMPERED"))
 
 
 # --- J05 / J06 ---------------------------------------------------------------------
@@ -382,7 +395,7 @@ def _(m):
 @query("O09_external_liquidity")
 def _(m):
     external = P.swing_points(m.segments(), 3, 3).select(*SEG, "orientation", F.col("first_slot").alias("slot"), F.when(F.col("orientation") == "UPPER", F.floor(F.col("price_ticks") / UNIT)).otherwise(-F.floor(F.col("price_ticks") / UNIT)).alias("value"), F.col("swing_id").alias("member_id"))
-    return J.equal_level_clusters(J.level_links(external, TOL))
+    return J.cluster_versions(J.equal_level_clusters(J.level_links(external, TOL)))
 
 
 @query("O10_internal_liquidity", "SELECT instrument_id, side, primary_family, count(*) AS levels, CAST(count_if(consumed_slot IS NOT NULL) AS BIGINT) AS consumed, CAST(sum(evidence_count) AS BIGINT) AS evidence FROM int_levels GROUP BY 1, 2, 3")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.graph import components
+from sessionloom.functions.graph import components, merge_history
 from sessionloom.functions.ids import natural_id, utc_text
 from sessionloom.functions.ordered import running
 from sessionloom.functions.replay import replay
@@ -231,33 +230,63 @@ def level_links(atoms: DataFrame, tolerance: int) -> DataFrame:
     return checked.drop("_from", "_top", "_side", "_last").withColumn("is_blocked", F.col("blocked_slot").isNotNull())
 
 
-CLUSTER_SCHEMA = ("instrument_id string, segment_id bigint, orientation string, available_slot bigint, version_id string, change_kind string, "
-                  "member_ids array<string>, supersedes array<string>")
-
-
-def _cluster_history(rows: pd.DataFrame) -> pd.DataFrame:
-    """Versions of one connected set of links: each later swing joins all sets it is linked to into a new version."""
-    rows = rows.sort_values(["later_slot", "later_id"])
-    key = rows.iloc[0][[*SEGMENT, "orientation"]].tolist()
-    live: dict[str, set] = {}
-    out = []
-    for (slot, later), links in rows.groupby(["later_slot", "later_id"], sort=True):
-        joining = set(links["earlier_id"]) | {later}
-        touched = sorted(name for name, members in live.items() if members & joining)
-        members = joining.union(*(live.pop(name) for name in touched))
-        change = ("FORMED", "EXTENDED")[len(touched)] if len(touched) < 2 else "MERGED"
-        name = f"{later}@{len(members)}"
-        live[name] = members
-        out.append((*key, slot, name, change, sorted(members), touched))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in CLUSTER_SCHEMA.split(", ")])
-
-
 def equal_level_clusters(links: DataFrame) -> DataFrame:
-    """Versions of the connected sets of equal levels; sets are found first, so each is a group of its own."""
-    rows = links.filter("not is_blocked").select(*SEGMENT, "orientation", "later_slot", "later_id", "earlier_id")
-    sets = components(rows.select(F.col("earlier_id").alias("a"), F.col("later_id").alias("b")))
-    rows = rows.join(sets, rows["later_id"] == sets["node"]).drop("node")
-    return rows.groupBy("root").applyInPandas(lambda pdf: _cluster_history(pdf), CLUSTER_SCHEMA)
+    """Versions of the sets of equal (EQ: one price) and nearly equal (REQ: at least two prices) levels, by what they add.
+
+    Each later swing joins all sets that it is linked to into a new version; a REQ set without a second price has none
+    yet.  One row per version and member that no earlier version had; the row of the swing that made the version
+    (``member_id = last_member_id``) stands for it.  Sets and the order they grow in come from the merge history of the
+    links, so the result is linear in them and no set is gathered anywhere.
+    """
+    open_links = links.filter("not is_blocked").withColumn("structure_type", F.explode(
+        F.when(F.col("earlier_value") == F.col("later_value"), F.array(F.lit("EQ"), F.lit("REQ"))).otherwise(F.array(F.lit("REQ")))))
+    node = lambda name: F.concat_ws("|", "structure_type", name)
+    step = F.struct("structure_type", "later_slot", "later_id", "earlier_slot", "earlier_id")
+    events, joined = merge_history(open_links.select(node("earlier_id").alias("a"), node("later_id").alias("b"), step.alias("step")), "step")
+    ends = [open_links.select(node(f"{e}_id").alias("node"), F.col(f"{e}_id").alias("member_id"), F.col(f"{e}_value").alias("value")) for e in ("earlier", "later")]
+    joined = joined.join(ends[0].unionByName(ends[1]).distinct(), "node")
+
+    # Members and prices up to each event of a stage, from counts per step.
+    members = joined.groupBy("stage", "at").agg(F.count(F.lit(1)).alias("members"))
+    prices = joined.groupBy("stage", "value").agg(F.min("at").alias("at")).groupBy("stage", "at").agg(F.count(F.lit(1)).alias("prices"))
+    rows = members.unionByName(prices, allowMissingColumns=True).unionByName(events.select("stage", "at", "until", F.lit(True).alias("is_event")), allowMissingColumns=True)
+    rows = rows.groupBy("stage", "at").agg(F.sum("members").alias("_m"), F.sum("prices").alias("_p"), F.max("until").alias("until"), F.max("is_event").alias("is_event"))
+    rows = running(rows.withColumn("_chunk", F.floor(F.col("at.later_slot") / 4096)), ["stage"], [["_chunk"]], ["at"], {
+        "members": ("sum", F.coalesce("_m", F.lit(0))), "prices": ("sum", F.coalesce("_p", F.lit(0))), "latest": ("last", F.when(F.col("is_event"), F.col("at")))})
+    before = running(rows.filter("is_event"), ["stage"], [["_chunk"]], ["at"], {"previous": ("last", F.col("at"))}, exclusive=True)
+    events = written(before.select("stage", "at", "until", "members", "prices", "previous", F.struct("at.structure_type", "at.later_slot", "at.later_id").alias("maker")), "events")
+
+    versions = events.groupBy("maker").agg(F.max(F.struct("at", "members", "prices")).alias("_v")).select("maker", "_v.*")
+    versions = versions.filter("maker.structure_type = 'EQ' or prices > 1")
+    versions = written(versions.withColumn("version_id", F.concat(F.col("maker.structure_type"), F.lit(":"), F.col("maker.later_id"), F.lit("@"), F.col("members").cast("string"))), "versions")
+    # The set before an event: the previous event of its stage, and the last ones of the stages that end by it.
+    ended = events.groupBy("stage").agg(F.max("at").alias("old"), F.max("until").alias("new")).filter("new is not null").select("old", "new")
+    pairs = events.filter("previous is not null").select(F.col("previous").alias("old"), F.col("at").alias("new")).unionByName(ended)
+    pairs = pairs.join(versions.select(F.col("at").alias("old"), F.col("version_id").alias("_old"), F.col("maker").alias("_made")), "old")
+    pairs = pairs.join(events.select(F.col("at").alias("new"), "maker"), "new").filter("maker <> _made")
+    supersedes = pairs.groupBy("maker").agg(F.sort_array(F.collect_set("_old")).alias("supersedes"))
+
+    # A member's first version: that of its first event, else the first of the stage, else of the event that ends the stage.
+    made = events.join(versions.select("maker", F.lit(True).alias("is_version")), "maker", "left")
+    first = made.filter("is_version").groupBy("stage").agg(F.min("at").alias("_first"))
+    onward = written(made.join(first, "stage", "left").select("at", F.when(F.col("is_version"), F.col("at")).otherwise(F.coalesce("_first", "until")).alias("then")), "onward")
+    added = joined.groupBy("node", "member_id").agg(F.min("at").alias("at"))
+    for _ in range(events.agg(F.max("stage.level")).first()[0] or 1):
+        added = added.join(onward, "at").select("node", "member_id", F.col("then").alias("at")).filter("at is not null")
+    added = added.join(events.select("at", "maker"), "at").select("member_id", "maker")
+
+    change = F.when(F.size("supersedes") == 0, "FORMED").when(F.size("supersedes") == 1, "EXTENDED").otherwise("MERGED")
+    out = versions.join(supersedes, "maker", "left").withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>")))
+    out = out.join(added, "maker").withColumn("change_kind", change)
+    out = out.select("version_id", "maker.structure_type", F.col("maker.later_slot").alias("available_slot"), F.col("maker.later_id").alias("last_member_id"), "change_kind",
+                     F.col("members").alias("member_count"), F.col("prices").alias("price_count"), "supersedes", "member_id")
+    places = links.select(*SEGMENT, "orientation", F.col("later_id").alias("last_member_id")).distinct()
+    return out.join(places, "last_member_id").select(*SEGMENT, "orientation", *out.columns)
+
+
+def cluster_versions(clusters: DataFrame) -> DataFrame:
+    """One row per version."""
+    return clusters.filter("member_id = last_member_id").drop("member_id", "last_member_id")
 
 
 def cluster_lineages(versions: DataFrame) -> DataFrame:
