@@ -677,9 +677,13 @@ def _(m):
     return K.as_of(PC.stages(m), at(), "stage_start", "stage_end", ("stage_end", "end_kind")).select("zone_id", "stage", "stage_start", "stage_end", "end_kind")
 
 
-@query("K05_active_overlaps", f"SELECT zone_a, stage_a, zone_b, stage_b, label, created_at FROM zone_pairs WHERE created_at <= {AT} AND (ended_at IS NULL OR ended_at > {AT})")
+OVERLAPS_AT = "2024-01-10 08:00:00"  # an instant with open overlaps at every scale
+
+
+@query("K05_active_overlaps", f"SELECT zone_a, stage_a, zone_b, stage_b, label, created_at FROM zone_pairs WHERE created_at <= TIMESTAMP '{OVERLAPS_AT}' AND (ended_at IS NULL OR ended_at > TIMESTAMP '{OVERLAPS_AT}')")
 def _(m):
-    return K.as_of(PC.overlaps(m), at(), "created_at", "ended_at", ("ended_at", "end_reason")).filter("ended_at is null").select("zone_a", "stage_a", "zone_b", "stage_b", "label", "created_at")
+    now = F.lit(OVERLAPS_AT).cast("timestamp")
+    return K.as_of(PC.overlaps(m), now, "created_at", "ended_at", ("ended_at", "end_reason")).filter("ended_at is null").select("zone_a", "stage_a", "zone_b", "stage_b", "label", "created_at")
 
 
 @query("K08_signal_table", "SELECT DISTINCT instrument_id, trading_date, breakout_type, direction, signal_time FROM signals ORDER BY signal_time, instrument_id, breakout_type, direction")

@@ -113,6 +113,12 @@ def episodes(segmented: DataFrame, schedule: DataFrame, cutoff=None) -> DataFram
         cause.alias("opening_cause"), F.col("_previous.contract").alias("previous_contract"))
 
 
+def timeframe_segments(bars: DataFrame, calendar: DataFrame, schedule: DataFrame, interval: int, timeframe: int) -> DataFrame:
+    """Complete session-anchored bars of a timeframe, numbered by its expected schedule, with their continuity segment."""
+    grid = resample_bars(bars, calendar, interval, timeframe).filter("is_complete and not is_mixed_contract")
+    return continuity_segments(with_schedule_slots(grid, schedule))
+
+
 def minute_tape(segmented: DataFrame, episode_rows: DataFrame) -> DataFrame:
     """Base bars with their episode and its reset."""
     info = episode_rows.select("instrument_id", "segment_id", "reset_at", "reset_reason")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.ids import natural_id, utc_text
 from sessionloom.functions.ordered import HALO_BLOCK, halo_window, home_rows, running, with_halo
+from sessionloom.functions.rangejoin import points_in_intervals
 from sessionloom.functions.search import first_beyond
 
 SEGMENT = ["instrument_id", "segment_id"]
@@ -173,8 +174,18 @@ def gap_zones(segmented: DataFrame) -> DataFrame:
     return wick_gaps(segmented).filter("verdict = 'ZONE'").drop("verdict").withColumn("zone_id", zone_id())
 
 
-def zone_lifecycle(zones: DataFrame, segmented: DataFrame, episodes: DataFrame) -> DataFrame:
-    """One row per zone: conversion (first close beyond), retirement (first close beyond the other side) or reset."""
+def with_reset(rows: DataFrame, at: str, episodes: DataFrame) -> DataFrame:
+    """Add ``reset_at`` and ``reset_reason`` of the episode whose bars an instant (the end of a bar) belongs to."""
+    shift = F.expr("INTERVAL 1 MICROSECOND")
+    spans = episodes.select("instrument_id", (F.col("first_bar_start") + shift).alias("_a"), (F.col("last_bar_end") + shift).alias("_b"), "reset_at", "reset_reason")
+    return points_in_intervals(rows, spans, ["instrument_id"], at, "_a", "_b", how="left").drop("_a", "_b")
+
+
+def zone_lifecycle(zones: DataFrame, segmented: DataFrame, episodes: DataFrame, *, tape: bool = False) -> DataFrame:
+    """One row per zone: conversion (first close beyond), retirement (first close beyond the other side) or reset.
+
+    With ``tape`` the episodes are those of finer bars than the zones', and that of the zone's instant counts.
+    """
     bull = F.col("direction") == "BULLISH"
     levels = zones.withColumns({
         "_from": F.col("available_slot") + 1, "_side": F.when(bull, "LOWER").otherwise("UPPER"),
@@ -188,7 +199,7 @@ def zone_lifecycle(zones: DataFrame, segmented: DataFrame, episodes: DataFrame)
     retired = bar_at(retired, segmented, "conversion_slot", converted_at="bar_end", conversion_close="close")
     retired = bar_at(retired, segmented, "retire_slot", retired_at="bar_end", retire_close="close")
     resets = episodes.select("instrument_id", "segment_id", "reset_at", "reset_reason")
-    out = retired.join(resets, SEGMENT, "left")
+    out = with_reset(retired, "available_at", episodes) if tape else retired.join(resets, SEGMENT, "left")
     exit_kind = F.when(F.col("retired_at").isNotNull(), "RETIRED").when(
         F.col("reset_reason") == "DATA_GAP", "TERMINATED").when(F.col("reset_reason").isNotNull(), "PENDING")
     return out.withColumn("exit_kind", exit_kind).withColumn("exit_at", F.coalesce("retired_at", "reset_at")).drop(
@@ -212,7 +223,8 @@ def zone_stages(life: DataFrame) -> DataFrame:
         F.col("exit_at").alias("stage_end"), F.col("retire_slot").alias("close_slot"),
         F.col("exit_kind").alias("end_kind"))
     stages = F.filter(F.array(first, second), lambda s: s["stage_start"].isNotNull())
-    return life.select("zone_id", "instrument_id", "contract", "segment_id", "lower_ticks", "upper_ticks", "mid2_ticks",
+    frame = ["timeframe"] if "timeframe" in life.columns else []
+    return life.select(*frame, "zone_id", "instrument_id", "contract", "segment_id", "lower_ticks", "upper_ticks", "mid2_ticks",
                        F.inline(stages))
 
 
@@ -302,7 +314,10 @@ def mitigation_events(stages: DataFrame, touches: DataFrame, segmented: DataFram
 
 
 def zone_overlaps(stages: DataFrame, *, time_size: int = 7 * 86400, price_size: int = 4096) -> DataFrame:
-    """Pairs of zones whose stages overlap strictly in time and by at least one tick in price."""
+    """Pairs of zones, of one or several timeframes, whose stages overlap strictly in time and by at least one tick in price.
+
+    Segment and slot are those of the zone that moved last, on the bars of its own timeframe.
+    """
     horizon = 4_102_444_800
     timed = stages.withColumns({
         "timeframe": F.col("timeframe") if "timeframe" in stages.columns else F.lit("BASE"),
@@ -329,7 +344,7 @@ def zone_overlaps(stages: DataFrame, *, time_size: int = 7 * 86400, price_size:
     single_a, single_b = moves_a & ~moves_b, moves_b & ~moves_a
     label = F.when(same, "FVG_OVERLAP").when(a("timeframe") == b("timeframe"), "BPR").otherwise("MTF_BPR")
     return pairs.select(
-        a("instrument_id").alias("instrument_id"), a("contract").alias("contract"), a("segment_id").alias("segment_id"),
+        a("instrument_id").alias("instrument_id"), a("contract").alias("contract"), F.when(moves_a, a("segment_id")).otherwise(b("segment_id")).alias("segment_id"),
         a("zone_id").alias("zone_a"), a("stage").alias("stage_a"), b("zone_id").alias("zone_b"), b("stage").alias("stage_b"),
         a("timeframe").alias("timeframe_a"), b("timeframe").alias("timeframe_b"), label.alias("label"),
         F.when(same, a("current_direction")).when(single_a, a("current_direction")).when(single_b, b("current_direction"))
@@ -337,22 +352,29 @@ def zone_overlaps(stages: DataFrame, *, time_size: int = 7 * 86400, price_size:
         F.when(~same & single_a, a("timeframe")).when(~same & single_b, b("timeframe")).alias("governing_timeframe"),
         F.when(moves_a & moves_b, "BOTH").when(moves_a, "A").otherwise("B").alias("movers"),
         lower.alias("lower_ticks"), upper.alias("upper_ticks"), start.alias("created_at"),
-        F.greatest(a("start_slot"), b("start_slot")).alias("created_slot"),
+        F.when(moves_a, a("start_slot")).otherwise(b("start_slot")).alias("created_slot"),
         end.alias("ended_at"), reason.alias("end_reason"))
 
 
 def bpr_lifecycle(overlaps: DataFrame, segmented: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Opposite-direction overlaps followed to their first close beyond, else to the reset of their episode."""
-    pairs = overlaps.filter("label <> 'FVG_OVERLAP'").drop("ended_at", "end_reason")
+    """Opposite-direction overlaps followed to their first close beyond, else to the reset of their episode.
+
+    Bars with a ``timeframe`` are searched in the governing one; the reset is then that of the episode (of the finest
+    bars) at the instant the overlap began.
+    """
+    frames = "timeframe" in segmented.columns
+    keys = ["timeframe", *SEGMENT] if frames else SEGMENT
+    pairs = overlaps.filter("label <> 'FVG_OVERLAP'").drop("ended_at", "end_reason").withColumn("timeframe", F.coalesce("governing_timeframe", F.lit("NONE")))
     bull = F.col("direction") == "BULLISH"
     levels = pairs.withColumns({
         "_from": F.when(F.col("direction") != "UNDEFINED", F.col("created_slot") + 1),
         "_side": F.when(bull, "LOWER").otherwise("UPPER"),
         "_level": F.when(bull, F.col("lower_ticks")).otherwise(F.col("upper_ticks"))})
-    found = first_beyond(levels, segmented, SEGMENT, ordinal="slot", above="close", below="close", start="_from",
+    found = first_beyond(levels, segmented, keys, ordinal="slot", above="close", below="close", start="_from",
                          threshold="_level", side="_side", out="retire_slot").drop("_from", "_side", "_level")
-    found = bar_at(found, segmented, "retire_slot", _retired="bar_end")
-    found = found.join(episodes.select(*SEGMENT, "reset_at", "reset_reason"), SEGMENT, "left")
+    ends = segmented.select(*[c for c in keys if c != "segment_id"], F.col("slot").alias("retire_slot"), F.col("bar_end").alias("_retired"))
+    found = found.join(ends, [c for c in ends.columns if c != "_retired"], "left")
+    found = with_reset(found, "created_at", episodes) if frames else found.join(episodes.select(*SEGMENT, "reset_at", "reset_reason"), SEGMENT, "left")
     state = (F.when(F.col("_retired").isNotNull(), "RETIRED").when(F.col("reset_reason") == "DATA_GAP", "TERMINATED")
              .when(F.col("reset_reason").isNotNull(), "PENDING"))
     return found.select(
