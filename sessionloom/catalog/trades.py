@@ -6,6 +6,7 @@ from sessionloom.catalog.registry import query
 from sessionloom.catalog.sql import CTES
 from sessionloom.operators import levels as L
 from sessionloom.operators import trades as T
+from sessionloom.sources import calendar as cal
 
 CTES["or_levels"] = """
 SELECT *, or_high + or_low AS or_mid2, or_bars = range_bars AND or_high > or_low AS valid
@@ -237,6 +238,39 @@ def _(m):
     return excursions(m)
 
 
+def last_slots(m):
+    """The last expected slot of each session."""
+    return cal.with_slots(m.calendar(), m.interval).select("trading_date", (F.col("slot_offset") + F.col("expected_bars") - 1).cast("bigint").alias("last_slot"))
+
+
+@query("D19_session_end_excursion", """
+SELECT instrument_id, trading_date, breakout_type, direction, CAST(NULL AS INTEGER) AS horizon, bars_n AS bars, bars_n = due AND due > 0 AS is_complete,
+       CASE WHEN bars_n = due AND due > 0 THEN greatest(0, CASE direction WHEN 'LONG' THEN hh - anchor ELSE anchor - ll END) END AS mfe_ticks,
+       CASE WHEN bars_n = due AND due > 0 THEN greatest(0, CASE direction WHEN 'LONG' THEN anchor - ll ELSE hh - anchor END) END AS mae_ticks
+FROM (SELECT s.instrument_id, s.trading_date, s.breakout_type, s.direction, any_value(CASE s.direction WHEN 'LONG' THEN s.or_high ELSE s.or_low END) AS anchor,
+             any_value(c.slot_offset + c.expected_bars - 1 - s.signal_slot) AS due, count(b.slot) AS bars_n, max(b.high) AS hh, min(b.low) AS ll
+      FROM signals s JOIN slots c USING (trading_date) LEFT JOIN bars b ON b.instrument_id = s.instrument_id AND b.trading_date = s.trading_date AND b.slot > s.signal_slot GROUP BY 1, 2, 3, 4)""")
+def _(m):
+    return T.forward_excursion(signals(m), m.bars(), (), last_slots(m))
+
+
+@query("D19_anchored_excursion", """
+SELECT swing_id, instrument_id, trading_date, direction, slot, anchor, horizon, bars_n AS bars, bars_n = horizon AS is_complete,
+       CASE WHEN bars_n = horizon THEN greatest(0, CASE direction WHEN 'LONG' THEN hh - anchor ELSE anchor - ll END) END AS mfe_ticks,
+       CASE WHEN bars_n = horizon THEN greatest(0, CASE direction WHEN 'LONG' THEN anchor - ll ELSE hh - anchor END) END AS mae_ticks
+FROM (SELECT s.swing_id, s.instrument_id, t.trading_date, CASE s.orientation WHEN 'UPPER' THEN 'LONG' ELSE 'SHORT' END AS direction, s.break_slot AS slot, s.close_ticks AS anchor, h.horizon,
+             count(b.slot) AS bars_n, max(b.high) AS hh, min(b.low) AS ll
+      FROM swing_breaks s JOIN bars t ON t.instrument_id = s.instrument_id AND t.slot = s.break_slot CROSS JOIN (VALUES (2), (5)) h(horizon)
+      LEFT JOIN bars b ON b.instrument_id = s.instrument_id AND b.trading_date = t.trading_date AND b.slot > s.break_slot AND b.slot <= s.break_slot + h.horizon GROUP BY 1, 2, 3, 4, 5, 6, 7)""")
+def _(m):
+    from sessionloom.catalog.patterns import breaks
+    at = m.bars().select("instrument_id", F.col("slot").alias("break_slot"), "trading_date")
+    broken = breaks(m).join(at, ["instrument_id", "break_slot"])
+    anchors = broken.select("swing_id", "instrument_id", "trading_date", F.when(F.col("orientation") == "UPPER", "LONG").otherwise("SHORT").alias("direction"),
+                            F.col("break_slot").alias("slot"), F.col("close_ticks").alias("anchor"))
+    return T.excursions_from(anchors, m.bars(), (2, 5))
+
+
 @query("C32_signal_bar_excursion", """
 SELECT s.instrument_id, s.trading_date, s.breakout_type, s.direction, s.signal_time,
        greatest(0, CASE s.direction WHEN 'LONG' THEN b.high - s.or_high ELSE s.or_low - b.low END) AS favourable_ticks,

@@ -551,12 +551,8 @@ def _(m):
 SELECT a.instrument_id, a.trading_date, arg_min(b.trading_date, (b.high - a.close, b.trading_date)) AS source_date, min(b.high - a.close) AS distance_ticks
 FROM daily a JOIN daily b ON b.instrument_id = a.instrument_id AND b.contract = a.contract AND b.trading_date < a.trading_date AND b.high > a.close GROUP BY 1, 2""")
 def _(m):
-    # one row per day and contract on both sides: the earlier days of one contract bound the candidates
     day = m.bars().groupBy("instrument_id", "contract", "trading_date").agg(F.max("high").alias("high"), F.max_by("close", "bar_end").alias("close"))
-    earlier = day.select("instrument_id", "contract", F.col("trading_date").alias("source_date"), F.col("high").alias("candidate"))
-    rows = day.join(earlier, ["instrument_id", "contract"]).filter((F.col("source_date") < F.col("trading_date")) & (F.col("candidate") > F.col("close")))
-    d = F.col("candidate") - F.col("close")
-    return rows.groupBy("instrument_id", "trading_date").agg(F.min_by("source_date", F.struct(d, "source_date")).alias("source_date"), F.min(d).alias("distance_ticks"))
+    return L.closest_earlier_above(day, "high", "close", "trading_date", ["instrument_id", "contract"]).drop("contract")
 
 
 @query("G05_review_queue", """

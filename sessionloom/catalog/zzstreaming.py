@@ -28,6 +28,14 @@ def bars_stream(m, df, name):
     return m.spark.readStream.schema(df.schema).parquet(f"{path}/{name}")
 
 
+def slices_stream(m, slices, name):
+    """A stream whose batches are the given tables, in this order."""
+    path = f"{place(m)}/{name}"
+    for rows in slices:
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return m.spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 TICK = "SELECT event_type AS instrument_id, ts, event_id, CAST(round(value * 100) AS BIGINT) AS price_ticks FROM events"
 # A window is emitted once the watermark (latest event minus one hour) has passed its end.
 MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -80,6 +88,20 @@ def _(m):
     return N.drain(N.stream_level_touch(bars_stream(m, day_bars(m), "bars"), m.levels(), LATE), place(m))
 
 
+def in_thirds(rows, day):
+    """The rows of three periods, by days since the first of 2024."""
+    third = F.least(F.floor(F.datediff(F.col(day), F.lit("2024-01-01").cast("date")) / 10), F.lit(2))
+    return [rows.filter(third == k) if k else rows.filter(third <= 0) for k in range(3)]
+
+
+@query("N05_stream_level_join", """
+SELECT b.instrument_id, l.level_id, b.bar_end FROM bars b JOIN levels l ON l.instrument_id = b.instrument_id AND b.bar_end > l.valid_from AND b.bar_end <= l.valid_until AND b.high >= l.level_ticks AND b.low <= l.level_ticks""")
+def _(m):
+    bars = slices_stream(m, in_thirds(day_bars(m), "trading_date"), "bars")
+    levels = slices_stream(m, in_thirds(m.levels().select("instrument_id", "level_id", "level_ticks", "valid_from", "valid_until", "target_date"), "target_date"), "levels")
+    return N.drain(N.stream_level_join(bars, levels, "2 hours"), place(m))
+
+
 @query("N06_stream_first_close_beyond", """
 SELECT level_id, slot AS hit_slot, bar_end AS hit_at FROM (SELECT l.level_id, b.slot, b.bar_start, b.bar_end FROM bars b JOIN levels l ON l.instrument_id = b.instrument_id AND l.target_date = b.trading_date
  AND l.orientation <> 'NEUTRAL' AND CASE l.orientation WHEN 'UPPER' THEN b.close > l.level_ticks ELSE b.close < l.level_ticks END QUALIFY row_number() OVER (PARTITION BY l.level_id ORDER BY b.slot) = 1)
@@ -96,6 +118,21 @@ def _(m):
     return once.groupBy("instrument_id", "minute").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Odd events follow the even ones in a third batch.  Rows are late by the watermark of the batch before the last.
+_LATE = "SELECT e.*, event_id % 2 = 1 AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events WHERE event_id % 4 = 0) AS is_late FROM events e"
+
+
+@query("N07_late_rows", f"""
+SELECT count(*) AS rows_in, CAST(count_if(is_late) AS BIGINT) AS late, count(DISTINCT CASE WHEN NOT is_late THEN (event_type, date_trunc('minute', ts)) END) AS kept FROM ({_LATE})""")
+def _(m):
+    ticks = m.events.select(F.col("event_type").alias("instrument_id"), "ts", "event_id")
+    batches = [ticks.filter(f"event_id % 4 = {k}") for k in (0, 2)] + [ticks.filter("event_id % 2 = 1")]
+    stream = slices_stream(m, batches, "ticks").withColumn("minute", F.date_trunc("minute", "ts"))
+    progress = []
+    once = N.drain(N.stream_dedupe(stream, ("instrument_id", "minute"), LATE).select("instrument_id", "minute"), place(m), progress)
+    return once.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(sum(p["numInputRows"] for p in progress)).cast("bigint").alias("rows_in"), F.lit(N.late_rows(progress)).cast("bigint").alias("late"), "kept")
+
+
 @query("N08_replay_equality", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM prm")
 def _(m):
     columns = ["instrument_id", "level_id", "bar_end"]
@@ -109,3 +146,15 @@ def _(m):
     from sessionloom.catalog.zquality import transitions
     log = N.drain(bars_stream(m, transitions(m), "log"), place(m))
     return log.groupBy("entity_id").agg(F.max_by("new_state", F.struct("available_at", "new_state")).alias("state"))
+
+
+@query("N09_keyed_state", "SELECT entity_id, arg_max(new_state, (available_at, new_state)) AS state FROM transitions GROUP BY 1")
+def _(m):
+    from sessionloom.catalog.zquality import transitions
+    log = transitions(m).select("entity_id", "new_state", "available_at")
+    path, log_path = place(m), f"{place(m)}/log"
+    # the run stops after the first half of the log and goes on from its checkpoint when the second half is there
+    for half in (0, 1):
+        log.filter(F.pmod(F.xxhash64("entity_id", "available_at"), F.lit(2)) == half).coalesce(1).write.mode("append").parquet(log_path)
+        N.merge_changelog(N.stream_latest_state(m.spark.readStream.schema(log.schema).parquet(log_path)), path)
+    return N.merged_state(m.spark, path)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.ordered import position, running
 from sessionloom.functions.rangejoin import points_in_intervals
 from sessionloom.functions.scalars import LOWER, NEUTRAL, UPPER, threshold_ticks
 from sessionloom.functions.search import first_beyond
+from sessionloom.session import written
 
 
 def interaction_facts(pairs: DataFrame, interactions_only: bool = False) -> DataFrame:
@@ -141,3 +143,23 @@ def separated_equal_pairs(swings: DataFrame, right: int) -> DataFrame:
     return before.filter((F.col("_p") == F.col("price_ticks")) & (F.col("first_slot") - F.col("_s") <= right + 1)).select(
         "instrument_id", "orientation", "price_ticks", "previous_swing_id", "swing_id",
         (F.col("first_slot") - F.col("_s")).alias("slot_distance"))
+
+
+def closest_earlier_above(days: DataFrame, price: str, reference: str, when: str, keys: list[str]) -> DataFrame:
+    """For each row the nearest ``price`` above its ``reference`` among earlier rows of its series; the earliest on ties.
+
+    Rows ordered by price form a series whose values are their dates.  The candidates above a reference start at one place
+    of it, and the nearest earlier one is the first from there on whose date lies before: a first-beyond search on dates.
+    Work is in proportion to the rows; no pairs of rows are built.
+    """
+    rows = days.select(*keys, when, F.col(price).alias("_price"), F.col(reference).alias("_reference"), F.unix_date(when).cast("long").alias("_day"))
+    wide = 4096
+    ordered = written(position(rows.withColumn("_chunk", F.floor(F.col("_price") / wide)), keys, [["_chunk"]], ["_price", when], "_place"), "by_price")
+    marks = ordered.select(*keys, F.col("_price").alias("_at"), F.lit(0).alias("_kind"), when).unionByName(
+        ordered.select(*keys, F.col("_reference").alias("_at"), F.lit(1).alias("_kind"), when))
+    marks = running(marks.withColumn("_chunk", F.floor(F.col("_at") / wide)), keys, [["_chunk"]], ["_at", "_kind", when],
+                    {"_start": ("count", F.when(F.col("_kind") == 0, 1).otherwise(0))})
+    asked = marks.filter("_kind = 1").select(*keys, when, F.col("_at").alias("_reference"), "_start", F.unix_date(when).cast("long").alias("_before"), F.lit("LOWER").alias("_side"))
+    found = first_beyond(asked, ordered, keys, ordinal="_place", above="_day", below="_day", start="_start", threshold="_before", side="_side", out="_place")
+    nearest = ordered.select(*keys, "_place", F.col(when).alias("source_date"), F.col("_price").alias("source_price"))
+    return found.join(nearest, [*keys, "_place"]).select(*keys, when, "source_date", (F.col("source_price") - F.col("_reference")).alias("distance_ticks"))

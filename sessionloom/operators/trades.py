@@ -217,23 +217,38 @@ def entry_first(trades: DataFrame) -> DataFrame:
         "exit_reason": F.when(hit, "STOP").otherwise(F.col("exit_reason"))})
 
 
-def forward_excursion(signals: DataFrame, bars: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Best and worst move within the next h bars of the session; complete only when each bar is there."""
-    path = bars.select(*SESSION, "slot", "high", "low")
-    anchors = signals.withColumn("anchor", F.when(F.col("direction") == "LONG", F.col("or_high")).otherwise(F.col("or_low")))
-    horizon = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
-    pairs = anchors.select(*SESSION, "breakout_type", "direction", "signal_slot", "anchor", horizon).join(path, SESSION, "left").filter(
-        F.col("slot").isNull() | (F.col("slot") > F.col("signal_slot")) & (F.col("slot") <= F.col("signal_slot") + F.col("horizon")))
-    got = pairs.groupBy(*SESSION, "breakout_type", "direction", "anchor", "horizon").agg(
-        F.count("slot").alias("bars"), F.max("high").alias("_h"), F.min("low").alias("_l"))
-    base = anchors.select(*SESSION, "breakout_type", "direction", "anchor", horizon)
-    out = base.join(got, [*SESSION, "breakout_type", "direction", "anchor", "horizon"], "left")
-    long, complete = F.col("direction") == "LONG", F.coalesce("bars", F.lit(0)) == F.col("horizon")
-    best = F.greatest(F.lit(0), F.when(long, F.col("_h") - F.col("anchor")).otherwise(F.col("anchor") - F.col("_l")))
-    worst = F.greatest(F.lit(0), F.when(long, F.col("anchor") - F.col("_l")).otherwise(F.col("_h") - F.col("anchor")))
-    return out.select(*SESSION, "breakout_type", "direction", "horizon", F.coalesce("bars", F.lit(0)).alias("bars"),
-                      complete.alias("is_complete"), F.when(complete, best).alias("mfe_ticks"),
-                      F.when(complete, worst).alias("mae_ticks"))
+def excursions_from(anchors: DataFrame, bars: DataFrame, horizons: Sequence[int], last_slots: DataFrame | None = None) -> DataFrame:
+    """Best and worst move after each anchor over horizons of bars of its session; null unless each bar is there.
+
+    ``anchors`` have the session, ``slot``, ``anchor`` (a price) and ``direction`` among their columns.  The moves of all
+    horizons are frames over the bars of one session, a bounded partition, so a bar stays one row and an anchor meets one
+    row.  ``last_slots`` (trading_date, last_slot) adds the horizon to the end of the session, as horizon null.
+    """
+    session = Window.partitionBy(*SESSION).orderBy("slot")
+    rows = bars.select(*SESSION, "slot", "high", "low")
+    frame = lambda h: session.rangeBetween(1, h if h is not None else Window.unboundedFollowing)
+    every = [*horizons, *([None] if last_slots is not None else [])]
+    rows = rows.withColumns({f"_{i}": F.struct(F.lit(h).cast("int").alias("horizon"), F.count("slot").over(frame(h)).alias("bars"), F.max("high").over(frame(h)).alias("h"),
+                                               F.min("low").over(frame(h)).alias("l")) for i, h in enumerate(every)})
+    rows = rows.select(*SESSION, "slot", F.array(*[f"_{i}" for i in range(len(every))]).alias("_moves"))
+    idle = F.array(*[F.struct(F.lit(h).cast("int").alias("horizon"), F.lit(0).cast("bigint").alias("bars"), F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("l")) for h in every])
+    found = anchors.join(rows, [*SESSION, "slot"], "left").withColumn("_move", F.explode(F.coalesce("_moves", idle)))
+    due = F.col("_move.horizon")
+    if last_slots is not None:
+        found = found.join(F.broadcast(last_slots), "trading_date", "left")
+        due = F.coalesce(due, F.col("last_slot") - F.col("slot"))
+    long, complete = F.col("direction") == "LONG", (F.col("_move.bars") == due) & (due > 0)
+    high, low = F.col("_move.h") - F.col("anchor"), F.col("anchor") - F.col("_move.l")
+    best, worst = F.greatest(F.lit(0), F.when(long, high).otherwise(low)), F.greatest(F.lit(0), F.when(long, low).otherwise(high))
+    return found.select(*[c for c in anchors.columns], F.col("_move.horizon").alias("horizon"), F.col("_move.bars").alias("bars"), F.coalesce(complete, F.lit(False)).alias("is_complete"),
+                        F.when(complete, best).alias("mfe_ticks"), F.when(complete, worst).alias("mae_ticks"))
+
+
+def forward_excursion(signals: DataFrame, bars: DataFrame, horizons: Sequence[int], last_slots: DataFrame | None = None) -> DataFrame:
+    """Excursions from the broken boundary after the signal bar."""
+    anchor = F.when(F.col("direction") == "LONG", F.col("or_high")).otherwise(F.col("or_low"))
+    anchors = signals.select(*SESSION, "breakout_type", "direction", F.col("signal_slot").alias("slot"), anchor.alias("anchor"))
+    return excursions_from(anchors, bars, horizons, last_slots).drop("slot", "anchor")
 
 
 def signal_bar_excursion(signals: DataFrame, bars: DataFrame) -> DataFrame:

@@ -95,6 +95,60 @@ def stream_level_touch(bars: DataFrame, levels: DataFrame, lateness: str) -> Dat
     return joined.filter((F.col("high") >= F.col("level_ticks")) & (F.col("low") <= F.col("level_ticks"))).select("instrument_id", "level_id", "bar_end")
 
 
+def stream_level_join(bars: DataFrame, levels: DataFrame, lateness: str, longest: str = "24 hours") -> DataFrame:
+    """Touches of levels that are themselves a stream: both sides have a watermark and a level meets the bars of its validity.
+
+    A level is valid for at most ``longest`` after ``valid_from``, so bars and levels leave the state once the watermarks
+    have passed; neither side is kept whole.
+    """
+    left = bars.withWatermark("bar_end", lateness).alias("b")
+    right = levels.select("instrument_id", "level_id", "level_ticks", "valid_from", "valid_until").withWatermark("valid_from", lateness).alias("l")
+    in_time = F.expr(f"b.bar_end > l.valid_from AND b.bar_end <= l.valid_from + INTERVAL {longest} AND b.bar_end <= l.valid_until")
+    touched = (F.col("b.high") >= F.col("l.level_ticks")) & (F.col("b.low") <= F.col("l.level_ticks"))
+    return left.join(right, (F.col("b.instrument_id") == F.col("l.instrument_id")) & in_time & touched).select("b.instrument_id", "l.level_id", "b.bar_end")
+
+
+LATEST_OUT = "entity_id string, new_state string, available_at timestamp"
+
+
+def _latest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The latest transition of an entity, emitted when it changes; of one instant, the greatest state."""
+    best = before = tuple(state.get) if state.exists else None
+    for pdf in batches:
+        found = max((t.to_pydatetime(), s) for t, s in zip(pdf["available_at"], pdf["new_state"]))
+        best = found if best is None else max(best, found)
+    if best != before:
+        state.update(best)
+        yield pd.DataFrame([(*key, best[1], best[0])], columns=["entity_id", "new_state", "available_at"])
+
+
+def stream_latest_state(transitions: DataFrame) -> DataFrame:
+    """Changelog of the latest state per entity (update mode): one row of state per entity, whatever the log's length."""
+    return transitions.groupBy("entity_id").applyInPandasWithState(
+        _latest, LATEST_OUT, "available_at timestamp, new_state string", "update", GroupStateTimeout.NoTimeout)
+
+
+def merge_changelog(changes: DataFrame, path: str) -> None:
+    """Run a changelog over all available input into a table of changes, one folder per batch.
+
+    A batch that is repeated after a failure replaces its own folder, so the merge is idempotent; a restart goes on from
+    the checkpoint below ``path``.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    query = (changes.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def merged_state(spark, path: str) -> DataFrame:
+    """The latest change of each entity."""
+    changes = spark.read.schema(f"{LATEST_OUT}, batch bigint").parquet(f"{path}/changes")
+    return changes.groupBy("entity_id").agg(F.max_by("new_state", "batch").alias("state"))
+
+
 FIRST_OUT = "level_id string, hit_slot bigint, hit_at timestamp"
 
 
@@ -107,11 +161,21 @@ def stream_first_close_beyond(bars: DataFrame, levels: DataFrame, lateness: str)
         F.min(F.struct("slot", "bar_end")).alias("_f")).select("level_id", F.col("_f.slot").alias("hit_slot"), F.col("_f.bar_end").alias("hit_at"))
 
 
-def drain(stream: DataFrame, path: str) -> DataFrame:
-    """Run a stream over all available input into parquet (exactly-once file sink) and read the result."""
+def late_rows(progress: list) -> int:
+    """Rows that came behind the watermark and were left out, over all batches of a run."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def drain(stream: DataFrame, path: str, progress: list | None = None) -> DataFrame:
+    """Run a stream over all available input into parquet (exactly-once file sink) and read the result.
+
+    ``progress`` receives the progress reports of the run.
+    """
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
              .trigger(availableNow=True).start())
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
+    if progress is not None:
+        progress += query.recentProgress
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
