@@ -49,6 +49,7 @@ class ByteBpe:
         import public_tokenizers
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -60,7 +61,17 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern engine refuses runs of several hundred thousand white-space characters
+            return np.array(_library(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 @cache

@@ -57,3 +57,12 @@ def test_tree_of_rounds(session, group_items):
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, fills = packing.best_fit(np.array([60, 50, 40, 50, 1]), 100)
     assert fills.tolist() == [100, 100, 1] and bins.tolist() == [0, 1, 0, 1, 2] and offsets.tolist() == [0, 0, 60, 50, 0]
+
+
+def test_long_white_space():
+    """Runs that the fast encoder refuses get the ids of the vocabulary's own library."""
+    from tokenizers import Tokenizer
+
+    coder, library = packing.ByteBpe(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in (" " * 100_000, "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x \t\n" * 250_000, " \n" * 500_000 + "end"):
+        assert coder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
