@@ -8,17 +8,19 @@
   at a set similarity of 0.8 some of them agrees with probability 0.998, at 0.3 with 0.015, however often a text repeats
   its lines.  In the ``LABELLED_BANDS`` before, one function of each samples all labels, so that repeats count as well.
 * **Candidates.** Bucket members are compared with a leader, one leader per document and round, so the pairs of a round
-  are at most as many as documents.  Verified links are contracted to components.  After ``STAR_ROUNDS`` rounds
-  what is left is done exactly: in buckets whose members still lie in different components, those outside the largest one
-  are compared with all members, in cells of about ``BLOCK`` by ``BLOCK`` documents.  A cell counts common shingles for all
-  its pairs at once and returns one link per document and component, so pairs never become rows.
+  are at most as many as documents.  Verified links are contracted to components, and buckets with several components get
+  another leader, ``STAR_ROUNDS`` times at most.  What is left is done exactly: in buckets whose members still lie in
+  different components, those outside the largest one are compared with all members, in cells of about ``BLOCK`` by
+  ``BLOCK`` documents and ``BLOCK_WORDS`` words on a side.  A cell counts common shingles for all its pairs, a bounded number
+  of postings at a time, and returns a spanning forest of its components, so pairs never become rows.
 * **Verification** aligns the two word sequences in a band of diagonals that widens with each edit.  If the aligned
   words prove a shingle similarity of 0.8 the pair is linked; if they don't, the exact Jaccard similarity of the shingle
   sets decides.
 * **Classes** are the connected components of the links.
 
-Null texts count as empty; texts without words form one class.  Texts of fewer than five words have one shingle.  The
-representative and the id of a class are its smallest id; repeated ids are rows of their own, and texts without an id are compared for equality only.  Whole texts are sketched.
+Null texts count as empty; texts without words form one class.  Texts of fewer than five words have one shingle.  The id
+of a class is its smallest id.  Distinct texts are numbered, so repeated ids are rows of their own; texts without an id
+are compared for equality only.  Whole texts are sketched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 3
 #: Bands, the first ones, of which one function samples repeats too.
 LABELLED_BANDS = 20
-STAR_ROUNDS = 1
-#: Documents on either side of a cell of the exact stage.
-BLOCK = 256
+STAR_ROUNDS = 4
+#: Documents and words on either side of a cell of the exact stage, and postings that it counts at a time.
+BLOCK, BLOCK_WORDS, POSTINGS = 256, 400_000, 4_000_000
 #: Documents sketched at a time; their words are the memory that a task needs.
 AT_ONCE_CHARS = 1_500_000
 
@@ -152,6 +153,10 @@ def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
+def _digest(words: np.ndarray) -> str:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).hexdigest()
+
+
 def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, digest, n_words, bands`` of every document; no bands for texts without words."""
 
@@ -161,7 +166,7 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
             for low, high in _portions(texts):
                 words, counts = word_hashes(texts[low:high])
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                digests = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).hexdigest() for a, b in zip(edges, edges[1:])]
+                digests = [_digest(words[a:b]) for a, b in zip(edges, edges[1:])]
                 bands = np.zeros((len(counts), BANDS), np.int64)
                 some = counts > 0
                 if some.any():
@@ -225,7 +230,7 @@ def _shingle_set(words: np.ndarray) -> np.ndarray:
 
 
 def _with_words(docs: DataFrame, chosen: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``rep`` and its words as packed 32-bit hashes, for the representatives in ``chosen``."""
+    """``rep`` and its words as packed 32-bit hashes, for the distinct texts in ``chosen`` (``rep, doc, digest``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,11 +238,12 @@ def _with_words(docs: DataFrame, chosen: DataFrame, text: str, id_col: str) -> D
             for low, high in _portions(texts):
                 words, counts = word_hashes(texts[low:high])
                 small, edges = words.astype("<u4"), np.concatenate([[0], np.cumsum(counts)])
+                digests = pa.array([_digest(words[a:b]) for a, b in zip(edges, edges[1:])])
                 packed = pa.array([small[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(low, high - low), packed], names=["rep", "words"])
+                yield pa.RecordBatch.from_arrays([digests, packed], names=["digest", "words"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), blank(text).alias("text"))
-    return rows.join(chosen, "rep", "left_semi").mapInArrow(run, "rep long, words binary").dropDuplicates(["rep"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), blank(text).alias("text")).join(chosen.select("doc").distinct(), "doc", "left_semi")
+    return rows.select("text").mapInArrow(run, "digest string, words binary").join(chosen.select("digest", "rep"), "digest").drop("digest").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -254,31 +260,34 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, reps: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Verified links whose components are those of all similar candidate pairs; ``reps``: ``rep, bands``."""
-    keyed = reps.select("rep", F.explode("bands").alias("key"), F.xxhash64("rep").alias("rank"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "rep")).alias("leader")).where("n > 1")
-    members = written(keyed.join(shared, "key").select("key", "rep", "rank", F.col("leader.rep").alias("leader"), F.col("leader.rank").alias("leader_rank")), "members")
-    words = written(_with_words(docs, members.select("rep").distinct(), text, id_col), "words")
-    spark = docs.sparkSession
-    links = tested = spark.createDataFrame([], "a long, b long")
-    label = None
-    current = members.withColumn("comp", F.col("rep")).withColumn("leader_comp", F.col("leader"))
+    """Verified links whose components are those of all similar candidate pairs; ``reps``: ``rep, doc, digest, n_words, bands``."""
+    keyed = reps.select("rep", "n_words", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = written(keyed.join(shared, "key"), "members")
+    chosen = reps.select("rep", "doc", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
+    words = written(_with_words(docs, chosen, text, id_col), "words")
+    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    current = members.withColumn("comp", F.col("rep"))
     for step in range(STAR_ROUNDS):
-        pairs = current.where(F.col("comp") != F.col("leader_comp")).select(F.col("leader").alias("a"), F.col("rep").alias("b"), "leader_rank")
+        rank = F.xxhash64("rep", F.lit(step)).alias("rank")
+        leaders = current.groupBy("key").agg(F.min(F.struct(rank, "rep", "comp")).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        pairs = current.join(leaders.where("low <> high").select("key", "leader"), "key").where("comp <> leader.comp")
+        pairs = pairs.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.rank").alias("rank"))
         pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti") if step else pairs
-        pairs = pairs.groupBy("b").agg(F.min(F.struct("leader_rank", "a")).alias("first")).select(F.col("first.a").alias("a"), "b")
+        pairs = pairs.groupBy("b").agg(F.min(F.struct("rank", "a")).alias("first")).select(F.col("first.a").alias("a"), "b")
         done = written(_verified(pairs, words), f"star_{step}")
         new = done.where("linked").select("a", "b")
         tested, links = tested.unionByName(done.select("a", "b")), links.unionByName(new)
         if not new.head(1):
             break
         label = written(components(links), "label")
-        current = _labelled(members, label)
+        current = members.join(label.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     # The rest, exactly: members outside a bucket's largest component against all members of other components.
-    sizes = current.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    across = F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
-    largest = largest.select("key", F.col("most.comp").alias("major"), *[c.alias(n) for c, n in zip(across, ("x_blocks", "y_blocks"))])
+    sizes = current.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WORDS), F.lit(1)).cast("int")
+    largest = largest.select("key", F.col("most.comp").alias("major"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("x_blocks"),
+                             blocks(F.col("n"), F.col("w")).alias("y_blocks"))
     mixed = written(current.join(largest, "key").select("key", "rep", "comp", "major", "x_blocks", "y_blocks"), "mixed")
     place = lambda blocks: F.pmod(F.xxhash64("rep", "key"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
@@ -291,9 +300,9 @@ def near_links(docs: DataFrame, reps: DataFrame, text: str = "text", id_col: str
 
 
 def _cell_links(table: pa.Table) -> pa.Table:
-    """Links between the minor documents and the members of one cell: shingles in common are counted for all pairs at once.
+    """Links between the minor documents and the members of one cell that join its components: at most one per document.
 
-    One link per minor document and component is enough.
+    Shingles in common are counted for many pairs at once, ``POSTINGS`` of them at a time.
     """
     minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
     rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
@@ -306,44 +315,55 @@ def _cell_links(table: pa.Table) -> pa.Table:
     fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
     hashes, owner = hashes[fresh], owner[fresh]
     size = np.bincount(owner, minlength=len(docs))
-    _, ids = np.unique(hashes, return_inverse=True)
     # Postings of the members, then one count for each (minor, member) pair that shares a shingle.
     xs, ys = np.flatnonzero(minor), np.flatnonzero(~minor)
     local = np.empty(len(docs), np.int64)
     local[xs], local[ys] = np.arange(len(xs)), np.arange(len(ys))
     of_x = minor[owner]
-    posting = np.argsort(ids[~of_x], kind="stable")
-    member, where = local[owner[~of_x]][posting], ids[~of_x][posting]
-    low, high = np.searchsorted(where, ids[of_x]), np.searchsorted(where, ids[of_x], side="right")
-    width = high - low
-    at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
-    shared = np.bincount(np.repeat(local[owner[of_x]], width) * len(ys) + member[at], minlength=len(xs) * len(ys)).reshape(len(xs), len(ys))
+    posting = np.argsort(hashes[~of_x], kind="stable")
+    member, where = local[owner[~of_x]][posting], hashes[~of_x][posting]
+    low, high = np.searchsorted(where, hashes[of_x]), np.searchsorted(where, hashes[of_x], side="right")
+    width, row = high - low, local[owner[of_x]]
+    shared, upto = np.zeros(len(xs) * len(ys), np.int64), np.cumsum(width)
+    begin = 0
+    while begin < len(width):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + POSTINGS, side="right")))
+        w = width[begin:end]
+        at = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(low[begin:end], w)
+        shared += np.bincount(np.repeat(row[begin:end], w) * len(ys) + member[at], minlength=len(shared))
+        begin = end
+    shared = shared.reshape(len(xs), len(ys))
     close = shared >= SIMILARITY * (size[xs][:, None] + size[ys][None] - shared)
-    i, j = np.nonzero(close & (comp[xs][:, None] != comp[ys][None]))
-    first = np.unique(np.stack([i, comp[ys][j]]), axis=1, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(rep[xs][i[first]], pa.int64()), "b": pa.array(rep[ys][j[first]], pa.int64())})
+    parent: dict[int, int] = {}
 
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = parent[c]
+        return c
 
-def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    mine = label.select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    theirs = label.select(F.col("node").alias("leader"), F.col("root").alias("leader_comp"))
-    out = members.join(mine, "rep", "left").join(theirs, "leader", "left")
-    return out.withColumn("comp", F.coalesce("comp", "rep")).withColumn("leader_comp", F.coalesce("leader_comp", "leader"))
+    a, b = [], []
+    for i, j in zip(*np.nonzero(close & (comp[xs][:, None] != comp[ys][None]))):
+        x, y = root(int(comp[xs[i]])), root(int(comp[ys[j]]))
+        if x != y:
+            parent[x] = y
+            a.append(rep[xs[i]])
+            b.append(rep[ys[j]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, n_words, kept``; the smallest id of a class is kept."""
     rows = written(sketches(docs, text, id_col), "sketches")
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    groups = written(groups, "groups")
-    # Bands of one row per digest: any copy has the same.
-    reps = rows.select(F.col("doc_id").alias("rep"), "digest", "bands").join(groups.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).select("rep", "bands")
-    # Texts without an id are only compared for equality.
-    label = written(components(near_links(docs, reps.where(F.col("rep").isNotNull()), text, id_col)), "label")
-    classes = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.min("rep").alias("smallest"))
-    sizes = sizes.withColumnRenamed("class_id", "class_of")
-    classes = classes.select("digest", "class_id").join(sizes, F.col("class_id").eqNullSafe(F.col("class_of")))
-    classes = written(classes.select("digest", F.col("smallest").alias("class_id"), "class_size"), "classes")
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    # A number for each distinct text; the written table keeps it.
+    groups = written(groups.withColumn("rep", F.monotonically_increasing_id()), "groups")
+    # Bands of one row per text: any copy has the same.  Texts without an id are only compared for equality.
+    first = groups.where("doc is not null").select("rep", "doc", "digest")
+    reps = rows.select(F.col("doc_id").alias("doc"), "digest", "n_words", "bands").join(first, ["doc", "digest"]).dropDuplicates(["rep"])
+    label = written(components(near_links(docs, reps, text, id_col)), "label")
+    classes = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_of", F.coalesce("root", "rep"))
+    sizes = classes.groupBy("class_of").agg(F.sum("copies").alias("class_size"), F.min("doc").alias("class_id"))
+    classes = written(classes.select("digest", "class_of").join(sizes, "class_of").select("digest", "class_id", "class_size"), "classes")
     out = rows.select("doc_id", "digest", "n_words").join(classes, "digest")
     return out.select("doc_id", "class_id", "class_size", "n_words", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

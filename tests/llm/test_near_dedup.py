@@ -75,3 +75,25 @@ def test_awkward_rows(table, awkward):
     assert by[1]["class_id"] == by[2]["class_id"] == by[3]["class_id"] == 1 and by[1]["class_size"] == 3
     assert by[4]["class_id"] == by[5]["class_id"] == by[6]["class_id"] == 4 and by[4]["class_size"] == 4 and by[8]["class_id"] == 7
     assert N.near_duplicates(table([])).count() == 0
+
+
+def test_repeated_and_missing_ids(table):
+    """Two texts under one id keep their own links; texts without an id are classes by equality."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two = text(120), text(120)
+    rows = [(5, one), (5, two), (6, one + " tail"), (7, two + " end"), (None, one), (None, text(50)), (None, text(50))]
+    got = {(r["doc_id"], r["n_words"], r["class_id"], r["class_size"]) for r in N.near_duplicates(table(rows)).collect()}
+    assert got == {(5, 120, 5, 3), (6, 121, 5, 3), (None, 120, 5, 3), (5, 120, 5, 2), (7, 121, 5, 2), (None, 50, None, 1)}
+
+
+def test_cells_return_a_forest(monkeypatch):
+    monkeypatch.setattr(N, "POSTINGS", 500)
+    import pyarrow as pa
+
+    base = np.arange(100, dtype="<u4")
+    docs = [base] * 30 + [base + 1000] * 10 + [base + 5000 + 100 * k for k in range(5)]
+    n = len(docs)
+    table = pa.table({"minor": [True] * n + [False] * n, "rep": [*range(n)] * 2, "comp": [*range(n)] * 2, "words": [d.astype("<u4").tobytes() for d in docs] * 2})
+    links = N._cell_links(table).to_pylist()
+    assert len(links) == 29 + 9 and all((x["a"] < 30) == (x["b"] < 30) and x["a"] < 40 and x["b"] < 40 for x in links)
