@@ -736,6 +736,41 @@ def _(m):
         "plateau_price_off": F.when(F.col("orientation") == "UPPER", F.col("high")).otherwise(F.col("low")) != F.col("price_ticks")}, ["orientation"])
 
 
+# Planted faults of swings, one of them in each row of the tampered copy.
+SWING_FAULTS = (
+    ("price_ticks", "price_ticks + 1"), ("price_ticks", "CASE orientation WHEN 'UPPER' THEN price_ticks - 500 ELSE price_ticks + 500 END"), ("price_ticks", "NULL"),
+    ("last_slot", "last_slot + 1"), ("last_slot", "last_slot + 300"), ("source_at", "source_at - INTERVAL 1 HOUR"), ("source_end_at", "source_end_at + INTERVAL 1 HOUR"),
+    ("available_at", "source_at"), ("segment_id", "segment_id + 1"), ("contract", "'C9'"), ("swing_id", "'ghost'"))
+
+
+def _swing_suite(table, name):
+    near = "b.slot BETWEEN s.first_slot - 2 AND s.e + 2"
+    return f"""SELECT '{name}' AS input, orientation, count(*) AS rows, {", ".join(f"CAST(count_if(coalesce({c}, FALSE)) AS BIGINT) AS {c}" for c in (
+        "span_outside_segment", "plateau_price_off", "plateau_not_maximal", "left_missing", "right_missing", "window_exceeded", "contract_mixed", "missing_price", "source_at_off",
+        "source_end_off", "available_off", "time_order", "id_mismatch", "id_repeated"))}
+FROM (SELECT orientation, swing_id, count(CASE WHEN b.slot BETWEEN s.first_slot AND s.e AND mine THEN 1 END) < s.e - s.first_slot + 1 AS span_outside_segment,
+  bool_or(b.slot BETWEEN s.first_slot AND s.e AND mine AND p <> price_ticks) AS plateau_price_off,
+  bool_or(mine AND b.slot IN (s.first_slot - 1, s.e + 1) AND p = (SELECT CASE s.orientation WHEN 'UPPER' THEN f.high ELSE f.low END FROM seg f WHERE f.instrument_id = s.instrument_id AND f.slot = s.first_slot AND f.segment_id = s.segment_id)) AS plateau_not_maximal,
+  count(CASE WHEN b.slot < s.first_slot AND mine THEN 1 END) < 2 AS left_missing, count(CASE WHEN b.slot > s.e AND mine THEN 1 END) < 2 AS right_missing,
+  bool_or((b.slot < s.first_slot OR b.slot > s.e) AND mine AND CASE s.orientation WHEN 'UPPER' THEN p > price_ticks ELSE p < price_ticks END) AS window_exceeded,
+  bool_or(mine AND b.contract <> s.contract) AS contract_mixed, price_ticks IS NULL AS missing_price,
+  source_at IS DISTINCT FROM max(CASE WHEN b.slot = s.first_slot AND mine THEN b.bar_end END) AS source_at_off, source_end_at IS DISTINCT FROM max(CASE WHEN b.slot = s.e AND mine THEN b.bar_end END) AS source_end_off,
+  available_at IS DISTINCT FROM max(CASE WHEN b.slot = s.e + 2 AND mine THEN b.bar_end END) AS available_off, NOT (source_at <= source_end_at AND source_end_at < available_at) AS time_order,
+  swing_id <> 'sw_' || sha256(concat_ws('|', s.instrument_id, s.contract, orientation, '2', '2', strftime(source_at, '%Y-%m-%dT%H:%M:%SZ'), strftime(source_end_at, '%Y-%m-%dT%H:%M:%SZ'))) AS id_mismatch,
+  count(*) OVER (PARTITION BY swing_id) > 1 AS id_repeated
+ FROM (SELECT *, greatest(first_slot, last_slot) AS e FROM {table}) s
+ LEFT JOIN LATERAL (SELECT b.*, b.segment_id = s.segment_id AS mine, CASE s.orientation WHEN 'UPPER' THEN b.high ELSE b.low END AS p FROM seg b WHERE b.instrument_id = s.instrument_id AND {near}) b ON TRUE
+ GROUP BY s.instrument_id, s.contract, s.segment_id, orientation, s.first_slot, s.e, swing_id, price_ticks, source_at, source_end_at, available_at)
+GROUP BY orientation"""
+
+
+@query("L01_swing_suite", f"""
+WITH broken AS ({Q.tampered_sql("swings", "first_slot", SWING_FAULTS)}) {_swing_suite("swings", "GIVEN")} UNION ALL {_swing_suite("broken", "TAMPERED")}""")
+def _(m):
+    suite = lambda rows, name: Q.swing_violations(rows, m.segments(), 2, 2, P.swing_id()).withColumn("input", F.lit(name))
+    return suite(PC.swings(m), "GIVEN").unionByName(suite(Q.tampered(PC.swings(m), "first_slot", SWING_FAULTS), "TAMPERED"))
+
+
 @query("L04_zone_invariants", """
 SELECT direction, count(*) AS rows, CAST(count_if(width_ticks < 1) AS BIGINT) AS empty_zone, CAST(count_if(converted_at <= available_at) AS BIGINT) AS conversion_too_early, CAST(count_if(exit_kind = 'RETIRED' AND converted_at IS NULL) AS BIGINT) AS retired_without_conversion,
        CAST(count_if(exit_at < converted_at) AS BIGINT) AS exit_before_conversion, CAST(count_if(CASE direction WHEN 'BULLISH' THEN conversion_close >= lower_ticks ELSE conversion_close <= upper_ticks END) AS BIGINT) AS conversion_not_beyond FROM zone_life GROUP BY 1""")

@@ -1,4 +1,6 @@
 """Clusters, levels, ranges, structure and blocks; composite jobs."""
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -392,7 +394,14 @@ def _(m):
     return out.join(CX.open_gap(m).select(*keys, F.col("gap_ticks").alias("open_gap_ticks")), keys, "left").join(windows, keys, "left")
 
 
-@query("O09_external_liquidity")
+# The same chain on swings of three bars on either side.
+CTES["plateaus_3"] = CTES["plateaus"].replace("2 PRECEDING AND 1 PRECEDING", "3 PRECEDING AND 1 PRECEDING").replace("1 FOLLOWING AND 2 FOLLOWING", "1 FOLLOWING AND 3 FOLLOWING")
+CTES["swings_3"] = re.sub(r"\bplateaus\b", "plateaus_3", CTES["swings"]).replace("'2', '2'", "'3', '3'").replace("= 2", "= 3").replace("last_slot + 2", "last_slot + 3").replace("2 AS left_depth, 2 AS right_depth", "3 AS left_depth, 3 AS right_depth")
+for _name in ("atoms", "links", "clusters", "cluster_rows"):
+    CTES[f"{_name}_3"] = re.sub(r"\b(swings|atoms|links|clusters)\b", r"\1_3", CTES[_name])
+
+
+@query("O09_external_liquidity", "SELECT * FROM cluster_rows_3")
 def _(m):
     external = P.swing_points(m.segments(), 3, 3).select(*SEG, "orientation", F.col("first_slot").alias("slot"), F.when(F.col("orientation") == "UPPER", F.floor(F.col("price_ticks") / UNIT)).otherwise(-F.floor(F.col("price_ticks") / UNIT)).alias("value"), F.col("swing_id").alias("member_id"))
     return J.cluster_versions(J.equal_level_clusters(J.level_links(external, TOL)))

@@ -100,3 +100,60 @@ def implication_rules() -> dict[str, Column]:
         "trade_without_touch": trade & ~touch, "close_without_trade": close & ~trade, "sweep_without_trade": sweep & ~trade,
         "sweep_without_reject": sweep & ~reject, "close_and_reject": close & reject, "reject_without_touch": reject & ~touch,
     }
+
+
+def tampered(df: DataFrame, on: str, faults: Sequence[tuple[str, str]]) -> DataFrame:
+    """Copies of all rows with planted faults: fault k changes its column where ``on`` leaves k by the number of faults.
+
+    Faults are (column, SQL expression); expressions see the values as given.
+    """
+    n = len(faults)
+    changed = {}
+    for k, (column, value) in enumerate(faults):
+        changed[column] = F.when(F.expr(f"pmod({on}, {n}) = {k}"), F.expr(value)).otherwise(changed.get(column, F.col(column)))
+    return df.withColumns({c: v.cast(df.schema[c].dataType) for c, v in changed.items()})
+
+
+def tampered_sql(table: str, on: str, faults: Sequence[tuple[str, str]]) -> str:
+    """The same rows in SQL."""
+    changed: dict[str, str] = {}
+    for k, (column, value) in enumerate(faults):
+        changed[column] = f"CASE WHEN {on} % {len(faults)} = {k} THEN {value} ELSE {changed.get(column, column)} END"
+    return f"SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in changed.items())}) FROM {table}"
+
+
+def swing_violations(swings: DataFrame, segmented: DataFrame, left: int, right: int, again: Column) -> DataFrame:
+    """Counters per side of what swings get wrong against the bars of their window; ``again`` recomputes an id.
+
+    Each swing meets its own bars and the ``left`` and ``right`` ones beside them, so work follows the swings.
+    """
+    keys = ["instrument_id", "orientation", "first_slot"]
+    end = F.greatest("first_slot", "last_slot")
+    rows = swings.withColumns({"_again": again, "_end": end}).withColumn("slot", F.explode(F.sequence(F.col("first_slot") - left, F.col("_end") + right)))
+    bars = segmented.select("instrument_id", "slot", F.col("segment_id").alias("_seg"), F.col("contract").alias("_contract"), F.col("bar_end").alias("_bar_end"), "high", "low")
+    rows = rows.join(bars, ["instrument_id", "slot"], "left")
+    upper = F.col("orientation") == "UPPER"
+    price, mine = F.when(upper, F.col("high")).otherwise(F.col("low")), F.coalesce(F.col("_seg") == F.col("segment_id"), F.lit(False))
+    at_first = F.max(F.when((F.col("slot") == F.col("first_slot")) & mine, price))
+    inside = (F.col("slot") >= F.col("first_slot")) & (F.col("slot") <= F.col("_end"))
+    before, after = F.col("slot") < F.col("first_slot"), F.col("slot") > F.col("_end")
+    beside = (F.col("slot") == F.col("first_slot") - 1) | (F.col("slot") == F.col("_end") + 1)
+    more = F.when(upper, price > F.col("price_ticks")).otherwise(price < F.col("price_ticks"))
+    some = lambda rule: F.bool_or(F.coalesce(rule, F.lit(False)))
+    ends = lambda slot: F.max(F.when((F.col("slot") == slot) & mine, F.col("_bar_end")))
+    first = lambda c: F.first(c).alias(c)
+    each = rows.groupBy(*keys).agg(
+        *[first(c) for c in ("swing_id", "_again", "price_ticks", "source_at", "source_end_at", "available_at")],
+        some(inside & ~mine).alias("span_outside_segment"), some(inside & mine & (price != F.col("price_ticks"))).alias("plateau_price_off"),
+        F.collect_set(F.when(beside & mine, price)).alias("_beside"), at_first.alias("_price"),
+        (F.count_if(before & mine) < left).alias("left_missing"), (F.count_if(after & mine) < right).alias("right_missing"),
+        some((before | after) & mine & more).alias("window_exceeded"), some(mine & (F.col("_contract") != F.col("contract"))).alias("contract_mixed"),
+        ends(F.col("first_slot")).alias("_first_end"), ends(F.col("_end")).alias("_last_end"), ends(F.col("_end") + right).alias("_known"))
+    repeated = each.groupBy("swing_id").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
+    each = each.join(repeated, "swing_id")
+    plain = ("span_outside_segment", "plateau_price_off", "left_missing", "right_missing", "window_exceeded", "contract_mixed")
+    return count_violations(each, {
+        **{c: F.col(c) for c in plain}, "plateau_not_maximal": F.array_contains("_beside", F.col("_price")), "missing_price": F.col("price_ticks").isNull(),
+        "source_at_off": ~F.col("source_at").eqNullSafe(F.col("_first_end")), "source_end_off": ~F.col("source_end_at").eqNullSafe(F.col("_last_end")),
+        "available_off": ~F.col("available_at").eqNullSafe(F.col("_known")), "time_order": ~((F.col("source_at") <= F.col("source_end_at")) & (F.col("source_end_at") < F.col("available_at"))),
+        "id_mismatch": F.col("swing_id") != F.col("_again"), "id_repeated": F.col("_repeated")}, ["orientation"])
