@@ -17,8 +17,9 @@ the same document and an earlier start.  Strings never cross documents and are j
 * **Removal.** A window that isn't its owner marks its bytes; marks are joined by document and cut out.
 
 Documents equal to an earlier one fold into it first (all their bytes go if they have at least 100).  Rows equal in id
-and text get the same result; texts that share an id are ordered by digest.  Null texts count as empty, texts shorter than 100
-bytes lose nothing.  An empty table gives an empty result.
+and text get the same result.  Different texts are numbered in the order of id, then digest, and the number stands for the
+document from there on: texts that share an id are ordered by digest, and texts without an id come before all others.  Null
+texts count as empty, texts shorter than 100 bytes lose nothing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,18 +112,18 @@ def _portions(data: list[bytes]) -> Iterator[tuple[int, int]]:
         yield low, len(data)
 
 
-#: place: version of a repeated id, first window, offset of the core, windows, packed so that order by place is order by start.
-_VERSION, _START, _OFFSET = 56, 16, 8
+#: place: first window, offset of the core, windows, packed so that order by place is order by start.
+_START, _OFFSET = 16, 8
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``core, whole, doc, place`` of every fragment of every text."""
     for batch in batches:
         data = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        docs, versions = batch.column("doc"), batch.column("version").to_numpy(zero_copy_only=False).astype(np.int64)
+        docs = batch.column("doc")
         for low, high in _portions(data):
             owner, start, windows, offset, core, whole = fragments(data[low:high])
-            place = (versions[low + owner] << _VERSION) | (start << _START) | (offset << _OFFSET) | windows
+            place = (start << _START) | (offset << _OFFSET) | windows
             columns = [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), docs.take(pa.array(low + owner)), pa.array(place)]
             yield pa.RecordBatch.from_arrays(columns, names=["core", "whole", "doc", "place"])
 
@@ -276,19 +277,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # The operator
 
 
-def _unique_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal texts (``digest, doc, version``), and the text of the first of each (``doc, version, text``)."""
+#: An id as two columns that are never null; texts without an id come first.
+_ID = ("present", "doc")
+
+
+def _unique_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``present, doc, text``: each different text with its first id and its number (``digest, present, doc, number``),
+    and the long ones themselves (``doc``: the number, ``text``)."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    groups = docs.groupBy(digest.alias("digest")).agg(F.min("doc").alias("doc"))
-    version = F.row_number().over(Window.partitionBy("doc").orderBy("digest")) - 1
-    groups = written(groups.withColumn("version", version.cast("int")), "groups")
-    texts = docs.withColumn("digest", digest).join(groups, ["digest", "doc"]).where(F.octet_length("text") >= LENGTH)
-    once = Window.partitionBy("digest", "doc").orderBy("digest")
-    return groups, texts.withColumn("r", F.row_number().over(once)).where("r = 1").select("doc", "version", "text")
+    groups = rows.groupBy(digest.alias("digest")).agg(F.min(F.struct(*_ID)).alias("first")).select("digest", "first.*")
+    # A range sort, so the numbers rise with id and digest; written, so they stay.
+    groups = written(groups.orderBy(*_ID, "digest").withColumn("number", F.monotonically_increasing_id()), "groups")
+    texts = rows.withColumn("digest", digest).join(groups, ["digest", *_ID]).where(F.octet_length("text") >= LENGTH)
+    once = Window.partitionBy("digest", *_ID).orderBy("digest")
+    return groups, texts.withColumn("r", F.row_number().over(once)).where("r = 1").select(F.col("number").alias("doc"), "text")
 
 
 def repeated_runs(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_core_bytes: int = MAX_CORE_BYTES) -> DataFrame:
-    """``doc, version, start, end``: stretches of bytes in 100-byte strings that start earlier elsewhere."""
+    """Of ``doc, text``: ``doc, start, end``, stretches of bytes in 100-byte strings that start earlier elsewhere."""
     spark = texts.sparkSession
     schema = "core long, whole long, doc long, place long"
     cores = texts.mapInArrow(_occurrences, schema).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
@@ -318,20 +324,16 @@ def repeated_runs(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_core_b
     split = large.drop("n", "doc", "begin").join(best, ["k1", "k2"]).select("core", "whole", "low", F.col("low").alias("high"), F.col("best.doc").alias("owner_doc"), F.col("best.begin").alias("owner_place"))
     runs = written(alone.unionByName(merged).unionByName(split), "runs")
     _release(spark)
-    # owner_place is version and start together, as in place.
     hits = found.join(runs, ["core", "whole"]).withColumn("begin", F.shiftright("place", _START) + F.col("low"))
     hits = hits.where((F.col("doc") != F.col("owner_doc")) | (F.col("begin") != F.col("owner_place")))
-    at = F.col("begin").bitwiseAND((1 << (_VERSION - _START)) - 1)
-    out = hits.select("doc", F.shiftright("begin", _VERSION - _START).cast("int").alias("version"), at.alias("start"), (at + F.col("high") - F.col("low") + LENGTH).alias("end"))
-    return written_dense(out, "hits")
+    return written_dense(hits.select("doc", F.col("begin").alias("start"), (F.col("begin") + F.col("high") - F.col("low") + LENGTH).alias("end")), "hits")
 
 
 def _with_bytes(texts: DataFrame, kinds: DataFrame) -> DataFrame:
     """Adds ``data``, the bytes of the first occurrence of each fragment."""
-    spots = kinds.withColumn("version", F.shiftright("place", _VERSION).cast("int"))
-    start = F.shiftright("place", _START).bitwiseAND((1 << (_VERSION - _START)) - 1).cast("int")
+    start = F.shiftright("place", _START).cast("int")
     size = (F.col("place").bitwiseAND(0xFF) + LENGTH - 1).cast("int")
-    return spots.join(texts, ["doc", "version"]).select("core", "whole", "doc", "place", "n", "size", F.substring(F.col("text").cast("binary"), start + 1, size).alias("data"))
+    return kinds.join(texts, "doc").select("core", "whole", "doc", "place", "n", "size", F.substring(F.col("text").cast("binary"), start + 1, size).alias("data"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,25 +361,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, max_core_bytes: int = MAX_CORE_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), blank(text).alias("text"))
+    own_id = F.col(id_col).cast("long")
+    rows = docs.select(own_id.isNotNull().alias("present"), F.coalesce(own_id, F.lit(0)).cast("long").alias("doc"), blank(text).alias("text"))
     groups, texts = _unique_texts(rows)
     texts = written_dense(texts, "texts")
     _release(spark)
     hits = repeated_runs(texts, bucket_bytes, max_core_bytes)
     _release(spark)
-    spans = hits.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = texts.join(spans, ["doc", "version"], "left").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    spans = hits.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = texts.join(spans, "doc", "left").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     cut = written(cut.select("digest", "text", "spans").mapInArrow(_cut, "digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cut")
     _release(spark)
     # Short texts keep all; copies of an earlier document lose all.
-    own = rows.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
-    firsts = groups.select("digest", F.col("doc").alias("rep")).join(cut, "digest", "left")
+    own = rows.select(*_ID, F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+    firsts = groups.select("digest", F.struct(*_ID).alias("first")).join(cut, "digest", "left")
     out = own.join(firsts, "digest")
-    long_enough, copy = F.col("size") >= LENGTH, ~F.col("doc").eqNullSafe(F.col("rep"))
+    long_enough, copy = F.col("size") >= LENGTH, F.struct(*_ID) != F.col("first")
     gone = long_enough & copy
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
-        F.col("doc").alias("doc_id"), F.col("size").alias("n_bytes"),
+        F.when(F.col("present"), F.col("doc")).alias("doc_id"), F.col("size").alias("n_bytes"),
         F.when(gone, F.col("size")).when(long_enough, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
         F.when(gone, 1).when(long_enough, F.col("n_spans")).otherwise(0).cast("long").alias("n_spans"),
         F.when(gone, empty).when(long_enough, F.col("kept_sha256")).otherwise(F.col("digest")).alias("kept_sha256"),

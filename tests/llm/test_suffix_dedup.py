@@ -1,4 +1,5 @@
 """Removal of repeated byte strings against brute force; the merge against sorting."""
+import hashlib
 import random
 
 import numpy as np
@@ -75,3 +76,18 @@ def test_awkward_rows(table, awkward):
     assert S.remove_repeats(table([])).count() == 0
     two = S.remove_repeats(table([(1, "a" * 120 + "b" * 120), (1, "a" * 120 + "c" * 120), (2, "b" * 110)])).collect()
     assert sorted((r["doc_id"], r["n_bytes"]) for r in two) == [(1, 240), (1, 240), (2, 110)] and [r["n_removed"] for r in two if r["doc_id"] == 2] == [110]
+
+
+def test_missing_and_repeated_ids(table):
+    """Texts without an id come first, texts of one id in the order of their digests: every row as by brute force."""
+    rng = random.Random(11)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(130)) for _ in range(40)]
+    text = lambda: "".join(rng.choice(shared)[rng.randint(0, 9) :] for _ in range(rng.randint(1, 3))) + "".join(rng.choice("uvwxyz") for _ in range(30))
+    rows = [(None, text()) for _ in range(20)] + [(5, text()) for _ in range(300)] + [(-(1 << 63), text()), (0, text()), (6, text()), (1 << 62, text())]
+    rows += [rows[0], (7, rows[0][1]), (7, rows[30][1]), (None, rows[25][1])]
+    by = lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
+    distinct = sorted(set(rows), key=by)
+    brute = without_repeats([(r, r[1].encode()) for r in distinct])
+    want = sorted(((r[0] is not None, r[0] or 0), *brute[r]) for r in rows)
+    found = S.remove_repeats(table(rows), bucket_bytes=20_000).collect()
+    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == want
