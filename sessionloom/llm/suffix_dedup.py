@@ -154,12 +154,12 @@ def symbols(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(sym: np.ndarray) -> np.ndarray:
-    """Positions of one shard in the order of their strings, ends first and ties by place (prefix doubling)."""
+    """Positions of one shard in the order of their strings, ends first and by place (prefix doubling; no two strings tie in the end)."""
     n = len(sym)
     rank, reach = sym.astype(np.int64), SYMBOL
     # Ends differ from each other by place.
     rank = np.where(sym == 0, np.cumsum(sym == 0) - 1, rank + (sym == 0).sum())
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while True:
         r = rank[order]
         dense = np.empty(n, np.int64)
@@ -169,7 +169,7 @@ def suffix_order(sym: np.ndarray) -> np.ndarray:
         ahead = np.minimum(np.arange(n) + reach, n - 1)
         # Past an end nothing is compared: ranks of strings that reached their end are already final.
         rank = dense * (n + 1) + dense[ahead]
-        order, reach = np.argsort(rank, kind="stable"), 2 * reach
+        order, reach = np.argsort(rank), 2 * reach
 
 
 def merge_blocks(shards: list[tuple[np.ndarray, np.ndarray]], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,15 +187,15 @@ def merge_blocks(shards: list[tuple[np.ndarray, np.ndarray]], steps: int) -> tup
     source = np.repeat(np.arange(len(shards)), sizes).astype(kind)
     head = np.repeat(np.arange(len(shards)), ends).astype(kind)
     n, k = len(source), len(head)
-    block, common = np.zeros(n, np.int32), np.full(n, steps, np.uint8)
-    for step in range(1, steps + 1):
+    block, common = np.zeros(n, np.int32), np.zeros(n, np.uint8)
+    for _ in range(steps):
         before = np.empty(n, all_bwt.dtype)
         before[np.argsort(source, kind="stable")] = all_bwt
         order = np.argsort(before, kind="stable")[k:]  # strings' starts have no suffix before them
         b, g = before[order], block[order]
         source = np.concatenate([head, source[order]])
         border = np.concatenate([np.ones(min(k + 1, n), bool), (b[1:] != b[:-1]) | (g[1:] != g[:-1])])
-        common[border & (common == steps)] = step - 1
+        common += ~border  # a border stays one: this counts the steps before it
         block = np.cumsum(border, dtype=np.int32) - 1
     return source, block, common
 
@@ -217,7 +217,7 @@ def owners(pieces: list[bytes], shard_bytes: int = SHARD_BYTES) -> tuple[np.ndar
     source, block, _ = merge_blocks(shards, LENGTH // SYMBOL)
     at = np.empty(len(source), np.int64)
     at[np.argsort(source, kind="stable")] = np.concatenate(orders)
-    piece = np.searchsorted(begins, at, side="right") - 1
+    piece = np.repeat(np.arange(len(pieces)), np.diff(begins))[at]
     offset = at - begins[piece]
     ok = offset + LENGTH <= begins[piece + 1] - 1 - begins[piece]
     return piece[ok], offset[ok], block[ok]
@@ -244,7 +244,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
     best = np.repeat(np.minimum.reduceat(rank[piece], edge), size) if len(edge) else np.zeros(0, np.int64)
     again = (np.repeat(size, size) > 1) | (col["n"][piece] > 1)
     piece, offset, best = piece[again], offset[again], back[best[again]]
-    by = np.lexsort((offset, piece))
+    by = np.argsort((piece << 8) + offset)
     piece, offset, best = piece[by], offset[by], best[by]
     new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1) | (best[1:] != best[:-1])])[: len(piece)]
     first = np.flatnonzero(new)
