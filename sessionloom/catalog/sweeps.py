@@ -7,7 +7,7 @@ from sessionloom.catalog.context import context_levels, history, or_context
 from sessionloom.catalog.ledger import CORE
 from sessionloom.catalog.registry import query
 from sessionloom.catalog.sql import CTES
-from sessionloom.catalog.trades import (audit_sql, excursions, grid_candidates, grid_exits, or_levels, point_audit,
+from sessionloom.catalog.trades import (audit_sql, excursions, exits_sql, grid_candidates, grid_exits, or_levels, point_audit,
                                         point_candidates, point_exits, signals, window_facts)
 from sessionloom.functions import scalars as C
 from sessionloom.operators import states as ST
@@ -57,29 +57,143 @@ def _(m):
     return executed(m)
 
 
-@query("E14_sweep_metrics", f"""
+def sweep_sql(done: str, audit: str) -> str:
+    return f"""
 SELECT t.*, a.candidates, a.invalid, a.ambiguous, a.limited, d.max_drawdown_r, coalesce(s.k, 0) AS max_losing_streak, r.rolling_20_min, mm.positive_months, mm.months
-FROM (SELECT breakout_type, config_id, {CORE} FROM executed GROUP BY 1, 2) t
+FROM (SELECT breakout_type, config_id, {CORE} FROM {done} GROUP BY 1, 2) t
 JOIN (SELECT breakout_type, config_id, count(*) AS candidates, CAST(count_if(NOT is_valid) AS BIGINT) AS invalid, CAST(count_if(is_ambiguous) AS BIGINT) AS ambiguous,
-             CAST(count_if(rejection_reason = 'SESSION_TRADE_LIMIT') AS BIGINT) AS limited FROM audit_points GROUP BY 1, 2) a USING (breakout_type, config_id)
+             CAST(count_if(rejection_reason = 'SESSION_TRADE_LIMIT') AS BIGINT) AS limited FROM {audit} GROUP BY 1, 2) a USING (breakout_type, config_id)
 JOIN (SELECT breakout_type, config_id, round(max(p - e), 6) AS max_drawdown_r FROM (SELECT *, greatest(0, max(e) OVER (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction)) AS p
-      FROM (SELECT *, sum(result_r) OVER (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction) AS e FROM executed)) GROUP BY 1, 2) d USING (breakout_type, config_id)
+      FROM (SELECT *, sum(result_r) OVER (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction) AS e FROM {done})) GROUP BY 1, 2) d USING (breakout_type, config_id)
 LEFT JOIN (SELECT breakout_type, config_id, max(n) AS k FROM (SELECT breakout_type, config_id, g, count(*) AS n FROM (SELECT *, sum(CASE WHEN result_r >= 0 THEN 1 ELSE 0 END)
-      OVER (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction) AS g FROM executed) WHERE result_r < 0 GROUP BY 1, 2, 3) GROUP BY 1, 2) s USING (breakout_type, config_id)
+      OVER (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction) AS g FROM {done}) WHERE result_r < 0 GROUP BY 1, 2, 3) GROUP BY 1, 2) s USING (breakout_type, config_id)
 LEFT JOIN (SELECT breakout_type, config_id, min(r) AS rolling_20_min FROM (SELECT breakout_type, config_id, CASE WHEN count(*) OVER w = 20 THEN round(avg(result_r) OVER w, 6) END AS r
-      FROM executed WINDOW w AS (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2) r USING (breakout_type, config_id)
-JOIN (SELECT breakout_type, config_id, CAST(count_if(x > 0) AS BIGINT) AS positive_months, count(*) AS months FROM (SELECT breakout_type, config_id, strftime(trading_date, '%Y-%m'), sum(result_r) AS x FROM executed GROUP BY 1, 2, 3) GROUP BY 1, 2) mm USING (breakout_type, config_id)""")
-def _(m):
-    rows, levels = executed(m), [["trading_date"]]
-    counts = point_audit(m).groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if(~F.col("is_valid")).alias("invalid"), F.count_if("is_ambiguous").alias("ambiguous"),
-        F.count_if(F.col("rejection_reason") == "SESSION_TRADE_LIMIT").alias("limited"))
-    rolled = S.rolling_mean(rows, CELL, levels, ORDER, 20).groupBy(*CELL).agg(F.min("rolling_20").alias("rolling_20_min"))
-    months = S.monthly_summary(rows, CELL, "trading_date").groupBy(*CELL).agg(F.count_if(F.col("total_r") > 0).alias("positive_months"), F.count(F.lit(1)).alias("months"))
-    out = rows.groupBy(*CELL).agg(*S.core_metrics())
-    for other in (counts, S.order_risk(rows, CELL, levels, ORDER), rolled, months):
-        out = out.join(other, CELL, "left")
-    return out
+      FROM {done} WINDOW w AS (PARTITION BY breakout_type, config_id ORDER BY entry_time, instrument_id, direction ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2) r USING (breakout_type, config_id)
+JOIN (SELECT breakout_type, config_id, CAST(count_if(x > 0) AS BIGINT) AS positive_months, count(*) AS months FROM (SELECT breakout_type, config_id, strftime(trading_date, '%Y-%m'), sum(result_r) AS x FROM {done} GROUP BY 1, 2, 3) GROUP BY 1, 2) mm USING (breakout_type, config_id)"""
+
+
+@query("E14_sweep_metrics", sweep_sql("executed", "audit_points"))
+def _(m):
+    return S.sweep_metrics(point_audit(m), executed(m), CELL, [["trading_date"]], ORDER)
+
+
+# --- sweeps over opening-range lengths, on development days -----------------
+CTES["or_lengths"] = """
+SELECT *, or_high + or_low AS or_mid2, or_bars = duration AND or_high > or_low AS valid
+FROM (SELECT instrument_id, trading_date, k.duration, count(*) AS or_bars, max(high) AS or_high, min(low) AS or_low,
+             arg_min(open, bar_start) AS or_open, arg_max(close, bar_start) AS or_close, max(bar_end) AS or_end
+      FROM bars CROSS JOIN prm CROSS JOIN (VALUES (1), (2), (3), (4)) k(duration)
+      WHERE bar_start >= trading_date + to_seconds(range_clock) AND bar_start < trading_date + to_seconds(range_clock + k.duration * iv)
+      GROUP BY 1, 2, 3)"""
+CTES["length_bars"] = """
+SELECT b.*, l.duration, l.or_high, l.or_low, l.or_mid2, b.high > l.or_high AS up, b.low < l.or_low AS down
+FROM bars b JOIN or_lengths l ON b.instrument_id = l.instrument_id AND b.trading_date = l.trading_date AND l.valid CROSS JOIN prm
+WHERE bar_start >= b.trading_date + to_seconds(range_clock + l.duration * iv) AND bar_start <= b.trading_date + to_seconds(cutoff_clock)"""
+CTES["length_signals"] = """
+SELECT instrument_id, trading_date, duration, contract, breakout_type, direction, slot AS signal_slot, bar_end AS signal_time, or_high, or_low, or_mid2
+FROM (SELECT *, 'PRINT' AS breakout_type, 'LONG' AS direction FROM length_bars WHERE up AND NOT down
+      UNION ALL SELECT *, 'PRINT', 'SHORT' FROM length_bars WHERE down AND NOT up
+      UNION ALL SELECT *, 'CLOSE', 'LONG' FROM length_bars WHERE close > or_high
+      UNION ALL SELECT *, 'CLOSE', 'SHORT' FROM length_bars WHERE close < or_low)
+QUALIFY row_number() OVER (PARTITION BY instrument_id, trading_date, duration, breakout_type, direction ORDER BY slot) = 1"""
+CTES["length_entered"] = f"""
+SELECT s.*, e.bar_end AS entry_time, e.slot AS entry_slot,
+       CASE WHEN e.slot IS NULL THEN NULL WHEN s.direction = 'LONG' THEN s.or_high ELSE s.or_low END AS entry_ticks, CASE s.direction WHEN 'LONG' THEN 1 ELSE -1 END AS sgn
+FROM (SELECT * FROM length_signals WHERE breakout_type = 'PRINT' AND {PERIOD_SQL} = 'DEVELOPMENT') s
+LEFT JOIN bars e ON e.instrument_id = s.instrument_id AND e.trading_date = s.trading_date AND e.slot = s.signal_slot"""
+_STOP_AT_SHARE = """CAST(round(CAST(CASE direction WHEN 'LONG' THEN or_high ELSE or_low END AS DECIMAL(20,0)) - sgn * CAST(or_high - or_low AS DECIMAL(16,0)) * CAST(%s AS DECIMAL(5,0)) * 0.01, 0) AS BIGINT)"""
+CTES["length_multiples"] = f"""
+SELECT * EXCLUDE (sgn), printf('D%02d_F%03d_R%03d', duration, stop_pct, CAST(target_r * 100 AS INTEGER)) AS config_id, entry_ticks + sgn * CAST(round(CAST(target_r AS DECIMAL(6,2)) * CAST(risk_ticks AS DECIMAL(16,0)), 0) AS BIGINT) AS target_ticks,
+       CASE WHEN entry_time IS NULL THEN 'MISSING_IMMEDIATE_NEXT_BAR' WHEN risk_ticks IS NULL THEN 'INVALID_ENTRY_RELATIVE_TO_STOP' ELSE '' END AS invalid_reason, entry_time IS NOT NULL AND risk_ticks IS NOT NULL AS is_valid
+FROM (SELECT *, CASE WHEN sgn * (entry_ticks - stop_ticks) > 0 THEN sgn * (entry_ticks - stop_ticks) END AS risk_ticks
+      FROM (SELECT *, {_STOP_AT_SHARE % "stop_pct"} AS stop_ticks FROM length_entered CROSS JOIN (VALUES (25), (50)) a(stop_pct) CROSS JOIN (VALUES (1.0), (1.5), (2.0), (2.5), (3.0)) b(target_r)))"""
+CTES["length_points"] = f"""
+SELECT * EXCLUDE (sgn), printf('D%02d_%s%03d_T%03d', duration, left(stop_kind, 1), stop_value, target_points) AS config_id, entry_ticks + sgn * target_points * 100 AS target_ticks,
+       risk_ticks / (or_high - or_low) AS risk_to_width, target_points * 100 / (or_high - or_low) AS target_to_width,
+       CASE WHEN entry_time IS NULL THEN 'MISSING_IMMEDIATE_NEXT_BAR' WHEN risk_ticks IS NULL THEN 'INVALID_ENTRY_RELATIVE_TO_STOP' ELSE '' END AS invalid_reason, entry_time IS NOT NULL AND risk_ticks IS NOT NULL AS is_valid
+FROM (SELECT *, CASE WHEN sgn * (entry_ticks - stop_ticks) > 0 THEN sgn * (entry_ticks - stop_ticks) END AS risk_ticks
+      FROM (SELECT *, CASE stop_kind WHEN 'OR_FRACTION' THEN {_STOP_AT_SHARE % "stop_value"} ELSE entry_ticks - sgn * stop_value * 100 END AS stop_ticks
+            FROM (SELECT * FROM length_entered WHERE duration <= 3)
+            CROSS JOIN (VALUES ('OR_FRACTION', 50), ('OR_FRACTION', 25), ('FIXED_POINTS', 40), ('FIXED_POINTS', 60), ('FIXED_POINTS', 80)) a(stop_kind, stop_value)
+            CROSS JOIN (VALUES (40), (50), (75), (100), (150)) b(target_points)))"""
+for _name, _axes in (("multiples", "c.duration, c.stop_pct, CAST(c.target_r AS DOUBLE) AS target_r"), ("points", "c.duration, c.stop_kind, c.stop_value, c.target_points, c.risk_to_width, c.target_to_width")):
+    CTES[f"length_{_name}_exits"] = exits_sql(f"length_{_name}")
+    CTES[f"length_{_name}_audit"] = audit_sql(f"length_{_name}", f"length_{_name}_exits")
+    CTES[f"length_{_name}_done"] = f"""SELECT a.*, {_axes} FROM length_{_name}_audit a
+ JOIN length_{_name} c USING (instrument_id, trading_date, breakout_type, direction, config_id) WHERE a.status = 'EXECUTED'"""
+
+
+def length_signals(m):
+    s = m.settings
+    shape = dict(interval=s.interval, range_clock=s.range_clock)
+    levels = T.opening_levels_by_length(m.bars(), lengths=T.MULTIPLE_LENGTHS, **shape)
+    return m.keep("length_signals", lambda: T.breakout_signals_by_length(m.bars(), levels, cutoff=s.cutoff_clock, **shape))
+
+
+def length_sweep(m, name):
+    """Audit and executed trades of one sweep over range lengths: breaks by trade, development days only."""
+    signals = length_signals(m).filter((F.col("breakout_type") == "PRINT") & (period() == "DEVELOPMENT"))
+    if name == "multiples":
+        axes, made = ["duration", "stop_pct", F.col("target_r").cast("double").alias("target_r")], T.candidate_entries(signals, m.bars(), T.fraction_grid(T.MULTIPLE_FRACTIONS))
+    else:
+        axes, made = ["duration", "stop_kind", "stop_value", "target_points", "risk_to_width", "target_to_width"], T.stop_and_target_candidates(signals.filter(F.col("duration").isin(*T.POINT_LENGTHS)), m.bars())
+    candidates = m.keep(f"length_{name}", lambda: T.with_length(made))
+    audit = m.keep(f"length_{name}_audit", lambda: T.session_trade_limit(candidates, T.exit_barrier(candidates, m.bars())))
+    return audit, audit.filter("status = 'EXECUTED'").join(candidates.select(*T.CANDIDATE, *axes), T.CANDIDATE)
+
+
+@query("F10_breakouts_by_length", "SELECT * FROM length_signals")
+def _(m):
+    return length_signals(m)
+
+
+@query("E02_opening_range_by_length", "SELECT * FROM or_lengths")
+def _(m):
+    return T.opening_levels_by_length(m.bars(), m.settings.interval, m.settings.range_clock, T.MULTIPLE_LENGTHS)
+
+
+_NEAR = """
+SELECT a.config_id, count(b.average_r) AS neighbour_count, round(avg(b.average_r) + 1e-10, 4) AS neighbour_mean,
+       round(avg(CASE WHEN b.average_r > 0 THEN 1.0 WHEN b.average_r IS NOT NULL THEN 0.0 END::DOUBLE), 6) AS neighbour_positive_share, round(a.average_r - round(avg(b.average_r) + 1e-10, 4), 4) AS minus_neighbour_mean
+FROM near a LEFT JOIN near b ON a.stop = b.stop AND abs(a.d - b.d) + abs(a.t - b.t) = 1 GROUP BY a.config_id, a.average_r"""
+
+
+def length_sweep_sql(name: str, axes: str, stop: str, target: str, more: str = "") -> str:
+    done = f"length_{name}_done"
+    return f"""
+WITH near AS (SELECT config_id, {stop} AS stop, round(avg(result_r) + 1e-10, 5) AS average_r, dense_rank() OVER (PARTITION BY {stop} ORDER BY duration) AS d, dense_rank() OVER (PARTITION BY {stop} ORDER BY {target}) AS t
+              FROM {done} GROUP BY config_id, {stop}, duration, {target})
+SELECT m.*, x.* EXCLUDE (config_id), n.* EXCLUDE (config_id) FROM ({sweep_sql(done, f"length_{name}_audit")}) m
+JOIN (SELECT config_id, {axes}{more} FROM {done} GROUP BY ALL) x USING (config_id) JOIN ({_NEAR}) n USING (config_id)"""
+
+
+def length_metrics(m, name, stop, target, extra=()):
+    """Metrics of each cell with its neighbours in length and target on the same stop."""
+    audit, done = length_sweep(m, name)
+    axes = ["duration", *stop, target]
+    cells = done.groupBy("config_id", *axes).agg(F.round(F.avg("result_r") + 1e-10, 5).alias("average_r"), *extra)
+    near = S.grid_neighbours(cells.select(*axes, "average_r"), stop, ["duration", target], "average_r").drop("average_r")
+    return S.sweep_metrics(audit, done, CELL, [["trading_date"]], ORDER).join(cells.drop("average_r").join(near, axes), "config_id")
+
+
+@query("O02_length_sweep", length_sweep_sql("multiples", "duration, stop_pct, target_r", "stop_pct", "target_r"))
+def _(m):
+    return length_metrics(m, "multiples", ["stop_pct"], "target_r")
+
+
+@query("O03_length_sweep", length_sweep_sql("points", "duration, stop_kind, stop_value, target_points", "(stop_kind, stop_value)", "target_points",
+                                            ", round(avg(risk_to_width), 6) AS risk_to_width, round(avg(target_to_width), 6) AS target_to_width"))
+def _(m):
+    return length_metrics(m, "points", ["stop_kind", "stop_value"], "target_points", [r6(F.avg("risk_to_width")).alias("risk_to_width"), r6(F.avg("target_to_width")).alias("target_to_width")])
+
+
+@query("C23_length_grid", " UNION ALL ".join(f"SELECT '{n}' AS sweep, config_id, duration, count(*) AS candidates, CAST(count_if(is_valid) AS BIGINT) AS valid FROM length_{n} GROUP BY 1, 2, 3" for n in ("multiples", "points")))
+def _(m):
+    parts = []
+    for name in ("multiples", "points"):
+        audit, _ = length_sweep(m, name)
+        parts.append(audit.groupBy(F.lit(name).alias("sweep"), "config_id", F.substring("config_id", 2, 2).cast("int").alias("duration")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_valid").alias("valid")))
+    return parts[0].unionByName(parts[1])
 
 
 # --- chronology scenarios -------------------------------------------------

@@ -227,6 +227,19 @@ def equity_curves(trades: DataFrame, key: str, day: str = "session_date") -> Dat
     return daily.select(day, key, r6(F.sum(F.coalesce("_sum", F.lit(0.0))).over(order)).alias("equity"))
 
 
+def sweep_metrics(audit: DataFrame, trades: DataFrame, cell: Sequence[str], levels: Sequence[Sequence[str]], order: Sequence[str], window: int = 20) -> DataFrame:
+    """One row per cell that traded: its trades, its candidates by fate, order risk, worst rolling mean and months."""
+    counts = audit.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if(~F.col("is_valid")).alias("invalid"), F.count_if("is_ambiguous").alias("ambiguous"),
+        F.count_if(F.col("rejection_reason") == "SESSION_TRADE_LIMIT").alias("limited"))
+    rolled = rolling_mean(trades, cell, levels, order, window).groupBy(*cell).agg(F.min(f"rolling_{window}").alias(f"rolling_{window}_min"))
+    months = monthly_summary(trades, cell, "trading_date").groupBy(*cell).agg(F.count_if(F.col("total_r") > 0).alias("positive_months"), F.count(F.lit(1)).alias("months"))
+    out = trades.groupBy(*cell).agg(*core_metrics())
+    for other in (counts, order_risk(trades, cell, levels, order), rolled, months):
+        out = out.join(other, list(cell), "left")
+    return out
+
+
 def grid_neighbours(cells: DataFrame, group: Sequence[str], axes: Sequence[str], value: str) -> DataFrame:
     """Mean and positive share of the adjacent cells on each axis (others equal); one row per cell."""
     ranked = cells

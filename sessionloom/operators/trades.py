@@ -13,16 +13,31 @@ SESSION = ["instrument_id", "trading_date"]
 GROUP = ["instrument_id", "trading_date", "breakout_type"]
 
 
-def opening_levels(bars: DataFrame, interval: int, range_clock: int, range_bars: int) -> DataFrame:
-    """Range of the first ``range_bars`` bars from ``range_clock``; valid only when all are there."""
-    clock = F.unix_timestamp("bar_start") - F.unix_timestamp(F.col("trading_date").cast("timestamp"))
-    inside = bars.filter((clock >= range_clock) & (clock < range_clock + range_bars * interval))
-    out = inside.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("or_bars"), F.max("high").alias("or_high"),
-                                       F.min("low").alias("or_low"), F.min_by("open", "bar_start").alias("or_open"),
-                                       F.max_by("close", "bar_start").alias("or_close"), F.max("bar_end").alias("or_end"))
+def _clock():
+    return F.unix_timestamp("bar_start") - F.unix_timestamp(F.col("trading_date").cast("timestamp"))
+
+
+def _levels(inside: DataFrame, keys: Sequence[str], expected) -> DataFrame:
+    out = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("or_bars"), F.max("high").alias("or_high"),
+                                    F.min("low").alias("or_low"), F.min_by("open", "bar_start").alias("or_open"),
+                                    F.max_by("close", "bar_start").alias("or_close"), F.max("bar_end").alias("or_end"))
     return out.withColumns({
         "or_mid2": F.col("or_high") + F.col("or_low"),
-        "valid": (F.col("or_bars") == range_bars) & (F.col("or_high") > F.col("or_low"))})
+        "valid": (F.col("or_bars") == expected) & (F.col("or_high") > F.col("or_low"))})
+
+
+def opening_levels(bars: DataFrame, interval: int, range_clock: int, range_bars: int) -> DataFrame:
+    """Range of the first ``range_bars`` bars from ``range_clock``; valid only when all are there."""
+    clock = _clock()
+    return _levels(bars.filter((clock >= range_clock) & (clock < range_clock + range_bars * interval)), SESSION, range_bars)
+
+
+def opening_levels_by_length(bars: DataFrame, interval: int, range_clock: int, lengths: Sequence[int]) -> DataFrame:
+    """``opening_levels`` of several range lengths (``duration``, in bars) from one scan of the bars of the longest."""
+    clock = _clock()
+    inside = bars.filter((clock >= range_clock) & (clock < range_clock + max(lengths) * interval))
+    holds = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: clock < range_clock + k * interval)
+    return _levels(inside.withColumn("duration", F.explode(holds)), [*SESSION, "duration"], F.col("duration"))
 
 
 def _eligible(bars: DataFrame, levels: DataFrame, interval: int, range_clock: int, range_bars: int, cutoff: int) -> DataFrame:
@@ -34,16 +49,26 @@ def _eligible(bars: DataFrame, levels: DataFrame, interval: int, range_clock: in
 def breakout_signals(bars: DataFrame, levels: DataFrame, *, interval: int, range_clock: int, range_bars: int,
                      cutoff: int) -> DataFrame:
     """First break per direction after the range, by trade (PRINT) and by close (CLOSE)."""
-    rows = _eligible(bars, levels, interval, range_clock, range_bars, cutoff)
+    return _first_breaks(_eligible(bars, levels, interval, range_clock, range_bars, cutoff), SESSION)
+
+
+def breakout_signals_by_length(bars: DataFrame, levels: DataFrame, *, interval: int, range_clock: int, cutoff: int) -> DataFrame:
+    """``breakout_signals`` of every range length of ``levels``, with its ``duration``."""
+    valid = levels.filter("valid").select(*SESSION, "duration", "or_high", "or_low", "or_mid2")
+    late = bars.withColumn("_clock", _clock()).filter(F.col("_clock") <= cutoff).join(valid, SESSION)
+    return _first_breaks(late.filter(F.col("_clock") >= range_clock + F.col("duration") * interval), [*SESSION, "duration"])
+
+
+def _first_breaks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     up, down = F.col("high") > F.col("or_high"), F.col("low") < F.col("or_low")
     first = lambda cond: F.min(F.when(cond, F.struct("slot", "bar_end", "contract")))
-    found = rows.groupBy(*SESSION, "or_high", "or_low", "or_mid2").agg(
+    found = rows.groupBy(*keys, "or_high", "or_low", "or_mid2").agg(
         first(up & ~down).alias("pl"), first(down & ~up).alias("ps"),
         first(F.col("close") > F.col("or_high")).alias("cl"), first(F.col("close") < F.col("or_low")).alias("cs"))
-    long = found.select(*SESSION, "or_high", "or_low", "or_mid2", F.expr(
+    long = found.select(*keys, "or_high", "or_low", "or_mid2", F.expr(
         "stack(4, 'PRINT', 'LONG', pl, 'PRINT', 'SHORT', ps, 'CLOSE', 'LONG', cl, 'CLOSE', 'SHORT', cs)"
         " as (breakout_type, direction, hit)")).filter("hit is not null")
-    return long.select(*SESSION, F.col("hit.contract").alias("contract"), "breakout_type", "direction",
+    return long.select(*keys, F.col("hit.contract").alias("contract"), "breakout_type", "direction",
                        F.col("hit.slot").alias("signal_slot"), F.col("hit.bar_end").alias("signal_time"),
                        "or_high", "or_low", "or_mid2")
 
@@ -63,6 +88,10 @@ STOP_FRACTIONS = (25, 50, 75, 90)
 TARGET_MULTIPLES = (1.0, 1.5, 2.0, 2.5, 3.0)
 STOP_POINTS = (20, 40, 60, 80, 100)
 TARGET_POINTS = (50, 100, 150)
+#: Sweeps over range lengths: 4 x 2 x 5 cells with targets in multiples of the risk, 3 x 5 x 5 with targets in points.
+MULTIPLE_LENGTHS, MULTIPLE_FRACTIONS = (1, 2, 3, 4), (25, 50)
+POINT_LENGTHS, POINT_TARGETS = (1, 2, 3), (40, 50, 75, 100, 150)
+POINT_STOPS = (("OR_FRACTION", 50), ("OR_FRACTION", 25), ("FIXED_POINTS", 40), ("FIXED_POINTS", 60), ("FIXED_POINTS", 80))
 
 
 def fraction_grid(fractions: Sequence[int] = STOP_FRACTIONS, multiples: Sequence[float] = TARGET_MULTIPLES):
@@ -128,6 +157,35 @@ def fixed_point_candidates(signals: DataFrame, bars: DataFrame, grid=None) -> Da
         "invalid_reason": F.when(found, "").otherwise("MISSING_IMMEDIATE_NEXT_BAR"), "is_valid": found}).drop("_target")
 
 
+def stop_and_target_grid(stops: Sequence[tuple[str, int]] = POINT_STOPS, targets: Sequence[int] = POINT_TARGETS):
+    """Cells of a stop (percent of the range width, or points) and a target in points."""
+    cells = [F.struct(F.format_string("%s%03d_T%03d", F.lit(kind[0]), F.lit(v), F.lit(t)).alias("config_id"), F.lit(kind).alias("stop_kind"),
+                      F.lit(v).alias("stop_value"), F.lit(t).alias("target_points")) for kind, v in stops for t in targets]
+    return F.array(*cells)
+
+
+def stop_and_target_candidates(signals: DataFrame, bars: DataFrame, grid=None, scale: int = 100) -> DataFrame:
+    """Candidates whose stop lies a share of the width behind the broken boundary, or points behind the entry; the target
+    lies points ahead of the entry.  Points are scaled to ticks; a stop that isn't behind the entry makes a candidate invalid."""
+    out = _with_entry(signals, bars).select("*", F.inline(stop_and_target_grid() if grid is None else grid))
+    long = F.col("direction") == "LONG"
+    sign, width = F.when(long, 1).otherwise(-1), F.col("or_high") - F.col("or_low")
+    base = F.when(long, F.col("or_high")).otherwise(F.col("or_low")).cast("decimal(20,0)")
+    share = half_up(base - sign * width.cast("decimal(20,0)") * F.col("stop_value").cast("decimal(5,0)") * F.lit("0.01").cast("decimal(3,2)"))
+    out = out.withColumn("stop_ticks", F.when(F.col("stop_kind") == "OR_FRACTION", share).otherwise(F.col("entry_ticks") - sign * F.col("stop_value") * scale))
+    risk, ahead = sign * (F.col("entry_ticks") - F.col("stop_ticks")), F.col("target_points") * scale
+    reason = (F.when(F.col("entry_time").isNull(), "MISSING_IMMEDIATE_NEXT_BAR")
+              .when(risk <= 0, "INVALID_ENTRY_RELATIVE_TO_STOP").otherwise(""))
+    return out.withColumns({
+        "risk_ticks": F.when(risk > 0, risk), "target_ticks": F.col("entry_ticks") + sign * ahead, "risk_to_width": F.when(risk > 0, risk / width),
+        "target_to_width": ahead / width, "invalid_reason": reason, "is_valid": reason == ""})
+
+
+def with_length(candidates: DataFrame) -> DataFrame:
+    """Cells of a sweep over range lengths: ``config_id`` starts with the length, so it stays the key of a cell."""
+    return candidates.withColumn("config_id", F.concat(F.format_string("D%02d_", F.col("duration")), F.col("config_id")))
+
+
 CANDIDATE = [*SESSION, "breakout_type", "direction", "config_id"]
 CARRIED = ["contract", "signal_slot", "signal_time", "entry_slot", "entry_time", "entry_ticks", "stop_ticks",
            "risk_ticks", "target_ticks"]
