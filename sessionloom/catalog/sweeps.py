@@ -382,13 +382,16 @@ JOIN width_bins b ON b.instrument_id = s.instrument_id AND b.trading_date = s.tr
 
 
 def scenario_audit(m):
-    def build():
-        keep = [*T.CANDIDATE, "exit_reason", "is_ambiguous", "result_r"]
-        tables = (grid_exits(m), T.resolve_pessimistic(grid_exits(m)), T.resolve_after_entry_bar(grid_exits(m), grid_candidates(m), m.bars()))
-        parts = [t.select(*keep, F.lit(n).alias("scenario")) for n, t in zip(SCENARIOS, tables)]
-        wanted = grid_candidates(m).withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in SCENARIOS])))
-        return T.session_trade_limit(wanted, parts[0].unionByName(parts[1]).unionByName(parts[2]), ["scenario"])
-    return m.keep("scenario_audit", build)
+    return m.keep("scenario_audit", lambda: scenarios_of(m, grid_candidates(m), grid_exits(m)))
+
+
+def scenarios_of(m, candidates, exits):
+    """The audit of all candidates in each scenario of unknown order."""
+    keep = [*T.CANDIDATE, "exit_reason", "is_ambiguous", "result_r"]
+    tables = (exits, T.resolve_pessimistic(exits), T.resolve_after_entry_bar(exits, candidates, m.bars()))
+    parts = [t.select(*keep, F.lit(n).alias("scenario")) for n, t in zip(SCENARIOS, tables)]
+    wanted = candidates.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in SCENARIOS])))
+    return T.session_trade_limit(wanted, parts[0].unionByName(parts[1]).unionByName(parts[2]), ["scenario"])
 
 
 def width_sensitivity(m):
@@ -459,18 +462,95 @@ def _(m):
     return S.grid_neighbours(cells, ["breakout_type"], ["stop_points", "target_points"], "average_r")
 
 
-@query("E33_persistence_statistics", """
-SELECT breakout_type, round(corr(rx, ry), 6) AS spearman_average_r, round(quantile_cont(average_r_delta, 0.5), 6) AS median_average_r_delta, CAST(count_if(dev_average_r > 0) AS BIGINT) AS dev_positive_cells,
-       CAST(count_if(sign_persistence = 'POSITIVE_DEV_NEGATIVE_VAL') AS BIGINT) AS flips, count(*) AS cells
-FROM (SELECT *, rank() OVER (PARTITION BY breakout_type ORDER BY dev_average_r) + (count(*) OVER (PARTITION BY breakout_type, dev_average_r) - 1) / 2.0::DOUBLE AS rx,
-             rank() OVER (PARTITION BY breakout_type ORDER BY val_average_r) + (count(*) OVER (PARTITION BY breakout_type, val_average_r) - 1) / 2.0::DOUBLE AS ry FROM surface) GROUP BY 1""")
+SIMILAR = 0.15  # fixed value: neighbours within this mean result support a cell
+SIGNS = ("POSITIVE_DEV_POSITIVE_VAL", "POSITIVE_DEV_NEGATIVE_VAL", "NEGATIVE_DEV_POSITIVE_VAL", "NEGATIVE_DEV_NEGATIVE_VAL")
+_POINTS_AGAIN = exits_sql("(SELECT c.* FROM cand_points c JOIN exits_points x USING (instrument_id, trading_date, breakout_type, direction, config_id) WHERE x.exit_reason = 'AMBIGUOUS_ENTRY_STOP')", ">")
+CTES["points_again"] = f"SELECT * FROM exits_points WHERE exit_reason <> 'AMBIGUOUS_ENTRY_STOP' UNION ALL {_POINTS_AGAIN}"
+CTES["point_scenarios"] = f"SELECT breakout_type, config_id, period, scenario, {CORE} FROM (SELECT *, {PERIOD_SQL} AS period FROM (" + " UNION ALL ".join(
+    f"SELECT *, '{n}' AS scenario FROM ({audit_sql('cand_points', src)})" for n, src in (
+        ("EXCLUDED", "exits_points"), ("PESSIMISTIC", "(" + _PESSIMISTIC.replace("exits_grid", "exits_points") + ")"), ("AFTER_ENTRY", "points_again"))) + f")) WHERE status = 'EXECUTED' AND {OPEN_SQL} GROUP BY 1, 2, 3, 4"
+CTES["point_robustness"] = """
+SELECT breakout_type, config_id, period, round(max(average_r) - min(average_r), 6) AS scenario_range, count(*) = 3 AND min(average_r) > 0 AND min(coalesce(profit_factor, 9.99)) > 1 AS robust,
+       max(average_r) FILTER (scenario = 'PESSIMISTIC') AS entry_first_r FROM point_scenarios GROUP BY 1, 2, 3"""
+
+
+def point_scenarios(m):
+    """Metrics of the fixed-point cells in each scenario of unknown order and each open period."""
+    def build():
+        audit = scenarios_of(m, point_candidates(m), point_exits(m)).withColumn("period", period())
+        done = audit.filter((F.col("status") == "EXECUTED") & F.col("period").isin(*OPEN_PERIODS))
+        return done.groupBy(*CELL, "period", "scenario").agg(*S.core_metrics())
+    return m.keep("point_scenarios", build)
+
+
+def point_robustness(m):
+    first = point_scenarios(m).filter("scenario = 'PESSIMISTIC'").select(*CELL, "period", F.col("average_r").alias("entry_first_r"))
+    return S.scenario_robustness(point_scenarios(m), [*CELL, "period"], len(SCENARIOS)).join(first, [*CELL, "period"], "left")
+
+
+@query("E15_point_scenarios", "SELECT * FROM point_scenarios")
+def _(m):
+    return point_scenarios(m)
+
+
+@query("E16_point_robustness", "SELECT * FROM point_robustness")
 def _(m):
-    key = ["breakout_type"]
-    rho = S.correlations(surface(m), key, "dev_average_r", "val_average_r").select(*key, F.col("spearman").alias("spearman_average_r"))
+    return point_robustness(m)
+
+
+CTES["support_cells"] = """
+SELECT s.*, coalesce(p.robust, FALSE) AS robust, p.entry_first_r, dense_rank() OVER (PARTITION BY s.breakout_type ORDER BY stop_points) AS s, dense_rank() OVER (PARTITION BY s.breakout_type ORDER BY target_points) AS t
+FROM surface s LEFT JOIN point_robustness p ON p.breakout_type = s.breakout_type AND p.config_id = s.config_id AND p.period = 'DEVELOPMENT'"""
+CTES["support"] = f"""
+SELECT breakout_type, config_id, val_average_r, CASE WHEN robust AND on_stop AND on_target THEN 'STRONG' WHEN robust AND (on_stop OR on_target) THEN 'MODERATE' ELSE 'WEAK' END AS neighbour_support
+FROM (SELECT a.breakout_type, a.config_id, any_value(a.val_average_r) AS val_average_r, bool_or(a.robust) AS robust, coalesce(bool_or(b.robust AND a.t = b.t), FALSE) AS on_stop, coalesce(bool_or(b.robust AND a.s = b.s), FALSE) AS on_target
+      FROM support_cells a LEFT JOIN support_cells b ON a.breakout_type = b.breakout_type AND abs(a.s - b.s) + abs(a.t - b.t) = 1
+       AND round(abs(a.entry_first_r - b.entry_first_r), 6) <= {SIMILAR} GROUP BY 1, 2)"""
+
+
+def support(m):
+    known = point_robustness(m).filter("period = 'DEVELOPMENT'").select(*CELL, "robust", "entry_first_r")
+    cells = surface(m).join(known, CELL, "left").withColumn("robust", F.coalesce("robust", F.lit(False)))
+    near = S.neighbour_support(cells, ["breakout_type"], ["stop_points", "target_points"], "entry_first_r", SIMILAR)
+    return surface(m).join(near, ["breakout_type", "stop_points", "target_points"]).select(*CELL, "val_average_r", "neighbour_support")
+
+
+@query("E33_neighbour_support", "SELECT * FROM support")
+def _(m):
+    return support(m)
+
+
+def _rank_sql(x: str) -> str:
+    return f"rank() OVER (PARTITION BY breakout_type ORDER BY {x}) + (count(*) OVER (PARTITION BY breakout_type, {x}) - 1) / 2.0::DOUBLE"
+
+
+CTES["persistence"] = f"""
+SELECT a.*, f.spearman_profit_factor, w.strong_cells, w.strong_cells_val_positive
+FROM (SELECT breakout_type, round(corr(rx, ry), 6) AS spearman_average_r, round(quantile_cont(average_r_delta, 0.5), 6) AS median_average_r_delta, CAST(count_if(dev_average_r > 0) AS BIGINT) AS dev_positive_cells,
+             CAST(count_if(sign_persistence = 'POSITIVE_DEV_NEGATIVE_VAL') AS BIGINT) AS flips, count(*) AS cells,
+             CASE WHEN count_if(dev_average_r > 0) > 0 THEN round(count_if(sign_persistence = 'POSITIVE_DEV_NEGATIVE_VAL') / count_if(dev_average_r > 0), 6) END AS flip_rate,
+             {", ".join(f"CAST(count_if(sign_persistence = '{n}') AS BIGINT) AS {n.lower()}" for n in SIGNS)}
+      FROM (SELECT *, {_rank_sql("dev_average_r")} AS rx, {_rank_sql("val_average_r")} AS ry FROM surface) GROUP BY 1) a
+LEFT JOIN (SELECT breakout_type, round(CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END, 6) AS spearman_profit_factor
+           FROM (SELECT breakout_type, {_rank_sql("dev_profit_factor")} AS rx, {_rank_sql("val_profit_factor")} AS ry FROM surface WHERE dev_profit_factor IS NOT NULL AND val_profit_factor IS NOT NULL) GROUP BY 1) f USING (breakout_type)
+JOIN (SELECT breakout_type, CAST(count_if(neighbour_support = 'STRONG') AS BIGINT) AS strong_cells, CAST(count_if(neighbour_support = 'STRONG' AND val_average_r > 0) AS BIGINT) AS strong_cells_val_positive FROM support GROUP BY 1) w USING (breakout_type)"""
+
+
+def persistence(m):
+    key, sign = ["breakout_type"], F.col("sign_persistence")
+    rho = lambda x: S.correlations(surface(m), key, f"dev_{x}", f"val_{x}").select(*key, F.col("spearman").alias(f"spearman_{x}"))
+    flips, gains = F.count_if(sign == "POSITIVE_DEV_NEGATIVE_VAL"), F.count_if(F.col("dev_average_r") > 0)
     agg = surface(m).groupBy(*key).agg(
-        r6(F.percentile("average_r_delta", F.lit(0.5))).alias("median_average_r_delta"), F.count_if(F.col("dev_average_r") > 0).alias("dev_positive_cells"),
-        F.count_if(F.col("sign_persistence") == "POSITIVE_DEV_NEGATIVE_VAL").alias("flips"), F.count(F.lit(1)).alias("cells"))
-    return agg.join(rho, key)
+        r6(F.percentile("average_r_delta", F.lit(0.5))).alias("median_average_r_delta"), gains.alias("dev_positive_cells"), flips.alias("flips"), F.count(F.lit(1)).alias("cells"),
+        r6(F.try_divide(flips, gains)).alias("flip_rate"), *[F.count_if(sign == n).alias(n.lower()) for n in SIGNS])
+    strong = F.col("neighbour_support") == "STRONG"
+    held = support(m).groupBy(*key).agg(F.count_if(strong).alias("strong_cells"), F.count_if(strong & (F.col("val_average_r") > 0)).alias("strong_cells_val_positive"))
+    return agg.join(rho("average_r"), key).join(rho("profit_factor"), key, "left").join(held, key)
+
+
+@query("E33_persistence_statistics", "SELECT * FROM persistence")
+def _(m):
+    return persistence(m)
 
 
 def migration(m):
@@ -512,9 +592,12 @@ def neighbourhood(m):
 
 
 @query("E35_candidate_neighborhoods", """
-SELECT *, CASE WHEN positive_share > 0.5 AND neighbour_val_mean > 0 THEN 'LOCAL_FAILURE' ELSE 'NEIGHBORHOOD_DETERIORATION' END AS classification FROM neighbourhood""")
+SELECT n.*, CASE WHEN p.flip_rate >= 0.6 AND p.median_average_r_delta < 0 AND positive_share <= 0.5 THEN 'BROAD_SURFACE_DETERIORATION' WHEN positive_share > 0.5 AND neighbour_val_mean > 0 THEN 'LOCAL_FAILURE'
+ ELSE 'NEIGHBORHOOD_DETERIORATION' END AS classification FROM neighbourhood n JOIN persistence p USING (breakout_type)""")
 def _(m):
-    return neighbourhood(m).withColumn("classification", F.when((F.col("positive_share") > 0.5) & (F.col("neighbour_val_mean") > 0), "LOCAL_FAILURE").otherwise("NEIGHBORHOOD_DETERIORATION"))
+    broad = persistence(m).select("breakout_type", "flip_rate", "median_average_r_delta")
+    return neighbourhood(m).join(broad, "breakout_type").withColumn("classification", S.neighbourhood_class(
+        F.col("positive_share"), F.col("neighbour_val_mean"), F.col("flip_rate"), F.col("median_average_r_delta"))).drop("flip_rate", "median_average_r_delta")
 
 
 @query("E36_temporal_diagnostics", """
@@ -546,8 +629,9 @@ def _(m):
 
 
 # --- decisions -----------------------------------------------------------
-#: Fixed values of the observability class: an ambiguity rate, its increase and a range of mean results that call for caution.
-HIGH_AMBIGUITY, AMBIGUITY_RISE, MATERIAL_RANGE = 0.30, 0.10, 0.15
+#: Fixed values of the observability class: an ambiguity rate, its increase, a range of mean results over the scenarios and its multiple of
+#: the development range that call for caution.
+HIGH_AMBIGUITY, AMBIGUITY_RISE, MATERIAL_RANGE, RANGE_MULTIPLE = 0.15, 0.05, 0.15, 1.5
 
 CTES["entry_first"] = f"""
 SELECT breakout_type, config_id, {CORE} FROM ({audit_sql("cand_points", "(" + _PESSIMISTIC.replace("exits_grid", "exits_points") + ")")})
@@ -566,16 +650,19 @@ SELECT breakout_type, config_id, edge, degradation, temporal, observability,
        CASE WHEN edge = 'FAILED' OR observability = 'FAILED' THEN 'REJECT' WHEN edge = 'STRONG' AND degradation IN ('LOW', 'MODERATE') AND temporal = 'BROAD' AND observability = 'STRONG' THEN 'PASS' ELSE 'REVISE' END AS overall
 FROM (SELECT *, CASE WHEN val_average_r <= 0 OR vpf <= 1 THEN 'FAILED' WHEN ear <= 0 OR epf <= 1 THEN 'MIXED' WHEN least(val_average_r, ear) < 0.02 OR least(vpf, epf) - 1 < 0.05 THEN 'MIXED' ELSE 'STRONG' END AS edge,
              CASE WHEN val_average_r <= 0 THEN 'SIGN_REVERSAL' WHEN val_average_r / dev_average_r >= 0.75 - 1e-12 THEN 'LOW' WHEN val_average_r / dev_average_r >= 0.5 - 1e-12 THEN 'MODERATE' ELSE 'HIGH' END AS degradation,
-             CASE WHEN ear <= 0 OR epf <= 1 THEN 'FAILED' WHEN val_rate >= {HIGH_AMBIGUITY} OR val_rate - coalesce(dev_rate, 0) >= {AMBIGUITY_RISE} OR val_average_r - ear > {MATERIAL_RANGE} THEN 'CAUTION' ELSE 'STRONG' END AS observability
-      FROM (SELECT s.*, coalesce(s.val_profit_factor, 9.99) AS vpf, e.average_r AS ear, coalesce(e.profit_factor, 9.99) AS epf, t.temporal, a.val_rate, a.dev_rate
-            FROM surface s JOIN entry_first e USING (breakout_type, config_id) JOIN daily_labels t USING (breakout_type, config_id) JOIN ambiguity a USING (breakout_type, config_id)))"""
+             CASE WHEN ear <= 0 OR epf <= 1 THEN 'FAILED' WHEN NOT robust OR val_rate >= {HIGH_AMBIGUITY} OR val_rate - coalesce(dev_rate, 0) >= {AMBIGUITY_RISE} OR scenario_range > greatest({MATERIAL_RANGE}, {RANGE_MULTIPLE} * coalesce(dev_range, 0)) THEN 'CAUTION' ELSE 'STRONG' END AS observability
+      FROM (SELECT s.*, coalesce(s.val_profit_factor, 9.99) AS vpf, e.average_r AS ear, coalesce(e.profit_factor, 9.99) AS epf, t.temporal, a.val_rate, a.dev_rate, rv.robust, rv.scenario_range, rd.scenario_range AS dev_range
+            FROM surface s JOIN entry_first e USING (breakout_type, config_id) JOIN daily_labels t USING (breakout_type, config_id) JOIN ambiguity a USING (breakout_type, config_id)
+            JOIN point_robustness rv ON rv.breakout_type = s.breakout_type AND rv.config_id = s.config_id AND rv.period = 'VALIDATION'
+            LEFT JOIN point_robustness rd ON rd.breakout_type = s.breakout_type AND rd.config_id = s.config_id AND rd.period = 'DEVELOPMENT'))"""
 
 
 def decisions(m):
     """Edge, degradation, temporal and observability class of each cell from its validation results.
 
     The edge must also hold if unknown entry-bar stops count as losses; the temporal label is that of daily totals; the
-    observability comes from that scenario, the share of ambiguous exits and its rise since development.
+    observability comes from that scenario, from whether all scenarios gain, the range of their means against development,
+    the share of ambiguous exits and its rise since development.
     """
     def build():
         held = F.col("period") == "VALIDATION"
@@ -584,9 +671,12 @@ def decisions(m):
         days = executed(m).filter(held).groupBy(*CELL, F.col("trading_date").alias("month")).agg(r6(F.sum("result_r")).alias("total_r"))
         label = S.temporal_consistency(days, CELL).select(*CELL, F.col("label").alias("temporal"))
         rates = point_exits(m).withColumn("period", period()).groupBy(*CELL).agg(F.try_divide(S.share(F.col("is_ambiguous") & (F.col("period") == "VALIDATION")), S.share(F.col("period") == "VALIDATION")).alias("_rate"), F.coalesce(F.try_divide(S.share(F.col("is_ambiguous") & (F.col("period") == "DEVELOPMENT")), S.share(F.col("period") == "DEVELOPMENT")), F.lit(0.0)).alias("_dev"))
-        rows = surface(m).join(entry, CELL).join(label, CELL).join(rates, CELL)
+        spread = lambda p: point_robustness(m).filter(F.col("period") == p)
+        rows = surface(m).join(entry, CELL).join(label, CELL).join(rates, CELL).join(spread("VALIDATION").select(*CELL, "robust", "scenario_range"), CELL)
+        rows = rows.join(spread("DEVELOPMENT").select(*CELL, F.col("scenario_range").alias("_dev_range")), CELL, "left")
+        wide = F.col("scenario_range") > F.greatest(F.lit(MATERIAL_RANGE), RANGE_MULTIPLE * F.coalesce("_dev_range", F.lit(0.0)))
         d, v, pf, e, epf = (F.col(c) for c in ("dev_average_r", "val_average_r", "val_profit_factor", "_e", "_epf"))
-        careful = (F.col("_rate") >= HIGH_AMBIGUITY) | (F.col("_rate") - F.col("_dev") >= AMBIGUITY_RISE) | (v - e > MATERIAL_RANGE)
+        careful = ~F.col("robust") | (F.col("_rate") >= HIGH_AMBIGUITY) | (F.col("_rate") - F.col("_dev") >= AMBIGUITY_RISE) | wide
         seen = F.when((e <= 0) | (F.coalesce(epf, F.lit(9.99)) <= 1), "FAILED").when(careful, "CAUTION").otherwise("STRONG")
         rows = rows.withColumns({"edge": S.edge_class(v, pf, e, epf), "degradation": S.degradation_class(v, d), "observability": seen})
         return rows.select(*CELL, "edge", "degradation", "temporal", "observability",

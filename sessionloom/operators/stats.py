@@ -256,6 +256,40 @@ def grid_neighbours(cells: DataFrame, group: Sequence[str], axes: Sequence[str],
     ).withColumn("minus_neighbour_mean", F.round(F.col(value) - F.col("neighbour_mean"), 4))
 
 
+def scenario_robustness(metrics: DataFrame, keys: Sequence[str], scenarios: int) -> DataFrame:
+    """Range of the mean result over the scenarios of a cell, and whether each of them is there, gains and has a profit factor over 1."""
+    avg, factor = F.col("average_r"), F.coalesce("profit_factor", F.lit(9.99))
+    return metrics.groupBy(*keys).agg(
+        r6(F.max(avg) - F.min(avg)).alias("scenario_range"),
+        ((F.count(F.lit(1)) == scenarios) & (F.min(avg) > 0) & (F.min(factor) > 1)).alias("robust"))
+
+
+def neighbour_support(cells: DataFrame, group: Sequence[str], axes: Sequence[str], value: str, tolerance: float) -> DataFrame:
+    """How far adjacent cells support a robust cell: on both axes (STRONG), on one (MODERATE), or not (WEAK).
+
+    A neighbour supports a cell if it is robust itself and its ``value`` lies within the tolerance.
+    """
+    ranked = cells.withColumns({f"_{a}": F.dense_rank().over(Window.partitionBy(*group).orderBy(a)) for a in axes})
+    shifts = F.array(*[F.struct(F.lit(axis).alias("on"), *[F.lit(d if a == axis else 0).alias(a) for a in axes]) for axis in axes for d in (-1, 1)])
+    probes = ranked.withColumn("_d", F.explode(shifts)).withColumns({f"_{a}": F.col(f"_{a}") + F.col(f"_d.{a}") for a in axes})
+    other = ranked.select(*group, *[f"_{a}" for a in axes], F.col("robust").alias("_robust"), F.col(value).alias("_value"))
+    met = probes.join(other, [*group, *[f"_{a}" for a in axes]], "left")
+    near = F.coalesce(F.col("_robust") & (F.round(F.abs(F.col("_value") - F.col(value)), 6) <= tolerance), F.lit(False))
+    out = met.groupBy(*group, *axes, "robust").agg(*[F.max(near & (F.col("_d.on") == a)).alias(f"_{a}") for a in axes])
+    both, one = F.lit(True), F.lit(False)
+    for a in axes:
+        both, one = both & F.col(f"_{a}"), one | F.col(f"_{a}")
+    return out.select(*group, *axes, F.when(F.col("robust") & both, "STRONG").when(F.col("robust") & one, "MODERATE").otherwise("WEAK").alias("neighbour_support"))
+
+
+def neighbourhood_class(share_positive: Column, mean: Column, flip_rate: Column, median_delta: Column) -> Column:
+    """Whether a cell failed alone, with its neighbours, or with the whole surface."""
+    # Fixed values of the classes.
+    broad = (flip_rate >= 0.6) & (median_delta < 0)
+    return (F.when(F.coalesce(broad, F.lit(False)) & (share_positive <= 0.5), "BROAD_SURFACE_DETERIORATION")
+            .when((share_positive > 0.5) & (mean > 0), "LOCAL_FAILURE").otherwise("NEIGHBORHOOD_DETERIORATION"))
+
+
 def state_summary(events: DataFrame, state: str, scopes: Sequence[str], totals: Mapping[str, str], horizon: str = "horizon") -> DataFrame:
     """Outcomes per state under every combination of scopes or their total label.
 
