@@ -5,14 +5,17 @@ Lines are trimmed pieces between line ends; blank ones don't take part.  Two lin
 under 5 an edit is more than a fifth of the line, and only equal lines are similar.  Similar lines form classes (connected components), and the first
 line of a class, by document id and place, stays.
 
-* Equal lines are folded first, with partial aggregation, so a line in a third of all documents is one row per task.
-* Each distinct line is split into one segment more than it may have edits.  Segments are indexed by a hash of length, number and content; a line
+* Each line is split into one segment more than it may have edits.  Segments are indexed by a hash of length, number and content; a line
   probes the indexes of its own length and of as many code points less as the shorter line may have edits, with the few substrings at places that the edits
   left and right of a segment allow.  Two similar lines share one such key.
+* Keys are aggregated before they are shuffled, without the lines: a key stays if it is an index key of one line and belongs to a line with another
+  hash.  Only lines with such a key (a small part) are read with their content, and numbered; equal hashes of different lines add candidates, never links.
 * Key groups are compared with one leader per line and round; verified links are contracted to components.  After
   ``STAR_ROUNDS`` rounds all untested pairs of index and probe whose lines still lie in different components follow.
-* Letter counts that differ by more than the edits allow, and then the built-in distance with its threshold, rule most pairs
-  out; the rest is verified by a bit-parallel edit distance: one integer holds the band of five cells of a column, and a handful of bit operations moves it on by one character.
+* Letter counts that differ by more than the edits allow rule most pairs out; a bit-parallel edit distance decides on the others: one integer
+  holds the band of five (one edit: three) cells of a column, and a handful of bit operations moves it on by one character.
+* Equal lines are one row per digest and task before they are shuffled, so a line in a third of all documents is no hot spot.  Lines without copy or
+  link take no further part.
 
 All of it is built-in functions.  Null texts have no lines.  Repeated ids are ordered by text digest and place; rows equal in id and
 text share one result.
@@ -134,22 +137,37 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     left = lines.select(F.col("id").alias("a"), F.col("content").alias("x"), F.col("letters").alias("p"))
     right = lines.select(F.col("id").alias("b"), F.col("content").alias("y"), F.col("letters").alias("q"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    # The built-in distance gives up at the threshold and turns most pairs away cheaply; the bit-parallel one decides on the rest.
     most = allowed(F.least(F.length("x"), F.length("y")))
-    near = _may_match("p", "q", most) & (F.levenshtein("x", "y", EDITS) >= 0)
-    linked = F.when(most < EDITS, F.levenshtein("x", "y") <= most).otherwise(within_edits(F.col("x"), F.col("y")))
-    return both.select("a", "b", F.when(near, linked).otherwise(False).alias("linked"))
-
-
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """Verified links whose components are those of all similar lines; ``distinct``: ``id, content``."""
-    spark = distinct.sparkSession
-    keyed = segment_rows(distinct)
-    shared = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("leader"), F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = shared.where("leader IS NOT NULL AND low != high").select("key", "leader")
-    members = written(keyed.join(shared, "key").distinct(), "members")
-    lines = distinct.join(members.select("id").distinct(), "id", "left_semi").withColumn("letters", letter_counts(F.col("content")))
-    lines = written(lines, "candidates")
+    linked = F.lit(False)
+    for edits in range(1, EDITS + 1):
+        linked = F.when(most == edits, within_edits(F.col("x"), F.col("y"), edits)).otherwise(linked)
+    return both.select("a", "b", F.when(_may_match("p", "q", most), linked).otherwise(False).alias("linked"))
+
+
+def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, content, letters`` of the different lines that share a key with another, and ``key, id, own, leader`` of their keys.
+
+    Before lines have ids a 64-bit hash of the content stands for them.
+    """
+    hashed = lines.select(F.xxhash64("content").alias("id"), "content")
+    keyed = segment_rows(hashed)
+    shared = keyed.groupBy("key").agg(F.bool_or("own").alias("own"), F.min("id").alias("low"), F.max("id").alias("high"))
+    # As a table of its own it is small enough to be sent to the lines' tasks, or joined by shuffles, as its size says.
+    shared = written(shared.where("own AND low != high").select("key"), "shared")
+    members = written(keyed.join(shared, "key").select("key", F.col("id").alias("hash"), "own").distinct(), "members")
+    found = hashed.withColumnRenamed("id", "hash").join(members.select("hash").distinct(), "hash", "left_semi").distinct()
+    # Ids are fixed by the written table.
+    found = written(found.select(F.monotonically_increasing_id().alias("id"), "hash", "content", letter_counts(F.col("content")).alias("letters")), "candidates")
+    members = written(members.join(found.select("hash", "id"), "hash").select("key", "id", "own"), "members")
+    leaders = members.where("own").groupBy("key").agg(F.min("id").alias("leader"))
+    return found.select("id", "content", "letters"), members.join(leaders, "key")
+
+
+def similar_links(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``a, b`` whose components are those of all similar lines (``content``, repeats allowed), and the ``id, content, letters`` they speak of."""
+    spark = lines.sparkSession
+    lines, members = _candidates(lines)
+    members = written(members, "led")
     links = tested = spark.createDataFrame([], "a long, b long")
     current = members.withColumn("comp", F.col("id")).withColumn("leader_comp", F.col("leader"))
     for step in range(STAR_ROUNDS):
@@ -176,23 +194,25 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_verified(rest.join(ordered, ["a", "b"], "left_anti"), lines), "rest")
-    return links.unionByName(rest.where("linked").select("a", "b"))
+    return links.unionByName(rest.where("linked").select("a", "b")), lines
 
 
 def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per line: ``doc_id, line, class_doc, class_line, class_size, kept``; the class is named by its first line."""
     rows = lines_of(docs, text, id_col)
-    place = F.struct("doc", "version", "line")
-    distinct = rows.groupBy("content").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    # Ids are fixed by the written table.
-    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "content", "first", "copies"), "distinct")
-    label = written(components(similar_links(distinct.select("id", "content"))), "label")
-    named = distinct.select("id", F.sha2("content", 256).alias("digest"), "first", "copies").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
-    named = written(named.select("digest", "root").join(sizes, "root").select("digest", "head", "class_size"), "named")
-    out = rows.select("doc", "version", "line", F.sha2("content", 256).alias("digest")).join(named, "digest")
-    kept = F.struct("doc", "version", "line").eqNullSafe(F.col("head"))
-    return out.select(F.col("doc").alias("doc_id"), "line", F.col("head.doc").alias("class_doc"), F.col("head.line").alias("class_line"), "class_size", kept.alias("kept"), "version")
+    links, candidates = similar_links(rows.select("content"))
+    digest, place = F.unhex(F.sha2("content", 256)).alias("digest"), F.struct("doc", "version", "line")
+    label = components(links).select(F.col("node").alias("id"), "root")
+    linked = written(candidates.select("id", digest).join(label, "id").select("digest", "root"), "linked")
+    placed = rows.select("doc", "version", "line", digest)
+    copies = placed.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    copies = written(copies.join(linked, "digest", "left").where("copies > 1 OR root IS NOT NULL"), "copies")
+    sizes = copies.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
+    named = copies.join(sizes, "root", "left").select("digest", F.coalesce("head", "first").alias("head"), F.coalesce("class_size", "copies").alias("class_size"))
+    out = placed.join(written(named, "named"), "digest", "left").withColumn("head", F.coalesce("head", place))
+    kept = place.eqNullSafe(F.col("head"))
+    return out.select(F.col("doc").alias("doc_id"), "line", F.col("head.doc").alias("class_doc"), F.col("head.line").alias("class_line"),
+                      F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"), "version")
 
 
 def without_repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
