@@ -89,23 +89,29 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     """
     band, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
     top = 1 << (band - 1)
-    n, m = F.length(a), F.length(b)
-    x, y = F.split(a, ""), F.split(b, "")
     upside = lambda v: F.lit(full) - v
     start = F.struct(F.lit(full ^ (full >> (edits + 1))).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
 
-    def step(s: Column, j: Column) -> Column:
-        c = F.get(y, j - 1)
-        match = sum((F.when(F.coalesce(F.get(x, F.when(j - edits + i >= 1, j - edits + i - 1).otherwise(-1)) == c, F.lit(False)), 1 << i).otherwise(0) for i in range(band)), F.lit(0))
-        vp, vn, d = s["vp"], s["vn"], s["d"]
+    def distance(s: Column) -> Column:
+        x, y, n = s["x"], s["y"], s["n"]
+
+        def step(s: Column, j: Column) -> Column:
+            vp, vn, d = s["vp"], s["vn"], s["d"]
+
+            def match(c: Column) -> Column:
+                return sum((F.when(F.coalesce(F.get(x, F.when(j - edits + i >= 1, j - edits + i - 1).otherwise(-1)) == c, F.lit(False)), 1 << i).otherwise(0) for i in range(band)), F.lit(0))
 
-        def with_match(hit: Column) -> Column:
-            d0 = (((hit.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(hit).bitwiseOR(vn)).bitwiseAND(full)
-            return _with(d0, lambda z: _moved(z, vp, vn, d, j, n, edits, full, top, upside))
+            def with_match(hit: Column) -> Column:
+                d0 = (((hit.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(hit).bitwiseOR(vn)).bitwiseAND(full)
+                return _with(d0, lambda z: _moved(z, vp, vn, d, j, n, edits, full, top, upside))
 
-        return _with(match, with_match)
+            return _with(_with(F.get(y, j - 1), match), with_match)
 
-    end = F.aggregate(F.sequence(F.lit(1), m), start, step, lambda s: s["d"])
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step, lambda s: s["d"])
+
+    # Characters and length are taken apart once, not once per column.
+    end = _with(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("n")), distance)
+    n, m = F.length(a), F.length(b)
     return F.when(F.abs(n - m) > edits, False).when(F.least(n, m) <= band, F.levenshtein(a, b) <= edits).otherwise(end <= edits)
 
 
