@@ -386,6 +386,28 @@ def _(m):
     return daily_members(m)
 
 
+SESSION_CONTEXTS = ("overnight", "asia", "london")
+
+
+@query("C31_session_members", """
+SELECT instrument_id, contract, context_id, target_date, available_at, k AS orientation, v AS price_ticks
+FROM (SELECT instrument_id, contract, context_id, target_date, available_at, observed_high AS "UPPER", observed_low AS "LOWER" FROM context
+      WHERE is_available AND context_id IN ('overnight', 'asia', 'london')) UNPIVOT (v FOR k IN ("UPPER", "LOWER"))""")
+def _(m):
+    from sessionloom.catalog.context import context
+    rows = context(m).filter(F.col("is_available") & F.col("context_id").isin(*SESSION_CONTEXTS))
+    rows = rows.withColumnsRenamed({"observed_high": "UPPER", "observed_low": "LOWER"})
+    return rows.unpivot(["instrument_id", "contract", "context_id", "target_date", "available_at"], ["UPPER", "LOWER"], "orientation", "price_ticks")
+
+
+@query("C31_candle_members", """
+SELECT instrument_id, contract, '240m' AS timeframe, bar_start, bar_end AS available_at, k AS orientation, v AS price_ticks
+FROM (SELECT instrument_id, contract, bar_start, bar_end, high AS "UPPER", low AS "LOWER" FROM seg_h4) UNPIVOT (v FOR k IN ("UPPER", "LOWER"))""")
+def _(m):
+    rows = PC.frame_segments(m, "240m").select("instrument_id", "contract", F.lit("240m").alias("timeframe"), "bar_start", F.col("bar_end").alias("available_at"), F.col("high").alias("UPPER"), F.col("low").alias("LOWER"))
+    return rows.unpivot(["instrument_id", "contract", "timeframe", "bar_start", "available_at"], ["UPPER", "LOWER"], "orientation", "price_ticks")
+
+
 @query("C35_candidate_class", """
 SELECT breakout_type, config_id, CASE WHEN stop_points <= 40 THEN 'PRIMARY' WHEN stop_points <= 80 THEN 'SECONDARY' ELSE 'PARKED_HYPOTHESIS' END AS stop_family_tier,
        CASE WHEN dev_average_r > 0 AND val_average_r > 0 THEN 'CORE' WHEN dev_average_r > 0 THEN 'HYPOTHESIS' ELSE 'REJECTED' END AS candidate_class FROM surface""")
@@ -712,6 +734,14 @@ def _(m):
     return K.reset_warnings(PC.life(m), PC.episodes(m))
 
 
+@query("K11_pending_cross_contract", """
+SELECT z.instrument_id, z.contract, z.zone_id, z.exit_at AS since_at, z.reset_reason AS reason, n.contract AS next_contract, 'CROSS_CONTRACT_RAW' AS comparison_scope
+FROM zone_life z JOIN episodes e USING (instrument_id, segment_id) LEFT JOIN episodes n ON n.instrument_id = e.instrument_id AND n.segment_id = e.last_slot + 1 WHERE z.exit_kind = 'PENDING'""")
+def _(m):
+    stopped = PC.life(m).filter("exit_kind = 'PENDING'").select("instrument_id", "contract", "segment_id", "zone_id")
+    return K.pending_across_contracts(stopped, PC.episodes(m)).drop("segment_id")
+
+
 # --- J helpers with exact SQL --------------------------------------------------------
 @query("J09_minute_tape", "SELECT s.* EXCLUDE (brk), e.reset_at, e.reset_reason FROM seg s JOIN episodes e USING (instrument_id, segment_id)")
 def _(m):

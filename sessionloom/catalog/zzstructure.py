@@ -327,6 +327,21 @@ def _(m):
     return rows.filter(F.col("failed_slot").isNull() | (F.col("failed_slot") > F.col("now_slot"))).select("instrument_id", "swing_id", "direction", "lower_ticks", "upper_ticks", "admission_slot")
 
 
+def block_stages(m):
+    return m.keep("block_stages", lambda: J.block_stages(block_life(m), PC.episodes(m), m.schedule()))
+
+
+@query("K06_block_history")
+def _(m):
+    return J.stages_known_at(block_stages(m), at())
+
+
+@query("K06_pending_blocks")
+def _(m):
+    stopped = block_stages(m).filter((F.col("end_reason") == "PENDING") & (F.col("ended_at") <= at())).select("instrument_id", "contract", "segment_id", "swing_id", "stage")
+    return K.pending_across_contracts(stopped, PC.episodes(m)).drop("segment_id")
+
+
 def block_touches(m):
     life = block_life(m).filter("admission_slot is not null").select(
         F.col("swing_id").alias("zone_id"), F.lit("ORDINARY").alias("stage"), "instrument_id", "contract", "segment_id", F.col("direction").alias("current_direction"), "lower_ticks", "upper_ticks",

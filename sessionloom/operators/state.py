@@ -100,6 +100,17 @@ def reset_warnings(life: DataFrame, episodes: DataFrame) -> DataFrame:
         "instrument_id", "contract", "reset_at", "reset_reason", F.coalesce("ended_objects", F.lit(0)).alias("ended_objects"))
 
 
+def pending_across_contracts(stopped: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Objects that a contract change left open, with the contract that follows: prices of the two are compared unadjusted.
+
+    ``stopped`` holds rows of ``instrument_id, segment_id`` and further columns; those of segments that end otherwise go.
+    """
+    following = episodes.select("instrument_id", (F.col("segment_id") - 1).alias("last_slot"), F.col("contract").alias("next_contract"))
+    change = episodes.filter("reset_reason = 'CONTRACT_CHANGE'").select("instrument_id", "segment_id", "last_slot", F.col("reset_at").alias("since_at"), F.col("reset_reason").alias("reason"))
+    change = change.join(following, ["instrument_id", "last_slot"], "left").drop("last_slot")
+    return stopped.join(change, ["instrument_id", "segment_id"]).withColumn("comparison_scope", F.lit("CROSS_CONTRACT_RAW"))
+
+
 def touch_visits(touches: DataFrame) -> DataFrame:
     """Runs of consecutive touching bars of one stage, numbered, with flags and maxima."""
     stage = Window.partitionBy("zone_id", "stage").orderBy("slot")

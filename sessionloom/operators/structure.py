@@ -611,3 +611,31 @@ def block_lifecycle(blocks: DataFrame, swings: DataFrame, segmented: DataFrame,
              .otherwise(F.coalesce("outcome", F.lit("ORDINARY"))))
     return rows.select("instrument_id", "contract", "segment_id", "swing_id", "direction", "lower_ticks", "upper_ticks", "admission_slot", "failed_slot", F.col("_a.o_id").alias("a_swing_id"),
                        F.col("_c.i").alias("c_swing_id"), "raid_slot", "resolved_slot", "outcome", "motif_reason", "retired_slot", final.alias("final_state"))
+
+
+def block_stages(life: DataFrame, episodes: DataFrame, schedule: DataFrame) -> DataFrame:
+    """One row per stage of a block: ORDINARY, FAILED_AWAITING, then BREAKER, MITIGATION or FAILED_FINAL, with start, end and the reason of the end.
+
+    A stage starts when the one before ends; the reset of the episode ends what is still open then (FAILED_FINAL has no end).
+    """
+    stage = lambda kind, start, end, why: F.struct(kind.alias("stage"), F.col(start).alias("start_slot"), end.cast("long").alias("end_slot"), F.lit(why).alias("end_reason"))
+    settled = F.when(F.col("outcome").isin("BREAKER", "MITIGATION", "FAILED_FINAL"), F.col("outcome"))
+    rows = life.filter("admission_slot is not null").withColumn("_s", F.explode(F.array(
+        stage(F.lit("ORDINARY"), "admission_slot", F.col("failed_slot"), "FAILED"),
+        stage(F.lit("FAILED_AWAITING"), "failed_slot", F.col("resolved_slot"), "RESOLVED"),
+        stage(settled, "resolved_slot", F.when(settled != "FAILED_FINAL", F.col("retired_slot")), "RETIRED"))))
+    rows = rows.select("instrument_id", "contract", "segment_id", "swing_id", "direction", "lower_ticks", "upper_ticks", "_s.*").filter("stage is not null and start_slot is not null")
+    ends = schedule.select("slot", "bar_end")
+    rows = rows.join(ends.select(F.col("slot").alias("start_slot"), F.col("bar_end").alias("started_at")), "start_slot")
+    rows = rows.join(ends.select(F.col("slot").alias("end_slot"), F.col("bar_end").alias("ended_at")), "end_slot", "left")
+    rows = rows.join(episodes.select(*SEGMENT, "reset_at", "reset_reason"), SEGMENT, "left")
+    reset = F.when(F.col("end_slot").isNull() & (F.col("stage") != "FAILED_FINAL"), F.col("reset_at"))
+    why = F.when(F.col("end_slot").isNotNull(), F.col("end_reason")).when(reset.isNotNull(), F.when(F.col("reset_reason") == "DATA_GAP", "TERMINATED").otherwise("PENDING"))
+    return rows.select("instrument_id", "contract", "segment_id", "swing_id", "stage", "direction", "lower_ticks", "upper_ticks", (F.col("lower_ticks") + F.col("upper_ticks")).alias("mid2_ticks"),
+                       "started_at", F.coalesce("ended_at", reset).alias("ended_at"), why.alias("end_reason"))
+
+
+def stages_known_at(stages: DataFrame, instant) -> DataFrame:
+    """Stages that had started at an instant; ends after it are hidden."""
+    known = F.col("ended_at") <= instant
+    return stages.filter(F.col("started_at") <= instant).withColumns({"end_reason": F.when(known, F.col("end_reason")), "ended_at": F.when(known, F.col("ended_at"))})
