@@ -239,6 +239,30 @@ def _(m):
     return ST.dominant_pattern(patterns(m), ["half", "direction"])
 
 
+STABILITY_HORIZON = 3
+
+
+@query("E30_half_stability", f"""
+WITH v AS (SELECT half, direction, pattern, count(*) AS n FROM pattern_rows WHERE pattern <> 'NO_CLEAR_PATTERN' GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY half, direction ORDER BY count(*) DESC, pattern) = 1),
+d AS (SELECT k.half, k.direction, CASE WHEN v.n >= 2 THEN v.pattern ELSE 'NO_CLEAR_PATTERN' END AS p, coalesce(v.n, 0) AS s FROM (SELECT DISTINCT half, direction FROM pattern_rows) k LEFT JOIN v USING (half, direction)),
+w AS (SELECT direction, {", ".join(f"coalesce(max(p) FILTER (half = '{h}'), 'NO_CLEAR_PATTERN') AS {t}_pattern, coalesce(max(s) FILTER (half = '{h}'), 0) AS {t}_support" for h, t in (("FULL", "full"), ("FIRST", "first"), ("SECOND", "second")))} FROM d GROUP BY 1),
+r AS (SELECT direction, max(rho) FILTER (half = 'FIRST') AS first_rho, max(rho) FILTER (half = 'SECOND') AS second_rho FROM pattern_rows WHERE horizon = {STABILITY_HORIZON} GROUP BY 1),
+c AS (SELECT direction, min(n) AS min_half_n FROM band_summary WHERE state <> 'UNAVAILABLE' AND half <> 'FULL' AND horizon = {STABILITY_HORIZON} GROUP BY 1),
+x AS (SELECT *, coalesce(abs(first_rho) >= 0.3 AND abs(second_rho) >= 0.3 AND sign(first_rho) <> sign(second_rho), FALSE) OR (first_support >= 3 AND second_support >= 3 AND first_pattern <> second_pattern) AS opposed
+      FROM w LEFT JOIN r USING (direction) LEFT JOIN c USING (direction))
+SELECT * EXCLUDE (opposed), CASE
+  WHEN full_pattern = 'NO_CLEAR_PATTERN' AND greatest(full_support, first_support, second_support) < 2 THEN 'NO_CLEAR_RELATIONSHIP'
+  WHEN full_pattern = 'NO_CLEAR_PATTERN' AND (opposed OR first_pattern <> second_pattern) THEN 'WEAK_OR_UNSTABLE'
+  WHEN full_pattern = 'NO_CLEAR_PATTERN' THEN 'POTENTIALLY_INFORMATIVE'
+  WHEN full_pattern = first_pattern AND full_pattern = second_pattern AND least(full_support, first_support, second_support) >= 3 AND min_half_n >= 10 THEN 'CONSISTENT_CANDIDATE_STATE'
+  WHEN opposed THEN 'WEAK_OR_UNSTABLE'
+  WHEN full_support >= 3 AND ((first_pattern = full_pattern AND first_support >= 2) OR (second_pattern = full_pattern AND second_support >= 2)) THEN 'POTENTIALLY_INFORMATIVE'
+  ELSE 'WEAK_OR_UNSTABLE' END AS classification FROM x""")
+def _(m):
+    counts = band_summary(m).filter("state <> 'UNAVAILABLE'")
+    return ST.half_stability(patterns(m), counts, ["direction"], STABILITY_HORIZON)
+
+
 @query("E31_hypothesis_assessment", f"""
 WITH s AS ({summary_sql(COMBINED_STATE)})
 SELECT horizon, half, direction, c.median_mfe AS comparison_mfe, e.median_mfe AS efficient_mfe, round(e.median_mfe - c.median_mfe, 6) AS contrast,

@@ -116,6 +116,36 @@ def dominant_pattern(patterns: DataFrame, keys: Sequence[str]) -> DataFrame:
     return every.select(*keys, F.when(support >= 2, F.col("_b.pattern")).otherwise("NO_CLEAR_PATTERN").alias("dominant_pattern"), support.alias("support"))
 
 
+def half_stability(patterns: DataFrame, counts: DataFrame, keys: Sequence[str], horizon) -> DataFrame:
+    """Class of a relationship from its dominant pattern in the full period and both halves (``half``: FULL, FIRST, SECOND).
+
+    ``counts`` holds ``n`` per key, half, state and horizon; states of a half with few events keep a pattern from being a candidate.
+    The correlations of both halves are compared at one ``horizon``.
+    """
+    votes = dominant_pattern(patterns, [*keys, "half"])
+    pick = lambda half, column: F.max(F.when(F.col("half") == half, F.col(column)))
+    halves = [("FULL", "full"), ("FIRST", "first"), ("SECOND", "second")]
+    rows = votes.groupBy(*keys).agg(*[pick(half, "dominant_pattern").alias(f"{to}_pattern") for half, to in halves], *[F.coalesce(pick(half, "support"), F.lit(0)).alias(f"{to}_support") for half, to in halves])
+    rho = patterns.filter(F.col("horizon") == horizon).groupBy(*keys).agg(*[pick(half, "rho").alias(f"{to}_rho") for half, to in halves[1:]])
+    least = counts.filter((F.col("half") != "FULL") & (F.col("horizon") == horizon)).groupBy(*keys).agg(F.min("n").alias("min_half_n"))
+    rows = rows.join(rho, list(keys), "left").join(least, list(keys), "left")
+    full, first, second = (F.coalesce(f"{to}_pattern", F.lit("NO_CLEAR_PATTERN")) for _, to in halves)
+    full_n, first_n, second_n = (F.col(f"{to}_support") for _, to in halves)
+    # Votes, correlation and events that the classes ask for.
+    votes_wanted, votes_half, rho_wanted, events_wanted = 3, 2, 0.3, 10
+    strong = (F.abs("first_rho") >= rho_wanted) & (F.abs("second_rho") >= rho_wanted)
+    opposite = F.coalesce(strong & (F.signum("first_rho") != F.signum("second_rho")), F.lit(False))
+    opposed = opposite | ((first_n >= votes_wanted) & (second_n >= votes_wanted) & (first != second))
+    none = full == "NO_CLEAR_PATTERN"
+    stable = (full == first) & (full == second) & (F.least(full_n, first_n, second_n) >= votes_wanted) & (F.col("min_half_n") >= events_wanted)
+    half = ((first == full) & (first_n >= votes_half)) | ((second == full) & (second_n >= votes_half))
+    kind = (F.when(none & (F.greatest(full_n, first_n, second_n) < votes_half), "NO_CLEAR_RELATIONSHIP")
+            .when(none, F.when(opposed | (first != second), "WEAK_OR_UNSTABLE").otherwise("POTENTIALLY_INFORMATIVE"))
+            .when(stable, "CONSISTENT_CANDIDATE_STATE").when(opposed, "WEAK_OR_UNSTABLE")
+            .when((full_n >= votes_wanted) & half, "POTENTIALLY_INFORMATIVE").otherwise("WEAK_OR_UNSTABLE"))
+    return rows.withColumns({"full_pattern": full, "first_pattern": first, "second_pattern": second, "classification": kind})
+
+
 def orb_confirmation(events: DataFrame, signals: DataFrame) -> DataFrame:
     """First breakout after each level event of the day: same direction, opposite or none."""
     later = signals.select(*DAY, F.col("direction").alias("_dir"), F.col("signal_time").alias("_at"))

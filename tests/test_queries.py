@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = """A05_derived_bar_store A08_session_calendar B01_validate_bars C02_session_status C25_candidate_entry D08_bar_level_interactions D10_first_close_beyond
 D13_zone_lifecycle D16_zone_overlap_pairs D17_exit_barrier D28_first_zone_in_leg E01_resample_bars E04_market_context E09_trade_summary E13_r_distribution E28_state_characterization_width
 F01_continuity_segments F02_episodes F05_ordinal_bins F06_rolling_expectancy F09_causal_history F11_session_trade_limit F13_mitigation_events H02_reconcile J05_internal_levels K01_state_as_of
-D14_mtf_bpr_lifecycle D19_session_end_excursion G04_closest_candidate J03_cluster_members K03_state_at_bars L01_swing_suite N01_stream_bars N04_stream_breakouts N05_stream_level_join N07_late_rows N09_keyed_state O01_breakout_variants O02_length_sweep O03_length_sweep C31_session_members C31_candle_members K11_pending_cross_contract C34_decision_classifiers E33_persistence_statistics E35_candidate_neighborhoods""".split()
+D14_mtf_bpr_lifecycle D19_session_end_excursion G04_closest_candidate J03_cluster_members K03_state_at_bars L01_swing_suite N01_stream_bars N04_stream_breakouts N05_stream_level_join N07_late_rows N09_keyed_state O01_breakout_variants O02_length_sweep O03_length_sweep E30_half_stability C31_session_members C31_candle_members K11_pending_cross_contract C34_decision_classifiers E33_persistence_statistics E35_candidate_neighborhoods""".split()
 
 
 def names():
