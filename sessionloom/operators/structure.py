@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -289,6 +290,22 @@ def cluster_versions(clusters: DataFrame) -> DataFrame:
     return clusters.filter("member_id = last_member_id").drop("member_id", "last_member_id")
 
 
+def superseded_totals(versions: DataFrame, counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Sums of ``counts`` (per version, of what it adds) over each version and all that it supersedes, directly or not.
+
+    A version is superseded once, so each passes its sum on to the version 1, 2, 4, ... steps ahead: as many rounds as the
+    longest chain has binary digits, and no member list is written out.
+    """
+    sums = [F.sum(n).alias(n) for n in names]
+    totals = written(versions.select("version_id").join(counts, "version_id", "left").fillna(0, list(names)), "totals")
+    ahead = written(versions.select(F.explode("supersedes").alias("version_id"), F.col("version_id").alias("next")), "ahead")
+    while not ahead.isEmpty():
+        passed = ahead.join(totals, "version_id").groupBy(F.col("next").alias("version_id")).agg(*sums)
+        totals = written(totals.unionByName(passed).groupBy("version_id").agg(*sums), "totals")
+        ahead = written(ahead.join(ahead.select(F.col("version_id").alias("next"), F.col("next").alias("_then")), "next").select("version_id", F.col("_then").alias("next")), "ahead")
+    return totals
+
+
 def cluster_lineages(versions: DataFrame) -> DataFrame:
     """Versions to lineages: an extension continues its lineage, a merge starts one and stops the absorbed.
 
