@@ -8,13 +8,14 @@ line of a class, by document id and place, stays.
 * Each line is split into one segment more than it may have edits.  Segments are indexed by a hash of length, number and content; a line
   probes the indexes of its own length and of as many code points less as the shorter line may have edits, with the few substrings at places that the edits
   left and right of a segment allow.  Two similar lines share one such key.
-* Keys are aggregated before they are shuffled, without the lines: a key stays if it is an index key of one line and belongs to a line with another
+* Keys are shuffled once, without the lines: a key stays if it is an index key of one line and belongs to a line with another
   hash.  Only lines with such a key (a small part) are read with their content, and numbered; equal hashes of different lines add candidates, never links.
 * Key groups are compared with one leader per line and round; verified links are contracted to components.  After
   ``STAR_ROUNDS`` rounds all untested pairs of index and probe whose lines still lie in different components follow.
 * Letter counts that differ by more than the edits allow rule most pairs out; a bit-parallel edit distance decides on the others: one integer
   holds the band of five (one edit: three) cells of a column, and a handful of bit operations moves it on by one character.
-* Equal lines are one row per digest and task before they are shuffled, so a line in a third of all documents is no hot spot.  Lines without copy or
+* Equal lines are one row per digest and task before they are shuffled, and lines with over ``FREQUENT`` copies
+  make keys once, so a line in a third of all documents is no hot spot.  Lines without copy or
   link take no further part.
 
 All of it is built-in functions.  Null texts have no lines.  Repeated ids are ordered by text digest and place; rows equal in id and
@@ -23,7 +24,7 @@ text share one result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.graph import components
@@ -33,6 +34,8 @@ EDITS, PER_EDIT = 2, 5
 #: From this length on lines may have all ``EDITS`` edits.
 SHORTEST = EDITS * PER_EDIT
 STAR_ROUNDS = 2
+#: Lines with more copies than this make keys once only; others once per copy.
+FREQUENT = 1000
 
 
 def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -156,12 +159,15 @@ def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Before lines have ids a 64-bit hash of the content stands for them.
     """
     hashed = lines.select(F.xxhash64("content").alias("id"), "content")
-    keyed = segment_rows(hashed)
-    shared = keyed.groupBy("key").agg(F.bool_or("own").alias("own"), F.min("id").alias("low"), F.max("id").alias("high"))
-    # As a table of its own it is small enough to be sent to the lines' tasks, or joined by shuffles, as its size says.
-    shared = written(shared.where("own AND low != high").select("key"), "shared")
-    members = written(keyed.join(shared, "key").select("key", F.col("id").alias("hash"), "own").distinct(), "members")
-    found = hashed.withColumnRenamed("id", "hash").join(members.select("hash").distinct(), "hash", "left_semi").distinct()
+    copied = written(hashed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT).select("id"), "frequent")
+    # There is at most one such hash per FREQUENT lines; their copies go before they make keys.
+    rare = hashed.join(F.broadcast(copied), "id", "left_anti")
+    keyed = segment_rows(rare.unionByName(hashed.join(F.broadcast(copied), "id", "left_semi").distinct()))
+    same = Window.partitionBy("key")
+    keyed = keyed.withColumns({"_any": F.max("own").over(same), "_low": F.min("id").over(same), "_high": F.max("id").over(same)})
+    members = written(keyed.where("_any AND _low != _high").select("key", F.col("id").alias("hash"), "own").distinct(), "members")
+    # The hint keeps small tables on the path of large ones.
+    found = hashed.withColumnRenamed("id", "hash").join(members.select("hash").distinct().hint("merge"), "hash", "left_semi").distinct()
     # Ids are fixed by the written table.
     found = written(found.select(F.monotonically_increasing_id().alias("id"), "hash", "content", letter_counts(F.col("content")).alias("letters")), "candidates")
     members = written(members.join(found.select("hash", "id"), "hash").select("key", "id", "own"), "members")

@@ -98,3 +98,13 @@ def test_awkward_rows(table, awkward):
     assert len(same) == 3 and {r["class_doc"] for r in same} == {4} and sum(r["kept"] for r in same) == 1
     assert L.line_classes(table([])).count() == 0 and L.line_classes(table([(1, None), (2, " \n ")])).count() == 0
     assert L.without_repeated_lines(table(awkward)).count() == len(awkward)
+
+
+def test_frequent_lines_make_keys_once(table, monkeypatch):
+    """Copies above the bound change neither keys nor candidates."""
+    rows = [(i, "\n".join(["the same line in every text", f"another line number {i % 4}", f"other {'x' * i}"])) for i in range(12)]
+    lines = L.lines_of(table(rows)).select("content")
+    sets = lambda: [sorted(map(tuple, found.select(*cols).collect())) for found, cols in zip(L._candidates(lines), (["content"], ["key", "own"]))]
+    plain = sets()
+    monkeypatch.setattr(L, "FREQUENT", 1)
+    assert sets() == plain and ("another line number 3",) in plain[0]
