@@ -9,12 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import mixing, near_dedup, packing, toxicity
-from sessionloom.llm.common import fresh_path, prepare, read_table
+from sessionloom.llm import common, mixing, near_dedup, packing, toxicity
+from sessionloom.llm.common import fresh_path, read_table
 from sessionloom.llm.exact_dedup import DigestIndex, buckets_for, deduplicate
 from sessionloom.llm.queries import tokenizer_path
 
 
+#: Workers of all stages live side by side in an executor; this bounds what each holds of a table at a time.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with the settings of the operators and Arrow batches of a bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return common.prepare(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half stay."""
     prepare(spark)

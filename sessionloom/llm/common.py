@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.session import prepare, shared_folder, written
 
-__all__ = ["blank", "free_name", "fresh_path", "prepare", "read_table", "shared_folder", "written", "written_dense"]
+__all__ = ["blank", "free_name", "fresh_path", "no_links", "prepare", "read_table", "shared_folder", "written", "written_dense"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def written_dense(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def no_links(spark: SparkSession) -> DataFrame:
+    """``a, b`` without rows, known to the optimizer as empty; ``createDataFrame`` would start Python workers to read none."""
+    return spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of the table has it."""
     while name.lower() in {c.lower() for c in df.columns}:

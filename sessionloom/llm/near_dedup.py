@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import blank, written
+from sessionloom.llm.common import blank, no_links, written
 from sessionloom.functions.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -42,9 +42,9 @@ BANDS, ROWS = 40, 3
 LABELLED_BANDS = 20
 STAR_ROUNDS = 4
 #: Documents and words on either side of a cell of the exact stage, and postings that it counts at a time.
-BLOCK, BLOCK_WORDS, POSTINGS = 256, 400_000, 4_000_000
+BLOCK, BLOCK_WORDS, POSTINGS = 256, 400_000, 1_000_000
 #: Documents sketched at a time; their words are the memory that a task needs.
-AT_ONCE_CHARS = 1_500_000
+AT_ONCE_CHARS = 750_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -266,7 +266,7 @@ def near_links(docs: DataFrame, reps: DataFrame, text: str = "text", id_col: str
     members = written(keyed.join(shared, "key"), "members")
     chosen = reps.select("rep", "doc", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
     words = written(_with_words(docs, chosen, text, id_col), "words")
-    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    links = tested = no_links(docs.sparkSession)
     current = members.withColumn("comp", F.col("rep"))
     for step in range(STAR_ROUNDS):
         rank = F.xxhash64("rep", F.lit(step)).alias("rank")

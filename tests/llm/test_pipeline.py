@@ -2,6 +2,7 @@
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -9,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from brute import near_classes, pieces  # noqa: E402
+from sessionloom.llm.common import no_links  # noqa: E402
 from sessionloom.llm.queries import ORACLES, QUERIES, tokenizer_path  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +54,18 @@ def test_stages_take_awkward_rows(session, table, awkward, stage):
     if stage < 4:
         assert out.columns == docs.columns
     assert out.count() > 0 and run(session, table([]), SMALL).count() == 0
+
+
+def test_batches_are_bounded(session, table):
+    """Python workers get Arrow batches of about ``BATCH_BYTES``, however many rows these are."""
+    docs = table([(i, "x" * 4000) for i in range(6000)])
+    seen = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    corpus_pipeline.prepare(session)
+    assert max(r.n for r in seen.collect()) <= 1.1 * corpus_pipeline.BATCH_BYTES
+
+
+def test_links_start_without_python(session):
+    """The empty table of links is known to the optimizer; it starts no workers."""
+    links = no_links(session)
+    assert links.dtypes == [("a", "bigint"), ("b", "bigint")]
+    assert "LocalRelation <empty>" in links._jdf.queryExecution().optimizedPlan().toString()
