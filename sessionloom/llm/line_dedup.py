@@ -24,13 +24,17 @@ text share one result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.graph import components
-from sessionloom.llm.common import blank, written
+from sessionloom.llm.common import blank, no_links, written
 
 EDITS, PER_EDIT = 2, 5
+BLANKS = " \t\n\x0b\x0c\r"
 #: From this length on lines may have all ``EDITS`` edits.
 SHORTEST = EDITS * PER_EDIT
 STAR_ROUNDS = 2
@@ -40,14 +44,21 @@ FREQUENT = 1000
 
 def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc, version, line, content``: all lines that aren't blank, numbered from 0 among all lines of the text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(blank(text)).alias("version"), F.posexplode(F.split(blank(text), "\n", -1)).alias("line", "content"))
-    rows = rows.withColumn("content", F.btrim("content", F.lit(" \t\n\x0b\x0c\r")))
+    # The text is hashed before it is taken apart, else it would be once per line.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(blank(text)).alias("version"), blank(text).alias("content"))
+    rows = rows.select("doc", "version", F.posexplode(F.split("content", "\n", -1)).alias("line", "content"))
+    # Few lines have blanks at an end; a look at both ends is far cheaper than trimming.
+    ends = [at(F.lit(c)) for at in (F.col("content").startswith, F.col("content").endswith) for c in BLANKS]
+    rows = rows.withColumn("content", F.when(reduce(or_, ends), F.btrim("content", F.lit(BLANKS))).otherwise(F.col("content")))
     return rows.where("content != ''")
 
 
 def allowed(n: Column) -> Column:
     """Edits that a line of ``n`` code points may have."""
-    return F.least(F.lit(EDITS), F.floor(n / PER_EDIT)).cast("int")
+    steps = F
+    for edits in range(EDITS, 0, -1):
+        steps = steps.when(n >= edits * PER_EDIT, F.lit(edits))
+    return steps.otherwise(F.lit(0))
 
 
 def _cases(edits: int) -> list[Column]:
@@ -166,8 +177,8 @@ def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = Window.partitionBy("key")
     keyed = keyed.withColumns({"_any": F.max("own").over(same), "_low": F.min("id").over(same), "_high": F.max("id").over(same)})
     members = written(keyed.where("_any AND _low != _high").select("key", F.col("id").alias("hash"), "own").distinct(), "members")
-    # The hint keeps small tables on the path of large ones.
-    found = hashed.withColumnRenamed("id", "hash").join(members.select("hash").distinct().hint("merge"), "hash", "left_semi").distinct()
+    # The hint keeps small tables on the path of large ones; the few hashes of a partition are looked up, so the lines needn't be sorted.
+    found = hashed.withColumnRenamed("id", "hash").join(members.select("hash").distinct().hint("shuffle_hash"), "hash", "left_semi").distinct()
     # Ids are fixed by the written table.
     found = written(found.select(F.monotonically_increasing_id().alias("id"), "hash", "content", letter_counts(F.col("content")).alias("letters")), "candidates")
     members = written(members.join(found.select("hash", "id"), "hash").select("key", "id", "own"), "members")
@@ -177,10 +188,9 @@ def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_links(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a, b`` whose components are those of all similar lines (``content``, repeats allowed), and the ``id, content, letters`` they speak of."""
-    spark = lines.sparkSession
     lines, members = _candidates(lines)
     members = written(members, "led")
-    links = tested = spark.createDataFrame([], "a long, b long")
+    links = tested = no_links(lines.sparkSession)
     current = members.withColumn("comp", F.col("id")).withColumn("leader_comp", F.col("leader"))
     for step in range(STAR_ROUNDS):
         pairs = current.where(F.col("comp") != F.col("leader_comp")).select(F.col("leader").alias("a"), F.col("id").alias("b"))

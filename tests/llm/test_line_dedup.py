@@ -108,3 +108,16 @@ def test_frequent_lines_make_keys_once(table, monkeypatch):
     plain = sets()
     monkeypatch.setattr(L, "FREQUENT", 1)
     assert sets() == plain and ("another line number 3",) in plain[0]
+
+
+def test_texts_are_hashed_once(table):
+    """The hash of a text is worked out before its lines are made, and lines don't carry the text."""
+    plan = L.lines_of(table([(1, "a\nb")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
+def test_lines_are_trimmed_at_either_end(table):
+    """Only lines with a blank at an end are trimmed; inner and other blanks stay."""
+    lines = ["a", " a", "a\t", "\x0b\x0c a b\r", " a ", " \t", "", "a \x0b"]
+    got = {(r["line"], r["content"]) for r in L.lines_of(table([(1, "\n".join(lines))])).collect()}
+    assert got == {(i, s.strip(" \t\n\x0b\x0c\r")) for i, s in enumerate(lines) if s.strip(" \t\n\x0b\x0c\r")}
